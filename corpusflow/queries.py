@@ -1,0 +1,6 @@
+"""The queries of the library outside llm: callables (spark, sf_dir) -> DataFrame, and their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict = {}
