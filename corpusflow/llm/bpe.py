@@ -354,7 +354,7 @@ def word_counts(docs: DataFrame, special: list[str]) -> DataFrame:
             return b
 
         for batch in batches:
-            for b in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+            for b in K.parts(batch, 0):
                 p = Pieces(b.column(0).to_pylist(), pattern)
                 for w, n in zip(p.words, np.bincount(p.codes, minlength=len(p.words)).tolist(), strict=True):
                     total[w] += n

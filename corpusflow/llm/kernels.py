@@ -8,10 +8,12 @@ word hashes are mixed before they enter a second polynomial over words.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _BASE_BYTE = U(0x9E3779B97F4A7C15 | 1)
@@ -86,6 +88,22 @@ def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
+PART_BYTES = 2 << 20
+
+
+def parts(batch: pa.RecordBatch, column: int, limit: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have at most ``limit`` bytes in all, or one text: kernels use some
+    hundred bytes of memory for a byte of text, so batches of long texts are cut."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    total = np.cumsum(size)
+    at = 0
+    while at < batch.num_rows:
+        done = total[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(total, done + limit, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 

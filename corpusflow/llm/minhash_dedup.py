@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+            for b in K.parts(batch, 1):
                 n = b.num_rows
                 doc, val = K.shingle_sets(b.column(1), shingle)
                 size = np.bincount(doc, minlength=n)
@@ -112,7 +112,7 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity=SIMILARITY, shingle:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+            for b in K.parts(batch, 2):
                 n = b.num_rows
                 da, va = K.shingle_sets(b.column(2), shingle)
                 right = b.column(3).dictionary_encode()

@@ -80,7 +80,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, x) for each row of docs; documents are read in Arrow batches and never moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for batch in batches for p in K.parts(batch, 1)):
             x = statistics(b.column(1))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * D), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), flat], names=["doc_id", "x"])
@@ -189,7 +189,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for batch in batches for p in K.parts(batch, at)):
             good = model.score(statistics(b.column(at).cast(pa.string()))) >= 0.5
             yield b.filter(pa.array(good))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, minhash_dedup, quality_classifier, source_mixing
+from . import bpe, chat_format, line_dedup, minhash_dedup, quality_classifier, quality_rules, source_mixing
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -31,6 +31,22 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), texts=False)
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.sql("select -7L as conv_id, t as turn, r as role, '</s>[INST] ok [/INST]' as text from values (0L, 'user'), (1L, 'assistant') as v(t, r)")
+    out = chat_format.format_records(chat_format.rows_to_records(rows.unionByName(extra)))
+    back = out.select("conv_id", "formatted", chat_format.read_turns(F.col("formatted")).alias("turns"), F.array_join(chat_format.read_loss(F.col("formatted"), F.col("loss")), "").alias("learned"))
+    digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"), F.char_length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return source_mixing.mix(docs, source_mixing.tempered(docs))
@@ -50,7 +66,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_bpe, op8_source_mixing, op9_quality_classifier, op10_minhash_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_bpe, op5_chat_format, op6_quality_rules, op8_source_mixing, op9_quality_classifier, op10_minhash_dedup, pipeline)}
 
 #: A line is a run of characters other than \n; it counts if it holds more than spaces, tabs and the like.
 OP1_SQL = r"""
@@ -80,4 +96,55 @@ select d.doc_id, coalesce(c.n_lines, 0)::bigint as n_lines, coalesce(c.n_removed
 from cut d left join counts c on d.doc_id = c.doc_id
 """
 
-SQL = {"op1_line_dedup": OP1_SQL}
+OP5_SQL = r"""
+with every as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), escaped as (
+  select *, regexp_replace(text, '([<\[])(\\*)(\|turn\|>|\|text\|>|\|end\|>|s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>|\|im_start\|>|\|im_end\|>|\|endoftext\|>)', '\1\\\2\3', 'g') as e from every
+)
+select conv_id, count(*)::bigint as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       sum(8 + length(role) + 8 + length(e) + 7)::bigint as formatted_chars
+from escaped group by conv_id
+"""
+
+_WORD = r"[^\x20\x09-\x0D]+"
+OP6_SQL = rf"""
+with word as (
+  select doc_id, generate_subscripts(ws, 1) as i, unnest(ws) as w from (select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') as ws from documents)
+), per_word as (
+  select doc_id, count(*) as n_words, sum(length(w)) as word_chars from word group by doc_id
+), tri as (
+  select doc_id, i, w, lead(w) over o as w2, lead(w, 2) over o as w3 from word window o as (partition by doc_id order by i)
+), often as (
+  select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, w, w2, w3) as n from tri where w3 is not null) where n > 1
+), repeats as (
+  select doc_id, count(*) as n_repeat_words from (select distinct doc_id, i + k as i from often, unnest([0, 1, 2]) as v(k)) group by doc_id
+), line as (
+  select d.doc_id, coalesce(d.source, '') as host, u.l from (select doc_id, source, string_split(coalesce(text, ''), chr(10)) as ls from documents) d, unnest(ls) as u(l)
+  where regexp_matches(u.l, '{_WORD}')
+), dup as (
+  select doc_id, count(*) - count(distinct l) as n_dup_lines from line group by doc_id
+), norm as (
+  select doc_id, host, regexp_replace(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]', '', 'g'), '[0-9]', '0', 'g') as n,
+         len(regexp_extract_all(l, '{_WORD}')) as w from line
+), size as (
+  select coalesce(source, '') as host, count(*) as docs from documents group by 1
+), common as (
+  select host, n from (select host, n, count(distinct doc_id) as c from norm where n <> '' group by host, n) join size using (host) where c > greatest(50.0, docs * 0.02)
+), gone as (
+  select doc_id, sum(w) as n_common_words from norm join common using (host, n) group by doc_id
+), base as (
+  select d.doc_id, coalesce(p.n_words, 0)::bigint as n_words, coalesce(p.word_chars, 0)::bigint as word_chars,
+         length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+         coalesce(u.n_dup_lines, 0)::bigint as n_dup_lines, coalesce(r.n_repeat_words, 0)::bigint as n_repeat_words, coalesce(g.n_common_words, 0)::bigint as n_common_words
+  from documents d left join per_word p using (doc_id) left join dup u using (doc_id) left join repeats r using (doc_id) left join gone g using (doc_id)
+), judged as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from base)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_common_words,
+       not base_failed and n_words - n_common_words >= n_words * 0.3 as kept from judged
+"""
+
+SQL = {"op1_line_dedup": OP1_SQL, "op5_chat_format": OP5_SQL, "op6_quality_rules": OP6_SQL}
