@@ -61,7 +61,8 @@ def suffix_intervals(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """(doc_id, starts): where later copies of repeated runs of min_lines lines begin."""
     found = suffix_intervals(docs, min_lines)
-    earliest = found.groupBy("rank").agg(F.min(F.struct("doc_id", "seq")).alias("first"))
+    # stored, so that the join below deals both sides anew and may split a run that very many documents share
+    earliest = stored(found.groupBy("rank").agg(F.min(F.struct("doc_id", "seq")).alias("first")))
     return found.join(earliest, "rank").where(F.struct("doc_id", "seq") > F.col("first")).groupBy("doc_id").agg(F.array_sort(F.collect_set("seq")).alias("starts"))
 
 

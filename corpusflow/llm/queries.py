@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, line_dedup, minhash_dedup, quality_classifier, quality_rules, source_mixing
+from . import bpe, chat_format, fingerprints, line_dedup, minhash_dedup, quality_classifier, quality_rules, source_mixing, substring_dedup, suffix_dedup
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -31,6 +31,14 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), texts=False)
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.versions(table(spark, sf_dir, "documents"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"), texts=False)
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.sql("select -7L as conv_id, t as turn, r as role, '</s>[INST] ok [/INST]' as text from values (0L, 'user'), (1L, 'assistant') as v(t, r)")
@@ -47,6 +55,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), texts=False)
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return source_mixing.mix(docs, source_mixing.tempered(docs))
@@ -66,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_bpe, op5_chat_format, op6_quality_rules, op8_source_mixing, op9_quality_classifier, op10_minhash_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_bpe, op3_fingerprints, op4_substring_dedup, op5_chat_format, op6_quality_rules, op7_suffix_array_dedup, op8_source_mixing, op9_quality_classifier, op10_minhash_dedup, pipeline)}
 
 #: A line is a run of characters other than \n; it counts if it holds more than spaces, tabs and the like.
 OP1_SQL = r"""
