@@ -10,11 +10,11 @@ permutations, at the cost of a few passes over the set.
 
 Texts of equal sets are one representative from here on.  Bands of R coordinates
 give buckets; each member of a bucket is compared with the bucket's hub (its
-smallest id) on the full sets.  Links make components; buckets whose members are
-still in several components are taken up again, pair by pair across components if
-they are small, else after a split by every further band of their members, until
-no pair of one bucket is left undecided.  Components are thus those of all
-candidate pairs, while pairs within one component need no comparison.
+smallest id) on the full sets.  Links make components, within which no pair needs a
+comparison.  Members of a bucket that still lie in several components are compared
+exactly, but not all with all: two of them share a shingle outside their hub's set,
+found by joining on the first of those in an order that has rare ones first, or share
+only what lies inside it, which their counts must allow.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ SHINGLE = 5
 SIMILARITY = (75, 100)
 #: A pair at the threshold is missed by all bands with probability (1 - .75**5)**45 = 5e-6.
 BANDS, ROWS = 45, 5
-#: Members of one bucket that are compared pair by pair across components; larger buckets are split first.
-SMALL_BUCKET = 64
+FREQUENCY_SLOTS = 1 << 20
+GROUPS = 64
 
 
 def sketches(doc: np.ndarray, values: np.ndarray, n_docs: int, size: int = BANDS * ROWS) -> np.ndarray:
@@ -86,7 +86,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, key struct<hi:long,lo:long>, bands array<long>")
 
 
-def _packed_sets(docs: DataFrame, wanted: np.ndarray, shingle: int) -> DataFrame:
+def _wanted_texts(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     """(doc_id, text) of documents whose id may be wanted; the test is bounded in size, the join after it exact."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,31 +98,40 @@ def _packed_sets(docs: DataFrame, wanted: np.ndarray, shingle: int) -> DataFrame
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), bitmap_position("doc_id").alias("p")).where("doc_id is not null").mapInArrow(run, "doc_id long, text string")
 
 
+def with_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with both texts last; b's text joins last, so that runs of one b stay together."""
+    texts = _wanted_texts(docs, id_bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id"))
+    with_a = pairs.join(texts.withColumnRenamed("doc_id", "a").withColumnRenamed("text", "ta"), "a")
+    return with_a.join(texts.withColumnRenamed("doc_id", "b").withColumnRenamed("text", "tb"), "b").select(*pairs.columns, "ta", "tb")
+
+
+def _with_hub_sets(b: pa.RecordBatch, ta: int, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and shingles of the a-texts, the same of the b-texts (each distinct text cut once), and the sizes of the latter."""
+    da, va = K.shingle_sets(b.column(ta), shingle)
+    right = b.column(ta + 1).dictionary_encode()
+    ds, vs = K.shingle_sets(right.dictionary, shingle)
+    code = np.asarray(right.indices)
+    ends = np.searchsorted(ds, np.arange(len(right.dictionary) + 1))
+    size = np.diff(ends)[code]
+    at = np.repeat(ends[:-1][code] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+    return da, va, np.repeat(np.arange(b.num_rows), size), vs[at], size
+
+
 def verified(docs: DataFrame, pairs: DataFrame, similarity=SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """(a, b, linked): each pair's verdict on full shingle sets.
 
     a's text joins first, b's second; b should be the rarer (a hub), so that its
     set is built once for a run of pairs.
     """
-    wanted = id_bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
-    texts = _packed_sets(docs, wanted, shingle)
-    with_a = pairs.join(texts.withColumnRenamed("doc_id", "a").withColumnRenamed("text", "ta"), "a")
-    both = with_a.join(texts.withColumnRenamed("doc_id", "b").withColumnRenamed("text", "tb"), "b").select("a", "b", "ta", "tb")
+    both = with_texts(docs, pairs)
     num, den = similarity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in K.parts(batch, 2):
                 n = b.num_rows
-                da, va = K.shingle_sets(b.column(2), shingle)
-                right = b.column(3).dictionary_encode()
-                ds, vs = K.shingle_sets(right.dictionary, shingle)
-                code = np.asarray(right.indices)
-                ends = np.searchsorted(ds, np.arange(len(right.dictionary) + 1))
-                size = np.diff(ends)[code]
-                at = np.repeat(ends[:-1][code] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                d = np.concatenate([da, np.repeat(np.arange(n), size)])
-                v = np.concatenate([va, vs[at]])
+                da, va, db, vb, size = _with_hub_sets(b, 2, shingle)
+                d, v = np.concatenate([da, db]), np.concatenate([va, vb])
                 union = np.bincount(K.distinct_by_doc(d, v)[0], minlength=n)
                 sizes = np.bincount(da, minlength=n) + size
                 linked = (den * (sizes - union) >= num * union) & (union > 0)
@@ -131,11 +140,109 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity=SIMILARITY, shingle:
     return both.mapInArrow(run, "a long, b long, linked boolean")
 
 
-def _open_buckets(rows: DataFrame, label: DataFrame) -> DataFrame:
-    """(bucket, id, c) of the buckets whose members lie in several components."""
-    now = rows.join(label, rows.id == label.node, "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-    several = now.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n")
-    return now.join(several, "bucket")
+def open_members(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """(a, b, c): members with their hub and component, of buckets that lie in several components."""
+    now = shared.join(label, shared.id == label.node, "left").select("bucket", "id", "hub", F.coalesce("component", "id").alias("c"))
+    several = now.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
+    return now.where("id <> hub").join(several, "bucket").select(F.col("id").alias("a"), F.col("hub").alias("b"), "c").distinct()
+
+
+def shingle_frequencies(docs: DataFrame, wanted: np.ndarray, shingle: int) -> np.ndarray:
+    """Upper bounds of the shingles' counts over the wanted documents, in 2**20 hashed counters (4 MB whatever the input)."""
+    chunk = FREQUENCY_SLOTS // 64
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(FREQUENCY_SLOTS, np.int64)
+        for batch in batches:
+            for b in K.parts(batch, 1):
+                _, v = K.shingle_sets(b.column(1), shingle)
+                total += np.bincount((v % K.U(FREQUENCY_SLOTS)).astype(np.int64), minlength=FREQUENCY_SLOTS)
+        if total.any():
+            blobs = [total[i * chunk : (i + 1) * chunk].astype("<u4").tobytes() for i in range(64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), pa.array(blobs, pa.binary())], names=["k", "blob"])
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(chunk, np.int64)
+        for b in batches:
+            for blob in b.column(1).to_pylist():
+                total += np.frombuffer(blob, "<u4")
+        yield pa.RecordBatch.from_arrays([key[0:1] and pa.array([key[0].as_py()]), pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())], names=["k", "blob"])
+
+    parts = _wanted_texts(docs, wanted).mapInArrow(count, "k long, blob binary").groupBy("k").applyInArrow(add, "k long, blob binary").collect()
+    out = np.zeros(FREQUENCY_SLOTS, np.uint32)
+    for r in parts:
+        out[r.k * chunk : (r.k + 1) * chunk] = np.frombuffer(bytes(r.blob), "<u4")
+    return out
+
+
+def beside_hub(docs: DataFrame, members: DataFrame, similarity=SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """(a, b, c, n, inside, tokens, hub, lacks): a member's set size, its part inside hub b's set, its first shingles
+    outside, the hub's size, and how many of the hub's shingles it lacks, by 64 hashed groups.
+
+    Order a member's shingles with those outside the hub first, rare ones before
+    frequent ones, then those inside.  Of n, a set of similarity s must share one of the
+    first n - ceil(s * n) + 1 with the other; tokens are those of them that lie outside.
+    """
+    num, den = similarity
+    counts = shingle_frequencies(docs, id_bitmap(members, "a"), shingle)
+    frequency = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in K.parts(batch, 3):
+                da, va, db, vb, size = _with_hub_sets(b, 3, shingle)
+                n = np.bincount(da, minlength=b.num_rows)
+                d, v = np.concatenate([da, db]), np.concatenate([va, vb])
+                order = np.lexsort((np.arange(len(d)) >= len(da), v, d))  # of equal ones the member's comes first
+                d, v, own = d[order], v[order], order < len(da)
+                same = (d[1:] == d[:-1]) & (v[1:] == v[:-1])
+                inside, lacking = np.append(same, False), ~own & np.append(True, ~same)
+                lacks = np.bincount(d[lacking] * GROUPS + (v[lacking] % K.U(GROUPS)).astype(np.int64), minlength=b.num_rows * GROUPS)
+                d, v, inside = d[own], v[own], inside[own]
+                f = frequency.value[(v % K.U(FREQUENCY_SLOTS)).astype(np.int64)]
+                order = np.lexsort((v, f, inside, d))
+                nth = np.arange(len(d)) - np.repeat(np.cumsum(n) - n, n)
+                keep = (nth < np.repeat(n - -(-num * n // den) + 1, n)) & ~inside[order]
+                ends = np.searchsorted(d[keep], np.arange(b.num_rows + 1)).astype(np.int32)
+                cols = [*b.columns[:3], pa.array(n.astype(np.int64)), pa.array(np.bincount(d[inside], minlength=b.num_rows).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), _signed(v[order][keep]))]
+                cols += [pa.array(size.astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * GROUPS), pa.array(lacks.astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "c", "n", "inside", "tokens", "hub", "lacks"])
+
+    return with_texts(docs, members).mapInArrow(run, "a long, b long, c long, n long, inside long, tokens array<long>, hub long, lacks array<int>")
+
+
+def across(rows: DataFrame, similarity=SIMILARITY) -> DataFrame:
+    """(a, b), a > b: the pairs of one hub's members, of different components, that may be similar.
+
+    They share a shingle outside the hub, which then is one of both members' tokens, or
+    all they share lies inside.  Inside they share at most the smaller of both insides,
+    outside at most the smaller of both rests, or what their tokens have in common if
+    those are all; together that must suffice for their sizes.
+    """
+    num, den = similarity
+    side = lambda df, x: df.select("key", *[F.col(k).alias(k + x) for k in ("a", "c", "n", "inside", "hub", "lacks", "whole") if k in df.columns])
+    differ = (F.col("cx") != F.col("cy")) & (F.col("ax") > F.col("ay"))
+    wanted = num * (F.col("nx") + F.col("ny"))  # of the shared shingles, times num + den
+    # of the hub's shingles both hold at most what neither lacks; groups tell lacks of one from lacks of the other
+    least = F.least("insidex", "insidey")
+    neither = F.col("hubx") - F.aggregate(F.zip_with("lacksx", "lacksy", lambda x, y: F.greatest(x, y)), F.lit(0), lambda total, x: total + x)
+    outside = F.least(F.col("nx") - F.col("insidex"), F.col("ny") - F.col("insidey"))
+
+    def met(df: DataFrame, condition) -> DataFrame:
+        several = df.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+        some = stored(df.join(several, "key"))
+        return side(some, "x").join(side(some, "y"), "key").where(differ & condition)
+
+    tokens = rows.withColumn("whole", F.size("tokens") == F.col("n") - F.col("inside")).select(F.explode("tokens").alias("t"), "*")
+    tokens = tokens.select(F.struct("b", "t").alias("key"), "a", "c", "n", "inside", "hub", "lacks", "whole")
+    shared = met(tokens, ((num + den) * (least + outside) >= wanted) & ((num + den) * (neither + outside) >= wanted)).withColumn("inside", F.least(least, neither)).groupBy(F.col("key.b").alias("b"), "ax", "ay")
+    # where all outside shingles of both are tokens, the number of common ones is known
+    shared = shared.agg(F.count("*").alias("s"), F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.first(outside).alias("outside"), F.first("inside").alias("inside"), F.bool_and(F.col("wholex") & F.col("wholey")).alias("whole"))
+    shared = shared.where((num + den) * (F.col("inside") + F.when(F.col("whole"), F.col("s")).otherwise(F.col("outside"))) >= wanted)
+    within = rows.where(den * F.col("inside") >= num * F.col("n")).select(F.col("b").alias("key"), "a", "c", "n", "inside", "hub", "lacks")
+    alone = met(within, ((num + den) * least >= wanted) & ((num + den) * neither >= wanted))
+    names = [F.col("ax").alias("a"), F.col("ay").alias("b")]
+    return shared.select(*names).union(alone.select(*names)).distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity=SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
@@ -163,13 +270,10 @@ def near_duplicates(docs: DataFrame, similarity=SIMILARITY, shingle: int = SHING
     done = stored(verified(docs, star, similarity, shingle))
     same = sets.join(heads, "key").where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     label = stored(components(done.where("linked").select("a", "b")))
-    rest = _open_buckets(shared.select("bucket", "id").distinct(), label)
-    # large buckets: each member goes to a sub-bucket for every further band, where a similar pair meets again
-    large = rest.where(F.col("n") > SMALL_BUCKET).select("bucket", "id", "c")
-    finer = large.join(rows.select(F.col("bucket").alias("other"), "id"), "id").where("other <> bucket")
-    finer = finer.select(F.xxhash64("bucket", "other").alias("bucket"), "id", "c")
-    small = rest.where(F.col("n") <= SMALL_BUCKET).select("bucket", "id", "c").unionByName(finer)
-    pairs = stored(across(small).join(done.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti").distinct())
+    members = stored(open_members(shared, label))
+    decided = done.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    beside = stored(beside_hub(docs, members, similarity, shingle))
+    pairs = stored(across(beside, similarity).join(decided, ["a", "b"], "left_anti"))
     more = done.where("linked").select("a", "b")
     if pairs.limit(1).count():
         more = more.unionByName(verified(docs, pairs, similarity, shingle).where("linked").select("a", "b"))
@@ -178,15 +282,6 @@ def near_duplicates(docs: DataFrame, similarity=SIMILARITY, shingle: int = SHING
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def across(rows: DataFrame) -> DataFrame:
-    """(a, b), a > b: pairs of one bucket whose components differ.
-
-    A bucket is split by component first, so that what meets is what is undecided.
-    """
-    x, y = rows.select("bucket", F.col("id").alias("a"), F.col("c").alias("ca")), rows.select("bucket", F.col("id").alias("b"), F.col("c").alias("cb"))
-    return x.join(y, "bucket").where("a > b and ca <> cb").select("a", "b")
-
-
 def keep_first(docs: DataFrame, similarity=SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs that stay: of each component the document of smallest id, with docs' columns."""
     gone = near_duplicates(docs, similarity, shingle).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
