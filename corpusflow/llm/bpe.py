@@ -36,7 +36,7 @@ from . import kernels as K
 
 LEXICON_WORDS = 1 << 16
 #: Of one worker's table of merged words; it starts anew beyond.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Words counted in a task before their counts are handed on.
 COUNTED_WORDS = 400_000
 

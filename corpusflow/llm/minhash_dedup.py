@@ -12,9 +12,9 @@ Texts of equal sets are one representative from here on.  Bands of R coordinates
 give buckets; each member of a bucket is compared with the bucket's hub (its
 smallest id) on the full sets.  Links make components, within which no pair needs a
 comparison.  Members of a bucket that still lie in several components are compared
-exactly, but not all with all: two of them share a shingle outside their hub's set,
-found by joining on the first of those in an order that has rare ones first, or share
-only what lies inside it, which their counts must allow.
+exactly, but not all with all: two of them share a rare shingle outside their hub's
+set, found by a join on the first of those, or only shingles that lie inside it or are
+frequent, whose number their counts bound.
 """
 
 from __future__ import annotations
@@ -34,7 +34,9 @@ SHINGLE = 5
 SIMILARITY = (75, 100)
 #: A pair at the threshold is missed by all bands with probability (1 - .75**5)**45 = 5e-6.
 BANDS, ROWS = 45, 5
-FREQUENCY_SLOTS = 1 << 20
+FREQUENCY_SLOTS = 1 << 22
+#: Shingles of so many members or more bring no pairs together; what pairs share of them is bounded instead.
+FREQUENT = 64
 GROUPS = 64
 
 
@@ -148,7 +150,7 @@ def open_members(shared: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def shingle_frequencies(docs: DataFrame, wanted: np.ndarray, shingle: int) -> np.ndarray:
-    """Upper bounds of the shingles' counts over the wanted documents, in 2**20 hashed counters (4 MB whatever the input)."""
+    """Upper bounds of the shingles' counts over the wanted documents, in 2**22 hashed counters (16 MB whatever the input)."""
     chunk = FREQUENCY_SLOTS // 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,12 +178,13 @@ def shingle_frequencies(docs: DataFrame, wanted: np.ndarray, shingle: int) -> np
 
 
 def beside_hub(docs: DataFrame, members: DataFrame, similarity=SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """(a, b, c, n, inside, tokens, hub, lacks): a member's set size, its part inside hub b's set, its first shingles
-    outside, the hub's size, and how many of the hub's shingles it lacks, by 64 hashed groups.
+    """(a, b, c, n, inside, often, tokens, hub, lacks): a member's set size, its part inside hub b's set, how many of the
+    rest are frequent, the first of those that are neither, the hub's size, and how many of the hub's shingles the
+    member lacks, by 64 hashed groups.
 
-    Order a member's shingles with those outside the hub first, rare ones before
-    frequent ones, then those inside.  Of n, a set of similarity s must share one of the
-    first n - ceil(s * n) + 1 with the other; tokens are those of them that lie outside.
+    Order a member's shingles by whether they are rare and outside the hub.  Of n, a set of
+    similarity s must share one of the first n - ceil(s * n) + 1 with the other; tokens are
+    those of them that are rare and outside.
     """
     num, den = similarity
     counts = shingle_frequencies(docs, id_bitmap(members, "a"), shingle)
@@ -200,47 +203,48 @@ def beside_hub(docs: DataFrame, members: DataFrame, similarity=SIMILARITY, shing
                 lacks = np.bincount(d[lacking] * GROUPS + (v[lacking] % K.U(GROUPS)).astype(np.int64), minlength=b.num_rows * GROUPS)
                 d, v, inside = d[own], v[own], inside[own]
                 f = frequency.value[(v % K.U(FREQUENCY_SLOTS)).astype(np.int64)]
-                order = np.lexsort((v, f, inside, d))
+                often = ~inside & (f >= FREQUENT)
+                held = inside | often
+                order = np.lexsort((v, f, held, d))
                 nth = np.arange(len(d)) - np.repeat(np.cumsum(n) - n, n)
-                keep = (nth < np.repeat(n - -(-num * n // den) + 1, n)) & ~inside[order]
+                keep = (nth < np.repeat(n - -(-num * n // den) + 1, n)) & ~held[order]
                 ends = np.searchsorted(d[keep], np.arange(b.num_rows + 1)).astype(np.int32)
-                cols = [*b.columns[:3], pa.array(n.astype(np.int64)), pa.array(np.bincount(d[inside], minlength=b.num_rows).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), _signed(v[order][keep]))]
+                cols = [*b.columns[:3], pa.array(n.astype(np.int64)), *(pa.array(np.bincount(d[x], minlength=b.num_rows).astype(np.int64)) for x in (inside, often)), pa.ListArray.from_arrays(pa.array(ends), _signed(v[order][keep]))]
                 cols += [pa.array(size.astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * GROUPS), pa.array(lacks.astype(np.int32)))]
-                yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "c", "n", "inside", "tokens", "hub", "lacks"])
+                yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "c", "n", "inside", "often", "tokens", "hub", "lacks"])
 
-    return with_texts(docs, members).mapInArrow(run, "a long, b long, c long, n long, inside long, tokens array<long>, hub long, lacks array<int>")
+    return with_texts(docs, members).mapInArrow(run, "a long, b long, c long, n long, inside long, often long, tokens array<long>, hub long, lacks array<int>")
 
 
 def across(rows: DataFrame, similarity=SIMILARITY) -> DataFrame:
     """(a, b), a > b: the pairs of one hub's members, of different components, that may be similar.
 
-    They share a shingle outside the hub, which then is one of both members' tokens, or
-    all they share lies inside.  Inside they share at most the smaller of both insides,
-    outside at most the smaller of both rests, or what their tokens have in common if
-    those are all; together that must suffice for their sizes.
+    They share a rare shingle outside the hub, or none.  Inside the hub they share at most
+    the smaller part and at most what neither lacks; of frequent shingles beside it at most
+    the smaller count; of rare ones the common tokens, if those are all, else at most the
+    smaller rest.  Together that must suffice for their sizes.
     """
     num, den = similarity
-    side = lambda df, x: df.select("key", *[F.col(k).alias(k + x) for k in ("a", "c", "n", "inside", "hub", "lacks", "whole") if k in df.columns])
+    side = lambda df, x: df.select("key", *[F.col(k).alias(k + x) for k in ("a", "c", "n", "inside", "often", "hub", "lacks", "whole")])
     differ = (F.col("cx") != F.col("cy")) & (F.col("ax") > F.col("ay"))
     wanted = num * (F.col("nx") + F.col("ny"))  # of the shared shingles, times num + den
-    # of the hub's shingles both hold at most what neither lacks; groups tell lacks of one from lacks of the other
-    least = F.least("insidex", "insidey")
     neither = F.col("hubx") - F.aggregate(F.zip_with("lacksx", "lacksy", lambda x, y: F.greatest(x, y)), F.lit(0), lambda total, x: total + x)
-    outside = F.least(F.col("nx") - F.col("insidex"), F.col("ny") - F.col("insidey"))
+    often = F.least("oftenx", "ofteny")
+    rest = F.least(F.col("nx") - F.col("insidex") - F.col("oftenx"), F.col("ny") - F.col("insidey") - F.col("ofteny"))
 
-    def met(df: DataFrame, condition) -> DataFrame:
+    def met(df: DataFrame, rare) -> DataFrame:
         several = df.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
         some = stored(df.join(several, "key"))
-        return side(some, "x").join(side(some, "y"), "key").where(differ & condition)
-
-    tokens = rows.withColumn("whole", F.size("tokens") == F.col("n") - F.col("inside")).select(F.explode("tokens").alias("t"), "*")
-    tokens = tokens.select(F.struct("b", "t").alias("key"), "a", "c", "n", "inside", "hub", "lacks", "whole")
-    shared = met(tokens, ((num + den) * (least + outside) >= wanted) & ((num + den) * (neither + outside) >= wanted)).withColumn("inside", F.least(least, neither)).groupBy(F.col("key.b").alias("b"), "ax", "ay")
-    # where all outside shingles of both are tokens, the number of common ones is known
-    shared = shared.agg(F.count("*").alias("s"), F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.first(outside).alias("outside"), F.first("inside").alias("inside"), F.bool_and(F.col("wholex") & F.col("wholey")).alias("whole"))
-    shared = shared.where((num + den) * (F.col("inside") + F.when(F.col("whole"), F.col("s")).otherwise(F.col("outside"))) >= wanted)
-    within = rows.where(den * F.col("inside") >= num * F.col("n")).select(F.col("b").alias("key"), "a", "c", "n", "inside", "hub", "lacks")
-    alone = met(within, ((num + den) * least >= wanted) & ((num + den) * neither >= wanted))
+        fits = lambda inside: (num + den) * (inside + often + rare) >= wanted
+        return side(some, "x").join(side(some, "y"), "key").where(differ & fits(F.least("insidex", "insidey")) & fits(neither))
+
+    rows = rows.withColumn("whole", F.size("tokens") == F.col("n") - F.col("inside") - F.col("often"))
+    columns = ("a", "c", "n", "inside", "often", "hub", "lacks", "whole")
+    tokens = rows.select(F.explode("tokens").alias("t"), "b", *columns).select(F.struct("b", "t").alias("key"), *columns)
+    shared = met(tokens, rest).groupBy(F.col("key.b").alias("b"), "ax", "ay")
+    shared = shared.agg(F.count("*").alias("s"), F.first(wanted).alias("wanted"), F.first(F.least(F.least("insidex", "insidey"), neither) + often).alias("held"), F.first(rest).alias("rest"), F.bool_and(F.col("wholex") & F.col("wholey")).alias("whole"))
+    shared = shared.where((num + den) * (F.col("held") + F.when(F.col("whole"), F.col("s")).otherwise(F.col("rest"))) >= F.col("wanted"))
+    alone = met(rows.where(den * (F.col("inside") + F.col("often")) >= num * F.col("n")).select(F.col("b").alias("key"), *columns), F.lit(0))
     names = [F.col("ax").alias("a"), F.col("ay").alias("b")]
     return shared.select(*names).union(alone.select(*names)).distinct()
 
