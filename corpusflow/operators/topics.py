@@ -63,7 +63,7 @@ def recency_weight(at: Column, now: dt.datetime, bands=rules.RECENCY) -> Column:
 def topic_match(topic: Topic, types: Column, title: Column, abstract: Column, every: Column) -> Column:
     """50 for a hit in the title, 40 in the abstract, 10 more if a publication type is expected; 0 if excluded."""
     any_of = lambda t, ws: _any([text.includes_phrase(t, w) for w in ws])
-    names = F.transform(F.coalesce(types, F.array().cast("array<string>")), text.normalize_title)
+    names = F.transform(F.coalesce(types, F.array().cast("array<string>")), lambda t: text.normalize_title(t))
     expected = _any([F.array_contains(names, text.normalize_title(F.lit(w))) for w in topic.publication_types])
     score = F.when(any_of(every, topic.exclude), 0).when(any_of(title, topic.include), 50).when(any_of(abstract, topic.include), F.when(expected, 50).otherwise(40)).otherwise(0)
     return (score if topic.enabled else F.lit(0)).cast("double")

@@ -126,10 +126,10 @@ def _weight(k: str) -> str:
 _r2 = lambda x: f"floor(({x} + 2.220446049250313e-16) * 100 + 0.5) / 100"
 _PAPERS = f"""
   paper as (
-    select doc_id, printf('p%08d', doc_id) as id, split_part(text, chr(10), 1) as title, text as abstract, {_kind('doc_id % 7')} as k1, {_kind('doc_id % 5')} as k2, {NOW_SQL} - to_hours(doc_id % 240) as at from documents
+    select doc_id, printf('p%08d', doc_id) as id, split_part(text, chr(10), 1) as title, text as abstract, {_kind('doc_id % 7')} as k1, {_kind('doc_id % 5')} as k2, {NOW_SQL} - to_hours(doc_id % 240) as moment from documents
   ), n as (
     select *, {_norm('title')} as t, {_norm('abstract')} as a, {_norm("title || ' ' || abstract || ' ' || k1 || ' ' || k2")} as e, coalesce(greatest({_weight('k1')}, {_weight('k2')}), 0.4)::double as ev,
-      ({sql_first("lower(title || ' ' || abstract || ' ' || k1 || ' ' || k2)", rules.ACTIONABILITY, '0.4')})::double as act, date_diff('second', at, {NOW_SQL}) / 86400.0 as age from paper
+      ({sql_first("lower(title || ' ' || abstract || ' ' || k1 || ' ' || k2)", rules.ACTIONABILITY, '0.4')})::double as act, date_diff('second', moment, {NOW_SQL}) / 86400.0 as age from paper
   ), s as (
     select *, case when age <= 2 then 1.0 when age <= 4 then 0.75 when age <= 7 then 0.5 else 0 end as rec from n
   ), e as (
@@ -157,9 +157,9 @@ SQL = {
       ), best as (
         select *, row_number() over w as n, string_agg(topic_id, ',' order by total desc, ev desc, topic_ord) over (partition by id) as matched from total window w as (partition by id order by total desc, ev desc, topic_ord)
       ), top as (
-        select *, row_number() over (partition by topic_id order by total desc, ev desc, at desc, id) as g from best where n = 1 and total >= {LIMITS.min_score}
+        select *, row_number() over (partition by topic_id order by total desc, ev desc, moment desc, id) as g from best where n = 1 and total >= {LIMITS.min_score}
       )
-      select id, topic_id, total, ev as evidence_rank, evidence, actionability, recency, matched from top where g <= {LIMITS.max_per_topic} order by total desc, ev desc, at desc, id limit {LIMITS.max_papers}""",
+      select id, topic_id, total, ev as evidence_rank, evidence, actionability, recency, matched from top where g <= {LIMITS.max_per_topic} order by total desc, ev desc, moment desc, id limit {LIMITS.max_papers}""",
     "topic_matches": f"with {_PAPERS} select id, string_agg(topic_id, ',' order by topic_ord) as matched from e group by id",
     "evidence_rank": f"select p_partkey, coalesce(greatest({_weight(_kind('p_size % 7'))}, {_weight('p_type')}, {_weight(_kind('p_partkey % 7'))}), 0.4)::double as weight from part",
     "dedupe_components": f"with recursive {_KEYED}, {_COMP} select seq, component from comp",

@@ -79,7 +79,7 @@ SQL = {
       from {_F} where pos < case source_id when 'f0' then 8 else 15 end""",
     "rss_diagnostics": f"select source_id, case when source_id = 'f3' then 0 else count(*) end::bigint as items, case when source_id = 'f3' then 1 else 0 end::int as zero_items, case when source_id = 'f3' then 1 else 0 end::int as parse_failures from {_F} group by 1",
     "journal_papers": f"""
-      select case when contains(c_mktsegment, 'MACHINERY') then 'routedToGuidelineOrSurgery' when moment < timestamp '2023-11-15' or moment > timestamp '2023-12-30' then 'outOfWindow' else 'accepted' end as reason, count(*)::bigint as n
+      select case when c_custkey % 5 = 0 then 'missingIdentity' when contains(c_mktsegment, 'MACHINERY') then 'routedToGuidelineOrSurgery' when moment < timestamp '2023-11-15' or moment > timestamp '2023-12-30' then 'outOfWindow' else 'accepted' end as reason, count(*)::bigint as n
       from (select *, make_timestamp((c_custkey * 3600 + 1700000000)::bigint * 1000000) as moment from {_F}) group by 1""",
     "candle_scan": "select 'S' || (o_custkey % 50) as symbol, o_orderkey * 86400 as at, o_totalprice + 1 as high, o_totalprice as close, 0::bigint as volume from orders where o_orderkey % 10 > 0",
     "ranked_items": """
