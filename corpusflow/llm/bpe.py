@@ -36,9 +36,11 @@ from . import kernels as K
 
 LEXICON_WORDS = 1 << 16
 #: Of one worker's table of merged words; it starts anew beyond.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 #: Words counted in a task before their counts are handed on.
-COUNTED_WORDS = 400_000
+COUNTED_WORDS = 150_000
+#: Text that is cut into words at once.
+PART_BYTES = 512 << 10
 
 #: White space as the tokenizer's patterns see it, and the split pattern.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -273,9 +275,14 @@ class Lexicon:
 def _kinds() -> np.ndarray:
     """Of each code point: 0 white space, 1 letter, 2 number, 3 any other."""
     kind = np.full(0x110000, 3, np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    for k, pattern in ((1, r"\p{L}"), (2, r"\p{N}"), (0, f"[{SPACE}]")):
-        kind[[ord(c) for c in regex.findall(pattern, every)]] = k
+    runs = [(k, regex.compile(p)) for k, p in ((1, r"\p{L}+"), (2, r"\p{N}+"), (0, f"[{SPACE}]+"))]
+    for first in range(0, 0x110000, 0x800):
+        if 0xD800 <= first < 0xE000:
+            continue  # surrogates
+        block = "".join(map(chr, range(first, first + 0x800)))
+        for k, pattern in runs:
+            for m in pattern.finditer(block):
+                kind[first + m.start() : first + m.end()] = k
     return kind
 
 
@@ -354,7 +361,7 @@ def word_counts(docs: DataFrame, special: list[str]) -> DataFrame:
             return b
 
         for batch in batches:
-            for b in K.parts(batch, 0):
+            for b in K.parts(batch, 0, PART_BYTES):
                 p = Pieces(b.column(0).to_pylist(), pattern)
                 for w, n in zip(p.words, np.bincount(p.codes, minlength=len(p.words)).tolist(), strict=True):
                     total[w] += n
@@ -451,7 +458,7 @@ def encode(docs: DataFrame, path: str, size: int = LEXICON_WORDS, texts: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(name, given)
         for batch in batches:
-            for b in K.parts(batch, 1):
+            for b in K.parts(batch, 1, PART_BYTES):
                 rows = list(coder.documents(b.column(1).to_pylist()))
                 digest = [[hashlib.sha256(r[k].encode()).hexdigest() for r in rows] for k in (0, 1)]
                 cols = [b.column(0), pa.array([r[2] for r in rows], pa.int64()), *(pa.array(d, pa.string()) for d in digest)]

@@ -46,7 +46,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1); grown in powers of two so that calls share."""
-    size = 1 << max(16, int(n).bit_length())
+    size = 1 << max(16, int(n - 1).bit_length())
     return _powers(int(base) & (2**64 - 1), size)[:n]
 
 
