@@ -154,21 +154,27 @@ def shingle_frequencies(docs: DataFrame, wanted: np.ndarray, shingle: int) -> np
     chunk = FREQUENCY_SLOTS // 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(FREQUENCY_SLOTS, np.int64)
+        total = np.zeros(FREQUENCY_SLOTS, np.uint32)
         for batch in batches:
             for b in K.parts(batch, 1):
                 _, v = K.shingle_sets(b.column(1), shingle)
-                total += np.bincount((v % K.U(FREQUENCY_SLOTS)).astype(np.int64), minlength=FREQUENCY_SLOTS)
-        if total.any():
-            blobs = [total[i * chunk : (i + 1) * chunk].astype("<u4").tobytes() for i in range(64)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), pa.array(blobs, pa.binary())], names=["k", "blob"])
+                at, n = np.unique((v % K.U(FREQUENCY_SLOTS)).astype(np.uint32), return_counts=True)
+                total[at] += n.astype(np.uint32)
+        used = np.flatnonzero(total)
+        ends = np.searchsorted(used, np.arange(65) * chunk)
+        for i in range(64):  # sparse, a row at a time: a task of few documents hands on little
+            at = used[ends[i] : ends[i + 1]]
+            if len(at):
+                blob = (at - i * chunk).astype("<u4").tobytes() + total[at].astype("<u4").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([blob], pa.binary())], names=["k", "blob"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(chunk, np.int64)
         for b in batches:
             for blob in b.column(1).to_pylist():
-                total += np.frombuffer(blob, "<u4")
-        yield pa.RecordBatch.from_arrays([key[0:1] and pa.array([key[0].as_py()]), pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())], names=["k", "blob"])
+                at, n = np.frombuffer(blob, "<u4").reshape(2, -1)
+                total[at] += n
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())], names=["k", "blob"])
 
     parts = _wanted_texts(docs, wanted).mapInArrow(count, "k long, blob binary").groupBy("k").applyInArrow(add, "k long, blob binary").collect()
     out = np.zeros(FREQUENCY_SLOTS, np.uint32)
