@@ -1,12 +1,12 @@
 """Mixing sources to target weights: Pfair scheduling by earliest deadline first.
 
-Each source's rows are cut into blocks.  Weights become numerators over a common
-period of ``period`` slots; block k (from 1) of a source with weight w may not run
-before slot floor((k-1)/w) and must run before slot ceil(k/w).  One period is
-scheduled by running, in each slot, the released block of earliest deadline, which
+Each source's rows are cut into blocks; block k (from 1) of a source with weight w
+may not run before slot floor((k-1)/w) and must run before slot ceil(k/w), both from
+the exact weights.  Each slot runs the released block of earliest deadline, which
 keeps every source less than one block from its share at all times (weights sum to
-one on one processor, where this rule is optimal).  The schedule repeats, so block
-k's slot follows from k alone and rows are placed by joins, not by a loop over data.
+one on one processor, where this rule is optimal).  The rule is sequential: the
+driver runs it over blocks, never rows, in O(log sources) a block, and rows get
+their slots by a join on (source, block).
 
 DataFrame functions only.  Rows of a source are numbered by (source, bucket), with
 as many buckets as its rows ask for, so that a source holding a third of all rows is
@@ -15,13 +15,15 @@ spread; bucket totals are summed by a window over the small table of counts.
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let
-
 PERIOD = 840
 BLOCK_ROWS = 32
 BUCKET_ROWS = 4096
@@ -43,28 +45,40 @@ def _numerators(weights: dict[str, float], period: int) -> dict[str, int]:
     return out
 
 
-def schedule(spark, weights: dict[str, float], period: int = PERIOD) -> DataFrame:
-    """(source, quota, k, slot): in which slot of a period a source's k-th block (from 0) runs.
+def earliest_deadline_first(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tuple[str, int]]:
+    """(source, k) in the order in which blocks run; k counts a source's blocks from 0.
 
-    A fold over the period's slots; its state is the count of blocks that each
-    source has run.  A source of quota q, having run c, is released in slot t if
-    c * period < (t + 1) * q and due by ceil((c + 1) * period / q).
+    Weights are taken as the exact fractions that they are, in proportion over the
+    sources that have blocks.  When a source has run out, the others keep their
+    releases and deadlines; slots in which none of them is released are left out.
     """
-    quota = _numerators(weights, period)
-    names = sorted(quota)
-    given = spark.range(1).select(F.array(*[F.lit(quota[s]).cast("long") for s in names]).alias("q"))
-    zero = F.transform("q", lambda _: F.lit(0).cast("long"))
+    names = sorted(s for s in weights if blocks.get(s, 0) > 0)
+    exact = [Fraction(weights[s]) for s in names]
+    common = math.lcm(*[w.denominator for w in exact])
+    share = [w.numerator * (common // w.denominator) for w in exact]
+    total = sum(share)
+    ready = [(-(-total // q), -q, i, 0) for i, q in enumerate(share)]  # deadline, then the larger weight
+    heapq.heapify(ready)
+    waiting: list[tuple[int, int, int]] = []  # release, source, k
+    t = 0
+    while ready or waiting:
+        if not ready:
+            t = max(t, waiting[0][0])
+        while waiting and waiting[0][0] <= t:
+            _, i, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * total // share[i]), -share[i], i, k))
+        _, _, i, k = heapq.heappop(ready)
+        yield names[i], k
+        if k + 1 < blocks[names[i]]:
+            heapq.heappush(waiting, ((k + 1) * total // share[i], i, k + 1))
+        t += 1
 
-    def step(acc, t):
-        ready = F.zip_with(F.sequence(F.lit(0), F.lit(len(names) - 1)), F.zip_with("q", acc["c"], lambda q, c: F.struct(q.alias("q"), c.alias("c"))), lambda i, s: F.struct(
-            F.when(s["c"] * period < (t + 1) * s["q"], F.ceil((s["c"] + 1) * period / s["q"])).otherwise(F.lit(1 << 40)).alias("due"), (-s["q"]).alias("q"), i.alias("i")))
-        return let(F.array_min(ready)["i"], lambda i: F.struct(
-            F.transform(acc["c"], lambda c, j: F.when(j == i, c + 1).otherwise(c)).alias("c"), F.concat(acc["ran"], F.array(i)).alias("ran")))
 
-    ran = F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(period - 1).cast("long")), F.struct(zero.alias("c"), F.array().cast("array<int>").alias("ran")), step)["ran"]
-    table = given.select(F.posexplode(ran).alias("slot", "i"), "q")
-    source = F.get(F.array(*[F.lit(s) for s in names]), F.col("i"))
-    return table.select(source.alias("source"), F.get("q", F.col("i")).alias("quota"), (F.row_number().over(Window.partitionBy("i").orderBy("slot")) - 1).cast("long").alias("k"), F.col("slot").cast("long").alias("slot"))
+def schedule(spark, weights: dict[str, float], period: int = PERIOD) -> DataFrame:
+    """(source, quota, k, slot): a schedule of ``period`` slots, weights rounded to whole slots of it. mix() doesn't round."""
+    quota = _numerators(weights, period)
+    rows = [(s, quota[s], k, slot) for slot, (s, k) in enumerate(earliest_deadline_first(quota, quota))]
+    return spark.createDataFrame(rows, "source string, quota long, k long, slot long")
 
 
 def tempered(docs: DataFrame, exponent: float = 0.5, most: int = MAX_SOURCES) -> dict[str, float]:
@@ -78,25 +92,42 @@ def tempered(docs: DataFrame, exponent: float = 0.5, most: int = MAX_SOURCES) ->
     return {r["source"]: float(r["count"]) ** exponent for r in largest}
 
 
+def _slots(spark, weights: dict[str, float], rows_of: dict[str | None, int], block_rows: int) -> DataFrame:
+    """(__s, __block, slot) of every block of the sources counted in rows_of."""
+    if any(not (w > 0 and math.isfinite(w)) for w in weights.values()):
+        raise ValueError("weights must be positive and finite")
+    blocks = {s: -(-n // block_rows) for s, n in rows_of.items()}
+    source, block = [], []
+    for s, k in earliest_deadline_first(weights, blocks):
+        source.append(s)
+        block.append(k)
+    slot = list(range(len(source)))
+    for s in (s for s in blocks if s not in weights):
+        source += [s] * blocks[s]
+        block += range(blocks[s])
+        slot += range(1 << 48, (1 << 48) + blocks[s])
+    return spark.createDataFrame(pa.table({"__s": pa.array(source, pa.string()), "__block": pa.array(block, pa.int64()), "slot": pa.array(slot, pa.int64())}))
+
+
 def mix(docs: DataFrame, weights: dict[str, float], period: int = PERIOD, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, source, block, slot, position) for every row of docs, to be read in the order of position.
 
-    slot is the block's place in the endless schedule; position orders all rows:
+    slot is the block's place in the schedule; position orders all rows:
     (slot, row within the block) packed as slot * block_rows + row.  Until a source
-    runs out, each prefix of slots holds each source's share to less than a block;
-    afterwards the others go on in their proportions.  Within a source the order is
-    by a hash of doc_id, then doc_id.
+    runs out, each prefix of slots holds each source's share of the given weights
+    to less than a block; afterwards the others go on in their proportions.  Within
+    a source the order is by a hash of doc_id, then doc_id.
 
     Defined cases: rows of a null source, or of one that weights doesn't name, come
     after the schedule in slots of their own (source order, then rows), since they
-    have no share; null ids and repeated rows are numbered like any other; no rows,
-    no output.  Text and other columns aren't read.
+    have no share; weights of sources without rows don't count; null ids and
+    repeated rows are numbered like any other; no rows, no output.  Text and other
+    columns aren't read.  ``period`` is not read: nothing is rounded to a period.
     """
     spark = docs.sparkSession
-    plan = F.broadcast(schedule(spark, weights, period))  # period rows
     rows = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("doc_id")).alias("h"))
-    total = docs.count()
-    buckets = 1 << max(0, (total // BUCKET_ROWS)).bit_length()
+    rows_of = {r["source"]: r["count"] for r in rows.groupBy("source").count().collect()}
+    buckets = 1 << max(0, (sum(rows_of.values()) // BUCKET_ROWS)).bit_length()
     width = (1 << 63) // buckets * 2  # buckets are ranges of the hash, so their order is the hash's
     rows = rows.withColumn("bucket", (F.floor(F.col("h") / F.lit(float(width))) + buckets // 2).cast("long"))
     counts = rows.groupBy("source", "bucket").agg(F.count("*").alias("n"))
@@ -104,12 +135,9 @@ def mix(docs: DataFrame, weights: dict[str, float], period: int = PERIOD, block_
     offsets = counts.select(F.col("source").alias("__s"), F.col("bucket").alias("__b"), F.coalesce(before, F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id"))
     numbered = rows.withColumn("rank", rank - 1).join(offsets, F.col("source").eqNullSafe(F.col("__s")) & (F.col("bucket") == F.col("__b")))
-    numbered = numbered.withColumn("n", F.col("before") + F.col("rank")).select("doc_id", "source", F.floor(F.col("n") / block_rows).alias("block"), (F.col("n") % block_rows).alias("row"))
-    quota = F.broadcast(schedule(spark, weights, period).groupBy("source").agg(F.max("quota").alias("quota")).withColumnRenamed("source", "__s"))
-    placed = numbered.join(quota, F.col("source") == F.col("__s"), "left").drop("__s")
-    placed = placed.withColumn("k", F.col("block") % F.col("quota")).join(plan.select(F.col("source").alias("__s"), F.col("k").alias("__k"), F.col("slot").alias("__slot")), (F.col("source") == F.col("__s")) & (F.col("k") == F.col("__k")), "left")
-    slot = F.coalesce(F.floor(F.col("block") / F.col("quota")) * period + F.col("__slot"), F.lit(1 << 48) + F.col("block"))
-    return placed.select("doc_id", "source", F.col("block").cast("long").alias("block"), slot.cast("long").alias("slot"), (slot * block_rows + F.col("row")).cast("long").alias("position"))
+    numbered = numbered.withColumn("n", F.col("before") + F.col("rank")).select("doc_id", "source", F.floor(F.col("n") / block_rows).cast("long").alias("block"), (F.col("n") % block_rows).alias("row"))
+    placed = numbered.join(_slots(spark, weights, rows_of, block_rows), F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__block")))
+    return placed.select("doc_id", "source", "block", "slot", (F.col("slot") * block_rows + F.col("row")).cast("long").alias("position"))
 
 
 def in_mixed_order(docs: DataFrame, weights: dict[str, float], period: int = PERIOD, block_rows: int = BLOCK_ROWS) -> DataFrame:

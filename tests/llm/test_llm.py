@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -353,6 +354,31 @@ def test_mix_places_every_row(docs, rows):
     assert source_mixing.in_mixed_order(docs, {"s0": 2, "s1": 1}).count() == len(rows)
 
 
+def of_sizes(spark, sizes: dict):
+    rows = [s for s, n in sizes.items() for _ in range(n)]
+    return spark.createDataFrame(list(enumerate(rows)), "doc_id long, source string")
+
+
+def assert_pfair(order: list, weights: dict, blocks: dict) -> None:
+    """Each prefix of the order, up to where a source runs out, is within a block of the weights as given."""
+    exact = {s: Fraction(w) / sum(map(Fraction, weights.values())) for s, w in weights.items()}
+    ran = collections.Counter()
+    for t, s in enumerate(order, 1):
+        ran[s] += 1
+        assert all(abs(ran[k] - t * w) < 1 for k, w in exact.items())
+        if ran[s] == blocks[s]:
+            return
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.9, "b": 0.1}, {"a": 0.5} | {f"s{i}": 0.5 / 99 for i in range(99)}, {"a": 0.45, "b": 0.45, "c": 0.05, "d": 0.05}, {f"s{i}": (i + 0.5) ** 0.5 for i in range(23)}])
+def test_mix_keeps_the_weights_given(spark, weights):
+    total = sum(weights.values())
+    sizes = {s: max(1, int(w / total * 4000)) for s, w in weights.items()}
+    got = source_mixing.mix(of_sizes(spark, sizes), weights, block_rows=1).orderBy("position").collect()
+    assert len(got) == sum(sizes.values())
+    assert_pfair([r.source for r in got], weights, sizes)
+
+
 # 9: classifier
 
 
