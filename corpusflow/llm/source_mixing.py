@@ -27,16 +27,14 @@ from pyspark.sql import functions as F
 PERIOD = 840
 BLOCK_ROWS = 32
 BUCKET_ROWS = 4096
-#: More sources than slots would leave sources without any slot.
-MAX_SOURCES = 400
 
 
 def _numerators(weights: dict[str, float], period: int) -> dict[str, int]:
     """Largest remainders: whole slots of a period for each source, at least one, summing to the period."""
     if not weights or any(not (w > 0 and math.isfinite(w)) for w in weights.values()):
         raise ValueError("weights must be positive and finite")
-    if len(weights) > min(period, MAX_SOURCES):
-        raise ValueError(f"at most {min(period, MAX_SOURCES)} sources can have a slot of {period}")
+    if len(weights) > period:
+        raise ValueError(f"at most {period} sources can have a slot of {period}")
     total, free = sum(weights.values()), period - len(weights)
     exact = {s: w / total * free for s, w in weights.items()}
     out = {s: 1 + math.floor(x) for s, x in exact.items()}
@@ -81,15 +79,10 @@ def schedule(spark, weights: dict[str, float], period: int = PERIOD) -> DataFram
     return spark.createDataFrame(rows, "source string, quota long, k long, slot long")
 
 
-def tempered(docs: DataFrame, exponent: float = 0.5, most: int = MAX_SOURCES) -> dict[str, float]:
-    """Weights that flatten the natural shares: rows of a source to a power.
-
-    The ``most`` largest sources get one each; all others share the name null,
-    under which mix() places what no weight names.
-    """
+def tempered(docs: DataFrame, exponent: float = 0.5) -> dict[str, float]:
+    """Weights that flatten the natural shares: rows of a source to a power, for every source that isn't null."""
     counts = docs.groupBy(F.col("source").cast("string").alias("source")).count().where("source is not null")
-    largest = counts.orderBy(F.desc("count"), "source").limit(most).collect()
-    return {r["source"]: float(r["count"]) ** exponent for r in largest}
+    return {r["source"]: float(r["count"]) ** exponent for r in counts.collect()}
 
 
 def _slots(spark, weights: dict[str, float], rows_of: dict[str | None, int], block_rows: int) -> DataFrame:
@@ -101,26 +94,25 @@ def _slots(spark, weights: dict[str, float], rows_of: dict[str | None, int], blo
     for s, k in earliest_deadline_first(weights, blocks):
         source.append(s)
         block.append(k)
-    slot = list(range(len(source)))
-    for s in (s for s in blocks if s not in weights):
+    for s in sorted((s for s in blocks if s not in weights), key=lambda s: (s is not None, s)):
         source += [s] * blocks[s]
         block += range(blocks[s])
-        slot += range(1 << 48, (1 << 48) + blocks[s])
+    slot = range(len(source))
     return spark.createDataFrame(pa.table({"__s": pa.array(source, pa.string()), "__block": pa.array(block, pa.int64()), "slot": pa.array(slot, pa.int64())}))
 
 
 def mix(docs: DataFrame, weights: dict[str, float], period: int = PERIOD, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, source, block, slot, position) for every row of docs, to be read in the order of position.
 
-    slot is the block's place in the schedule; position orders all rows:
-    (slot, row within the block) packed as slot * block_rows + row.  Until a source
+    slot is the block's place, one block in each; position orders all rows and is
+    different for each: (slot, row within the block) packed as slot * block_rows + row.  Until a source
     runs out, each prefix of slots holds each source's share of the given weights
     to less than a block; afterwards the others go on in their proportions.  Within
     a source the order is by a hash of doc_id, then doc_id.
 
     Defined cases: rows of a null source, or of one that weights doesn't name, come
-    after the schedule in slots of their own (source order, then rows), since they
-    have no share; weights of sources without rows don't count; null ids and
+    after the schedule in slots of their own (null, then source order, then rows),
+    since they have no share, and so do all rows if there are no weights; weights of sources without rows don't count; null ids and
     repeated rows are numbered like any other; no rows, no output.  Text and other
     columns aren't read.  ``period`` is not read: nothing is rounded to a period.
     """

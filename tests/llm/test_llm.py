@@ -379,6 +379,29 @@ def test_mix_keeps_the_weights_given(spark, weights):
     assert_pfair([r.source for r in got], weights, sizes)
 
 
+def test_mix_of_many_sources(spark):
+    """Over 400 sources: each has a weight and is in the schedule, and unnamed ones get positions of their own."""
+    sizes = {f"s{i:03}": 1 + i % 7 for i in range(450)}
+    df = of_sizes(spark, sizes)
+    weights = source_mixing.tempered(df)
+    assert weights == {s: n**0.5 for s, n in sizes.items()}
+    got = source_mixing.mix(df, weights, block_rows=1).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(len(got))) and len(got) == sum(sizes.values())
+    assert_pfair([r.source for r in got], weights, sizes)
+    some = source_mixing.mix(df, {"s000": 1.0, "s006": 2.0}, block_rows=2).orderBy("position").collect()
+    assert len({r.position for r in some}) == len(some) == len(got)
+    assert {r.source for r in some[:8]} == {"s000", "s006"} and [r.source for r in some[8:]] == sorted(r.source for r in some[8:])
+
+
+@pytest.mark.parametrize("sizes", [{None: 70}, {}])
+def test_mix_without_weights(spark, sizes):
+    df = of_sizes(spark, sizes)
+    weights = source_mixing.tempered(df)
+    got = source_mixing.mix(df, weights).collect()
+    assert weights == {} and sorted(r.position for r in got) == list(range(sum(sizes.values())))
+    assert source_mixing.in_mixed_order(df, weights).count() == len(got)
+
+
 # 9: classifier
 
 
