@@ -132,11 +132,16 @@ def mix(docs: DataFrame, weights: dict[str, float], period: int = PERIOD, block_
     return placed.select("doc_id", "source", "block", "slot", (F.col("slot") * block_rows + F.col("row")).cast("long").alias("position"))
 
 
+def places(docs: DataFrame, weights: dict[str, float], period: int = PERIOD, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(__id, __position) of each doc_id that isn't null: rows of one doc_id share the smallest of their positions."""
+    return mix(docs, weights, period, block_rows).where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min("position").alias("__position"))
+
+
 def in_mixed_order(docs: DataFrame, weights: dict[str, float], period: int = PERIOD, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All rows of docs with their columns, range-partitioned and sorted by position: files are read in mixing order.
 
     Rows of one doc_id share the smallest of their positions; null ids come last.
     """
-    place = mix(docs, weights, period, block_rows).where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min("position").alias("__position"))
+    place = places(docs, weights, period, block_rows)
     joined = docs.join(place, F.col("doc_id") == F.col("__id"), "left")
     return joined.orderBy(F.col("__position").asc_nulls_last(), "doc_id").select(*docs.columns)

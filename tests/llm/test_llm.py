@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 from fractions import Fraction
@@ -560,3 +561,34 @@ def test_pipeline_stages(spark, tmp_path, tokenizer):
                 ids = tokenizer.encode(dict(rows)[r.doc_id], add_special_tokens=False).ids
                 assert r.n_tokens == len(ids) and r.ids_sha256 == sha(" ".join(map(str, ids)))
     assert now.count() == p.run(spark, base).count()
+
+
+def mix_brute(rows, hashes: dict, size: int) -> dict:
+    """Position of each document: slot by slot, of the released blocks that of earliest deadline."""
+    own = collections.defaultdict(list)
+    for i, source in rows:
+        own[source].append(i)
+    weights = {s: Fraction(len(v) ** 0.5) for s, v in own.items()}
+    total, ran, out, slot, t = sum(weights.values()), collections.Counter(), {}, 0, 0
+    while len(out) < len(rows):
+        free = [s for s in own if ran[s] * size < len(own[s]) and math.floor(ran[s] * total / weights[s]) <= t]
+        if free:
+            s = min(free, key=lambda s: (math.ceil((ran[s] + 1) * total / weights[s]), -weights[s], s))
+            for n, i in enumerate(sorted(own[s], key=lambda i: (hashes[i], i))[ran[s] * size : (ran[s] + 1) * size]):
+                out[i] = slot * size + n
+            ran[s] += 1
+            slot += 1
+        t += 1
+    return out
+
+
+def test_pipeline_keeps_the_order_of_the_mix(spark, tmp_path):
+    """The last stage's rows have the mix's positions and are in its order, though its input is dealt otherwise."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.where("doc_id is not null and source is not null").repartition(5, "text")
+    got = p.encode(spark, docs, "").collect()
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    want = mix_brute([(r.doc_id, r.source) for r in docs.select("doc_id", "source").collect()], hashes, source_mixing.BLOCK_ROWS)
+    assert [(r.doc_id, r.position) for r in got] == sorted(want.items(), key=lambda x: x[1]) and len(got) == docs.count()
