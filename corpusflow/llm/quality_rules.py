@@ -53,6 +53,15 @@ def line_bounds(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start[order], end[np.lexsort((end, end_doc))], doc[order]
 
 
+def line_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each normalised line, and whether a letter or digit is in it."""
+    kept = _LETTER[raw]
+    at_kept = np.concatenate([[0], np.cumsum(kept)])
+    folded = K.byte_prefix(_FOLD[raw[kept]])
+    lo, hi = at_kept[start], at_kept[end]
+    return K.mix(folded.of(lo, hi) + (hi - lo).astype(K.U), 5), hi > lo
+
+
 def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     """Base counts for each text, and its lines: document, normalised hash, words."""
     raw, offs = K.buffer(texts)
@@ -85,12 +94,7 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     start, end, doc, line_words = start[full], end[full], doc[full], (last - first)[full]
     exact = K.byte_prefix(raw).of(start, end)
     duplicates = np.bincount(doc, minlength=n) - np.bincount(K.distinct_by_doc(doc, K.mix(exact, 3) + (end - start).astype(K.U))[0], minlength=n)
-    kept = _LETTER[raw]
-    at_kept = np.concatenate([[0], np.cumsum(kept)])
-    folded = K.byte_prefix(_FOLD[raw[kept]])
-    lo, hi = at_kept[start], at_kept[end]
-    line_hash = K.mix(folded.of(lo, hi) + (hi - lo).astype(K.U), 5)
-    named = hi > lo
+    line_hash, named = line_hashes(raw, start, end)
     return {
         "n_words": words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": duplicates, "n_repeat_words": repeat,
         "line_doc": doc[named], "line_hash": line_hash[named], "line_words": line_words[named],
@@ -120,6 +124,23 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def _over_limit(rows: DataFrame, limit_docs: int, limit_share: float) -> DataFrame:
+    """(doc_id, h, w) of the lines over their host's limit, from measured() rows."""
+    lines = rows.where("doc_id is not null").select("doc_id", "host", F.explode("lines").alias("l")).select("doc_id", "host", "l.h", "l.w")
+    docs_of = rows.groupBy("host").agg(F.count("*").alias("docs"))
+    often = lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > limit_docs)
+    common = often.join(docs_of, "host").where(F.col("n") > F.greatest(F.lit(float(limit_docs)), F.col("docs") * limit_share)).select("host", "h")
+    return lines.join(common, ["host", "h"]).select("doc_id", "h", "w")
+
+
+def _judged(rows: DataFrame, over: DataFrame, least_left: float) -> DataFrame:
+    removed = over.groupBy("doc_id").agg(F.sum("w").alias("n_common_words")).withColumnRenamed("doc_id", "__id")
+    out = rows.drop("lines", "host").join(removed, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") > F.col("n_words") * MAX_REPEAT)
+    gone = F.coalesce("n_common_words", F.lit(0))
+    return out.select("doc_id", *BASE, failed.alias("base_failed"), gone.alias("n_common_words"), (~failed & (F.col("n_words") - gone >= F.col("n_words") * least_left)).alias("kept"))
+
+
 def judge(docs: DataFrame, limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
     """(doc_id, base counts, base_failed, n_common_words, kept) for every row of docs.
 
@@ -133,18 +154,43 @@ def judge(docs: DataFrame, limit_docs: int = LIMIT_DOCS, limit_share: float = LI
     lose no lines; other columns aren't read.
     """
     rows = stored(measured(docs))
-    lines = rows.where("doc_id is not null").select("doc_id", "host", F.explode("lines").alias("l")).select("doc_id", "host", "l.h", "l.w")
-    docs_of = rows.groupBy("host").agg(F.count("*").alias("docs"))
-    often = lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > limit_docs)
-    common = often.join(docs_of, "host").where(F.col("n") > F.greatest(F.lit(float(limit_docs)), F.col("docs") * limit_share)).select("host", "h")
-    removed = lines.join(common, ["host", "h"]).groupBy("doc_id").agg(F.sum("w").alias("n_common_words")).withColumnRenamed("doc_id", "__id")
-    out = rows.drop("lines", "host").join(removed, F.col("doc_id") == F.col("__id"), "left").drop("__id")
-    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") > F.col("n_words") * MAX_REPEAT)
-    gone = F.coalesce("n_common_words", F.lit(0))
-    return out.select("doc_id", *BASE, failed.alias("base_failed"), gone.alias("n_common_words"), (~failed & (F.col("n_words") - gone >= F.col("n_words") * least_left)).alias("kept"))
+    return _judged(rows, _over_limit(rows, limit_docs, limit_share), least_left)
+
+
+def remove_lines(texts: pa.Array, gone: list[list[int] | None]) -> pa.Array:
+    """Texts without the lines whose normalised hash is in the text's list; null lists change nothing."""
+    raw, offs = K.buffer(texts)
+    start, end, doc = line_bounds(raw, offs)
+    h, named = line_hashes(raw, start, end)
+    h, bounds, out = h.view(np.int64), np.searchsorted(doc, np.arange(len(offs))), texts.to_pylist()
+    for i, hashes in enumerate(gone):
+        if hashes:
+            a, b = bounds[i], bounds[i + 1]
+            left = ~(np.isin(h[a:b], np.array(hashes, np.int64)) & named[a:b])
+            out[i] = "\n".join([x for x, stays in zip(out[i].split("\n"), left) if stays])
+    return pa.array(out, pa.string())
 
 
 def without_common_lines(docs: DataFrame, limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
-    """The documents that judge() keeps, with docs' columns (ids must be unique and not null)."""
-    kept = judge(docs, limit_docs, limit_share, least_left).where("kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi")
+    """The documents that judge() keeps, with docs' columns and ``text`` freed of lines over the limit.
+
+    Ids must be unique and not null. Lines are hashed again, text by text, against the
+    list of the document's lines over the limit; all others stay as they are. Other
+    columns, also counts of characters, pass unread.
+    """
+    rows = stored(measured(docs))
+    over = stored(_over_limit(rows, limit_docs, limit_share))
+    kept = _judged(rows, over, least_left).where("kept").select(F.col("doc_id").alias("__id"))
+    gone = over.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("h").alias("__gone"))
+    found = kept.join(gone, "__id", "left")
+    names, at = docs.columns, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in K.parts(batch, at):
+                cols = b.columns[:-1]
+                cols[at] = remove_lines(cols[at], b.column(len(names)).to_pylist())
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    given = docs.withColumn("text", F.col("text").cast("string"))
+    return given.join(found, F.col("doc_id") == F.col("__id")).select(*names, "__gone").mapInArrow(run, given.schema)

@@ -330,6 +330,29 @@ def test_base_counts(docs, rows):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == want
 
 
+def test_common_lines_leave_the_texts(spark):
+    """Kept texts without the lines over the limit, against brute force."""
+    r = random.Random(1)
+    line = lambda k: " ".join("".join(r.choice("abcdefgé") for _ in range(5)) for _ in range(k))
+    common = [line(6) + " 12", "Menu | Home | 3"]
+    rows = []
+    for i in range(160):
+        parts = [line(40), *[x.upper() + " !" if i % 2 else x.replace("3", "7") for x in common], "", "***", line(30)]
+        r.shuffle(parts)
+        rows.append((i, "\n".join(parts) if i % 5 else common[0] + "\n" + line(9), "en", None if i < 30 else "h" if i < 130 else "small", i))
+    norm = lambda x: re.sub("[0-9]", "0", re.sub(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", "", "".join(ch.lower() if ch < "\x7f" else ch for ch in x)))
+    size, n = collections.Counter(h for _, _, _, h, _ in rows), collections.Counter((h, x) for _, t, _, h, _ in rows for x in {norm(x) for x in t.split("\n")} if x)
+    gone = lambda h, x: norm(x) != "" and n[h, norm(x)] > max(20, 0.02 * size[h])
+    want = {}
+    for i, t, _, h, chars in rows:
+        left, all_words = [x for x in t.split("\n") if not gone(h, x)], len(WORD.findall(t))
+        if all_words >= 50 and len(WORD.findall(" ".join(left))) >= all_words * 0.3:
+            want[i] = ("\n".join(left), h, chars)
+    out = quality_rules.without_common_lines(spark.createDataFrame(rows, SCHEMA).repartition(3), limit_docs=20)
+    assert {x.doc_id: (x.text, x.source, x.n_chars) for x in out.collect()} == want and out.columns == [x.split()[0] for x in SCHEMA.split(", ")]
+    assert 0 < sum(want[i][0] != rows[i][1] for i in want) and len(want) == 128
+
+
 # 8: mixing
 
 
