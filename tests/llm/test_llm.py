@@ -10,6 +10,7 @@ import random
 import re
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -330,6 +331,20 @@ def test_base_counts(docs, rows):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == want
 
 
+def test_quality_rules_match_sql_over_the_limits(spark, tmp_path):
+    """Hosts on both sides of both limits: 50 documents, and 2% of more than 2500."""
+    rows, text = [], lambda i, extra: " ".join(f"w{i}x{k}" for k in range(60)).translate(str.maketrans("0123456789", "abcdefghij")) + "\n" + extra
+    for host, size, holds in (("tiny", 40, 40), ("at", 60, 50), ("over", 60, 51), ("large", 2600, 52), ("larger", 2600, 53), (None, 70, 60)):
+        rows += [(len(rows) + i, text(len(rows) + i, "Shared LINE 7, of this host!" if i < holds else "none"), "en", host, 0) for i in range(size)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    out = queries.op6_quality_rules(spark, str(tmp_path))
+    assert_same(out, con, queries.OP6_SQL)
+    common = {rows[r.doc_id][3] for r in out.collect() if r.n_common_words == 6}
+    assert common == {"over", "larger", None}
+
+
 def test_common_lines_leave_the_texts(spark):
     """Kept texts without the lines over the limit, against brute force."""
     r = random.Random(1)
