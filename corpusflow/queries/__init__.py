@@ -1,6 +1,7 @@
 """The queries of the library outside llm: callables (spark, sf_dir) -> DataFrame, and their SQL.
 
-Every query reads whole tables.  SQL is for DuckDB over views of the same names.
+Some queries cut their tables or use prefixes as titles, as their SQL does; the README lists
+them.  SQL is for DuckDB over views of the same names.
 """
 
 from __future__ import annotations
