@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of this machine only where it is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names.  Where none is set, a folder of this machine if Spark
+    runs in this process only, as in tests; on a cluster that is an error, since executors couldn't read it."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="corpusflow-")
         spark.sparkContext.setCheckpointDir(path)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -19,7 +23,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df, written as Parquet and read back."""
+    """Writes df as Parquet into the shared folder and reads it back: lineage ends there,
+    and a lost executor costs only the tasks that it ran."""
     path = f"{shared_dir(df.sparkSession)}/corpusflow-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what stored() wrote for these frames, once nothing reads them."""
+    for df in frames:
+        for file in df.inputFiles()[:1]:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if folder.getName().startswith("corpusflow-"):
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
