@@ -20,7 +20,6 @@ import heapq
 import json
 import tempfile
 import unicodedata
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,11 +36,11 @@ from .common import discard, stored
 
 LEXICON_WORDS = 1 << 16
 #: Of one worker's table of merged words; it starts anew beyond.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 60_000
 #: Words counted in a task before their counts are handed on.
-COUNTED_WORDS = 150_000
+COUNTED_WORDS = 100_000
 #: Text that is cut into words at once.
-PART_BYTES = 512 << 10
+PART_BYTES = 256 << 10
 
 #: White space as the tokenizer's patterns see it, and the split pattern.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -422,15 +421,18 @@ class Coder:
             yield " ".join(ids[i:j]), " ".join(tokens[i:j]), int(count[j] - count[i])
 
 
-_CODERS: dict[str, Coder] = {}
+class Given:
+    """What encode() broadcasts.  A worker's coder lives in its copy: Spark drops that when a task of the worker
+    doesn't use the broadcast, so that no worker holds a coder beside what other stages need."""
 
+    def __init__(self, model: Model, block: bytes, index: list):
+        self.parts = (model, block, index)
+        self._coder: Coder | None = None
 
-def coder_of(name: str, given) -> Coder:
-    """A worker's coder, kept from task to task of one encode()."""
-    if name not in _CODERS:
-        _CODERS.clear()
-        _CODERS[name] = Coder(*given.value)
-    return _CODERS[name]
+    def coder(self) -> Coder:
+        if self._coder is None:
+            self._coder = Coder(*self.parts)
+        return self._coder
 
 
 def build_lexicon(docs: DataFrame, model: Model, size: int = LEXICON_WORDS) -> dict[str, np.ndarray]:
@@ -464,11 +466,10 @@ def encode(docs: DataFrame, path: str, size: int = LEXICON_WORDS, texts: bool =
     """
     model = Model(path)
     block, index = pack(build_lexicon(docs, model, size))
-    given = docs.sparkSession.sparkContext.broadcast((model, block, index))
-    name = uuid.uuid4().hex
+    given = docs.sparkSession.sparkContext.broadcast(Given(model, block, index))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = coder_of(name, given)
+        coder = given.value.coder()
         for batch in batches:
             for b in K.parts(batch, 1, PART_BYTES):
                 rows = list(coder.documents(b.column(1).to_pylist()))

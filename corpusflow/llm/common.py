@@ -2,42 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of this machine's only where none is set, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="corpusflow-")
-        spark.sparkContext.setCheckpointDir(path)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage ends there,
-    and a lost executor costs only the tasks that it ran."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusflow-{uuid.uuid4().hex}"
-    out = df.write.option("compression", "zstd")
-    (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*frames: DataFrame) -> None:
-    """Deletes what stored() wrote for these frames, once nothing reads them."""
-    for df in frames:
-        for file in df.inputFiles()[:1]:
-            spark = df.sparkSession
-            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            if folder.getName().startswith("corpusflow-"):
-                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+from ..storage import discard, shared_dir, stored  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

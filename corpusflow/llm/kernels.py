@@ -88,7 +88,7 @@ def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
-PART_BYTES = 1 << 20
+PART_BYTES = 256 << 10
 
 
 def parts(batch: pa.RecordBatch, column: int, limit: int = PART_BYTES) -> Iterator[pa.RecordBatch]:

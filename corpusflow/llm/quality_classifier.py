@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import discard, stored
+from .common import bitmap_position, id_bitmap, stored, tested
 
 #: The statistics, in order.
 NAMES = (
@@ -76,16 +76,22 @@ def statistics(texts: pa.Array) -> np.ndarray:
     return x
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, x) for each row of docs; documents are read in Arrow batches and never moved."""
+def with_statistics(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, x) for each row of docs, or for those whose id may be among wanted (an id_bitmap());
+    documents are read in Arrow batches and never moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if wanted is not None:
+            batches = (b.filter(pa.array(tested(wanted, np.asarray(b.column(2))))) for b in batches)
         for b in (p for batch in batches for p in K.parts(batch, 1)):
             x = statistics(b.column(1))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * D), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), flat], names=["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if wanted is not None:
+        texts = texts.where("doc_id is not null").withColumn("p", bitmap_position("doc_id"))
+    return texts.mapInArrow(run, "doc_id long, x array<double>")
 
 
 @dataclass
@@ -159,6 +165,12 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(True))
 
 
+def learnable(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality) of the ids that may be learned from: labelled 0 or 1 and not held out."""
+    some = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out())
+    return some.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.round(F.avg("quality")).alias("quality"))
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs.
 
@@ -169,24 +181,20 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     any labels every score is 0.5.  Other columns of docs and labels are not read.
     """
     stats = stored(with_statistics(docs))
-    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.round(F.avg("quality")).alias("quality"))
-    model = fit(stats.where(~held_out()).join(known, "doc_id"))
+    model = fit(stats.join(learnable(labels), "doc_id"))
     return score(stats, model).select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not rejected, with the columns of docs.
 
-    Rows go by their own statistics: the text is scored where it is read.
+    Only labelled rows outside the held-out fold are measured to fit; then each text is
+    measured once, scored where it is read.  Defined cases are those of classify().
     """
-    columns = docs.columns
-    stats = stored(with_statistics(docs))
-    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.round(F.avg("quality")).alias("quality"))
-    model = fit(stats.where(~held_out()).join(known, "doc_id"))
-    discard(stats)
-
+    known = learnable(labels)
+    model = fit(with_statistics(docs, id_bitmap(known, "doc_id")).join(known, "doc_id"))
     schema = docs.schema
-    at = columns.index("text")
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (p for batch in batches for p in K.parts(batch, at)):
