@@ -372,7 +372,7 @@ def word_counts(docs: DataFrame, special: list[str]) -> DataFrame:
         if total:
             yield out()
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string")).mapInArrow(K.lean(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Coder:
@@ -480,4 +480,4 @@ def encode(docs: DataFrame, path: str, size: int = LEXICON_WORDS, texts: bool =
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if texts else [])]
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids string, decoded string" if texts else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(K.lean(run), schema)

@@ -174,7 +174,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             doc, key = cell_keys(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(serial(*sketch(doc, key, b.num_rows))), pa.array(np.bincount(doc, minlength=b.num_rows))], names=["doc_id", "fingerprint", "n_cells"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string, n_cells long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(K.lean(run), "doc_id long, fingerprint string, n_cells long")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def with_next(docs: DataFrame) -> DataFrame:
             g = np.array([0 if x is None else bisect.bisect_right(cuts, x) for x in b.column(0).to_pylist()], np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(g)], names=["doc_id", "g"])
 
-    firsts = rows.select("doc_id").mapInArrow(place, "doc_id long, g long").groupBy("g").agg(F.min(F.struct("doc_id")).alias("first")).orderBy("g").collect()
+    firsts = rows.select("doc_id").mapInArrow(K.lean(place), "doc_id long, g long").groupBy("g").agg(F.min(F.struct("doc_id")).alias("first")).orderBy("g").collect()
     full = [r.g for r in firsts]
     before = {r.first.doc_id: full[i - 1] for i, r in enumerate(firsts)}
 
@@ -209,7 +209,7 @@ def with_next(docs: DataFrame) -> DataFrame:
                     some = b.take(pa.array(at))
                     yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.full(len(at), copy, np.int32)), *some.columns], names=["g", "copy", "doc_id", "text"])
 
-    dealt = rows.mapInArrow(deal, "g long, copy int, doc_id long, text string")
+    dealt = rows.mapInArrow(K.lean(deal), "g long, copy int, doc_id long, text string")
     return dealt.withColumn("h", F.xxhash64("text")).repartition(k, "g").sortWithinPartitions("g", "copy", "doc_id", "h").drop("h")
 
 
@@ -268,4 +268,4 @@ def versions(docs: DataFrame) -> DataFrame:
                 ids, texts = [], []
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs).mapInArrow(run, schema)
+    return with_next(docs).mapInArrow(K.lean(run), schema)

@@ -8,7 +8,8 @@ word hashes are mixed before they enter a second polynomial over words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -89,17 +90,43 @@ def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 PART_BYTES = 256 << 10
+PART_ROWS = 4096
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
-def parts(batch: pa.RecordBatch, column: int, limit: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts have at most ``limit`` bytes in all, or one text: kernels use some
-    hundred bytes of memory for a byte of text, so batches of long texts are cut."""
+
+def lean(run: Run) -> Run:
+    """run, giving back after each batch what Arrow's pool keeps, and at its end what the C library keeps:
+    Spark keeps a worker for later stages, and what it holds then is lost to them."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b
+            del b
+            pa.default_memory_pool().release_unused()
+
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(each(batches))
+        finally:
+            _powers.cache_clear()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+            if trim is not None:
+                trim(0)
+
+    return lean_run
+
+
+def parts(batch: pa.RecordBatch, column: int, limit: int = PART_BYTES, rows: int = PART_ROWS) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most ``rows`` rows, whose texts have at most ``limit`` bytes in all, or one text:
+    kernels use some hundred bytes of memory for a byte of text, so batches of long texts are cut."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total = np.cumsum(size)
     at = 0
     while at < batch.num_rows:
         done = total[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(total, done + limit, side="right")))
+        end = min(at + rows, max(at + 1, int(np.searchsorted(total, done + limit, side="right"))))
         yield batch.slice(at, end - at)
         at = end
 

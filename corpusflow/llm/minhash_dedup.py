@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 pair = pa.StructArray.from_arrays([_signed(key[0]), _signed(key[1])], names=["hi", "lo"])
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size.astype(np.int64)), pair, pa.ListArray.from_arrays(pa.array(offs), _signed(band.ravel()))], names=["doc_id", "n_shingles", "key", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, key struct<hi:long,lo:long>, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(K.lean(run), "doc_id long, n_shingles long, key struct<hi:long,lo:long>, bands array<long>")
 
 
 def _wanted_texts(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
@@ -97,7 +97,7 @@ def _wanted_texts(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
             out = b.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays(out.columns[:2], names=["doc_id", "text"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), bitmap_position("doc_id").alias("p")).where("doc_id is not null").mapInArrow(run, "doc_id long, text string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), bitmap_position("doc_id").alias("p")).where("doc_id is not null").mapInArrow(K.lean(run), "doc_id long, text string")
 
 
 def with_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity=SIMILARITY, shingle:
                 linked = (den * (sizes - union) >= num * union) & (union > 0)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked)], names=["a", "b", "linked"])
 
-    return both.mapInArrow(run, "a long, b long, linked boolean")
+    return both.mapInArrow(K.lean(run), "a long, b long, linked boolean")
 
 
 def open_members(shared: DataFrame, label: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def shingle_frequencies(docs: DataFrame, wanted: np.ndarray, shingle: int) -> np
                 total[at] += n
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())], names=["k", "blob"])
 
-    parts = _wanted_texts(docs, wanted).mapInArrow(count, "k long, blob binary").groupBy("k").applyInArrow(add, "k long, blob binary").collect()
+    parts = _wanted_texts(docs, wanted).mapInArrow(K.lean(count), "k long, blob binary").groupBy("k").applyInArrow(add, "k long, blob binary").collect()
     out = np.zeros(FREQUENCY_SLOTS, np.uint32)
     for r in parts:
         out[r.k * chunk : (r.k + 1) * chunk] = np.frombuffer(bytes(r.blob), "<u4")
@@ -219,7 +219,7 @@ def beside_hub(docs: DataFrame, members: DataFrame, similarity=SIMILARITY, shing
                 cols += [pa.array(size.astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * GROUPS), pa.array(lacks.astype(np.int32)))]
                 yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "c", "n", "inside", "often", "tokens", "hub", "lacks"])
 
-    return with_texts(docs, members).mapInArrow(run, "a long, b long, c long, n long, inside long, often long, tokens array<long>, hub long, lacks array<int>")
+    return with_texts(docs, members).mapInArrow(K.lean(run), "a long, b long, c long, n long, inside long, often long, tokens array<long>, hub long, lacks array<int>")
 
 
 def across(rows: DataFrame, similarity=SIMILARITY) -> DataFrame:

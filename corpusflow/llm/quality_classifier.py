@@ -91,7 +91,7 @@ def with_statistics(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFr
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if wanted is not None:
         texts = texts.where("doc_id is not null").withColumn("p", bitmap_position("doc_id"))
-    return texts.mapInArrow(run, "doc_id long, x array<double>")
+    return texts.mapInArrow(K.lean(run), "doc_id long, x array<double>")
 
 
 @dataclass
@@ -124,7 +124,7 @@ def fit(labelled: DataFrame, to_pooled: float = 0.1, to_identity: float = 0.01)
         k, at = np.indices(total.shape)
         yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(at.ravel()), pa.array(total.ravel())], names=["k", "at", "v"])
 
-    rows = labelled.select("x", F.col("quality").cast("long")).mapInArrow(moments, "k long, at long, v double").groupBy("k", "at").agg(F.sum("v").alias("v")).collect()
+    rows = labelled.select("x", F.col("quality").cast("long")).mapInArrow(K.lean(moments), "k long, at long, v double").groupBy("k", "at").agg(F.sum("v").alias("v")).collect()
     total = np.zeros((2, 1 + D + D * D))
     for r in rows:
         total[r.k, r.at] = r.v
@@ -157,7 +157,7 @@ def score(stats: DataFrame, model: Discriminant) -> DataFrame:
             s = model.score(np.asarray(b.column(1).flatten()).reshape(-1, D))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], names=["doc_id", "score"])
 
-    return stats.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
+    return stats.select("doc_id", "x").mapInArrow(K.lean(run), "doc_id long, score double")
 
 
 def held_out():
@@ -201,4 +201,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             good = model.score(statistics(b.column(at).cast(pa.string()))) >= 0.5
             yield b.filter(pa.array(good))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(K.lean(run), schema)

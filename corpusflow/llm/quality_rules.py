@@ -121,7 +121,7 @@ def measured(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(m[k].astype(np.int64)) for k in BASE), pa.ListArray.from_arrays(pa.array(ends), pairs)], names=["doc_id", "host", *BASE, "lines"])
 
     schema = "doc_id long, host string, " + "".join(f"{k} long, " for k in BASE) + "lines array<struct<h:long,w:long>>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.col("text").cast("string").alias("text")).mapInArrow(K.lean(run), schema)
 
 
 def _over_limit(rows: DataFrame, limit_docs: int, limit_share: float) -> DataFrame:
@@ -193,4 +193,4 @@ def without_common_lines(docs: DataFrame, limit_docs: int = LIMIT_DOCS, limit_sh
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     given = docs.withColumn("text", F.col("text").cast("string"))
-    return given.join(found, F.col("doc_id") == F.col("__id")).select(*names, "__gone").mapInArrow(run, given.schema)
+    return given.join(found, F.col("doc_id") == F.col("__id")).select(*names, "__gone").mapInArrow(K.lean(run), given.schema)

@@ -36,7 +36,7 @@ from .common import bitmap_position, id_bitmap, stored, tested
 HOT = 64
 #: Distinct stretches that a task gathers before it hands them on.
 TASK_ROWS = 1 << 20
-PART_BYTES = 1 << 20
+PART_BYTES = K.PART_BYTES
 
 #: A stretch: anchor hash, stretch hash, document, first start, number of starts less one, occurrences (2: two or more).
 ROW = np.dtype([("ah", "<u8"), ("sh", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("span", "<i2"), ("many", "u1")])
@@ -179,7 +179,7 @@ def index(docs: DataFrame, unit: Unit) -> DataFrame:
         if count:
             yield from flush(held)
 
-    return texts_of(docs).mapInArrow(run, "bucket long, blob binary")
+    return texts_of(docs).mapInArrow(K.lean(run), "bucket long, blob binary")
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def settle(packed: DataFrame, unit: Unit, requests: bool = True) -> DataFrame:
                     yield _ranges(kind, h["doc"], h["lo"], h["lo"] + h["span"].astype(np.int64), h["ah"], h["sh"], h["many"])
 
     n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, RANGES)
+    return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(K.lean(run), RANGES)
 
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
             out = b.filter(pa.array(tested(wanted, np.asarray(b.column(2)))))
             yield pa.RecordBatch.from_arrays(out.columns[:2], names=["doc_id", "text"])
 
-    return texts_of(docs).withColumn("p", bitmap_position("doc_id")).mapInArrow(run, "doc_id long, text string")
+    return texts_of(docs).withColumn("p", bitmap_position("doc_id")).mapInArrow(K.lean(run), "doc_id long, text string")
 
 
 #: A request's units: where they come from, then the units themselves.
@@ -302,7 +302,7 @@ def contexts(docs: DataFrame, asked: DataFrame, unit: Unit) -> DataFrame:
                 blobs.append(np.int64(len(own)).tobytes() + rows[own].tobytes() + stored_units[where].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(bucket[order][first]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
-    return joined.mapInArrow(run, "bucket long, blob binary")
+    return joined.mapInArrow(K.lean(run), "bucket long, blob binary")
 
 
 Compare = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -337,7 +337,7 @@ def compared(blocks: DataFrame, unit: Unit, compare: Compare) -> DataFrame:
                 yield _ranges(GONE, doc, lo, hi)
 
     n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return blocks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, RANGES)
+    return blocks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(K.lean(run), RANGES)
 
 
 def repeated_ranges(docs: DataFrame, unit: Unit, compare: Compare) -> DataFrame:
@@ -374,7 +374,7 @@ def with_ranges(docs: DataFrame, ranges: DataFrame, finish: Callable[[pa.Array,
 
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("p", bitmap_position("doc_id"))
     joined = only(docs, spans).join(spans.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "spans")
-    return every.mapInArrow(untouched, whole).unionByName(joined.mapInArrow(touched, whole))
+    return every.mapInArrow(K.lean(untouched), whole).unionByName(joined.mapInArrow(K.lean(touched), whole))
 
 
 def _finished(b: pa.RecordBatch, spans: list, finish, names: list[str]) -> pa.RecordBatch:
