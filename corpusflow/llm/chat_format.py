@@ -1,11 +1,14 @@
 r"""Chat formatting: schema fingerprints select declarative mappings to canonical turns.
 
-A record's nested field paths (names and nesting, not scalar types) are written as
-one string and hashed.  The hash selects a mapping: where the turns lie and which
-fields or literals give role and text.  Typed columns are fingerprinted from their
-schema, JSON strings row by row through the schema of their variant, so that
-records of many layouts can share a column.  Canonical turns then go through one
-template:
+A record's nested field paths (names and nesting, not scalar types), as far as any
+mapping names them, are written as one string and hashed.  The hash selects a
+mapping: where the turns lie and which fields or literals give role and text.  Paths
+that no mapping names (ids, dates, scores) don't enter the hash, so they don't hide a
+layout.  A record whose named paths are those of several mappings, or more than those
+of one, gets the mapping of most paths that it has in full.  JSON strings are
+fingerprinted row by row through their variant, so that records of many layouts can
+share a column; typed columns have one fingerprint, known from the schema.  Canonical
+turns then go through one template:
 
     <|turn|>ROLE<|text|>TEXT<|end|>
 
@@ -35,18 +38,23 @@ _TAILS = "|".join(re.escape(c[1:]) for c in CONTROL)
 ESCAPE = rf"([<\[])(\\*)({_TAILS})"
 UNESCAPE = rf"([<\[])\\(\\*)({_TAILS})"
 
-#: Role names that stand for the canonical ones; others stay.
-ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+#: Roles of layouts that have names of their own for them; other layouts' roles stay as they are.
+SHARED_ROLES = {"human": "user", "gpt": "assistant"}
 LOSS_ROLE = "assistant"
 
 
 @dataclass(frozen=True)
 class ListOfTurns:
-    """Turns are the items of an array."""
+    """Turns are the items of an array; roles: names that stand for canonical ones in this layout."""
 
     at: str
     role: str
     text: str
+    roles: tuple[tuple[str, str], ...] = ()
+
+    @property
+    def paths(self) -> tuple[str, ...]:
+        return (f"{self.at}[]", f"{self.at}[].{self.role}", f"{self.at}[].{self.text}")
 
 
 @dataclass(frozen=True)
@@ -55,57 +63,70 @@ class Fields:
 
     turns: tuple[tuple[str, tuple[str, ...]], ...]
 
-
-#: Layouts by their field paths, in the order of names within each object.
-MAPPINGS = {
-    "{messages:[{content,role}]}": ListOfTurns("messages", "role", "content"),
-    "{conversations:[{from,value}]}": ListOfTurns("conversations", "from", "value"),
-    "{dialog:[{speaker,text}]}": ListOfTurns("dialog", "speaker", "text"),
-    "{prompt,response}": Fields((("user", ("prompt",)), ("assistant", ("response",)))),
-    "{completion,prompt}": Fields((("user", ("prompt",)), ("assistant", ("completion",)))),
-    "{answer,question}": Fields((("user", ("question",)), ("assistant", ("answer",)))),
-    "{prompt,response,system}": Fields((("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
-    "{instruction,output}": Fields((("user", ("instruction",)), ("assistant", ("output",)))),
-    "{input,instruction,output}": Fields((("user", ("instruction", "input")), ("assistant", ("output",)))),
-    "{data:{prompt,response}}": Fields((("user", ("data.prompt",)), ("assistant", ("data.response",)))),
-}
+    @property
+    def paths(self) -> tuple[str, ...]:
+        return tuple(p for _, ps in self.turns for p in ps)
+
+
+#: Layouts; of two that a record has in full the one of more paths counts, of equally many the first.
+MAPPINGS: tuple[ListOfTurns | Fields, ...] = (
+    ListOfTurns("messages", "role", "content"),
+    ListOfTurns("conversations", "from", "value", tuple(SHARED_ROLES.items())),
+    ListOfTurns("dialog", "speaker", "text"),
+    Fields((("user", ("prompt",)), ("assistant", ("response",)))),
+    Fields((("user", ("prompt",)), ("assistant", ("completion",)))),
+    Fields((("user", ("question",)), ("assistant", ("answer",)))),
+    Fields((("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
+    Fields((("user", ("instruction",)), ("assistant", ("output",)))),
+    Fields((("user", ("instruction", "input")), ("assistant", ("output",)))),
+    Fields((("user", ("data.prompt",)), ("assistant", ("data.response",)))),
+)
+#: All paths that a mapping names, in the order in which fingerprints list them.
+PATHS = tuple(sorted({p for m in MAPPINGS for p in m.paths}))
 TURNS = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))
 _TURNS = "array<struct<role:string,text:string>>"
 
 
-def paths_of(kind: T.DataType) -> str:
-    """The field paths of a type, as MAPPINGS writes them."""
+def paths_of(kind: T.DataType, at: str = "") -> set[str]:
+    """All field paths of a type."""
+    if isinstance(kind, T.ArrayType):
+        return {at + "[]"} | paths_of(kind.elementType, at + "[]")
     if isinstance(kind, T.StructType):
-        return "{" + ",".join(f.name + (":" + p if (p := paths_of(f.dataType)) else "") for f in sorted(kind.fields, key=lambda f: f.name)) + "}"
-    return "[" + paths_of(kind.elementType) + "]" if isinstance(kind, T.ArrayType) else ""
+        return {p for f in kind.fields for name in [f"{at}.{f.name}" if at else f.name] for p in {name} | paths_of(f.dataType, name)}
+    return set()
+
+
+def _has(v: Column, path: str) -> Column:
+    """Whether a variant has a path of PATHS; an array's items count together."""
+    if "[]" not in path:
+        return F.try_variant_get(v, f"$.{path}", "variant").isNotNull()
+    at, _, field = path.partition("[]")
+    items = F.try_variant_get(v, f"$.{at}", "array<variant>")
+    return items.isNotNull() if not field else F.coalesce(F.exists(items, lambda x: F.try_variant_get(x, f"${field}", "variant").isNotNull()), F.lit(False))
 
 
 def paths_of_variant(v: Column) -> Column:
-    """The same for each row's variant: its schema without scalar types."""
-    s = F.regexp_replace(F.schema_of_variant(v), "OBJECT<", "{")
-    s = F.regexp_replace(s, "ARRAY<", "[")
-    # closing brackets: the innermost '[...>' and '{...>' in turn, to the depth that any mapping has
-    for _ in range(6):
-        s = F.regexp_replace(s, r"\{([^\[\{<>]*)>", "\u0001$1\u0002")
-        s = F.regexp_replace(s, r"\[([^\[\{<>]*)>", "\u0003$1\u0004")
-    s = F.translate(s, "\u0001\u0002\u0003\u0004", "{}[]")
-    s = F.regexp_replace(s, r"DECIMAL\([0-9]+,[0-9]+\)", "DECIMAL")
-    s = F.regexp_replace(s, r":? ?\b(VOID|BOOLEAN|TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL|STRING|DATE|TIMESTAMP|BINARY)(?=[,\]}])", "")
-    return F.regexp_replace(s, r"([,:]) ", "$1")
+    """The paths of PATHS that each row's variant has, joined by commas."""
+    return F.array_join(F.array_compact(F.array(*[F.when(_has(v, p), F.lit(p)) for p in PATHS])), ",")
 
 
 def fingerprint(paths: Column) -> Column:
     return F.xxhash64(paths)
 
 
-def _role(c: Column) -> Column:
-    c = F.coalesce(c, F.lit(""))
-    known = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
-    return F.coalesce(F.element_at(known, F.lower(c)), c)
+def fingerprint_of(paths: set[str]) -> Column:
+    return fingerprint(F.lit(",".join(p for p in PATHS if p in paths)))
+
+
+def _role(role: Column, names: tuple[tuple[str, str], ...]) -> Column:
+    role = F.coalesce(role, F.lit(""))
+    for name, canonical in names:
+        role = F.when(role == name, canonical).otherwise(role)
+    return role
 
 
 def _of_list(items: Column, m: ListOfTurns) -> Column:
-    return F.transform(F.coalesce(items, F.array().cast(items_type(m))), lambda t: F.struct(_role(t[m.role]).alias("role"), F.coalesce(t[m.text], F.lit("")).alias("text")))
+    return F.transform(F.coalesce(items, F.array().cast(items_type(m))), lambda t: F.struct(_role(t[m.role], m.roles).alias("role"), F.coalesce(t[m.text], F.lit("")).alias("text")))
 
 
 def items_type(m: ListOfTurns) -> str:
@@ -120,36 +141,54 @@ def _of_fields(get, m: Fields) -> Column:
     return F.array(*[F.struct(F.lit(r).alias("role"), text(p).alias("text")) for r, p in m.turns])
 
 
+def chosen(paths: set[str]) -> ListOfTurns | Fields | None:
+    """The mapping of a record with these paths: of most paths among those that it has in full.
+
+    An array without items has no paths inside; it is a layout without turns.
+    """
+    full = [m for m in MAPPINGS if set(m.paths) <= paths or isinstance(m, ListOfTurns) and paths & set(m.paths) == {m.paths[0]} and not any(set(x.paths) <= paths for x in MAPPINGS)]
+    return max(full, key=lambda m: len(m.paths), default=None)
+
+
 def turns_of_struct(record: Column, kind: T.StructType) -> Column:
-    """Canonical turns of a typed column; null if no mapping has its fingerprint."""
-    m = MAPPINGS.get(paths_of(kind))
+    """Canonical turns of a typed column; null if no mapping has its paths."""
+    m = chosen(paths_of(kind))
     if m is None:
         return F.lit(None).cast(_TURNS)
-    if isinstance(m, ListOfTurns):
-        return _of_list(record[m.at], m)
 
     def get(path: str) -> Column:
-        c = record
+        value = record
         for p in path.split("."):
-            c = c[p]
-        return c.cast("string")
+            value = value[p]
+        return value.cast("string")
 
-    return _of_fields(get, m)
+    if isinstance(m, ListOfTurns):
+        return F.when(record.isNotNull(), _of_list(F.transform(record[m.at], lambda t: F.struct(t[m.role].cast("string").alias(m.role), t[m.text].cast("string").alias(m.text))), m))
+    return F.when(record.isNotNull(), _of_fields(get, m))
 
 
 def turns_of_json(record: Column) -> Column:
-    """Canonical turns of each row's JSON; null if it is no JSON or no mapping has its fingerprint."""
+    """Canonical turns of each row's JSON; null if it is no JSON or no mapping has its paths."""
 
     def body(v: Column) -> Column:
-        mark, out = fingerprint(paths_of_variant(v)), None
-        for paths, m in MAPPINGS.items():
+        made = []
+        for m in MAPPINGS:
             if isinstance(m, ListOfTurns):
-                made = _of_list(F.try_variant_get(v, f"$.{m.at}", items_type(m)), m)
+                made.append(_of_list(F.try_variant_get(v, f"$.{m.at}", items_type(m)), m))
             else:
-                made = _of_fields(lambda p: F.try_variant_get(v, f"$.{p}", "string"), m)
-            same = mark == fingerprint(F.lit(paths))
-            out = F.when(same, made) if out is None else out.when(same, made)
-        return out
+                made.append(_of_fields(lambda p: F.try_variant_get(v, f"$.{p}", "string"), m))
+
+        def select(paths: Column) -> Column:
+            mark, out = fingerprint(paths), F
+            for m, turns in zip(MAPPINGS, made, strict=True):  # the whole fingerprint, also of an array without items
+                out = out.when(mark == fingerprint_of(set(m.paths)), turns)
+                out = out.when(mark == fingerprint_of({m.paths[0]}), turns) if isinstance(m, ListOfTurns) else out
+            named = F.split(paths, ",")
+            for m, turns in sorted(zip(MAPPINGS, made, strict=True), key=lambda x: -len(x[0].paths)):  # more paths than one mapping's
+                out = out.when(F.size(F.array_except(F.array(*map(F.lit, m.paths)), named)) == 0, turns)
+            return out
+
+        return let(paths_of_variant(v), select)
 
     return let(F.try_parse_json(record), body)
 
@@ -202,7 +241,8 @@ def read_loss(text: Column, loss: Column) -> Column:
 def rows_to_records(rows: DataFrame) -> DataFrame:
     """(conv_id, record) from rows (conv_id, turn, role, text): struct<messages:array<struct<role,content>>>.
 
-    Turns are sorted by turn (null first), then role, then text; repeated rows stay.
+    Turns are sorted by turn (null first), then role, then text, so that ties have one
+    order; repeated rows stay; rows of a null conv_id are one conversation.
     """
     item = F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("content"))
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(item)).alias("all"))
@@ -213,8 +253,10 @@ def format_records(records: DataFrame, column: str = "record") -> DataFrame:
     """records with turns, formatted (text) and loss (mask) added in place of such columns.
 
     Defined cases: a record that is null, isn't JSON or has no mapping gets nulls; a
-    record without turns an empty text; null roles and texts count as empty; extra
-    fields make another fingerprint, hence another layout; extra columns pass.
+    record without turns an empty text; null roles and texts count as empty; fields that
+    no mapping names are ignored; roles stay as read, but for the names that a layout
+    declares; of two keys of one name in a JSON record the text is no JSON; extra columns
+    pass, those called turns, formatted or loss are replaced.
     """
     kind = records.schema[column].dataType
     turns = turns_of_json(F.col(column)) if isinstance(kind, T.StringType) else turns_of_struct(F.col(column), kind)

@@ -39,10 +39,34 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"), texts=False)
 
 
+def _mixed_layouts(records: DataFrame) -> DataFrame:
+    """(conv_id, record): conversations as JSON of several layouts, dealt out by a hash of the id.
+
+    A user and an assistant turn become two fields (plain, nested, or under other names), with a
+    system turn before them three; others a list under one of three names, some with fields that
+    no mapping names.
+    """
+    turns, kind = F.col("record.messages"), F.pmod(F.xxhash64("conv_id"), F.lit(4))
+    roles = F.array_join(F.transform(turns, lambda t: t["role"]), ",")
+    said = lambda i: F.get(turns, F.lit(i))["content"]
+    listed = lambda role, text: F.transform(turns, lambda t: F.struct(t["role"].alias(role), t["content"].alias(text)))
+    pair = lambda a, b: F.struct(said(0).alias(a), said(1).alias(b))
+    two, three = (roles == "user,assistant") & (F.size(turns) == 2), (roles == "system,user,assistant") & (F.size(turns) == 3)
+    named = F.transform(turns, lambda t: F.struct(t["content"], F.lit("x").alias("name"), t["role"]))
+    out = (
+        F.when(two & (kind == 0), F.to_json(pair("prompt", "response"))).when(two & (kind == 1), F.to_json(pair("question", "answer")))
+        .when(two & (kind == 2), F.to_json(F.struct(F.col("conv_id").alias("id"), pair("prompt", "response").alias("data"))))
+        .when(three & (kind < 2), F.to_json(F.struct(said(1).alias("prompt"), said(2).alias("response"), said(0).alias("system"), kind.alias("score"))))
+        .when(kind == 0, F.to_json(F.struct(F.col("conv_id").alias("id"), named.alias("messages")))).when(kind == 1, F.to_json(F.struct(listed("speaker", "text").alias("dialog"))))
+        .otherwise(F.to_json(F.col("record")))
+    )
+    return records.select("conv_id", out.alias("record"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.sql("select -7L as conv_id, t as turn, r as role, '</s>[INST] ok [/INST]' as text from values (0L, 'user'), (1L, 'assistant') as v(t, r)")
-    out = chat_format.format_records(chat_format.rows_to_records(rows.unionByName(extra)))
+    out = chat_format.format_records(_mixed_layouts(chat_format.rows_to_records(rows.unionByName(extra))))
     back = out.select("conv_id", "formatted", chat_format.read_turns(F.col("formatted")).alias("turns"), F.array_join(chat_format.read_loss(F.col("formatted"), F.col("loss")), "").alias("learned"))
     digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
