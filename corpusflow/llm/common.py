@@ -9,6 +9,17 @@ from pyspark.sql import functions as F
 from ..storage import discard, shared_dir, stored  # noqa: F401
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Names made of the stems that no column of df has, in any case: for what is joined beside a caller's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

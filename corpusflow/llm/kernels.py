@@ -15,6 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 U = np.uint64
 _BASE_BYTE = U(0x9E3779B97F4A7C15 | 1)
@@ -95,9 +96,17 @@ PART_ROWS = 4096
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+#: Of text handed to a worker at once; Spark's own limit is 64 MB, which JVM and worker hold several times.
+BATCH_BYTES = "4m"
+
+
 def lean(run: Run) -> Run:
-    """run, giving back after each batch what Arrow's pool keeps, and at its end what the C library keeps:
-    Spark keeps a worker for later stages, and what it holds then is lost to them."""
+    """run for mapInArrow(), with batches of 4 MB for plans made from now on, giving back after each batch what
+    Arrow's pool keeps, and at its end what the C library keeps: Spark keeps a worker for later stages, and
+    what it holds then is lost to them."""
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,10 +127,12 @@ def lean(run: Run) -> Run:
     return lean_run
 
 
-def parts(batch: pa.RecordBatch, column: int, limit: int = PART_BYTES, rows: int = PART_ROWS) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, column: int, limit: int = PART_BYTES, rows: int = PART_ROWS, beside: int | None = None) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most ``rows`` rows, whose texts have at most ``limit`` bytes in all, or one text:
     kernels use some hundred bytes of memory for a byte of text, so batches of long texts are cut."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    if beside is not None:
+        size = size + pc.fill_null(pc.binary_length(batch.column(beside)), 0).to_numpy(zero_copy_only=False) // 8
     total = np.cumsum(size)
     at = 0
     while at < batch.num_rows:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import bitmap_position, id_bitmap, stored, tested
+from .common import bitmap_position, id_bitmap, stored, tested, unused
 from .components import components
 
 SHINGLE = 5
@@ -130,7 +130,7 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity=SIMILARITY, shingle:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in K.parts(batch, 2):
+            for b in K.parts(batch, 2, beside=3):
                 n = b.num_rows
                 da, va, db, vb, size = _with_hub_sets(b, 2, shingle)
                 d, v = np.concatenate([da, db]), np.concatenate([va, vb])
@@ -198,7 +198,7 @@ def beside_hub(docs: DataFrame, members: DataFrame, similarity=SIMILARITY, shing
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in K.parts(batch, 3):
+            for b in K.parts(batch, 3, beside=4):
                 da, va, db, vb, size = _with_hub_sets(b, 3, shingle)
                 n = np.bincount(da, minlength=b.num_rows)
                 d, v = np.concatenate([da, db]), np.concatenate([va, vb])
@@ -294,5 +294,6 @@ def near_duplicates(docs: DataFrame, similarity=SIMILARITY, shingle: int = SHING
 
 def keep_first(docs: DataFrame, similarity=SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs that stay: of each component the document of smallest id, with docs' columns."""
-    gone = near_duplicates(docs, similarity, shingle).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    (its_id,) = unused(docs, "__id")
+    gone = near_duplicates(docs, similarity, shingle).where("not kept").select(F.col("doc_id").alias(its_id)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(its_id), "left_anti")
