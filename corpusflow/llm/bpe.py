@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 import tempfile
 import unicodedata
@@ -375,16 +376,44 @@ def word_counts(docs: DataFrame, special: list[str]) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(K.lean(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Places start..start+length of each pair, one after the other."""
+    ends = np.cumsum(length)
+    return np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Decoder:
+    """Ids to text by the table of ids: a file without a decoder joins its tokens by one space."""
+
+    def __init__(self, model: Model):
+        self.tokens = np.array(model.tokens, object)
+
+    def texts(self, ids: np.ndarray, bounds: list[int]) -> Iterator[str]:
+        """The text of each run of ids."""
+        tokens = self.tokens[ids].tolist()
+        for i, j in itertools.pairwise(bounds):
+            yield " ".join(tokens[i:j])
+
+
 class Coder:
-    """A worker's encoder: texts to (ids as text, tokens as text, count)."""
+    """A worker's encoder: a batch of texts to ids; words that it has met stay in a table of ids."""
 
     def __init__(self, model: Model, block: bytes, index: list):
         self.model, self.lexicon = model, Lexicon(block, index)
         self.names = np.array([str(i) for i in range(len(model.tokens))], object)
-        self.tokens = np.array(model.tokens, object)
-        self.fixed = {t: (str(i), t, 1) for t, i in model.special.items()}
-        self.cache: dict[str, tuple[str, str, int]] = dict(self.fixed)
         self.special = regex.compile("(" + "|".join(map(regex.escape, model.special)) + ")") if model.special else regex.compile(r"((?!))")
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}  # of a word in the next two
+        self.start, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self._append(list(self.model.special), [np.array([i], np.int32) for i in self.model.special.values()])
+
+    def _append(self, words: list[str], made: list[np.ndarray]) -> None:
+        size = np.fromiter(map(len, made), np.int64, len(made))
+        self.place.update(zip(words, range(len(self.start), len(self.start) + len(words)), strict=True))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.length, self.flat = np.concatenate([self.length, size]), np.concatenate([self.flat, *made])
 
     def ids(self, words: list[str]) -> list[np.ndarray]:
         raw = [w.encode() for w in words]
@@ -395,30 +424,23 @@ class Coder:
             out[i] = x
         return out
 
-    def learn(self, words: set[str]) -> None:
-        new = list(words - self.cache.keys())
-        if not new:
-            return
-        made = self.ids(new)
-        flat = np.concatenate(made)
-        names, tokens = self.names[flat].tolist(), self.tokens[flat].tolist()
-        ends = np.cumsum(np.fromiter(map(len, made), np.int64, len(made))).tolist()
-        i, join = 0, " ".join
-        for w, j in zip(new, ends, strict=True):
-            self.cache[w] = (join(names[i:j]), join(tokens[i:j]), j - i)
-            i = j
-
-    def documents(self, texts: list[str | None]) -> Iterator[tuple[str, str, int]]:
+    def documents(self, texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
+        """Ids of all texts, and each text's bounds in them."""
         p = Pieces(texts, self.special)
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-            self.cache |= self.fixed
-        self.learn(set(p.words))
-        made = [self.cache[w] for w in p.words]
-        ids, tokens = (np.array([m[k] for m in made], object)[p.codes].tolist() for k in (0, 1))
-        count = np.concatenate([[0], np.cumsum(np.array([m[2] for m in made], np.int64)[p.codes])])
-        for i, j in zip(p.bounds[:-1], p.bounds[1:], strict=True):
-            yield " ".join(ids[i:j]), " ".join(tokens[i:j]), int(count[j] - count[i])
+        if len(self.place) > CACHE_WORDS:
+            self.forget()
+        if new := [w for w in p.words if w not in self.place]:
+            self._append(new, self.ids(new))
+        word = np.fromiter(map(self.place.__getitem__, p.words), np.int64, len(p.words))[p.codes]
+        length = self.length[word]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        return self.flat[spread(self.start[word], length)], ends[p.bounds].tolist()
+
+    def written(self, ids: np.ndarray, bounds: list[int]) -> Iterator[str]:
+        """Each text's ids in decimals, joined by one space."""
+        names = self.names[ids].tolist()
+        for i, j in itertools.pairwise(bounds):
+            yield " ".join(names[i:j])
 
 
 class Given:
@@ -427,12 +449,12 @@ class Given:
 
     def __init__(self, model: Model, block: bytes, index: list):
         self.parts = (model, block, index)
-        self._coder: Coder | None = None
+        self._made: tuple[Coder, Decoder] | None = None
 
-    def coder(self) -> Coder:
-        if self._coder is None:
-            self._coder = Coder(*self.parts)
-        return self._coder
+    def coders(self) -> tuple[Coder, Decoder]:
+        if self._made is None:
+            self._made = Coder(*self.parts), Decoder(self.parts[0])
+        return self._made
 
 
 def build_lexicon(docs: DataFrame, model: Model, size: int = LEXICON_WORDS) -> dict[str, np.ndarray]:
@@ -457,27 +479,46 @@ def encode(docs: DataFrame, path: str, size: int = LEXICON_WORDS, texts: bool =
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]) for every row of docs.
 
     ids are the file's ids without added ones, as text, joined by one space; decoded
-    is what decode() gives back, its tokens joined by one space.  The digests are
-    their lower-case SHA-256.
+    is what the decoder makes of these ids.  The digests are their lower-case SHA-256.
 
     Defined cases: null text counts as empty, with no ids and an empty decoded text;
     a special string inside a text becomes its id; null ids and repeated rows are
     encoded like any other; other columns aren't read.
     """
     model = Model(path)
-    block, index = pack(build_lexicon(docs, model, size))
-    given = docs.sparkSession.sparkContext.broadcast(Given(model, block, index))
+    given = docs.sparkSession.sparkContext.broadcast(Given(model, *pack(build_lexicon(docs, model, size))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = given.value.coder()
+        coder, decoder = given.value.coders()
         for batch in batches:
             for b in K.parts(batch, 1, PART_BYTES):
-                rows = list(coder.documents(b.column(1).to_pylist()))
-                digest = [[hashlib.sha256(r[k].encode()).hexdigest() for r in rows] for k in (0, 1)]
-                cols = [b.column(0), pa.array([r[2] for r in rows], pa.int64()), *(pa.array(d, pa.string()) for d in digest)]
-                cols += [pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)] if texts else []
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                ids, bounds = coder.documents(b.column(1).to_pylist())
+                made = [list(coder.written(ids, bounds)), list(decoder.texts(ids, bounds))]
+                cols = [b.column(0), pa.array(np.diff(bounds)), *(pa.array([hashlib.sha256(x.encode()).hexdigest() for x in xs], pa.string()) for xs in made)]
+                yield pa.RecordBatch.from_arrays([*cols, *([pa.array(x, pa.string()) for x in made] if texts else [])], names=names)
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if texts else [])]
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids string, decoded string" if texts else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(K.lean(run), schema)
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """(doc_id, decoded) from (doc_id, ids): ids in decimals, joined by one space, as encode() gives them.
+
+    Null or empty ids give an empty text; an id that the file lacks is an error; null
+    doc_ids and repeated rows are decoded like any other; other columns aren't read.
+    """
+    given = encoded.sparkSession.sparkContext.broadcast(Model(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(given.value)
+        for batch in batches:
+            for b in K.parts(batch, 1, PART_BYTES):
+                each = [np.array((x or "").split(), np.int64) for x in b.column(1).to_pylist()]
+                bounds = np.concatenate([[0], np.cumsum([len(x) for x in each])]).tolist()
+                flat = np.concatenate(each)
+                if (flat < 0).any():
+                    raise ValueError("ids must not be negative")
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(decoder.texts(flat, bounds)), pa.string())], names=["doc_id", "decoded"])
+
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("string").alias("ids")).mapInArrow(K.lean(run), "doc_id long, decoded string")
