@@ -4,22 +4,22 @@ A text is cut into paragraph cells: at line ends, after sentence ends, and insid
 long stretches after words whose hash says so, so that cuts depend on the content
 near them.  A cell's key is its hash and its number among equal cells of the text.
 A sketch of m cells adds every key to three of them: count, sum of keys, sum of
-check values.  Two sketches subtract; what is left peels: a cell that holds one key
-gives it away, which frees others.  If something stays, both are sketched anew four
-times as large.  Likeness is the Jaccard similarity of the key sets, from the number
-of recovered keys.
+check values.  A fingerprint is a sketch with the number of its keys.  Two of them
+subtract; what is left peels: a cell that holds one key gives it away, which frees
+others.  Likeness is the Jaccard similarity of the key sets, from the numbers of keys
+and of recovered ones, so that two fingerprints suffice (compared()).  Only if
+something stays are both texts sketched anew, four times as large.
 """
 
 from __future__ import annotations
 
 import base64
-import bisect
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -114,29 +114,39 @@ def peel(count: np.ndarray, total: np.ndarray, check: np.ndarray, seed: int = 0)
     return np.concatenate([*pairs, np.zeros(0, np.int64)]), np.concatenate([*keys, np.zeros(0, K.U)]), empty
 
 
-def differences(doc_a, key_a, doc_b, key_b, n: int) -> np.ndarray:
-    """For each of n pairs of key sets, how many keys are in one only; retries larger until all peel."""
-    out, open_ = np.full(n, -1, np.int64), np.arange(n)
-    doc, key = np.concatenate([doc_a, doc_b]), np.concatenate([key_a, key_b])
-    sign = np.concatenate([np.ones(len(key_a), np.int64), -np.ones(len(key_b), np.int64)])
-    m = CELLS
-    for attempt in range(TRIES):
+def differences(sketches, left: np.ndarray, right: np.ndarray, doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """For each pair of documents left[i], right[i], how many keys are in one only.
+
+    sketches: those of all documents, with CELLS cells, which are subtracted and peeled; of
+    pairs of which something stays larger ones are made from (doc, key), sorted by doc,
+    until all peel.
+    """
+    n = len(left)
+    out = np.full(n, -1, np.int64)
+    with np.errstate(over="ignore"):
+        pair, _, empty = peel(*((x[left] - x[right]).copy() for x in sketches))
+    got = np.bincount(pair, minlength=n)
+    out[empty] = got[empty]
+    open_, m = np.flatnonzero(~empty), CELLS
+    ends = np.searchsorted(doc, np.arange(len(sketches[0]) + 1))
+    for attempt in range(1, TRIES):
         if not len(open_):
             return out
-        slot = np.full(n, -1)
-        slot[open_] = np.arange(len(open_))
-        mine = slot[doc] >= 0
-        doc, key, sign = doc[mine], key[mine], sign[mine]
-        pair, _, empty = peel(*sketch(slot[doc], key, len(open_), m, sign, attempt), attempt)
+        a, b = left[open_], right[open_]
+        size = ends[1:] - ends[:-1]
+        own, other = size[a], size[b]
+        at = np.concatenate([np.repeat(ends[a] - np.cumsum(own) + own, own) + np.arange(own.sum()), np.repeat(ends[b] - np.cumsum(other) + other, other) + np.arange(other.sum())])
+        slot = np.concatenate([np.repeat(np.arange(len(open_)), own), np.repeat(np.arange(len(open_)), other)])
+        sign = np.concatenate([np.ones(own.sum(), np.int64), -np.ones(other.sum(), np.int64)])
+        # no larger than the keys at hand ask for
+        m = min(m * GROW, max(CELLS, 3 * int(np.ceil((own + other).max() * 0.75)) + 3 * CELLS))
+        pair, _, empty = peel(*sketch(slot, key[at], len(open_), m, sign, attempt), attempt)
         got = np.bincount(pair, minlength=len(open_))
         out[open_[empty]] = got[empty]
         open_ = open_[~empty]
-        # no larger than the keys at hand ask for
-        left = np.bincount(doc, minlength=n)[open_]
-        m = min(m * GROW, max(CELLS, 3 * int(np.ceil(left.max(initial=0) * 0.75)) + 3 * CELLS))
     for i in open_.tolist():  # not seen in practice: exact, without a sketch
-        a, b = key[(doc == i) & (sign > 0)], key[(doc == i) & (sign < 0)]
-        out[i] = len(np.setxor1d(a, b))
+        x, y = key[ends[left[i]] : ends[left[i] + 1]], key[ends[right[i]] : ends[right[i] + 1]]
+        out[i] = len(np.setxor1d(x, y))
     return out
 
 
@@ -147,67 +157,103 @@ def likeness(n_a: np.ndarray, n_b: np.ndarray, different: np.ndarray) -> np.ndar
     return np.where(union > 0, both / np.maximum(union, 1), 1.0)
 
 
-def serial(count: np.ndarray, total: np.ndarray, check: np.ndarray) -> list[str]:
-    """Sketches as text: little-endian counts (32 bits), key sums, check sums (64), in base 64."""
-    return [base64.b64encode(c.astype("<i4").tobytes() + t.astype("<u8").tobytes() + k.astype("<u8").tobytes()).decode() for c, t, k in zip(count, total, check, strict=True)]
+def serial(count: np.ndarray, total: np.ndarray, check: np.ndarray, keys: np.ndarray) -> list[str]:
+    """Fingerprints as text: little-endian number of keys (32 bits), then of each cell count (32 bits), key sum, check sum (64), in base 64."""
+    each = zip(keys, count, total, check, strict=True)
+    return [base64.b64encode(np.int32(n).tobytes() + c.astype("<i4").tobytes() + t.astype("<u8").tobytes() + k.astype("<u8").tobytes()).decode() for n, c, t, k in each]
 
 
-def parse(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def parse(text: str) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     raw = base64.b64decode(text)
-    m = len(raw) // 20
-    return np.frombuffer(raw, "<i4", m).astype(np.int64), np.frombuffer(raw, "<u8", m, 4 * m).astype(K.U), np.frombuffer(raw, "<u8", m, 12 * m).astype(K.U)
+    m = (len(raw) - 4) // 20
+    return int(np.frombuffer(raw, "<i4", 1)[0]), np.frombuffer(raw, "<i4", m, 4).astype(np.int64), np.frombuffer(raw, "<u8", m, 4 + 4 * m).astype(K.U), np.frombuffer(raw, "<u8", m, 4 + 12 * m).astype(K.U)
 
 
 def recovered(a: str, b: str) -> np.ndarray | None:
     """Keys of paragraph cells that differ between two fingerprints; None if they are too many for the sketch."""
-    x, y = parse(a), parse(b)
+    x, y = parse(a)[1:], parse(b)[1:]
     with np.errstate(over="ignore"):
         _, keys, empty = peel(*((p - q)[None].copy() for p, q in zip(x, y, strict=True)))
     return keys if empty[0] else None
 
 
+def compared(a: str, b: str) -> float | None:
+    """The likeness of two fingerprints; None if they differ in too much for the sketch: then larger ones are needed."""
+    keys = recovered(a, b)
+    return None if keys is None else float(likeness(np.array([parse(a)[0]]), np.array([parse(b)[0]]), np.array([len(keys)]))[0])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, n_cells) for every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (p for batch in batches for p in K.parts(batch, 1)):
             doc, key = cell_keys(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(serial(*sketch(doc, key, b.num_rows))), pa.array(np.bincount(doc, minlength=b.num_rows))], names=["doc_id", "fingerprint", "n_cells"])
+            size = np.bincount(doc, minlength=b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(serial(*sketch(doc, key, b.num_rows), size)), pa.array(size)], names=["doc_id", "fingerprint", "n_cells"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(K.lean(run), "doc_id long, fingerprint string, n_cells long")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+#: Texts of a range of ids, in bytes: it is handled by one task.
+RANGE_BYTES = 16 << 20
+
+
+def partition_keys(spark: SparkSession, k: int) -> list[int]:
+    """k numbers that repartition(k, number) deals to k different partitions, as far as there are such among the tries."""
+    tries = spark.range(int(k * (np.log(k) + 10)) + 1).select("id", F.pmod(F.hash("id"), F.lit(k)).alias("p"))
+    found = {r.p: r.id for r in tries.groupBy("p").agg(F.min("id").alias("id")).collect()}
+    return [found.get(i, -1 - i) for i in range(k)]
+
+
+def _range_of(cuts: np.ndarray, ids: pa.Array) -> np.ndarray:
+    """The range of each id: how many cuts are at most the id; null ids are in the first."""
+    known = np.asarray(ids.is_valid())
+    return np.where(known, np.searchsorted(cuts, np.asarray(ids.fill_null(0)), side="right"), 0)
+
+
+def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(g, copy, doc_id, text), partitioned by g and sorted: each row is followed by the next document.
 
-    Ids are cut into ranges at approximate quantiles, one for each shuffle partition.  The
-    first document of each range is also sent, as a copy, behind the last of the range
-    before (the first of all: behind the last of all).  One shuffle of the texts; the
-    driver holds a few numbers for each partition.
+    Ids are cut into narrow ranges at approximate quantiles, which are joined while their texts
+    have less than range_bytes: a range is a partition of its own, and as many are made as the
+    texts ask for.  The first document of each range is also sent, as a copy, behind the last of
+    the range before (the first of all: behind the last of all).  One shuffle of the texts; the
+    driver holds a few numbers for each narrow range.
     """
     spark = docs.sparkSession
-    k = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cuts = sorted({int(x) for x in rows.approxQuantile("doc_id", [i / k for i in range(1, k)], 0.1 / k)}) if k > 1 else []
+    size = rows.select(F.sum(F.octet_length("text") + F.lit(64)).alias("n")).first().n or 0
+    narrow = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes))
+    cuts = np.array(sorted({int(x) for x in rows.approxQuantile("doc_id", [i / narrow for i in range(1, narrow)], 0.1 / narrow)}), np.int64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            g = np.array([0 if x is None else bisect.bisect_right(cuts, x) for x in b.column(0).to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(g)], names=["doc_id", "g"])
-
-    firsts = rows.select("doc_id").mapInArrow(K.lean(place), "doc_id long, g long").groupBy("g").agg(F.min(F.struct("doc_id")).alias("first")).orderBy("g").collect()
-    full = [r.g for r in firsts]
-    before = {r.first.doc_id: full[i - 1] for i, r in enumerate(firsts)}
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_range_of(cuts, b.column(0)))], names=["doc_id", "n", "g"])
+
+    sized = rows.select("doc_id", (F.octet_length("text") + 64).cast("long").alias("n")).mapInArrow(K.lean(place), "doc_id long, n long, g long")
+    found = sized.groupBy("g").agg(F.min(F.struct("doc_id")).alias("first"), F.sum("n").alias("n")).orderBy("g").collect()
+    starts: list = []  # first row of each range: g of its first narrow range, first id
+    held = 0
+    for r in found:
+        if not starts or held + r.n > range_bytes:
+            starts.append((r.g, r.first.doc_id))
+            held = 0
+        held += r.n
+    k = max(1, len(starts))
+    keys = np.array(partition_keys(spark, k), np.int64)
+    of_narrow = np.searchsorted([g for g, _ in starts], np.arange(len(cuts) + 1), side="right") - 1
+    before = {i: (n - 1) % k for n, (_, i) in enumerate(starts)}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            own = of_narrow[_range_of(cuts, b.column(0))]
             ids = b.column(0).to_pylist()
-            own = np.array([0 if x is None else bisect.bisect_right(cuts, x) for x in ids], np.int64)
             twice = [i for i, x in enumerate(ids) if x in before]
             for at, g, copy in ((np.arange(len(ids)), own, 0), (np.array(twice, np.int64), np.array([before[ids[i]] for i in twice], np.int64), 1)):
                 if len(at):
                     some = b.take(pa.array(at))
-                    yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.full(len(at), copy, np.int32)), *some.columns], names=["g", "copy", "doc_id", "text"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[g]), pa.array(np.full(len(at), copy, np.int32)), *some.columns], names=["g", "copy", "doc_id", "text"])
 
     dealt = rows.mapInArrow(K.lean(deal), "g long, copy int, doc_id long, text string")
     return dealt.withColumn("h", F.xxhash64("text")).repartition(k, "g").sortWithinPartitions("g", "copy", "doc_id", "h").drop("h")
@@ -231,12 +277,9 @@ def versions(docs: DataFrame) -> DataFrame:
             half = len(own) // 2
             edited.append(own[: len(own) - half] + after[:half])
         doc, key = cell_keys(pa.array([*texts, *edited], pa.large_string()))
-        size = np.bincount(doc, minlength=2 * n + 1)
-        own, after, new = doc < n, (doc > 0) & (doc <= n), doc > n
-        far = differences(
-            np.concatenate([doc[own], doc[own] + n]), np.concatenate([key[own]] * 2), np.concatenate([doc[new] - n - 1, doc[after] - 1 + n]), np.concatenate([key[new], key[after]]), 2 * n
-        )
-        prints = serial(*sketch(doc, key, 2 * n + 1))
+        size, each, at = np.bincount(doc, minlength=2 * n + 1), sketch(doc, key, 2 * n + 1), np.arange(n)
+        far = differences(each, np.concatenate([at, at]), np.concatenate([at + n + 1, at + 1]), doc, key)
+        prints = serial(*each, size)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, pa.int64()), pa.array([len(t) for t in texts[:-1]], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
@@ -250,7 +293,7 @@ def versions(docs: DataFrame) -> DataFrame:
         ids: list = []
         texts: list[str] = []
         last: tuple | None = None  # the row whose successor hasn't come yet
-        for b in (p for batch in batches for p in K.parts(batch, 3, 1 << 20)):
+        for b in (p for batch in batches for p in K.parts(batch, 3)):
             for g, copy, i, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if last is not None and last[0] == g:
                     ids.append(last[1])
