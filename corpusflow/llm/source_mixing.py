@@ -8,9 +8,9 @@ one on one processor, where this rule is optimal).  The rule is sequential: the
 driver runs it over blocks, never rows, in O(log sources) a block, and rows get
 their slots by a join on (source, block).
 
-DataFrame functions only.  Rows of a source are numbered by (source, bucket), with
-as many buckets as its rows ask for, so that a source holding a third of all rows is
-spread; bucket totals are summed by a window over the small table of counts.
+DataFrame functions only.  Rows are numbered by one range sort of (source, hash, id),
+so that a source holding a third of all rows is spread over many tasks; the rows of a
+source in the parts before are summed by a window over a row for each (source, part).
 """
 
 from __future__ import annotations
@@ -24,23 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PERIOD = 840
-BLOCK_ROWS = 32
-BUCKET_ROWS = 4096
-
+from .common import stored, unused
 
-def _numerators(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Largest remainders: whole slots of a period for each source, at least one, summing to the period."""
-    if not weights or any(not (w > 0 and math.isfinite(w)) for w in weights.values()):
-        raise ValueError("weights must be positive and finite")
-    if len(weights) > period:
-        raise ValueError(f"at most {period} sources can have a slot of {period}")
-    total, free = sum(weights.values()), period - len(weights)
-    exact = {s: w / total * free for s, w in weights.items()}
-    out = {s: 1 + math.floor(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (math.floor(exact[s]) - exact[s], s))[: period - sum(out.values())]:
-        out[s] += 1
-    return out
+BLOCK_ROWS = 32
+#: The driver schedules so many blocks at most: of more rows than that asks for, blocks are larger.
+MOST_BLOCKS = 1 << 20
 
 
 def earliest_deadline_first(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tuple[str, int]]:
@@ -72,13 +60,6 @@ def earliest_deadline_first(weights: dict[str, float], blocks: dict[str, int]) -
         t += 1
 
 
-def schedule(spark, weights: dict[str, float], period: int = PERIOD) -> DataFrame:
-    """(source, quota, k, slot): a schedule of ``period`` slots, weights rounded to whole slots of it. mix() doesn't round."""
-    quota = _numerators(weights, period)
-    rows = [(s, quota[s], k, slot) for slot, (s, k) in enumerate(earliest_deadline_first(quota, quota))]
-    return spark.createDataFrame(rows, "source string, quota long, k long, slot long")
-
-
 def tempered(docs: DataFrame, exponent: float = 0.5) -> dict[str, float]:
     """Weights that flatten the natural shares: rows of a source to a power, for every source that isn't null."""
     counts = docs.groupBy(F.col("source").cast("string").alias("source")).count().where("source is not null")
@@ -101,47 +82,54 @@ def _slots(spark, weights: dict[str, float], rows_of: dict[str | None, int], blo
     return spark.createDataFrame(pa.table({"__s": pa.array(source, pa.string()), "__block": pa.array(block, pa.int64()), "slot": pa.array(slot, pa.int64())}))
 
 
-def mix(docs: DataFrame, weights: dict[str, float], period: int = PERIOD, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def block_size(rows: int) -> int:
+    return max(BLOCK_ROWS, -(-rows // MOST_BLOCKS))
+
+
+def mix(docs: DataFrame, weights: dict[str, float], block_rows: int | None = None) -> DataFrame:
     """(doc_id, source, block, slot, position) for every row of docs, to be read in the order of position.
 
     slot is the block's place, one block in each; position orders all rows and is
     different for each: (slot, row within the block) packed as slot * block_rows + row.  Until a source
     runs out, each prefix of slots holds each source's share of the given weights
     to less than a block; afterwards the others go on in their proportions.  Within
-    a source the order is by a hash of doc_id, then doc_id.
+    a source the order is by a hash of doc_id, then doc_id.  Without block_rows a block has
+    32 rows, or a 2**20th of all rows if that is more, so that the driver's schedule is bounded.
 
     Defined cases: rows of a null source, or of one that weights doesn't name, come
     after the schedule in slots of their own (null, then source order, then rows),
     since they have no share, and so do all rows if there are no weights; weights of sources without rows don't count; null ids and
     repeated rows are numbered like any other; no rows, no output.  Text and other
-    columns aren't read.  ``period`` is not read: nothing is rounded to a period.
+    columns aren't read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("doc_id")).alias("h"))
     rows_of = {r["source"]: r["count"] for r in rows.groupBy("source").count().collect()}
-    buckets = 1 << max(0, (sum(rows_of.values()) // BUCKET_ROWS)).bit_length()
-    width = (1 << 63) // buckets * 2  # buckets are ranges of the hash, so their order is the hash's
-    rows = rows.withColumn("bucket", (F.floor(F.col("h") / F.lit(float(width))) + buckets // 2).cast("long"))
-    counts = rows.groupBy("source", "bucket").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(F.col("source").alias("__s"), F.col("bucket").alias("__b"), F.coalesce(before, F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id"))
-    numbered = rows.withColumn("rank", rank - 1).join(offsets, F.col("source").eqNullSafe(F.col("__s")) & (F.col("bucket") == F.col("__b")))
-    numbered = numbered.withColumn("n", F.col("before") + F.col("rank")).select("doc_id", "source", F.floor(F.col("n") / block_rows).cast("long").alias("block"), (F.col("n") % block_rows).alias("row"))
+    block_rows = block_rows or block_size(sum(rows_of.values()))
+    # numbers by one range sort of (source, h, id), of which each task sorts its part, whatever the sources' sizes:
+    # a row's place in its part less that of the source's first row there, plus the source's rows in parts before
+    at = rows.repartitionByRange("source", "h", "doc_id").sortWithinPartitions("source", "h", "doc_id")
+    at = stored(at.withColumn("at", F.monotonically_increasing_id()).drop("h")).withColumn("part", F.shiftright("at", 33))
+    runs = at.groupBy("source", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select(F.col("source").alias("__s"), F.col("part").alias("__p"), "first", F.coalesce(before, F.lit(0)).alias("before"))
+    numbered = at.join(runs, F.col("source").eqNullSafe(F.col("__s")) & (F.col("part") == F.col("__p"))).withColumn("n", F.col("before") + F.col("at") - F.col("first"))
+    numbered = numbered.select("doc_id", "source", F.floor(F.col("n") / block_rows).cast("long").alias("block"), (F.col("n") % block_rows).alias("row"))
     placed = numbered.join(_slots(spark, weights, rows_of, block_rows), F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__block")))
     return placed.select("doc_id", "source", "block", "slot", (F.col("slot") * block_rows + F.col("row")).cast("long").alias("position"))
 
 
-def places(docs: DataFrame, weights: dict[str, float], period: int = PERIOD, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def places(docs: DataFrame, weights: dict[str, float], block_rows: int | None = None) -> DataFrame:
     """(__id, __position) of each doc_id that isn't null: rows of one doc_id share the smallest of their positions."""
-    return mix(docs, weights, period, block_rows).where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min("position").alias("__position"))
+    return mix(docs, weights, block_rows).where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min("position").alias("__position"))
 
 
-def in_mixed_order(docs: DataFrame, weights: dict[str, float], period: int = PERIOD, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def in_mixed_order(docs: DataFrame, weights: dict[str, float], block_rows: int | None = None) -> DataFrame:
     """All rows of docs with their columns, range-partitioned and sorted by position: files are read in mixing order.
 
     Rows of one doc_id share the smallest of their positions; null ids come last.
     """
-    place = places(docs, weights, period, block_rows)
-    joined = docs.join(place, F.col("doc_id") == F.col("__id"), "left")
-    return joined.orderBy(F.col("__position").asc_nulls_last(), "doc_id").select(*docs.columns)
+    its_id, position = unused(docs, "__id", "__position")
+    place = places(docs, weights, block_rows).toDF(its_id, position)
+    joined = docs.join(place, F.col("doc_id") == F.col(its_id), "left")
+    return joined.orderBy(F.col(position).asc_nulls_last(), "doc_id").select(*docs.columns)
