@@ -3,12 +3,14 @@
 Lines are normalised (A-Z lower-cased, digits to 0, runs of white space and
 punctuation dropped) and hashed; each document hands on each hash once.  A line
 is boilerplate if the distinct documents of its host that hold it exceed the
-host's limit: ``limit_docs``, or ``limit_share`` of the host's documents if that is
-more.  Boilerplate lines go; a document of which less than ``least_left`` of its
-words is left is depleted and rejected.
+host's limit: ``limit_share`` of the host's distinct documents, or ``limit_docs`` if
+that is more, a floor of a few so that the rule works alike on hosts of every size.
+Boilerplate lines go; a document of which less than ``least_left`` of its words is
+left is depleted and rejected.
 
 Counts are partial aggregates over (host, hash) and hosts' sizes come by a join,
-so a host holding a third of all rows is spread over its lines.  The lines that
+so a host holding a third of all rows is spread over its lines.  Rows are counted
+first; only lines with enough rows are counted by distinct documents.  The lines that
 are over a limit are joined back to the documents by sort-merge joins, which
 adaptive execution may split.
 """
@@ -23,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import stored
+from .common import stored, unused
 
-LIMIT_DOCS = 50
-LIMIT_SHARE = 0.02
+LIMIT_DOCS = 3
+LIMIT_SHARE = 0.05
 LEAST_LEFT = 0.3
 MIN_WORDS = 50
 MAX_REPEAT = 0.5
@@ -125,20 +127,26 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def _over_limit(rows: DataFrame, limit_docs: int, limit_share: float) -> DataFrame:
-    """(doc_id, h, w) of the lines over their host's limit, from measured() rows."""
-    lines = rows.where("doc_id is not null").select("doc_id", "host", F.explode("lines").alias("l")).select("doc_id", "host", "l.h", "l.w")
-    docs_of = rows.groupBy("host").agg(F.count("*").alias("docs"))
-    often = lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > limit_docs)
-    common = often.join(docs_of, "host").where(F.col("n") > F.greatest(F.lit(float(limit_docs)), F.col("docs") * limit_share)).select("host", "h")
-    return lines.join(common, ["host", "h"]).select("doc_id", "h", "w")
+    """(doc_id, host, gone): the hashes of each document's lines over their host's limit, from measured() rows."""
+    known = rows.where("doc_id is not null")
+    lines = known.select("doc_id", "host", F.explode("lines.h").alias("h"))
+    docs_of = known.select("host", "doc_id").distinct().groupBy("host").agg(F.count("*").alias("docs"))
+    # as many rows as documents at least: only what has enough rows is counted by distinct documents
+    often = lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > limit_docs).join(docs_of, "host")
+    over = F.col("n") > F.greatest(F.lit(float(limit_docs)), F.col("docs") * limit_share)
+    held = stored(lines.join(often.where(over).select("host", "h", "docs"), ["host", "h"]).distinct())
+    common = held.groupBy("host", "h").agg(F.count("*").alias("n"), F.first("docs").alias("docs")).where(over).select("host", "h")
+    return held.join(common, ["host", "h"]).groupBy("doc_id", "host").agg(F.collect_list("h").alias("gone"))
 
 
 def _judged(rows: DataFrame, over: DataFrame, least_left: float) -> DataFrame:
-    removed = over.groupBy("doc_id").agg(F.sum("w").alias("n_common_words")).withColumnRenamed("doc_id", "__id")
-    out = rows.drop("lines", "host").join(removed, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    gone = over.select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), "gone")
+    out = rows.join(gone, (F.col("doc_id") == F.col("__id")) & (F.col("host") == F.col("__host")), "left")
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") > F.col("n_words") * MAX_REPEAT)
-    gone = F.coalesce("n_common_words", F.lit(0))
-    return out.select("doc_id", *BASE, failed.alias("base_failed"), gone.alias("n_common_words"), (~failed & (F.col("n_words") - gone >= F.col("n_words") * least_left)).alias("kept"))
+    mine = F.filter("lines", lambda x: F.array_contains("gone", x["h"]))
+    n = F.when(F.col("gone").isNull(), F.lit(0).cast("long")).otherwise(F.aggregate(mine, F.lit(0).cast("long"), lambda total, x: total + x["w"]))
+    out = out.select("doc_id", *BASE, failed.alias("base_failed"), n.alias("n_common_words"))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_common_words") >= F.col("n_words") * least_left))
 
 
 def judge(docs: DataFrame, limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
@@ -149,9 +157,8 @@ def judge(docs: DataFrame, limit_docs: int = LIMIT_DOCS, limit_share: float = LI
 
     Defined cases: null text counts as empty and fails; a null source is a host of its
     own, called ''; lines without a letter or digit are nobody's boilerplate; rows of
-    one doc_id count each in line frequencies and are all charged with their common
-    words in sum; rows of a null doc_id count as one document and
-    lose no lines; other columns aren't read.
+    one doc_id and host are one document in line frequencies, and each row loses its own
+    lines; rows of a null doc_id aren't counted and lose no lines; other columns aren't read.
     """
     rows = stored(measured(docs))
     return _judged(rows, _over_limit(rows, limit_docs, limit_share), least_left)
@@ -172,25 +179,32 @@ def remove_lines(texts: pa.Array, gone: list[list[int] | None]) -> pa.Array:
 
 
 def without_common_lines(docs: DataFrame, limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
-    """The documents that judge() keeps, with docs' columns and ``text`` freed of lines over the limit.
+    """The rows that judge() keeps, with docs' columns and ``text`` freed of lines over the limit.
 
-    Ids must be unique and not null. Lines are hashed again, text by text, against the
-    list of the document's lines over the limit; all others stay as they are. Other
-    columns, also counts of characters, pass unread.
+    Texts are measured again where the lines go, against the list of their document's lines
+    over the limit, and judged by what is left; all other lines stay as they are.  Cases as in
+    judge(); other columns, also counts of characters, pass unread.
     """
     rows = stored(measured(docs))
-    over = stored(_over_limit(rows, limit_docs, limit_share))
-    kept = _judged(rows, over, least_left).where("kept").select(F.col("doc_id").alias("__id"))
-    gone = over.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("h").alias("__gone"))
-    found = kept.join(gone, "__id", "left")
+    given = docs.withColumn("text", F.col("text").cast("string"))
+    its_id, its_host, its_gone = unused(docs, "__id", "__host", "__gone")
+    gone = _over_limit(rows, limit_docs, limit_share).toDF(its_id, its_host, its_gone)
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in K.parts(batch, at):
+                m, lists = measure(b.column(at)), b.column(len(names)).to_pylist()
+                left = m["n_words"].copy()
+                bounds = np.searchsorted(m["line_doc"], np.arange(b.num_rows + 1))
+                for i, hashes in enumerate(lists):
+                    if hashes:
+                        own = slice(bounds[i], bounds[i + 1])
+                        left[i] -= m["line_words"][own][np.isin(m["line_hash"][own].view(np.int64), np.array(hashes, np.int64))].sum()
+                kept = (m["n_words"] >= MIN_WORDS) & (m["n_repeat_words"] <= m["n_words"] * MAX_REPEAT) & (left >= m["n_words"] * least_left)
                 cols = b.columns[:-1]
-                cols[at] = remove_lines(cols[at], b.column(len(names)).to_pylist())
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                cols[at] = remove_lines(cols[at], lists)
+                yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(kept))
 
-    given = docs.withColumn("text", F.col("text").cast("string"))
-    return given.join(found, F.col("doc_id") == F.col("__id")).select(*names, "__gone").mapInArrow(K.lean(run), given.schema)
+    same = (F.col("doc_id").cast("long") == F.col(its_id)) & (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col(its_host))
+    return given.join(gone, same, "left").select(*names, its_gone).mapInArrow(K.lean(run), given.schema)

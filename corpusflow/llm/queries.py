@@ -149,35 +149,37 @@ from escaped group by conv_id
 
 _WORD = r"[^\x20\x09-\x0D]+"
 OP6_SQL = rf"""
-with word as (
-  select doc_id, generate_subscripts(ws, 1) as i, unnest(ws) as w from (select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') as ws from documents)
+with docs as (
+  select row_number() over () as rid, doc_id, coalesce(text, '') as text, coalesce(source, '') as host from documents
+), word as (
+  select rid, generate_subscripts(ws, 1) as i, unnest(ws) as w from (select rid, regexp_extract_all(text, '{_WORD}') as ws from docs)
 ), per_word as (
-  select doc_id, count(*) as n_words, sum(length(w)) as word_chars from word group by doc_id
+  select rid, count(*) as n_words, sum(length(w)) as word_chars from word group by rid
 ), tri as (
-  select doc_id, i, w, lead(w) over o as w2, lead(w, 2) over o as w3 from word window o as (partition by doc_id order by i)
+  select rid, i, w, lead(w) over o as w2, lead(w, 2) over o as w3 from word window o as (partition by rid order by i)
 ), often as (
-  select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, w, w2, w3) as n from tri where w3 is not null) where n > 1
+  select rid, i from (select rid, i, count(*) over (partition by rid, w, w2, w3) as n from tri where w3 is not null) where n > 1
 ), repeats as (
-  select doc_id, count(*) as n_repeat_words from (select distinct doc_id, i + k as i from often, unnest([0, 1, 2]) as v(k)) group by doc_id
+  select rid, count(*) as n_repeat_words from (select distinct rid, i + k as i from often, unnest([0, 1, 2]) as v(k)) group by rid
 ), line as (
-  select d.doc_id, coalesce(d.source, '') as host, u.l from (select doc_id, source, string_split(coalesce(text, ''), chr(10)) as ls from documents) d, unnest(ls) as u(l)
+  select d.rid, d.doc_id, d.host, u.l from (select *, string_split(text, chr(10)) as ls from docs) d, unnest(ls) as u(l)
   where regexp_matches(u.l, '{_WORD}')
 ), dup as (
-  select doc_id, count(*) - count(distinct l) as n_dup_lines from line group by doc_id
+  select rid, count(*) - count(distinct l) as n_dup_lines from line group by rid
 ), norm as (
-  select doc_id, host, regexp_replace(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]', '', 'g'), '[0-9]', '0', 'g') as n,
+  select rid, doc_id, host, regexp_replace(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]', '', 'g'), '[0-9]', '0', 'g') as n,
          len(regexp_extract_all(l, '{_WORD}')) as w from line
 ), size as (
-  select coalesce(source, '') as host, count(*) as docs from documents group by 1
+  select host, count(distinct doc_id) as docs from docs group by 1
 ), common as (
-  select host, n from (select host, n, count(distinct doc_id) as c from norm where n <> '' group by host, n) join size using (host) where c > greatest(50.0, docs * 0.02)
+  select host, n from (select host, n, count(distinct doc_id) as c from norm where n <> '' group by host, n) join size using (host) where c > greatest(3.0, docs * 0.05)
 ), gone as (
-  select doc_id, sum(w) as n_common_words from norm join common using (host, n) group by doc_id
+  select rid, sum(w) as n_common_words from norm join common using (host, n) where doc_id is not null group by rid
 ), base as (
   select d.doc_id, coalesce(p.n_words, 0)::bigint as n_words, coalesce(p.word_chars, 0)::bigint as word_chars,
-         length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
          coalesce(u.n_dup_lines, 0)::bigint as n_dup_lines, coalesce(r.n_repeat_words, 0)::bigint as n_repeat_words, coalesce(g.n_common_words, 0)::bigint as n_common_words
-  from documents d left join per_word p using (doc_id) left join dup u using (doc_id) left join repeats r using (doc_id) left join gone g using (doc_id)
+  from docs d left join per_word p using (rid) left join dup u using (rid) left join repeats r using (rid) left join gone g using (rid)
 ), judged as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from base)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_common_words,
        not base_failed and n_words - n_common_words >= n_words * 0.3 as kept from judged

@@ -161,6 +161,18 @@ def test_bpe_agrees_with_the_library(spark, tokenizer, rows):
             assert (got[i].ids_sha256, got[i].decoded_sha256) == (sha(got[i].ids), sha(decoded))
 
 
+def test_decoding_ids(spark, tokenizer):
+    """Ids back to text without the encoder: what the library decodes, and errors for ids that there aren't."""
+    r = random.Random(2)
+    lists = [[], [0], *([r.randrange(49_000) for _ in range(r.randrange(1, 80))] for _ in range(60)), [49406, 320, 49407]]
+    df = spark.createDataFrame([(i if i % 7 else None, " ".join(map(str, x)) if x or i else None, "y") for i, x in enumerate(lists)], "doc_id long, ids string, decoded string")
+    got = sorted((x.doc_id or 0, x.decoded) for x in bpe.decode(df, queries.tokenizer_path()).collect())
+    assert got == sorted((i if i % 7 else 0, tokenizer.decode(x, skip_special_tokens=False)) for i, x in enumerate(lists))
+    for bad in ("999999", "-1", "x"):
+        with pytest.raises(Exception):
+            bpe.decode(spark.createDataFrame([(1, bad)], "doc_id long, ids string"), queries.tokenizer_path()).collect()
+
+
 def test_lexicon_is_minimal_and_exact():
     words = [b"", *(w.encode() for w in ("tap", "taps", "top", "tops", "stop", "stops", "é"))][1:]
     lex = bpe.Lexicon(*bpe.pack(bpe.compile_lexicon({w: np.array([i, i + 1], np.int32) for i, w in enumerate(words)})))
@@ -192,18 +204,37 @@ def test_fingerprints(rows, docs):
 
 def test_fingerprint_gives_back_differing_cells():
     a, b = "One two three. Four five.\nSix.", "One two three. Four six.\nSix."
-    fp = [fingerprints.serial(*fingerprints.sketch(*fingerprints.cell_keys(pa.array([t])), 1))[0] for t in (a, b)]
+    print_of = lambda doc, key: fingerprints.serial(*fingerprints.sketch(doc, key, 1), np.array([len(key)]))[0]
+    fp = [print_of(*fingerprints.cell_keys(pa.array([t]))) for t in (a, b)]
     want = set(fingerprints.cell_keys(pa.array([a]))[1].tolist()) ^ set(fingerprints.cell_keys(pa.array([b]))[1].tolist())
     assert set(fingerprints.recovered(*fp).tolist()) == want
-    many = fingerprints.serial(*fingerprints.sketch(np.zeros(500, np.int64), np.arange(500, dtype=np.uint64), 1))[0]
-    assert fingerprints.recovered(fp[0], many) is None
+    x, y = (set(fingerprints.cell_keys(pa.array([t]))[1].tolist()) for t in (a, b))
+    assert abs(fingerprints.compared(*fp) - len(x & y) / len(x | y)) < 1e-9
+    many = print_of(np.zeros(500, np.int64), np.arange(500, dtype=np.uint64))
+    assert fingerprints.recovered(fp[0], many) is None and fingerprints.compared(fp[0], many) is None
 
 
 def test_differences_retry_larger():
     r = np.random.default_rng(0)
-    a, b = r.integers(0, 2**63, 3000).astype(np.uint64), r.integers(0, 2**63, 100).astype(np.uint64)
-    assert fingerprints.differences(np.zeros(3000, int), a, np.zeros(100, int), b, 1).tolist() == [3100]
-    assert fingerprints.differences(np.zeros(3000, int), a, np.zeros(3000, int), a, 1).tolist() == [0]
+    doc = np.repeat([0, 1, 2], [3000, 100, 3000])
+    key = r.integers(0, 2**63, 6100).astype(np.uint64)
+    key[3100:] = key[:3000]
+    key[-5:] += np.uint64(1)
+    each = fingerprints.sketch(doc, key, 3)
+    assert fingerprints.differences(each, np.array([0, 0, 0]), np.array([1, 2, 0]), doc, key).tolist() == [3100, 10, 0]
+
+
+@pytest.mark.parametrize("size", [1, 300, 1 << 20])
+def test_fingerprints_do_not_depend_on_ranges(spark, docs, size, monkeypatch):
+    """Ranges of one document, of some, and one range for all; each range's first document follows the last of the one before."""
+    want = {r.doc_id: r for r in fingerprints.versions(docs).collect()}
+    got = fingerprints.with_next(docs, size)
+    parts = got.withColumn("p", F.spark_partition_id()).groupBy("g").agg(F.countDistinct("p").alias("n"), F.sum("copy").alias("copies")).collect()
+    assert all(r.n == 1 and r.copies == 1 for r in parts) and (size > 300) == (len(parts) == 1)
+    monkeypatch.setattr(fingerprints.with_next, "__defaults__", (size,))
+    assert {r.doc_id: r for r in fingerprints.versions(docs).collect()} == want
+    some = next(r for r in want.values() if 0 < r.near_next < 1 or r.near_next == 0 and r.n_chars)
+    assert fingerprints.parse(some.fingerprint)[0] > 0
 
 
 # 4 and 7: repeats
@@ -331,18 +362,45 @@ def test_base_counts(docs, rows):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == want
 
 
+def rules_brute(rows, limit_docs=quality_rules.LIMIT_DOCS, share=quality_rules.LIMIT_SHARE, least_left=quality_rules.LEAST_LEFT) -> list[tuple]:
+    """(doc_id, words on lines over the limit, kept, text without them) of each row, as given."""
+    norm = lambda x: re.sub("[0-9]", "0", re.sub(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", "", "".join(ch.lower() if ch < "\x7f" else ch for ch in x)))
+    size, held = collections.defaultdict(set), collections.defaultdict(set)
+    for i, t, _, h, *_ in rows:
+        if i is not None:
+            size[h or ""].add(i)
+            for x in (t or "").split("\n"):
+                if WORD.search(x) and norm(x):
+                    held[h or "", norm(x)].add(i)
+    out = []
+    for i, t, _, h, *_ in rows:
+        gone = lambda x: i is not None and norm(x) != "" and len(held[h or "", norm(x)]) > max(limit_docs, share * len(size[h or ""]))  # noqa: E731, B023
+        ls, w = (t or "").split("\n"), WORD.findall(t or "")
+        n = sum(len(WORD.findall(x)) for x in ls if gone(x))
+        tri = collections.Counter(zip(w, w[1:], w[2:]))
+        rep = {j + k for j in range(len(w) - 2) if tri[w[j], w[j + 1], w[j + 2]] > 1 for k in range(3)}
+        failed = len(w) < 50 or 100 * len(rep) > 50 * len(w)
+        out.append((i, n, not failed and len(w) - n >= least_left * len(w), "\n".join(x for x in ls if not gone(x))))
+    return out
+
+
 def test_quality_rules_match_sql_over_the_limits(spark, tmp_path):
-    """Hosts on both sides of both limits: 50 documents, and 2% of more than 2500."""
+    """Hosts on both sides of the floor (3 documents) and of the share (5% of more than 60), with rows that repeat."""
     rows, text = [], lambda i, extra: " ".join(f"w{i}x{k}" for k in range(60)).translate(str.maketrans("0123456789", "abcdefghij")) + "\n" + extra
-    for host, size, holds in (("tiny", 40, 40), ("at", 60, 50), ("over", 60, 51), ("large", 2600, 52), ("larger", 2600, 53), (None, 70, 60)):
-        rows += [(len(rows) + i, text(len(rows) + i, "Shared LINE 7, of this host!" if i < holds else "none"), "en", host, 0) for i in range(size)]
+    menu = "Shared LINE 7, of this host! " + " ".join(f"m{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200))
+    for host, size, holds in (("tiny", 3, 3), ("small", 10, 4), ("at", 100, 5), ("over", 100, 6), (None, 70, 60)):
+        rows += [(len(rows) + i, text(len(rows) + i, menu if i < holds else ""), "en", host, 0) for i in range(size)]
+    rows += [(rows[20][0], rows[20][1], "en", "at", 0)] * 60 + [(5000, text(1, "Once"), "en", "small", 0)] * 20 + [(None, menu, "en", "small", 0), (6000, None, "en", None, 0)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     out = queries.op6_quality_rules(spark, str(tmp_path))
     assert_same(out, con, queries.OP6_SQL)
-    common = {rows[r.doc_id][3] for r in out.collect() if r.n_common_words == 6}
-    assert common == {"over", "larger", None}
+    host_of = {i: h for i, _, _, h, _ in rows}
+    assert {host_of[r.doc_id] for r in out.collect() if r.n_common_words} == {"small", "over", None}
+    assert sum(not r.kept and not r.base_failed for r in out.where("n_words > 200").collect()) == 70  # by common lines alone
+    order = lambda xs: sorted((i or -1, n, k) for i, n, k in xs)
+    assert order((r.doc_id, r.n_common_words, r.kept) for r in out.collect()) == order(x[:3] for x in rules_brute(rows))
 
 
 def test_common_lines_leave_the_texts(spark):
@@ -355,36 +413,19 @@ def test_common_lines_leave_the_texts(spark):
         parts = [line(40), *[x.upper() + " !" if i % 2 else x.replace("3", "7") for x in common], "", "***", line(30)]
         r.shuffle(parts)
         rows.append((i, "\n".join(parts) if i % 5 else common[0] + "\n" + line(9), "en", None if i < 30 else "h" if i < 130 else "small", i))
-    norm = lambda x: re.sub("[0-9]", "0", re.sub(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", "", "".join(ch.lower() if ch < "\x7f" else ch for ch in x)))
-    size, n = collections.Counter(h for _, _, _, h, _ in rows), collections.Counter((h, x) for _, t, _, h, _ in rows for x in {norm(x) for x in t.split("\n")} if x)
-    gone = lambda h, x: norm(x) != "" and n[h, norm(x)] > max(20, 0.02 * size[h])
-    want = {}
-    for i, t, _, h, chars in rows:
-        left, all_words = [x for x in t.split("\n") if not gone(h, x)], len(WORD.findall(t))
-        if all_words >= 50 and len(WORD.findall(" ".join(left))) >= all_words * 0.3:
-            want[i] = ("\n".join(left), h, chars)
-    out = quality_rules.without_common_lines(spark.createDataFrame(rows, SCHEMA).repartition(3), limit_docs=20)
-    assert {x.doc_id: (x.text, x.source, x.n_chars) for x in out.collect()} == want and out.columns == [x.split()[0] for x in SCHEMA.split(", ")]
-    assert 0 < sum(want[i][0] != rows[i][1] for i in want) and len(want) == 128
+    rows += [rows[3]] * 40 + [(None, common[0] + "\n" + line(60), "en", "h", 7)]  # rows of one document, and of none
+    want = sorted((i or -1, t, h or "", chars) for (i, _, kept, t), (_, _, _, h, chars) in zip(rules_brute(rows, 20), rows, strict=True) if kept)
+    out = quality_rules.without_common_lines(spark.createDataFrame(rows, SCHEMA).withColumn("__gone", F.lit(1)).repartition(3), limit_docs=20)
+    assert sorted((x.doc_id or -1, x.text, x.source or "", x.n_chars) for x in out.collect()) == want and out.columns == [*(x.split()[0] for x in SCHEMA.split(", ")), "__gone"]
+    texts = {i: t for i, t, *_ in rows}
+    assert 0 < sum(t != texts.get(i) for i, t, *_ in want) and len(want) == 169
 
 
 # 8: mixing
 
 
-@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 1, "b": 1, "c": 1}, {"a": 0.7, "b": 0.2, "c": 0.1}, {f"s{i}": i + 0.5 for i in range(17)}])
-def test_schedule_stays_within_a_block(spark, weights):
-    period = 120
-    quota = source_mixing._numerators(weights, period)
-    order = [r.source for r in source_mixing.schedule(spark, weights, period).orderBy("slot").collect()]
-    assert len(order) == period and collections.Counter(order) == quota
-    ran = collections.Counter()
-    for t, s in enumerate(order, 1):
-        ran[s] += 1
-        assert all(abs(ran[k] - t * q / period) < 1 for k, q in quota.items())
-
-
 def test_mix_places_every_row(docs, rows):
-    out = source_mixing.mix(docs, {"s0": 2, "s1": 1, "s2": 1}, 40, 2)
+    out = source_mixing.mix(docs, {"s0": 2, "s1": 1, "s2": 1}, 2)
     got = out.collect()
     assert len(got) == len(rows) == len({r.position for r in got if r.source in ("s0", "s1", "s2")}) + sum(r.source not in ("s0", "s1", "s2") for r in got)
     blocks = [r.source for r in sorted(got, key=lambda r: r.position) if r.source in ("s0", "s1", "s2")]
@@ -441,9 +482,68 @@ def test_mix_without_weights(spark, sizes):
     assert source_mixing.in_mixed_order(df, weights).count() == len(got)
 
 
+def test_mix_against_brute_force(spark, docs, rows):
+    """Every position, also of rows without a source, that repeat, or are much of one source."""
+    many = [(5000 + i, "big", "en", "s1", 1) for i in range(700)]
+    some = [r for r in [*rows, *many] if r[0] is not None]
+    df = spark.createDataFrame([*some, some[-1]], SCHEMA).repartition(7)
+    hashes = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    known = [(i, s) for i, _, _, s, _ in some if s] + [(some[-1][0], "s1")]
+    want = mix_brute([(("copy" if n == len(known) - 1 else i), s) for n, (i, s) in enumerate(known)], hashes | {"copy": hashes[some[-1][0]]}, source_mixing.BLOCK_ROWS, str)
+    want = sorted((some[-1][0] if i == "copy" else i, p) for i, p in want.items())
+    got = source_mixing.mix(df, source_mixing.tempered(df)).collect()
+    assert sorted((r.doc_id, r.position) for r in got if r.source) == want
+    assert len({r.position for r in got}) == len(got) and min(r.position for r in got if not r.source) > max(p for _, p in want)
+
+
+def test_block_size():
+    assert [source_mixing.block_size(n) for n in (0, 10, 1 << 25, (1 << 25) + 1, 10**12)] == [32, 32, 32, 33, 953675]
+
+
 # 9: classifier
 
 
+def statistics_brute(t: str | None) -> list[float]:
+    t = t or ""
+    w, lines = WORD.findall(t), [x for x in t.split("\n") if x]
+    if not w:
+        return [0.0] * quality_classifier.D
+    chars = max(1, sum(not re.match(r"[\x20\x09-\x0D]", x) for x in t))
+    n = lambda xs: sum(x in xs for x in t)
+    tri = list(zip(w, w[1:], w[2:]))
+    upper = sum("A" <= x[0] <= "Z" and not ("a" <= x[-1] <= "z" or ord(x[-1]) < 32) for x in w)
+    return [
+        math.log1p(len(w)), math.log1p(len(lines)), math.log1p(chars / len(w)), (sum("A" <= x <= "Z" for x in t) / chars) ** 0.5, (sum("0" <= x <= "9" for x in t) / chars) ** 0.5,
+        (n("#*$%&|<>@^~=+_\\/{}[]") / len(w)) ** 0.5, (n("!?") / len(w)) ** 0.5, (n(".,") / len(w)) ** 0.5, (n("\"'():;-`") / len(w)) ** 0.5, (sum(ord(x) > 127 for x in t) / chars) ** 0.5,
+        len(set(w)) / len(w), 1 - len(set(tri)) / max(1, len(w) - 2), 1 - len(set(lines)) / max(1, len(lines)), (upper / len(w)) ** 0.5, math.log1p(chars / max(1, len(lines))),
+    ]
+
+
+def test_classifier_against_numpy(spark, sf):
+    """Statistics in plain Python, and the discriminant from NumPy's means, covariances, inverses and determinants."""
+    import zlib
+
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r.doc_id: r.text for r in d.collect()}
+    y = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.doc_id in texts}
+    x = {i: np.array(statistics_brute(t)) for i, t in texts.items()}
+    both = np.array([x[i] for i in y])
+    scale = 1 / np.sqrt(np.maximum(both.var(0), 1e-6))
+    own = [np.array([x[i] * scale for i in y if y[i] == k]) for k in (0, 1)]
+    cov = [np.cov(a.T, bias=True) for a in own]
+    pooled = (len(own[0]) * cov[0] + len(own[1]) * cov[1]) / len(y)
+
+    def density(v, k):
+        s = 0.9 * cov[k] + 0.1 * pooled
+        s = 0.99 * s + 0.01 * max(np.trace(s) / len(s), 1e-3) * np.eye(len(s)) + 1e-9 * np.eye(len(s))
+        z = v * scale - own[k].mean(0)
+        return -0.5 * z @ np.linalg.inv(s) @ z - 0.5 * np.linalg.slogdet(s)[1] + math.log(len(own[k]) / len(y))
+
+    got = by_id(quality_classifier.classify(d, labels))
+    for i, v in x.items():
+        want = 1 / (1 + math.exp(-min(500, max(-500, density(v, 1) - density(v, 0)))))
+        assert abs(got[i].score - want) < 1e-6 and got[i].predicted == int(want >= 0.5), i
+
 def test_classifier(spark, sf):
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     out = quality_classifier.classify(d, labels).join(labels, "doc_id")
@@ -601,7 +701,7 @@ def test_pipeline_stages(spark, tmp_path, tokenizer):
     assert now.count() == p.run(spark, base).count()
 
 
-def mix_brute(rows, hashes: dict, size: int) -> dict:
+def mix_brute(rows, hashes: dict, size: int, key=int) -> dict:
     """Position of each document: slot by slot, of the released blocks that of earliest deadline."""
     own = collections.defaultdict(list)
     for i, source in rows:
@@ -612,7 +712,7 @@ def mix_brute(rows, hashes: dict, size: int) -> dict:
         free = [s for s in own if ran[s] * size < len(own[s]) and math.floor(ran[s] * total / weights[s]) <= t]
         if free:
             s = min(free, key=lambda s: (math.ceil((ran[s] + 1) * total / weights[s]), -weights[s], s))
-            for n, i in enumerate(sorted(own[s], key=lambda i: (hashes[i], i))[ran[s] * size : (ran[s] + 1) * size]):
+            for n, i in enumerate(sorted(own[s], key=lambda i: (hashes[i], key(i)))[ran[s] * size : (ran[s] + 1) * size]):
                 out[i] = slot * size + n
             ran[s] += 1
             slot += 1
