@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import rules
 from . import rx
 
 #: English month names by their first three letters.
@@ -25,6 +26,11 @@ def made(year: Column, month: Column, day: Column) -> Column:
     return F.try_to_timestamp(F.format_string("%04d-%02d-%02d", year.try_cast("int"), month.try_cast("int"), day.try_cast("int")), F.lit("yyyy-MM-dd"))
 
 
+def numeric(text: Column) -> Column:
+    """The first y-m-d of a text, also with Chinese marks; null if there is none or no such day."""
+    return made(*[rx.extract(text, rules.NUMERIC_DATE, g) for g in (1, 2, 3)])
+
+
 def from_text(text: Column) -> Column:
     """The first of: y-m-d (also with Chinese marks), D Month YYYY, Month D, YYYY; null if none."""
     ymd = r"(20\d{2})\s*[-/.年]\s*(\d{1,2})\s*[-/.月]\s*(\d{1,2})"

@@ -8,6 +8,9 @@ are rewritten when a rule list is compiled to a column.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
+from re import _constants as ops  # the parser of the standard library, on the driver only
+from re import _parser as parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,7 +64,11 @@ def _ends_word(pattern: str, i: int) -> bool:
 
 
 def java(pattern: str, ignore_case: bool = True) -> str:
-    """The pattern for Java: word edges by ASCII letters, spaces of all kinds, case by Unicode."""
+    """The pattern for Java: word edges by ASCII letters, spaces of all kinds.
+
+    Case is ignored among ASCII letters; among others only if the pattern holds a letter
+    beyond ASCII that has cases, since folding all of Unicode slows every comparison.
+    """
     out, i, in_class = [], 0, False
     while i < len(pattern):
         two = pattern[i : i + 2]
@@ -81,26 +88,79 @@ def java(pattern: str, ignore_case: bool = True) -> str:
             in_class = (in_class or pattern[i] == "[") and pattern[i] != "]"
             out.append(pattern[i])
             i += 1
-    return ("(?iu)" if ignore_case else "") + "".join(out)
-
-
-def matches(text: Column, pattern: str, ignore_case: bool = True) -> Column:
-    """Whether the pattern occurs; a null text has no match."""
-    return F.coalesce(text.rlike(java(pattern, ignore_case)), F.lit(False))
-
-
-def any_match(text: Column, patterns: Sequence[str]) -> Column:
+    cased = any(ord(x) > 127 and x.lower() != x.upper() for x in pattern)
+    return ("(?iu)" if cased else "(?i)" if ignore_case else "") + "".join(out)
+
+
+@lru_cache(maxsize=None)
+def needles(pattern: str) -> tuple[str, ...]:
+    """Lower-case ASCII or caseless strings one of which every match holds; none if the pattern has no such strings.
+
+    Of a sequence the part whose shortest string is longest counts, of alternatives all.
+    """
+
+    def best(parts) -> frozenset[str] | None:
+        found: list[frozenset[str]] = []
+        run = ""
+        for op, value in [*parts, (None, None)]:
+            if op is ops.LITERAL and (value < 128 or chr(value).lower() == chr(value).upper()):
+                run += chr(value).lower()
+                continue
+            if run:
+                found.append(frozenset([run]))
+                run = ""
+            if op is ops.SUBPATTERN:
+                inner = best(value[-1])
+            elif op is ops.BRANCH:
+                each = [best(x) for x in value[1]]
+                inner = None if None in each else frozenset().union(*each)
+            elif op in (ops.MAX_REPEAT, ops.MIN_REPEAT) and value[0] > 0:
+                inner = best(value[2])
+            else:
+                inner = None
+            if inner:
+                found.append(inner)
+        return max(found, key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+    return tuple(sorted(best(parser.parse(pattern)) or ()))
+
+
+def may_match(low: Column, pattern: str) -> Column | None:
+    """Whether the lower-cased text holds one of the pattern's needles; None if it has none."""
+    words = needles(pattern)
+    if not words:
+        return None
+    if len(words) <= 6:
+        out = low.contains(words[0])
+        for w in words[1:]:
+            out = out | low.contains(w)
+        return out
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+
+
+def matches(text: Column, pattern: str, ignore_case: bool = True, low: Column | None = None) -> Column:
+    """Whether the pattern occurs; a null text has no match.
+
+    low is the text in lower case, if the caller has it as a column: plain substrings
+    that a match must hold are then looked for first.
+    """
+    hit = text.rlike(java(pattern, ignore_case))
+    guard = None if low is None else may_match(low, pattern)
+    return F.coalesce(hit if guard is None else guard & hit, F.lit(False))
+
+
+def any_match(text: Column, patterns: Sequence[str], low: Column | None = None) -> Column:
     out = F.lit(False)
     for p in patterns:
-        out = out | matches(text, p)
+        out = out | matches(text, p, low=low)
     return out
 
 
-def first_match(text: Column, rules: Sequence[tuple[object, str]], otherwise: object = None) -> Column:
+def first_match(text: Column, rules: Sequence[tuple[object, str]], otherwise: object = None, low: Column | None = None) -> Column:
     """The label of the first rule (label, pattern) that the text matches."""
     out = None
     for label, pattern in rules:
-        hit = matches(text, pattern)
+        hit = matches(text, pattern, low=low)
         out = F.when(hit, F.lit(label)) if out is None else out.when(hit, F.lit(label))
     end = otherwise if isinstance(otherwise, Column) else F.lit(otherwise)
     return end if out is None else out.otherwise(end)
@@ -115,17 +175,18 @@ def replace(text: Column, pattern: str, by: str, ignore_case: bool = True) -> Co
     return F.regexp_replace(text, java(pattern, ignore_case), by)
 
 
-def contains_any(text: Column, words: Sequence[str]) -> Column:
+def contains_any(text: Column, words: Sequence[str], low: Column | None = None) -> Column:
     """Whether any word occurs as a substring, in any case; no words, no match."""
-    out, low = F.lit(False), F.lower(text)
-    for w in words:
-        out = out | F.coalesce(low.contains(w.lower()), F.lit(False))
-    return out
+    if not words:
+        return F.lit(False)
+    low = F.lower(text) if low is None else low
+    return F.coalesce(F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(low, w)), F.lit(False))
 
 
-def contains_any_of(text: Column, words: Column) -> Column:
+def contains_any_of(text: Column, words: Column, low: Column | None = None) -> Column:
     """The same with an array column of words (null: none)."""
-    return F.coalesce(F.exists(words, lambda w: F.contains(F.lower(text), F.lower(w))), F.lit(False))
+    low = F.lower(text) if low is None else low
+    return F.coalesce(F.exists(words, lambda w: F.contains(low, F.lower(w))), F.lit(False))
 
 
 def trim(text: Column) -> Column:

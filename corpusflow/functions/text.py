@@ -36,18 +36,14 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-def decode_entities(text: Column, numeric: bool = False) -> Column:
-    """Named entities by replacement; numeric ones (if asked) by an Arrow function, as no built-in makes code points.
-
-    Without numeric the result is the same for texts that hold no ``&#``.
-    """
-    if numeric:
-        return _decoded(text)
+def decode_entities(text: Column, numeric: bool = True) -> Column:
+    """Named entities by replacement; texts with numeric ones by an Arrow function, as no built-in makes code points."""
     out = text
     for name, value in ENTITIES.items():
         if name != "amp":
             out = F.regexp_replace(out, f"(?i)&{name};", value)
-    return F.regexp_replace(out, "(?i)&amp;", "&")
+    out = F.regexp_replace(out, "(?i)&amp;", "&")
+    return F.coalesce(_decoded(F.when(text.contains("&#"), text)), out) if numeric else out
 
 
 def strip_tags(html: Column, by: str = "") -> Column:
@@ -61,14 +57,45 @@ def normalize_doi(doi: Column) -> Column:
     return F.nullif(F.lower(out), F.lit(""))
 
 
-def normalize_title(title: Column, unicode_forms: bool = False) -> Column:
-    """Entities decoded, lower case, dashes and anything but letters, digits and & to one space.
+#: Characters that NFKC leaves as they are, whatever stands beside them; texts of these only skip the Arrow function.
+UNCHANGED = r"\x00-\x7F\u00C0-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0388-\u03CE\u0400-\u045F\u2013\u2014\u2018\u2019\u201C\u201D\u3001\u3002\u3008-\u3011\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF\uAC00-\uD7A3"
+
+
+@arrow("string")
+def _decoded_nfkc(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", _ENTITY.sub(_entity, x)))
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility forms and compositions; only texts that may change pass through Python."""
+    return F.coalesce(_nfkc(F.when(text.rlike(f"[^{UNCHANGED}]"), text)), text)
+
+
+def composed(text: Column) -> Column:
+    """Entities decoded, then NFKC: one Arrow function, for texts with numeric entities or characters that may change."""
+    return F.coalesce(_decoded_nfkc(F.when(text.rlike(f"&#|[^{UNCHANGED}]"), text)), decode_entities(text, False))
+
+
+def _only_words(composed_text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(composed_text), r"[^\p{L}\p{N}&]+", " "))
+
+
+def normalize_title(title: Column) -> Column:
+    """Entities decoded, NFKC, lower case, dashes and anything but letters, digits and & to one space."""
+    return _only_words(composed(title))
+
+
+def normalize_titles(titles: Column) -> Column:
+    """The same for each item of an array (null items left out): one text passes, as lambdas can't hold Arrow functions."""
+    mark = "\u0001"  # no normal form changes it, and no item holds it
+    whole = composed(F.array_join(F.transform(titles, lambda t: F.translate(t, mark, " ")), mark))
+    return F.when(F.size(titles) > 0, F.transform(F.split(whole, mark), _only_words)).otherwise(F.array().cast("array<string>"))
+
 
-    unicode_forms applies NFKC (and numeric entities) by Arrow functions; without it
-    the whole stays in code generation, and differs for compatibility characters only.
-    """
-    out = _nfkc(decode_entities(title, True)) if unicode_forms else decode_entities(title)
-    return F.trim(F.regexp_replace(F.lower(out), r"[^\p{L}\p{N}&]+", " "))
+def normal_phrase(phrase: str) -> str:
+    """normalize_title() of a constant."""
+    low = unicodedata.normalize("NFKC", _ENTITY.sub(_entity, phrase)).lower()
+    return " ".join("".join(c if unicodedata.category(c)[0] in "LN" or c == "&" else " " for c in low).split())
 
 
 def normalize_content_title(title: Column) -> Column:
@@ -89,9 +116,7 @@ def joined(sep: str, *parts: Column) -> Column:
 
 def includes_phrase(normalized: Column, phrase: str) -> Column:
     """Whether a normalised text holds the phrase's normal form; an empty phrase is nowhere."""
-    text = _ENTITY.sub(_entity, phrase)
-    low = unicodedata.normalize("NFKC", text).lower()
-    needle = " ".join("".join(c if c.isalpha() or c.isnumeric() or c == "&" else " " for c in low).split())
+    needle = normal_phrase(phrase)
     return F.coalesce(normalized.contains(needle), F.lit(False)) if needle else F.lit(False)
 
 

@@ -61,7 +61,6 @@ def sections(answer: Column, names: Sequence[str] = ("tech", "finance", "politic
     """Array of (ord, category, item) of a digest's sections."""
     p = parsed(answer, DIGEST)
 
-
     def one(ord_: int, name: str) -> Column:
         items = F.coalesce(p[f"{name}_briefs"], F.array().cast(BRIEF))
         return F.transform(items, lambda b, i: F.struct(F.lit(ord_).alias("section"), F.lit(name).alias("category"), i.alias("pos"), b.alias("b")))
@@ -125,3 +124,33 @@ def highlights(briefs: DataFrame, k: int = 5) -> DataFrame:
     """The k most important briefs of all sections, ties in section order."""
     ranks = F.create_map(*[F.lit(x) for i, (n, _) in enumerate(rules.DIGEST_SECTIONS) for x in (n, i)])
     return briefs.orderBy(F.desc("importance"), F.element_at(ranks, c("category")), "place").limit(k)
+
+
+def for_raw(briefs: DataFrame, texts: DataFrame, displayed: DataFrame, empty: str) -> tuple[DataFrame, DataFrame]:
+    """(briefs, texts): briefs of displayed URLs; if none is left the report's texts (one row) say ``empty``."""
+    kept = briefs.join(displayed.select("url").distinct(), "url", "left_semi")
+    n = kept.agg(F.count("*").alias("__n"))
+    blank = lambda name: F.when(c("__n") > 0, c(name)).otherwise(F.lit(empty)).alias(name)
+    named = ("hero_headline", "daily_overview")
+    out = texts.crossJoin(F.broadcast(n)).select(*[blank(x) if x in named else c(x) for x in texts.columns])  # one row
+    return kept.select(*briefs.columns), out
+
+
+def research_meta() -> Column:
+    """Journal, day and numbers of a paper, as far as they are there, escaped and joined."""
+    some = lambda x: F.nullif(x, F.lit(""))
+    day = F.date_format("published_at", "yyyy-MM-dd")
+    parts = [some(c("journal")), day, F.concat(F.lit("PMID "), some(c("pmid"))), F.concat(F.lit("DOI "), some(c("doi")))]
+    return F.concat_ws(" · ", *[text.escape_html(x) for x in parts])
+
+
+def column_counts(articles: DataFrame) -> DataFrame:
+    """One row: guidelines, surgery, international, china, from rows with category and their source's s_subcategory and s_lang."""
+    china = F.coalesce(c("s_subcategory") == "china-obgyn", F.lit(False)) | F.coalesce(c("s_lang") == "zh", F.lit(False))
+    other = c("category") == "politics"
+    return articles.agg(F.count_if(c("category") == "tech").alias("guidelines"), F.count_if(c("category") == "finance").alias("surgery"), F.count_if(other & ~china).alias("international"), F.count_if(other & china).alias("china"))
+
+
+def completeness(articles: DataFrame, key: str = "source_id", least: int = 30) -> DataFrame:
+    """(source, total, dated, with_excerpt, typed, all_dated): what rows of each source lack."""
+    return articles.groupBy(key).agg(F.count("*").alias("total"), F.count("published_at").alias("dated"), F.count_if(F.char_length(rx.trim(c("excerpt"))) >= least).alias("with_excerpt"), F.count("content_type").alias("typed"), (F.count("published_at") == F.count("*")).alias("all_dated"))

@@ -18,23 +18,24 @@ def keyed(articles: DataFrame) -> DataFrame:
     return out.withColumn("k_doi", urls.doi_in(c("url"), c("excerpt"), c("meta"))).withColumn("k_pmid", urls.pmid_in(c("url"), c("excerpt"), c("meta")))
 
 
+def _keys() -> object:
+    """Array of (place of the key's kind in KEYS, key) of a keyed row."""
+    return F.filter(F.array(*[F.struct(F.lit(i).alias("kind"), c(f"k_{k}").alias("key")) for i, k in enumerate(KEYS)]), lambda s: s["key"].isNotNull())
+
+
 def against(articles: DataFrame, history: DataFrame, current_date: str) -> DataFrame:
-    """articles with matched_by (url, title, doi, pmid, in this order; null: new) and matched_date.
+    """articles (unique seq) with matched_by (url, title, doi, pmid, in this order; null: new) and matched_date.
 
     history: (k_url, k_title, k_doi, k_pmid, date) of all dates but the current one,
-    also later ones.  A key's latest date counts.  The history is reduced to one row
-    for each key before the joins; the four joins are left joins on one key each.
+    also later ones.  A key's latest date counts.  Both sides become rows (kind, key):
+    the history is read once and reduced to one row a key, one join finds all matches,
+    and only (seq, match) goes back to the articles.
     """
-    past = history.where(c("date") != current_date)
-    out = keyed(articles)
-    for k in KEYS:
-        latest = past.where(c(f"k_{k}").isNotNull()).groupBy(c(f"k_{k}").alias(f"__{k}")).agg(F.max("date").alias(f"__d_{k}"))
-        out = out.join(latest, c(f"k_{k}") == c(f"__{k}"), "left")
-    by, date = F.lit(None).cast("string"), F.lit(None).cast(history.schema["date"].dataType)
-    for k in reversed(KEYS):
-        by = F.when(c(f"__d_{k}").isNotNull(), k).otherwise(by)
-        date = F.when(c(f"__d_{k}").isNotNull(), c(f"__d_{k}")).otherwise(date)
-    return out.select(*articles.columns, by.alias("matched_by"), date.alias("matched_date"))
+    latest = history.where(c("date") != current_date).select(F.explode(_keys()).alias("k"), "date").groupBy("k").agg(F.max("date").alias("date"))
+    asked = keyed(articles).select("seq", F.explode(_keys()).alias("k"))
+    found = asked.join(latest, "k").groupBy(c("seq").alias("__seq")).agg(F.min_by(F.struct("k.kind", "date"), "k.kind").alias("__m"))
+    by = F.get(F.array(*map(F.lit, KEYS)), c("__m.kind"))
+    return articles.join(found, c("seq") == c("__seq"), "left").select(*articles.columns, by.alias("matched_by"), c("__m.date").alias("matched_date"))
 
 
 def unshown_papers(papers: DataFrame, shown: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ with the prefix ``s_``: s_class, s_url, s_allowed_hosts, s_category.  Absent tex
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -16,24 +16,37 @@ from ..functions import rx, urls
 c = F.col
 
 
-def metadata() -> Column:
-    return F.concat_ws("\n", c("title"), c("excerpt"), c("meta"), c("content_type"))
+#: Columns of with_texts(): all of an item's text, what tells its type, its title, and these in lower case.
+ITEM, KIND, TITLE = "__item", "__kind", "__title"
 
 
-def type_text() -> Column:
-    return F.concat_ws("\n", c("title"), c("meta"), c("content_type"))
+def with_texts(articles: DataFrame) -> DataFrame:
+    """Adds the texts that rules read, so that some hundred rules share each."""
+    out = articles.withColumn(ITEM, F.concat_ws("\n", c("title"), c("excerpt"), c("meta"), c("content_type")))
+    out = out.withColumn(KIND, F.concat_ws("\n", c("title"), c("meta"), c("content_type"))).withColumn(TITLE, rx.trim(c("title")))
+    for name in (ITEM, KIND, TITLE):
+        out = out.withColumn(name + "_low", F.lower(c(name)))
+    return out
+
+
+def item_has(pattern: str) -> Column:
+    return rx.matches(c(ITEM), pattern, low=c(ITEM + "_low"))
+
+
+def kind_has(pattern: str) -> Column:
+    return rx.matches(c(KIND), pattern, low=c(KIND + "_low"))
 
 
 def hard_excluded() -> Column:
-    return rx.any_match(metadata(), rules.HARD_EXCLUDED)
+    return rx.any_match(c(ITEM), rules.HARD_EXCLUDED, c(ITEM + "_low"))
 
 
 def document_type(excluded: Column | None = None) -> Column:
     """Hard-excluded content by its kind; a declared type; the title's first rule; unknown."""
     return (
-        F.when(hard_excluded() if excluded is None else excluded, rx.first_match(metadata(), rules.HARD_EXCLUDED_KIND, "unknown"))
+        F.when(hard_excluded() if excluded is None else excluded, rx.first_match(c(ITEM), rules.HARD_EXCLUDED_KIND, "unknown", c(ITEM + "_low")))
         .when(c("document_type").isin(*rules.DOCUMENT_TYPES), c("document_type"))
-        .otherwise(rx.first_match(rx.trim(c("title")), rules.TITLE_TYPES, "unknown"))
+        .otherwise(rx.first_match(c(TITLE), rules.TITLE_TYPES, "unknown", c(TITLE + "_low")))
     )
 
 
@@ -45,8 +58,8 @@ def content_type_evidence() -> Column:
     given = c("content_type_evidence")
     return F.coalesce(
         named(F.when(declared.isin(*kinds), declared), F.coalesce(given, F.lit("declared"))),
-        named(rx.first_match(rx.trim(c("content_type")), rules.CONTENT_TYPES), F.coalesce(given, F.lit("metadata"))),
-        named(rx.first_match(metadata(), rules.CONTENT_TYPES), F.lit("title_excerpt")),
+        named(rx.first_match(rx.trim(c("content_type")), rules.CONTENT_TYPES, low=F.lower(c("content_type"))), F.coalesce(given, F.lit("metadata"))),
+        named(rx.first_match(c(ITEM), rules.CONTENT_TYPES, low=c(ITEM + "_low")), F.lit("title_excerpt")),
     )
 
 
@@ -88,3 +101,19 @@ def banded(x: Column, bands: list[tuple[float, str]], otherwise: str) -> Column:
         hit = x <= top
         out = F.when(hit, F.lit(label)) if out is None else out.when(hit, F.lit(label))
     return out.otherwise(F.lit(otherwise))
+
+
+def fear_greed_tone(value: Column) -> Column:
+    return banded(value, list(rules.FEAR_GREED_TONES), "greed-extreme")
+
+
+def stance_tone(stance: Column) -> Column:
+    return rx.first_match(stance, rules.STANCES, "neutral")
+
+
+def importance_tone(importance: Column) -> Column:
+    return F.when(importance >= 8, "high").when(importance >= 6, "mid").otherwise("low")
+
+
+def is_sports(title: Column) -> Column:
+    return rx.matches(title, rules.SPORTS)

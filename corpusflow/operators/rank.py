@@ -54,42 +54,36 @@ def capped(df: DataFrame, group: str, order: Sequence[Column], per_group: int, t
 def select_supplemental(ranked: DataFrame, minimum: int = 10, maximum: int = 15) -> DataFrame:
     """(seq, order, supplemental) from rows (seq, partition, place, group, limit, column, url_key).
 
-    Priority rows by place, each group up to its limit, up to ``maximum``; if they are
-    fewer than ``minimum``, supplemental rows: first one of each column not yet there,
-    then by place, group limits and URLs respected.  The walk depends on what was
-    taken, so it is a loop; it sees no more than ``maximum`` rows of any (partition,
-    group, column), since later ones can't be reached.
+    Priority rows by place, each group up to its limit, up to ``maximum``.  While these and the
+    supplements are too few (priority rows under ``minimum``, both under ``maximum``), the best-placed
+    supplemental row is added that is allowed (its group is below its limit, its URL isn't among the
+    supplements) and shows a column that isn't shown yet, else the best-placed allowed one.  What is
+    allowed depends on what was added, so that is one small task: it gets ``maximum`` priority rows, and
+    of each (group, column) 2 * ``maximum`` supplemental ones, as no others can be reached.
     """
-    near = Window.partitionBy("partition", "group", "column").orderBy("place")
-    few = ranked.withColumn("__n", F.row_number().over(near)).where((c("__n") <= 2 * maximum) | (c("partition") == "priority") & (c("__n") <= maximum))
+    own = Window.partitionBy("group").orderBy("place")
+    near = ranked.where("partition = 'priority'").withColumn("__n", F.row_number().over(own)).where(c("__n") <= c("limit")).orderBy("place").limit(maximum)
+    each = Window.partitionBy("group", "column").orderBy("place")
+    rest = ranked.where("partition = 'supplemental'").withColumn("__n", F.row_number().over(each)).where(c("__n") <= 2 * maximum)
+    columns = ("seq", "partition", "place", "group", "limit", "column", "url_key")
 
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
+    def fill(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("place")
-        taken, counts, columns, seen = [], {}, set(), set()
-        for r in rows[rows["partition"] == "priority"].itertuples():
-            counts[r.group] = counts.get(r.group, 0) + 1
-            if counts[r.group] <= r.limit and len(taken) < maximum:
-                taken.append((r.seq, False, r.group, r.column))
-        counts = {}
-        for _, _, group, column in taken:
-            counts[group] = counts.get(group, 0) + 1
-            columns.add(column)
-        if len(taken) < minimum:
-            rest = list(rows[rows["partition"] == "supplemental"].itertuples())
-            for only_new in (True, False):
-                for r in rest:
-                    if len(taken) >= maximum:
-                        break
-                    if r.url_key in seen or counts.get(r.group, 0) >= r.limit or (only_new and r.column in columns):
-                        continue
-                    taken.append((r.seq, True, r.group, r.column))
-                    counts[r.group] = counts.get(r.group, 0) + 1
-                    seen.add(r.url_key)
-                    columns.add(r.column)
-        return pd.DataFrame({"seq": [t[0] for t in taken], "order": range(1, len(taken) + 1), "supplemental": [t[1] for t in taken]}).astype({"seq": "int64", "order": "int64", "supplemental": "bool"})
-
-    few = few.select("seq", "partition", "place", "group", "limit", "column", "url_key", F.lit(0).alias("all"))
-    return few.groupBy("all").applyInPandas(pick, "seq long, order long, supplemental boolean")
+        shown, left = rows[rows["partition"] == "priority"], list(rows[rows["partition"] == "supplemental"].itertuples())
+        used, columns_shown, added = dict(shown["group"].value_counts()), set(shown["column"]), []
+        while len(shown) < minimum and len(shown) + len(added) < maximum:
+            allowed = [r for r in left if used.get(r.group, 0) < r.limit and r.url_key not in {x.url_key for x in added}]
+            if not allowed:
+                break
+            best = min(allowed, key=lambda r: (r.column in columns_shown, r.place))
+            added.append(best)
+            used[best.group] = used.get(best.group, 0) + 1
+            columns_shown.add(best.column)
+        seq = [*shown["seq"], *(r.seq for r in added)]
+        return pd.DataFrame({"seq": seq, "order": range(1, len(seq) + 1), "supplemental": [False] * len(shown) + [True] * len(added)}).astype({"seq": "int64", "order": "int64", "supplemental": "bool"})
+
+    few = near.select(*columns).unionByName(rest.select(*columns)).withColumn("all", F.lit(0))
+    return few.groupBy("all").applyInPandas(fill, "seq long, order long, supplemental boolean")
 
 
 def batches(df: DataFrame, order: Sequence[Column], size: int) -> DataFrame:

@@ -31,36 +31,36 @@ def with_source(articles: DataFrame, sources: DataFrame) -> DataFrame:
 
 def classified(articles: DataFrame) -> DataFrame:
     """Adds excluded, d_type, k_type, k_evidence, official and subst, which routing reads several times."""
-    out = articles.withColumn("excluded", policy.hard_excluded()).withColumn("d_type", policy.document_type(c("excluded"))).withColumn("__k", policy.content_type_evidence())
+    out = policy.with_texts(articles).withColumn("excluded", policy.hard_excluded()).withColumn("d_type", policy.document_type(c("excluded"))).withColumn("__k", policy.content_type_evidence())
     out = out.withColumn("k_type", c("__k.type")).withColumn("k_evidence", c("__k.evidence")).drop("__k")
     return out.withColumn("official", policy.official_formal(c("d_type"), c("excluded"))).withColumn("subst", policy.substantive())
 
 
 def route() -> Column:
     """struct(category, reject): fifteen steps, first that decides wins."""
-    item, kind = policy.metadata(), policy.type_text()
+    item, kind = policy.item_has, policy.kind_has
     go = lambda category: F.struct(F.lit(category).alias("category"), F.lit(None).cast("string").alias("reject"))
     no = lambda reason: F.struct(F.lit(None).cast("string").alias("category"), F.lit(reason).alias("reject"))
     hit = lambda t, p: rx.matches(t, p)
     k, d, sid = c("k_type"), c("d_type"), c("source_id")
     in_ = lambda x, names: F.coalesce(x.isin(*names), F.lit(False))
-    topic = hit(item, rules.SURGICAL_TOPIC)
+    topic = item(rules.SURGICAL_TOPIC)
     academic = F.coalesce(c("s_class") == "academic_journal", F.lit(False))
     opinion = in_(k, ("professional_review", "expert_commentary"))
     return (
-        F.when(in_(sid, rules.PODCAST_SOURCES) & (hit(item, rules.PODCAST_PROMOTION) | ~hit(item, rules.PODCAST_PROFESSIONAL)), no("unsupported_content_type"))
-        .when(in_(sid, rules.MIXED_FEED_SOURCES) & (hit(item, rules.RESEARCH_NEWS) | hit(item, rules.RESEARCH_WORD)) & ~hit(item, rules.DYNAMICS) & ~hit(item, rules.FORMAL_GUIDANCE), no("ordinary_research_article"))
+        F.when(in_(sid, rules.PODCAST_SOURCES) & (item(rules.PODCAST_PROMOTION) | ~item(rules.PODCAST_PROFESSIONAL)), no("unsupported_content_type"))
+        .when(in_(sid, rules.MIXED_FEED_SOURCES) & (item(rules.RESEARCH_NEWS) | item(rules.RESEARCH_WORD)) & ~item(rules.DYNAMICS) & ~item(rules.FORMAL_GUIDANCE), no("ordinary_research_article"))
         .when(in_(c("document_type"), rules.GUIDANCE_TYPES), go("tech"))
         .when((d == "policy") & c("official"), go("tech"))
-        .when(F.coalesce(c("document_type") == "research_article", F.lit(False)) | hit(kind, rules.ORDINARY_RESEARCH), no("ordinary_research_article"))
+        .when(F.coalesce(c("document_type") == "research_article", F.lit(False)) | kind(rules.ORDINARY_RESEARCH), no("ordinary_research_article"))
         .when(in_(k, rules.SURGERY_CONTENT) | hit(c("content_type"), rules.TECHNIQUE_LABEL) | hit(c("title"), rules.TECHNIQUE_TITLE), go("finance"))
         .when(in_(k, rules.GUIDANCE_CONTENT), go("tech"))
         .when(in_(k, rules.DYNAMICS_CONTENT) & academic & opinion & ~F.coalesce(policy.academic_exception(k, c("k_evidence")), F.lit(False)), no("unsupported_content_type"))
         .when(in_(k, rules.DYNAMICS_CONTENT), go("politics"))
-        .when(in_(d, rules.GUIDANCE_TYPES) | hit(kind, rules.FORMAL_GUIDANCE), go("tech"))
-        .when(hit(item, rules.SURGICAL_METHOD) | ((d == "video") & topic), go("finance"))
-        .when(in_(sid, rules.GUIDANCE_WORD_SOURCES) & hit(item, rules.GUIDANCE_WORDS), go("tech"))
-        .when(in_(d, ("news", "safety_alert", "policy")) | hit(item, rules.DYNAMICS), go("politics"))
+        .when(in_(d, rules.GUIDANCE_TYPES) | kind(rules.FORMAL_GUIDANCE), go("tech"))
+        .when(item(rules.SURGICAL_METHOD) | ((d == "video") & topic), go("finance"))
+        .when(in_(sid, rules.GUIDANCE_WORD_SOURCES) & item(rules.GUIDANCE_WORDS), go("tech"))
+        .when(in_(d, ("news", "safety_alert", "policy")) | item(rules.DYNAMICS), go("politics"))
         .when(academic, no("ordinary_research_article"))
         .when(in_(d, ("video", "education")) & ~topic, no("unsupported_content_type"))
         .otherwise(F.struct(c("s_category").alias("category"), F.lit(None).cast("string").alias("reject")))
@@ -86,18 +86,18 @@ def staged(articles: DataFrame, sources: DataFrame, now: dt.datetime, windows: d
     """
     quota = rank.interleaved(articles.where(c("source_id").isin(*rules.SHARED_QUOTA_SOURCES)), "source_id", [c("seq")], rules.SHARED_QUOTA).select(c("seq").alias("__q"))
     base = classified(with_source(articles, sources)).join(F.broadcast(quota), c("seq") == c("__q"), "left").withColumn("__r", route())
-    item, hours = policy.metadata(), _age_hours(now)
+    item, low, hours = c(policy.ITEM), c(policy.ITEM + "_low"), _age_hours(now)
     window = F.create_map(*[F.lit(x) for k, v in windows.items() for x in (k, float(v[1]))])
     near = F.create_map(*[F.lit(x) for k, v in windows.items() for x in (k, float(v[0]))])
     dual = F.coalesce(c("source_id").isin(*rules.DUAL_KEYWORD_SOURCES), F.lit(False))
-    anchor = rx.contains_any(item, rules.INCLUDE_KEYWORDS)
-    by_source = rx.contains_any_of(item, F.coalesce(c("s_keywords"), F.array().cast("array<string>")))
+    anchor = rx.contains_any(item, rules.INCLUDE_KEYWORDS, low)
+    by_source = rx.contains_any_of(item, F.coalesce(c("s_keywords"), F.array().cast("array<string>")), low)
     reason = (
         F.when(c("source_id").isin(*rules.SHARED_QUOTA_SOURCES) & c("__q").isNull(), "unsupported_content_type")
         .when(rx.blank(c("title")) | ~urls.is_http(c("url")), "invalid_item")
-        .when(c("excluded") | rx.contains_any(item, rules.EXCLUDE_KEYWORDS), "promotional")
+        .when(c("excluded") | rx.contains_any(item, rules.EXCLUDE_KEYWORDS, low), "promotional")
         .when(~c("s_known") | c("published_at").isNull(), "invalid_item")
-        .when(rx.contains_any_of(item, F.coalesce(c("s_exclude_keywords"), F.array().cast("array<string>"))), "source_excluded")
+        .when(rx.contains_any_of(item, F.coalesce(c("s_exclude_keywords"), F.array().cast("array<string>")), low), "source_excluded")
         .when(dual & ~(anchor & by_source), "not_obgyn")
         .when(c("__r.reject").isNotNull(), c("__r.reject"))
         .when((hours < 0) | (hours > F.element_at(window, c("__r.category"))), "outside_time_window")
@@ -155,11 +155,13 @@ def display_column() -> Column:
 
 
 def selection_input(judged: DataFrame, sources: DataFrame) -> DataFrame:
-    """Accepted rows with what select_supplemental() ranks by."""
+    """Accepted rows with what select_supplemental() ranks by, as far as it can reach them: of each (partition,
+    group, column) twice its total, which ranks in the group decide, before any rank over a whole partition."""
     out = classified(with_source(judged.where("reason is null"), sources))
     out = out.withColumn("score", value_score()).withColumn("column", display_column()).withColumn("url_key", urls.canonical(c("url")))
     group = F.when(c("source_id").isin(*rules.SHARED_QUOTA_SOURCES), "shared").otherwise(c("source_id"))
     limits = F.create_map(*[F.lit(x) for kv in rules.FILL_LIMITS.items() for x in kv])
     out = out.withColumn("group", group).withColumn("limit", F.coalesce(F.element_at(limits, c("source_id")), F.lit(rules.DIGEST_TOTAL)))
-    order = Window.partitionBy("partition").orderBy(F.desc("score"), F.coalesce(c("published_at").cast("timestamp").cast("double"), F.lit(0.0)).desc(), "seq")
-    return out.withColumn("place", F.row_number().over(order))
+    order = [F.desc("score"), F.coalesce(c("published_at").cast("timestamp").cast("double"), F.lit(0.0)).desc(), F.asc("seq")]
+    few = rank.top_k_per_group(out, ["partition", "group", "column"], order, 2 * rules.DIGEST_TOTAL, "__n").drop("__n")
+    return few.withColumn("place", F.row_number().over(Window.partitionBy("partition").orderBy(*order)))

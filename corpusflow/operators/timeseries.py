@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import rules
+
 c = F.col
 BY, AT, VALUE = "symbol", "ts", "close"
 
@@ -156,7 +158,34 @@ def slim(analysis: DataFrame) -> DataFrame:
     return analysis.select(BY, *two, r(c("rsi_14"), 1).alias("rsi_14"), *[r(c(n), 4).alias(n) for n in ("macd", "macd_signal", "macd_histogram")], "trend", "rsi_state", "signals")
 
 
-def commentary_valid(parsed: Column) -> Column:
-    """An overview of 100 characters and two picks whose rationale has 20."""
-    good = F.filter(parsed["picks"], lambda p: (F.coalesce(p["symbol"], F.lit("")) != "") & (F.char_length(p["rationale"]) >= 20))
-    return F.coalesce((F.char_length(parsed["overview"]) >= 100) & (F.size(good) >= 2), F.lit(False))
+def watchlist(spark, rows=rules.WATCHLIST) -> DataFrame:
+    """The dimension (ord, symbol, name, name_en, group, group_ord, group_name, group_name_en)."""
+    groups = {g: (i, zh, en) for i, (g, zh, en) in enumerate(rules.ASSET_GROUPS)}
+    return spark.createDataFrame([(i, s, n, e, g, *groups[g]) for i, (s, n, e, g) in enumerate(rows)], "ord int, symbol string, name string, name_en string, group string, group_ord int, group_name string, group_name_en string")
+
+
+def display_name(locale: str) -> Column:
+    return F.coalesce(c("name_en"), c("name")) if locale == "en" else c("name")
+
+
+def analyze_watchlist(series: DataFrame, dimension: DataFrame, quotes: DataFrame | None = None) -> DataFrame:
+    """analyze() for the symbols of the dimension that have a series, with ord, name and group; sorted by ord.
+
+    A symbol without rows has no result; symbols that aren't watched are left out before any window.
+    """
+    watched = F.broadcast(dimension)  # some dozens of rows
+    out = analyze(series.join(watched.select(BY), BY, "left_semi"), quotes)
+    return out.join(watched, BY).orderBy("ord")
+
+
+def group_counts(rows: DataFrame, spark) -> DataFrame:
+    """(group, n) of every asset group in order, also of those without rows."""
+    groups = spark.createDataFrame([(i, g) for i, (g, _, _) in enumerate(rules.ASSET_GROUPS)], "group_ord int, group string")
+    n = rows.groupBy("group").agg(F.count("*").alias("n"))
+    return groups.join(n, "group", "left").select("group_ord", "group", F.coalesce("n", F.lit(0)).alias("n")).orderBy("group_ord")
+
+
+def signal_tones(signals: Column) -> Column:
+    """Array of (signal, tone); an unknown signal is neutral."""
+    tones = F.create_map(*[F.lit(x) for kv in rules.SIGNAL_TONES.items() for x in kv])
+    return F.transform(signals, lambda s: F.struct(s.alias("signal"), F.coalesce(F.element_at(tones, s), F.lit("neutral")).alias("tone")))

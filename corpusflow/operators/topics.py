@@ -47,10 +47,6 @@ def whole(types: Column) -> Column:
     return F.concat_ws(" ", F.coalesce(c("title"), F.lit("")), F.coalesce(c("abstract"), F.lit("")), F.array_join(types, " "))
 
 
-def actionability_weight(types: Column, table=rules.ACTIONABILITY, otherwise: float = rules.ACTIONABILITY_ELSE) -> Column:
-    return rx.first_match(F.lower(whole(types)), table, otherwise).cast("double")
-
-
 def recency_weight(at: Column, now: dt.datetime, bands=rules.RECENCY) -> Column:
     """By age in days, the future counting as now; 0 beyond the bands and without a date."""
     age = F.greatest(F.lit(0.0), (F.lit(now).cast("timestamp").cast("double") - at.cast("timestamp").cast("double")) / 86400)
@@ -61,10 +57,9 @@ def recency_weight(at: Column, now: dt.datetime, bands=rules.RECENCY) -> Column:
 
 
 def topic_match(topic: Topic, types: Column, title: Column, abstract: Column, every: Column) -> Column:
-    """50 for a hit in the title, 40 in the abstract, 10 more if a publication type is expected; 0 if excluded."""
+    """50 for a hit in the title, 40 in the abstract, 10 more if a publication type is expected; 0 if excluded.  All are normal forms."""
     any_of = lambda t, ws: _any([text.includes_phrase(t, w) for w in ws])
-    names = F.transform(F.coalesce(types, F.array().cast("array<string>")), lambda t: text.normalize_title(t))
-    expected = _any([F.array_contains(names, text.normalize_title(F.lit(w))) for w in topic.publication_types])
+    expected = _any([F.array_contains(types, text.normal_phrase(w)) for w in topic.publication_types])
     score = F.when(any_of(every, topic.exclude), 0).when(any_of(title, topic.include), 50).when(any_of(abstract, topic.include), F.when(expected, 50).otherwise(40)).otherwise(0)
     return (score if topic.enabled else F.lit(0)).cast("double")
 
@@ -77,10 +72,14 @@ def _any(conditions: Sequence[Column]) -> Column:
 
 
 def candidates(papers: DataFrame, now: dt.datetime, types: Column, days: float = 7) -> DataFrame:
-    """Abstract of 20 characters, at most a week old and not of the future, evidence above 0.1, no non-research type."""
+    """Abstract of 20 characters, at most a week old and not of the future, evidence above 0.1, no non-research type.
+
+    Dates are looked at first, and the evidence's weight stays as evidence_rank.
+    """
     age = F.lit(now).cast("timestamp").cast("double") - c("activity_at").cast("timestamp").cast("double")
     kind = F.concat_ws(" ", c("title"), F.array_join(types, " "))
-    return papers.where((F.char_length(rx.trim(c("abstract"))) >= 20) & (age >= 0) & (age <= days * 86400) & (evidence_weight(types) > 0.1) & ~rx.matches(kind, rules.NON_RESEARCH))
+    recent = papers.where((age >= 0) & (age <= days * 86400)).withColumn("evidence_rank", evidence_weight(types))
+    return recent.where((c("evidence_rank") > 0.1) & (F.char_length(rx.trim(c("abstract"))) >= 20) & ~rx.matches(kind, rules.NON_RESEARCH, low=F.lower(kind)))
 
 
 def scored(papers: DataFrame, topics: Sequence[Topic], now: dt.datetime, domain: Sequence[str] = ()) -> DataFrame:
@@ -90,13 +89,20 @@ def scored(papers: DataFrame, topics: Sequence[Topic], now: dt.datetime, domain:
     for each paper, and nothing is joined.
     """
     types = c("publication_types")
-    base = papers.withColumn("__t", text.normalize_title(c("title"))).withColumn("__a", text.normalize_title(c("abstract"))).withColumn("__e", text.normalize_title(whole(types)))
+    base = papers.withColumn("__t", text.normalize_title(c("title"))).withColumn("__a", text.normalize_title(c("abstract")))
+    base = base.withColumn("__n", text.normalize_titles(F.coalesce(types, F.array().cast("array<string>"))))
+    # the normal form of the whole is that of its parts, joined: between them is a space
+    part = lambda x: F.nullif(x, F.lit(""))
+    base = base.withColumn("__e", F.concat_ws(" ", part(c("__t")), part(c("__a")), part(F.array_join(F.filter(c("__n"), lambda x: x != ""), " "))))
     if domain:
         base = base.where(_any([text.includes_phrase(c("__e"), w) for w in domain]))
-    base = base.withColumn("evidence_rank", evidence_weight(types)).withColumn("__act", actionability_weight(types)).withColumn("__rec", recency_weight(c("activity_at"), now))
-    entries = [F.struct(F.lit(i).alias("topic_ord"), F.lit(t.id).alias("topic_id"), topic_match(t, types, c("__t"), c("__a"), c("__e")).alias("topic_match")) for i, t in enumerate(topics) if t.enabled]
+    base = base.withColumn("__low", F.lower(whole(types)))
+    if "evidence_rank" not in papers.columns:
+        base = base.withColumn("evidence_rank", evidence_weight(types))
+    base = base.withColumn("__act", rx.first_match(c("__low"), rules.ACTIONABILITY, rules.ACTIONABILITY_ELSE, c("__low")).cast("double")).withColumn("__rec", recency_weight(c("activity_at"), now))
+    entries = [F.struct(F.lit(i).alias("topic_ord"), F.lit(t.id).alias("topic_id"), topic_match(t, c("__n"), c("__t"), c("__a"), c("__e")).alias("topic_match")) for i, t in enumerate(topics) if t.enabled]
     out = base.withColumn("__s", F.explode(F.filter(F.array(*entries), lambda s: s["topic_match"] > 0)))
-    out = out.select(*papers.columns, "evidence_rank", "__s.*", text.round2(c("evidence_rank") * 25).alias("evidence"), text.round2(c("__act") * 15).alias("actionability"), text.round2(c("__rec") * 10).alias("recency"))
+    out = out.select(*[x for x in papers.columns if x != "evidence_rank"], "evidence_rank", "__s.*", text.round2(c("evidence_rank") * 25).alias("evidence"), text.round2(c("__act") * 15).alias("actionability"), text.round2(c("__rec") * 10).alias("recency"))
     return out.withColumn("total", text.round2(c("topic_match") + c("evidence") + c("actionability") + c("recency")))
 
 

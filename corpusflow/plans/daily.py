@@ -20,6 +20,7 @@ c = F.col
 @dataclass
 class Run:
     judged: DataFrame
+    matched: DataFrame
     fresh: DataFrame
     capped: DataFrame
     reviewed: DataFrame
@@ -31,7 +32,8 @@ def run(articles: DataFrame, sources: DataFrame, past: DataFrame, answers: DataF
     rows = articles if details is None else state.enriched(articles, details)
     judged = stored(routing.staged(rows, sources, now))
     kept = judged.where("reason is null")
-    fresh = history.against(kept, past, date).where("matched_by is null").drop("matched_by", "matched_date")
+    matched = stored(history.against(kept, past, date))
+    fresh = matched.where("matched_by is null").drop("matched_by", "matched_date")
     fresh = stored(routing.classified(routing.with_source(fresh, sources)))
     capped = rank.review_cap(fresh, rules.REVIEW_LIMITS, rules.REVIEW_LIMIT, rules.SHARED_QUOTA_SOURCES, rules.REVIEW_GROUP_LIMIT, rules.REVIEW_TOTAL)
     accepted = stored(digest.reviewed(capped, digest.reviews_of(answers)))
@@ -39,14 +41,31 @@ def run(articles: DataFrame, sources: DataFrame, past: DataFrame, answers: DataF
     chosen = rank.select_supplemental(ranked).join(accepted, "seq")
     label = routing.labelled_recent(c("meta"))
     selected = chosen.withColumn("meta", F.when(c("supplemental") | c("k_type").isin(*rules.RECENT_SELECTION_CONTENT), label).otherwise(c("meta")))
-    return Run(judged, fresh, capped, accepted, selected)
+    return Run(judged, matched, fresh, capped, accepted, selected)
 
 
 def funnel(r: Run, key: str = "source_id") -> DataFrame:
     """Rows of each source at each stage."""
     stages = {"fetched": r.judged, "eligible": r.judged.where("reason is null"), "fresh": r.fresh, "capped": r.capped, "reviewed": r.reviewed, "selected": r.selected}
+    return by_stage(stages, key)
+
+
+def by_stage(stages: dict[str, DataFrame], key: str = "source_id") -> DataFrame:
+    """(key, a count for each stage): one union of the stages' keys, counted once."""
     tagged = None
     for name, df in stages.items():
         one = df.select(c(key), F.lit(name).alias("stage"))
         tagged = one if tagged is None else tagged.unionByName(one)
     return tagged.groupBy(key).pivot("stage", list(stages)).count().fillna(0)
+
+
+def statistics(r: Run) -> DataFrame:
+    """One row of counters of the whole run: at each stage, and what history rejected by which key."""
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    by = r.matched.groupBy().agg(*[F.count_if(c("matched_by") == k).alias(f"history_rejected_by_{k}") for k in history.KEYS])
+    out = r.judged.agg(F.count("*").alias("fetched_total"), F.count_if(c("reason").isNull()).alias("deterministic_accepted"))
+    for one in (
+        by, n(r.capped, "semantic_reviewed"), n(r.reviewed, "semantic_accepted"), r.selected.agg(F.count_if(~c("supplemental")).alias("priority_selected"), F.count_if(c("supplemental")).alias("supplemental_selected"), F.count("*").alias("final_displayed")),
+    ):
+        out = out.crossJoin(F.broadcast(one))  # one row each
+    return out.withColumn("semantic_rejected", c("semantic_reviewed") - c("semantic_accepted"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import html
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import rules
 from ..functions import text
 
 c = F.col
@@ -18,16 +20,48 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p, spark._jvm.org.apache.hadoop.fs.Path
 
 
+POINTER = "_current"
+
+
 def replace_atomically(df: DataFrame, path: str) -> None:
-    """Writes beside ``path``, then renames: readers see the old table or the new one."""
+    """Writes a version under ``path``, then lets the pointer file name it, by one rename that replaces the old pointer.
+
+    Readers (read_current()) see the old version or the new one, also if the writer dies in
+    between; versions that the pointer doesn't name are deleted afterwards, but the one before.
+    """
     spark = df.sparkSession
-    fresh, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
-    df.write.parquet(fresh)
+    fresh = f"version-{uuid.uuid4().hex}"
+    before = _named(spark, path)
+    df.write.parquet(f"{path}/{fresh}")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     fs, p, Path = _fs(spark, path)
-    if fs.exists(p):
-        fs.rename(p, Path(old))
-    fs.rename(Path(fresh), p)
-    fs.delete(Path(old), True)
+    draft = Path(f"{path}/.{fresh}.pointer")
+    out = fs.create(draft, True)
+    out.write(bytearray(fresh.encode()))
+    out.close()
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), conf).rename(fs.makeQualified(draft), fs.makeQualified(Path(f"{path}/{POINTER}")), options)
+    for status in fs.listStatus(p):
+        if status.getPath().getName().startswith("version-") and status.getPath().getName() not in (fresh, before):
+            fs.delete(status.getPath(), True)
+
+
+def _named(spark: SparkSession, path: str) -> str | None:
+    """The version that the pointer names; None where there is none."""
+    fs, _, Path = _fs(spark, path)
+    pointer = Path(f"{path}/{POINTER}")
+    if not fs.exists(pointer):
+        return None
+    return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(fs.open(pointer), "UTF-8")
+
+
+def read_current(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """The table that replace_atomically() wrote last; None if it never did."""
+    name = _named(spark, path)
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return None if name is None else reader.parquet(f"{path}/{name}")
 
 
 def write_dated(df: DataFrame, path: str, date: str) -> None:
@@ -47,14 +81,24 @@ def with_ttl(rows: DataFrame, now: dt.datetime, days: int = 14) -> DataFrame:
     return rows.withColumn("expires_at", F.lit(now + dt.timedelta(days=days)))
 
 
-def markdown(briefs: DataFrame, titles: dict[str, str]) -> DataFrame:
-    """(markdown): sections in the order of titles, their briefs by place; a section without briefs is left out."""
-    order = F.create_map(*[F.lit(x) for i, k in enumerate(titles) for x in (k, i)])
-    head = F.create_map(*[F.lit(x) for kv in titles.items() for x in kv])
-    line = F.concat(F.lit("- **["), c("title"), F.lit("]("), c("url"), F.lit(")** — "), c("source"), F.lit("\n  "), c("summary"))
-    sections = briefs.where(c("category").isin(*titles)).groupBy("category").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda s: s["line"]), "\n").alias("body"))
-    block = F.concat(F.lit("## "), F.element_at(head, c("category")), F.lit("\n\n"), c("body"), F.lit("\n"))
-    return sections.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.element_at(order, c("category")).alias("o"), block.alias("b")))), lambda s: s["b"]), "\n").alias("markdown"))
+def markdown(briefs: DataFrame, titles: dict[str, str], empty: str = "") -> DataFrame:
+    """(markdown): sections in the order of titles, their briefs by place; a section without briefs says ``empty``."""
+    line = F.concat(F.lit("### ["), c("title"), F.lit("]("), c("url"), F.lit(")\n"), c("source"), F.lit(" · "), F.coalesce(c("importance"), F.lit(0)).cast("string"), F.lit("/10\n\n"), c("summary"), F.lit("\n"))
+    spark = briefs.sparkSession
+    heads = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(titles.items())], "o int, category string, head string")
+    bodies = briefs.groupBy("category").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda s: s["line"]), "\n").alias("body"))
+    block = F.concat(F.lit("## "), c("head"), F.lit("\n\n"), F.coalesce("body", F.lit(empty + "\n")))
+    return heads.join(bodies, "category", "left").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", block.alias("b")))), lambda s: s["b"]), "\n").alias("markdown"))
+
+
+def papers_markdown(papers: DataFrame, head: str, signal: str, failed: str = "") -> DataFrame:
+    """(markdown): a section of papers by place: title with link, original title, meta line, score, topic, the summary's fields."""
+    title = F.coalesce(F.nullif(c("summary.title_zh"), F.lit("")), c("title"))
+    points = [F.concat(F.lit(f"- **{k}:** "), c(f"summary.{k}")) for k in rules.SUMMARY_FIELDS[1:]]
+    body = F.when(c("summary").isNotNull(), F.concat_ws("\n", *points)).otherwise(F.lit(failed))
+    lines = F.concat_ws("\n", F.concat(F.lit("### ["), title, F.lit("]("), c("url"), F.lit(")")), c("title"), c("meta"), F.format_string("%.2f", c("total")), c("topic_id"), F.lit(""), body, F.lit(""))
+    every = papers.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", lines.alias("l")))), lambda s: s["l"]), "\n").alias("b"))
+    return every.select(F.concat(F.lit(f"## {head}\n\n{signal}\n\n"), c("b")).alias("markdown"))
 
 
 def html_items(briefs: DataFrame) -> DataFrame:
@@ -63,22 +107,59 @@ def html_items(briefs: DataFrame) -> DataFrame:
     return briefs.select("category", "place", F.concat(F.lit('<li class="brief"><a href="'), e(c("url")), F.lit('">'), e(c("title")), F.lit("</a> <span>"), e(c("source")), F.lit("</span><p>"), e(c("summary")), F.lit("</p></li>")).alias("html"))
 
 
+MOST_ON_PAGE = 200
+
+
 def html_page(briefs: DataFrame, titles: dict[str, str], title: str) -> str:
-    """A page of a report: at most some dozens of items, gathered on the driver."""
-    rows = html_items(briefs.limit(200)).collect()
-    parts = ["<!doctype html><html><head><meta charset='utf-8'><title>" + title + "</title></head><body><h1>" + title + "</h1>"]
+    """A page of a report, gathered on the driver; more than 200 briefs are an error, as a report has some dozens."""
+    rows = html_items(briefs).limit(MOST_ON_PAGE + 1).collect()
+    if len(rows) > MOST_ON_PAGE:
+        raise ValueError(f"a report has at most {MOST_ON_PAGE} briefs")
+    e = html.escape
+    parts = [f"<!doctype html><html><head><meta charset='utf-8'><title>{e(title)}</title></head><body><h1>{e(title)}</h1>"]
     for k, head in titles.items():
         own = [r.html for r in sorted(rows, key=lambda r: r.place) if r.category == k]
         if own:
-            parts.append(f"<section><h2>{head}</h2><ul>" + "".join(own) + "</ul></section>")
+            parts.append(f"<section><h2>{e(head)}</h2><ul>" + "".join(own) + "</ul></section>")
     return "".join(parts) + "</body></html>"
 
 
 def site_index(spark: SparkSession, root: str) -> DataFrame:
-    """(date, path, size), newest first: reports under root named by their date."""
+    """(date, path, size), newest first: reports <date>/<date>.html under root."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").load(root).select("path", c("length").alias("size"))
+    date = F.regexp_extract("path", r"/(\d{4}-\d{2}-\d{2})/([^/]*)\.html$", 1)
+    named = date == F.regexp_extract("path", r"/(\d{4}-\d{2}-\d{2})/([^/]*)\.html$", 2)
+    return files.select(date.alias("date"), "path", "size").where((c("date") != "") & named).orderBy(F.desc("date"))
+
+
+def build_site(spark: SparkSession, root: str, wanted: str) -> list[tuple[str, int]]:
+    """Removes reports whose title isn't ``wanted``, writes index.html (the newest report) and archive.html; (date, size), newest first.
+
+    Reports are read where they lie: a page's text moves through an executor, only names and sizes come to the driver.
+    """
+    title = F.regexp_extract(F.decode("content", "UTF-8"), "(?is)<title>(.*?)</title>", 1)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").load(root)
-    date = F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2})[^/]*\.html$", 1)
-    return files.select(date.alias("date"), "path", c("length").alias("size")).where("date <> ''").orderBy(F.desc("date"))
+    bad = files.where(~title.startswith(wanted)).select("path").where(c("path").rlike(r"/\d{4}-\d{2}-\d{2}/[^/]*\.html$")).collect()
+    fs, _, Path = _fs(spark, root)
+    for r in bad:
+        fs.delete(Path(r.path).getParent(), True)
+    found = [(r.date, r.path, r.size) for r in site_index(spark, root).collect()]
+    if not found:
+        raise ValueError(f"no report under {root}")
+    util, conf = spark._jvm.org.apache.hadoop.fs.FileUtil, spark._jsc.hadoopConfiguration()
+    fs.delete(Path(f"{root}/index.html"), False)
+    util.copy(fs, Path(found[0][1]), fs, Path(f"{root}/index.html"), False, conf)
+    rows = "".join(f'<li><a href="./{d}/{d}.html">{d}</a> <span class="size">{n / 1024:.0f} KB</span></li>' for d, _, n in found)
+    out = fs.create(Path(f"{root}/archive.html"), True)
+    out.write(bytearray(f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(wanted)}</title></head><body><ul>{rows}</ul></body></html>".encode()))
+    out.close()
+    return [(d, n) for d, _, n in found]
+
+
+def write_run(report: DataFrame, articles: DataFrame, displayed: DataFrame, path: str, date: str) -> None:
+    """The three outputs of a run, by date: its report, all articles it chose from, and what it displayed."""
+    for name, df in (("report", report), ("articles", articles), ("displayed", displayed)):
+        write_dated(df, f"{path}/{name}", date)
 
 
 def tree_of(items: DataFrame, caps: dict[str, int], keep_order: list[str] | None = None) -> DataFrame:

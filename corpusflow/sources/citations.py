@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import rules
 from ..functions import dates, rx, text
 from ..operators.topics import Topic
 
@@ -59,6 +60,7 @@ def papers(articles: DataFrame, now: dt.datetime, column: str = "xml") -> DataFr
 
 def query(topics: Sequence[Topic], domain: Sequence[str], start: dt.date, end: dt.date) -> str:
     """The search that the topics stand for: distinct keywords of enabled ones, the domain, the days."""
+    # each keyword once, in the order given
     field = lambda ws: " OR ".join(f"{w}[Title/Abstract]" for w in dict.fromkeys(w.strip() for w in ws if w.strip()))
     words, anchor = field(w for t in topics if t.enabled for w in t.include), field(domain)
     if not words or not anchor:
@@ -68,34 +70,48 @@ def query(topics: Sequence[Topic], domain: Sequence[str], start: dt.date, end: d
 
 def guideline_rows(papers_: DataFrame, source_id: str, category: str, now: dt.datetime, hours: int = 168) -> DataFrame:
     """Papers of the last hours as articles; the excerpt joins abstract, journal, types and DOI, 1500 characters at most."""
-    joined = F.concat_ws(" · ", *[F.nullif(x, F.lit("")) for x in (c("abstract"), c("journal"), F.array_join("publication_types", ", "), c("doi"))])
-    return papers_.where(c("activity_at") >= F.lit(now - dt.timedelta(hours=hours))).select(F.lit(source_id).alias("source_id"), "title", "url", F.substring(joined, 1, 1500).alias("excerpt"), c("activity_at").alias("published_at"), F.lit(category).alias("category"))
+    joined = F.concat_ws(" · ", *[F.nullif(x, F.lit("")) for x in (c("abstract"), c("journal"), F.array_join("publication_types", ", "), F.concat(F.lit("DOI: "), c("doi")))])
+    recent = papers_.where(c("activity_at").between(F.lit(now - dt.timedelta(hours=hours)), F.lit(now)))
+    return recent.select(F.lit(source_id).alias("source_id"), "title", "url", F.substring(joined, 1, 1500).alias("excerpt"), c("activity_at").alias("published_at"), F.lit(category).alias("category"))
 
 
-def institutional(journal: str, title: str, excluded: str, author: str, abstract: str) -> Column:
-    """Formal papers of one journal: not excluded, a formal title, and an institution among authors or near its organ in the abstract."""
-    same = text.normalize_content_title(c("journal")) == text.normalize_content_title(F.lit(journal))
-    out_ = rx.matches(c("title"), excluded) | F.exists(F.coalesce("publication_types", F.array().cast("array<string>")), lambda t: t.rlike(rx.java(excluded)))
-    evidence = F.exists(F.coalesce("authors", F.array().cast("array<string>")), lambda a: a.rlike(rx.java(author))) | rx.matches(c("abstract"), abstract)
-    return same & ~out_ & rx.matches(c("title"), title) & evidence
+_EMPTY = "array<string>"
 
 
-def society(journal: str, formal: str, excluded: str, terms: str, affiliation: str, abstract: str) -> Column:
+def _any_type(pattern: str) -> Column:
+    return F.exists(F.coalesce("publication_types", F.array().cast(_EMPTY)), lambda t: t.rlike(rx.java(pattern)))
+
+
+def _any_author(pattern: str) -> Column:
+    return F.exists(F.coalesce("authors", F.array().cast(_EMPTY)), lambda a: a.rlike(rx.java(pattern)))
+
+
+def institutional() -> Column:
+    """Formal papers of the institution's journal: not excluded, a formal title, and the institution among authors or near its organ in the abstract."""
+    same = text.normalize_content_title(text.nfkc(c("journal"))) == text.normalize_content_title(F.lit(rules.INSTITUTION_JOURNAL))
+    out = rx.matches(c("title"), rules.INSTITUTION_EXCLUDED) | _any_type(rules.INSTITUTION_EXCLUDED)
+    evidence = _any_author(rules.INSTITUTION_AUTHOR) | rx.matches(c("abstract"), rules.INSTITUTION_ABSTRACT)
+    return F.coalesce(same, F.lit(False)) & ~out & rx.matches(c("title"), rules.INSTITUTION_TITLE) & evidence
+
+
+def society() -> Column:
     """The complement: neither formal nor excluded, with the society's terms and an affiliation."""
-    types = F.coalesce("publication_types", F.array().cast("array<string>"))
-    any_of = lambda p: rx.matches(c("title"), p) | F.exists(types, lambda t: t.rlike(rx.java(p)))
-    belongs = F.exists(F.coalesce("authors", F.array().cast("array<string>")), lambda a: a.rlike(rx.java(affiliation))) | rx.matches(c("abstract"), abstract)
-    return (F.lower("journal") == journal.lower()) & ~any_of(formal) & ~any_of(excluded) & rx.matches(F.concat_ws(" ", "title", "abstract"), terms) & belongs
+    any_of = lambda p: rx.matches(c("title"), p) | _any_type(p)
+    belongs = _any_author(rules.SOCIETY_AFFILIATION) | rx.matches(c("abstract"), rules.SOCIETY_ABSTRACT)
+    same = F.coalesce(F.lower(text.nfkc(c("journal"))) == rules.INSTITUTION_JOURNAL.lower(), F.lit(False))
+    return same & ~any_of(rules.SOCIETY_FORMAL) & ~any_of(rules.SOCIETY_EXCLUDED) & rx.matches(F.concat_ws(" ", "title", "abstract"), rules.SOCIETY_TERMS) & belongs
 
 
 def supplemented(papers_: DataFrame, works: DataFrame, issn: str, by_title_key: bool = True) -> DataFrame:
     """papers with DOI and date filled from works (pos, titles, issns, doi, published_at) of equal title in the journal.
 
     Only papers that lack one are joined; of several works the first counts.
-    by_title_key compares normalised titles, else trimmed lower-case ones.
+    by_title_key compares normalised titles and ISSNs as they are, else trimmed lower-case titles and ISSNs without marks.
     """
     key = text.normalize_title if by_title_key else (lambda x: F.lower(rx.trim(x)))
-    own = works.where(F.array_contains("issns", issn)).select("pos", F.explode("titles").alias("t"), c("doi").alias("w_doi"), c("published_at").alias("w_at"))
+    plain = lambda x: F.upper(F.regexp_replace(x, "(?i)[^0-9X]", ""))
+    same = F.array_contains("issns", issn) if by_title_key else F.exists("issns", lambda x: plain(x) == plain(F.lit(issn)))
+    own = works.where(F.coalesce(same, F.lit(False))).select("pos", F.explode("titles").alias("t"), c("doi").alias("w_doi"), c("published_at").alias("w_at"))
     first = own.groupBy(key(c("t")).alias("__t")).agg(F.min_by(F.struct("w_doi", "w_at"), "pos").alias("w"))
     lacking = c("doi").isNull() | c("published_at").isNull()
     joined = papers_.withColumn("__k", F.when(lacking, key(c("title")))).join(first, c("__k") == c("__t"), "left")
@@ -107,3 +123,18 @@ def batches(ids: DataFrame, most: int = 200, size: int = 100) -> DataFrame:
     from ..operators.rank import batches as cut
 
     return cut(ids.orderBy("pos").limit(most), [c("pos")], size)
+
+
+def search(ids: DataFrame, fetched: DataFrame, now: dt.datetime, most: int = 200, size: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Papers of the first ids of a search, and one row of counters.
+
+    ids: (pos, id); fetched: (batch, payload), the answers to batches of ``size`` ids; a batch
+    without an answer is left out.  Papers without an abstract are counted and left out.
+    """
+    asked = batches(ids, most, size)
+    rows = papers(articles_of(fetched.join(asked.select("batch").distinct(), "batch", "left_semi")), now)
+    known = rows.join(asked.select(c("id").alias("__id"), c("pos").alias("search_pos")), c("pmid") == c("__id")).drop("__id")
+    has = F.coalesce("abstract", F.lit("")) != ""
+    counted = asked.agg(F.count("*").alias("requested"), F.countDistinct("batch").alias("batches"))
+    found = known.agg(F.count("*").alias("fetched"), F.count_if(~has).alias("missing_abstract"))
+    return known.where(has), counted.crossJoin(F.broadcast(found))  # one row each

@@ -251,21 +251,21 @@ def detail_metadata(pages: DataFrame, html: str = "html", structured_only: Colum
     )
 
 
-ROWS = "array<struct<title:string,url:string,date:string,section:string,excerpt:string,doi:string,authors:string>>"
+_FIELDS = ("title", "url", "date", "issue", "section", "excerpt", "doi", "authors")
+ROWS = "array<struct<" + ",".join(f"{k}:string" for k in _FIELDS) + ">>"
 
 
 def _rows(parse: Callable[[Node, str], list[dict]]):
     @arrow(ROWS)
     def run(html: pd.Series, base: pd.Series) -> pd.Series:
-        return pd.Series([[{k: r.get(k) for k in ("title", "url", "date", "section", "excerpt", "doi", "authors")} for r in parse(tree(h), b or "")] for h, b in zip(html, base, strict=True)])
+        return pd.Series([[{k: r.get(k) for k in _FIELDS} for r in parse(tree(h), b or "")] for h, b in zip(html, base, strict=True)])
 
     return run
 
 
 def _issue(root: Node, base: str) -> list[dict]:
     """Rows of a current issue: each DOI link's article is the nearest of seven ancestors with a title link."""
-    label = re.search(r"(20\d{2})\s*年?[^0-9]{0,6}(?:第?\s*(\d+)\s*卷)?[^0-9]{0,6}第?\s*(\d{1,2})\s*期", root.text())
-    when = re.search(r"20\d{2}\s*[-/.年]\s*\d{1,2}\s*[-/.月]\s*\d{1,2}", root.text())
+    label, when = re.search(rules.ISSUE_LABEL, root.text()), re.search(rules.ISSUE_DATE, root.text())
     out, seen = [], set()
     for n in root.walk():
         m = re.search(r"doi\.org/(.+)$", n.attrs.get("href", "").strip(), re.I) if n.tag == "a" else None
@@ -279,21 +279,20 @@ def _issue(root: Node, base: str) -> list[dict]:
                 url = resolved(link.attrs["href"], base)
                 if url and host(url) == host(base) and url not in seen:
                     seen.add(url)
-                    out.append({"title": link.text(), "url": url, "date": when[0] if when else None, "section": label[0] if label else None, "doi": unquote(m[1])})
+                    out.append({"title": link.text(), "url": url, "date": when[1] if when else None, "section": label[1] if label else None, "doi": unquote(m[1])})
                 break
     return out
 
 
 def _notices(root: Node, base: str) -> list[dict]:
-    """List items with an information link and a date."""
-    out, seen = [], set()
+    """List items with an information link, on the page's host."""
+    out = []
     for n in root.walk():
         link = n.find(lambda x: x.tag == "a" and "/info/" in x.attrs.get("href", "")) if n.tag == "li" else None
         url = resolved(link.attrs["href"], base) if link else None
-        if url is None or host(url) != host(base) or url in seen:
+        if url is None or host(url) != host(base):
             continue
         own, time = n.find(tag("p", "time")), n.find(lambda x: x.tag == "time" and "datetime" in x.attrs)
-        seen.add(url)
         out.append({"title": link.text(), "url": url, "date": (own.text() if own else "") or (time.attrs["datetime"] if time else None)})
     return out
 
@@ -314,7 +313,7 @@ def _contents(root: Node, base: str) -> list[dict]:
         time = n.find(lambda x: x.tag == "time" and "datetime" in x.attrs)
         own = time.attrs["datetime"] if time else text(n, tag("time"), cls_part("date"))
         doi = re.search(r"10\.\d{4,9}/\S+", text(n, cls_part("doi")))
-        out.append({"title": link.text(), "url": url, "date": own or (issue.text() if issue else None), "section": text(n, cls("section", "column", "article-type"), cls_part("section")), "excerpt": text(n, cls_part("abstract"), cls("summary")), "doi": doi[0] if doi else None, "authors": text(n, cls_part("author"))})
+        out.append({"title": link.text(), "url": url, "date": own, "issue": issue.text() if issue else None, "section": text(n, cls("section", "column", "article-type"), cls_part("section")), "excerpt": text(n, cls_part("abstract"), cls("summary")), "doi": doi[0] if doi else None, "authors": text(n, cls_part("author"))})
     return out
 
 
@@ -340,23 +339,29 @@ PARSERS = {"current_issue": _rows(_issue), "notices": _rows(_notices), "contents
 
 
 def page_rows(pages: DataFrame, parser: str) -> DataFrame:
-    """(source_id, pos, title, url, date, section, excerpt, doi, authors) of pages (source_id, html, s_url)."""
-    rows = pages.select("source_id", "s_category", F.posexplode(PARSERS[parser](c("html"), c("s_url"))).alias("pos", "r"))
-    return rows.select("source_id", "s_category", "pos", "r.*").withColumn("published_at", F.coalesce(dates.from_text(c("date")), dates.parsed(c("date"))))
+    """(source_id, s_category, page, pos, title, url, date, issue, section, excerpt, doi, authors, published_at) of pages
+    (source_id, html, s_url, s_category); the date is the row's own, else the issue's."""
+    rows = pages.withColumn("page", F.monotonically_increasing_id()).select("source_id", "s_category", "page", F.posexplode(PARSERS[parser](c("html"), c("s_url"))).alias("pos", "r"))
+    return rows.select("source_id", "s_category", "page", "pos", "r.*").withColumn("published_at", F.coalesce(dates.numeric(c("date")), dates.numeric(c("issue"))))
+
+
+_ROUTE = ("category", "content_type", "document_type")
+
+
+def _route(*values: str) -> Column:
+    return F.struct(*[F.lit(v).alias(k) for k, v in zip(_ROUTE, values, strict=True)])
 
 
-def notice_route(title: Column, allowed: str, rejected: str) -> Column:
+def notice_route(title: Column, allowed: str = rules.NOTICE_ALLOWED, rejected: str = rules.NOTICE_REJECTED) -> Column:
     """struct(category, content_type, document_type) of a notice's title; null if it isn't one of ours."""
-    made = lambda *v: F.struct(*[F.lit(x).alias(k) for k, x in zip(("category", "content_type", "document_type"), v, strict=True)])
-    hit = lambda p: rx.matches(title, p)
-    out = F.when(hit("手术|并发症"), made("finance", "complication_prevention", "education")).when(hit("指南解读"), made("tech", "guideline_interpretation", "guideline"))
-    out = out.when(hit("共识"), made("tech", "consensus", "consensus")).when(hit("指南|规范"), made("tech", "guideline", "guideline")).otherwise(made("politics", "clinical_practice_recommendation", "news"))
+    hit = lambda p: rx.matches(title, p, ignore_case=False)
+    out = F.when(hit("手术|并发症"), _route("finance", "complication_prevention", "education")).when(hit("指南解读"), _route("tech", "guideline_interpretation", "guideline"))
+    out = out.when(hit("共识"), _route("tech", "consensus", "consensus")).when(hit("指南|规范"), _route("tech", "guideline", "guideline")).otherwise(_route("politics", "clinical_practice_recommendation", "news"))
     return F.when(hit(allowed) & ~hit(rejected), out)
 
 
-def section_route(section: Column, allowed: str, rejected: str) -> Column:
-    """The same for a journal's section."""
-    made = lambda *v: F.struct(*[F.lit(x).alias(k) for k, x in zip(("category", "content_type", "document_type"), v, strict=True)])
-    out = F.when(section == "述评", made("politics", "expert_commentary", "news")).when(section.isin("专家共识", "共识解读"), made("tech", "consensus", "consensus"))
-    out = out.when(section.contains("解读"), made("tech", "guideline_interpretation", "guideline")).otherwise(made("tech", "guideline", "guideline"))
-    return F.when(rx.matches(section, allowed) & ~rx.matches(section, rejected), out)
+def section_route(section: Column, title: Column, allowed: str = rules.SECTION_ALLOWED, rejected: str = rules.SECTION_REJECTED) -> Column:
+    """The same for a journal's section; neither it nor the title may be of a rejected kind."""
+    out = F.when(section == "述评", _route("politics", "expert_commentary", "news")).when(section.isin("专家共识", "共识解读"), _route("tech", "consensus", "consensus"))
+    out = out.when(section.contains("解读"), _route("tech", "guideline_interpretation", "guideline")).otherwise(_route("tech", "guideline", "guideline"))
+    return F.when(rx.matches(section, allowed, ignore_case=False) & ~rx.matches(F.concat_ws(" ", section, title), rejected, ignore_case=False), out)

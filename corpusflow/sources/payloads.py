@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, rx, text
@@ -59,22 +59,27 @@ def attention_entries(payload: DataFrame, source_id: str, limit: int = 20) -> Da
 
 def candles(payloads: DataFrame) -> DataFrame:
     """(symbol, ts, open, high, low, close, volume) from chart payloads; rows with a null price are dropped, volume defaults to 0."""
-    chart = _chart()
-    q = F.get(chart["indicators"]["quote"], F.lit(0))
-    rows = payloads.select(F.coalesce(chart["meta"]["symbol"], c("symbol")).alias("symbol"), F.explode(F.arrays_zip(chart["timestamp"].alias("ts"), q["open"].alias("open"), q["high"].alias("high"), q["low"].alias("low"), q["close"].alias("close"), q["volume"].alias("volume"))).alias("r"))
+    q = F.get(c("chart.indicators.quote"), F.lit(0))
+    bars = F.arrays_zip(c("chart.timestamp").alias("ts"), q["open"].alias("open"), q["high"].alias("high"), q["low"].alias("low"), q["close"].alias("close"), q["volume"].alias("volume"))
+    rows = charts(payloads).select("symbol", F.explode(bars).alias("r"))
     out = rows.select("symbol", F.timestamp_seconds("r.ts").alias("ts"), "r.open", "r.high", "r.low", "r.close", F.coalesce("r.volume", F.lit(0)).alias("volume"))
     return out.dropna(subset=["open", "high", "low", "close"])
 
 
-def _chart() -> Column:
+def charts(payloads: DataFrame) -> DataFrame:
+    """(symbol, chart): each payload parsed once.
+
+    The explode keeps one row together with its payload's parse, so that no expression
+    over the payload can move above a later explode and be computed for each candle.
+    """
     schema = "struct<chart:struct<result:array<struct<meta:struct<symbol:string,currency:string,exchangeName:string,regularMarketPrice:double,fiftyTwoWeekHigh:double,fiftyTwoWeekLow:double>,timestamp:array<bigint>,indicators:struct<quote:array<struct<open:array<double>,high:array<double>,low:array<double>,close:array<double>,volume:array<bigint>>>>>>>>"
-    return F.get(F.from_json("payload", schema)["chart"]["result"], F.lit(0))
+    parsed = F.get(F.from_json("payload", schema)["chart"]["result"], F.lit(0))
+    return payloads.select("symbol", F.explode(F.array(parsed)).alias("chart")).select(F.coalesce("chart.meta.symbol", "symbol").alias("symbol"), "chart")
 
 
 def quotes(payloads: DataFrame) -> DataFrame:
     """(symbol, currency, exchange, price, high_52w, low_52w) with defaults '' and 0; the price falls back to the last close."""
-    m = _chart()["meta"]
-    base = payloads.select(F.coalesce(m["symbol"], c("symbol")).alias("symbol"), m.alias("m"))
+    base = charts(payloads).select("symbol", c("chart.meta").alias("m"))
     close = candles(payloads).groupBy("symbol").agg(F.max_by("close", "ts").alias("last_close"))
     return base.join(close, "symbol", "left").select("symbol", F.coalesce("m.currency", F.lit("")).alias("currency"), F.coalesce("m.exchangeName", F.lit("")).alias("exchange"), F.coalesce("m.regularMarketPrice", "last_close", F.lit(0.0)).alias("price"), F.coalesce("m.fiftyTwoWeekHigh", F.lit(0.0)).alias("high_52w"), F.coalesce("m.fiftyTwoWeekLow", F.lit(0.0)).alias("low_52w"))
 

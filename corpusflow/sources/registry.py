@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+
+from .. import rules
+from ..storage import stored
 
 c = F.col
 SOURCES = "id string, name string, url string, type string, category string, class string, subcategory string, lang string, query string, notes string, use_curl boolean, enabled boolean, locales array<string>, keywords array<string>, exclude_keywords array<string>, allowed_hosts array<string>, lookback_hours int"
@@ -109,42 +112,80 @@ def read_history(spark: SparkSession, root: str, schema: str) -> DataFrame:
     return rows.where("_corrupt_record is null").drop("_corrupt_record")
 
 
+#: What Spark says of a file that isn't Parquet, or is a broken one.
+_BROKEN = ("CANNOT_READ_FILE_FOOTER", "is not a Parquet file", "FAILED_READ_FILE.PARQUET")
+
+
 def read_state(spark: SparkSession, path: str, schema: str, clear: bool = False) -> DataFrame:
-    """A state table, or an empty one where it is missing, unreadable (moved aside) or to be cleared."""
+    """A state table, or an empty one where it is missing, to be cleared, or in a broken format: that is moved aside.
+
+    Any other failure (a lost executor, no permission) is raised: the state isn't touched.
+    """
     empty = spark.createDataFrame([], schema)
-    if clear:
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if clear or not fs.exists(fs_path):
         return empty
     try:
         rows = spark.read.schema(schema).parquet(path)
-        rows.limit(1).collect()
+        rows.write.format("noop").mode("overwrite").save()  # all files, not only the first
         return rows
-    except AnalysisException:
-        return empty
-    except Exception:  # files that aren't Parquet
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        fs.rename(fs_path, spark._jvm.org.apache.hadoop.fs.Path(f"{path}.broken"))
+    except Exception as e:
+        if not any(x in str(e) for x in _BROKEN):
+            raise
+        aside = f"{path}.broken-{uuid.uuid4().hex[:8]}"
+        if not fs.rename(fs_path, spark._jvm.org.apache.hadoop.fs.Path(aside)):
+            raise OSError(f"{path} is broken and can't be moved to {aside}") from e
         return empty
 
 
+ARTICLES = "seq bigint, source_id string, title string, url string, excerpt string, meta string, content_type string, published_at timestamp, category string, document_type string, summary string"
+
+
+def read_sidecar(spark: SparkSession, root: str, date: str, schema: str = ARTICLES) -> DataFrame:
+    """The articles of an earlier run (write_dated() of its date), to render it again; an error if there are none."""
+    path = f"{root}/date={date}"
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
+        raise FileNotFoundError(path)
+    return spark.read.schema(schema).json(path)
+
+
 Connector = Callable[[DataFrame], DataFrame]
 
 
-def dispatched(payloads: DataFrame, sources: list[dict], by_id: dict[str, Connector], by_type: dict[str, Connector]) -> DataFrame | None:
-    """Rows of all enabled sources: by the connector of their id, else of their type.  A source's failure is its own.
+def dispatched(payloads: DataFrame, sources: list[dict], by_id: dict[str, Connector], by_type: dict[str, Connector]) -> tuple[DataFrame | None, DataFrame]:
+    """Rows of all enabled sources, and (source_id, ok, fetched, error) of each.
 
-    payloads: (source_id, ...).  Sources of one connector are read together.
+    A source is read by the connector of its id, else of its type; sources that are disabled or
+    never read have no rows.  Sources of one connector are read together and stored; if that
+    fails, each is read for itself, so that a failure is its own source's.
     """
     groups: dict[int, tuple[Connector, list[str]]] = {}
     for s in sources:
-        f = by_id.get(s["id"]) or by_type.get(s["type"])
-        if f is not None and s.get("enabled", True):
+        f = by_id.get(s["id"]) or by_type.get(s.get("type", ""))
+        if f is not None and s.get("enabled", True) and s["id"] not in rules.NEVER_READ:
             groups.setdefault(id(f), (f, []))[1].append(s["id"])
-    out = None
+    out, status = None, []
+
+    def read(f: Connector, ids: list[str]) -> DataFrame:
+        return stored(f(payloads.where(c("source_id").isin(*ids))))
+
     for f, ids in groups.values():
-        rows = f(payloads.where(c("source_id").isin(*ids)))
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    return out
+        try:
+            parts = [(ids, read(f, ids))]
+        except Exception:  # one of them, to be found
+            parts = []
+            for i in ids:
+                try:
+                    parts.append(([i], read(f, [i])))
+                except Exception as e:
+                    status.append((i, False, 0, str(e).split("\n")[0][:200]))
+        for own, rows in parts:
+            counts = {r.source_id: r["count"] for r in rows.groupBy("source_id").count().collect()}
+            status += [(i, True, counts.get(i, 0), None) for i in own]
+            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out, payloads.sparkSession.createDataFrame(status, "source_id string, ok boolean, fetched bigint, error string")
 
 
 def matches_category(category: str, mapping: dict[str, tuple[str, str | None]]) -> Column:

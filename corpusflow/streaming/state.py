@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import dedupe, history
+from ..operators import dedupe
+from ..storage import stored
 
 c = F.col
 
@@ -48,22 +49,18 @@ def section(papers: DataFrame, last: dt.datetime | None, now: dt.datetime, fallb
     return out.select(F.lit(now).cast("timestamp").alias("generated_at"), "data_as_of", F.lit(fallback).alias("is_cached_fallback"), "papers", "daily_signal")
 
 
-def run(fetch: list[Callable[[], DataFrame]], cached: DataFrame, shown: DataFrame, now: dt.datetime, cache_days: int = 90) -> tuple[DataFrame, bool, int]:
-    """(papers not shown before, cached fallback?, sources that succeeded); each source fails for itself."""
-    got, failed = [], 0
-    for f in fetch:
+def discovered(fetch: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, list[tuple[str, bool, int, str | None]]]:
+    """Papers of all sources and (source_id, ok, fetched, error) of each: every source is read whole and stored, and fails for itself."""
+    out, status = None, []
+    for name, f in fetch.items():
         try:
-            df = f()
-            df.limit(1).collect()
-            got.append(df)
-        except Exception:  # a source's failure must not end the run
-            failed += 1
-    if not got:
-        return history.unshown_papers(cached, shown), True, 0
-    fetched = got[0]
-    for df in got[1:]:
-        fetched = fetched.unionByName(df, allowMissingColumns=True)
-    return history.unshown_papers(merged(fetched, cached, now, cache_days), shown), False, len(got)
+            rows = stored(f())
+            status.append((name, True, rows.count(), None))
+        except Exception as e:  # a source's failure must not end the run
+            status.append((name, False, 0, str(e).split("\n")[0][:200]))
+            continue
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out, status
 
 
 def reuse_summaries(papers: DataFrame, cached: DataFrame) -> DataFrame:
@@ -78,13 +75,43 @@ def enriched(articles: DataFrame, details: DataFrame) -> DataFrame:
     from ..functions import rx, urls
 
     d = details.select(urls.canonical(c("url")).alias("__k"), c("published_at").alias("__at"), c("excerpt").alias("__x"), c("content_type").alias("__t"), c("content_type_evidence").alias("__e"))
-    d = d.groupBy("__k").agg(*[F.min_by(n, n).alias(n) for n in ("__at", "__x", "__t", "__e")])
+    d = d.groupBy("__k").agg(F.min(F.struct("__at", "__x", "__t", "__e")).alias("d")).select("__k", "d.*")  # one row of several, as a whole
     out = articles.withColumn("__u", urls.canonical(c("url"))).join(d, c("__u") == c("__k"), "left")
     out = out.withColumn("published_at", F.coalesce("published_at", "__at")).withColumn("excerpt", F.when(rx.blank(c("excerpt")), c("__x")).otherwise(c("excerpt")))
     out = out.withColumn("content_type_evidence", F.when(rx.blank(c("content_type")), c("__e")).otherwise(c("content_type_evidence"))).withColumn("content_type", F.when(rx.blank(c("content_type")), c("__t")).otherwise(c("content_type")))
     return out.select(*articles.columns)
 
 
+def with_details(articles: DataFrame, targets: list[str], excluded: Column, cache: DataFrame, extract: Callable[[DataFrame], DataFrame], now: dt.datetime, days: int = 14) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(articles with details, the cache, statistics): incomplete rows of the target sources are looked up by canonical URL.
+
+    Details that the cache holds and that haven't expired are used; of the rest the first 16 URLs, 8 of a
+    source, go to extract(), whose rows (url, published_at, excerpt, content_type, content_type_evidence) are
+    merged and kept ``days`` days.  Rows without an answer stay as they are and count as failed.
+    """
+    from ..functions import urls
+
+    wanted = stored(needs_details(articles, targets, excluded).select("seq", "source_id", "url", urls.canonical(c("url")).alias("key")))
+    chosen = stored(dedupe.detail_candidates(wanted, "key"))
+    fresh = cache.where(c("expires_at") > F.lit(now)).withColumn("__k", urls.canonical(c("url")))
+    hits = chosen.join(fresh, c("key") == c("__k"), "left_semi").select("seq")
+    misses = chosen.join(hits, "seq", "left_anti")
+    got = stored(extract(misses).withColumn("expires_at", F.lit(now + dt.timedelta(days=days))))
+    kept = fresh.drop("__k").join(got.select(urls.canonical(c("url")).alias("__g")).distinct(), urls.canonical(c("url")) == c("__g"), "left_anti")
+    known = kept.unionByName(got, allowMissingColumns=True)
+    asked = chosen.join(hits.withColumn("hit", F.lit(True)), "seq", "left").join(got.select(urls.canonical(c("url")).alias("__g")).distinct().withColumn("answered", F.lit(True)), c("key") == c("__g"), "left")
+    return enriched(articles, known), known, detail_statistics(asked)
+
+
+def detail_statistics(asked: DataFrame) -> DataFrame:
+    """(source_id, requested, cache_hits, succeeded, failed) of each source and of all, from rows (source_id, hit, answered)."""
+    hit, answered = F.coalesce("hit", F.lit(False)), F.coalesce("answered", F.lit(False))
+    counts = asked.groupingSets([["source_id"], []], "source_id").agg(
+        F.count("*").alias("requested"), F.count_if(hit).alias("cache_hits"), F.count_if(~hit & answered).alias("succeeded"), F.count_if(~hit & ~answered).alias("failed"), F.grouping("source_id").alias("__all")
+    )
+    return counts.select(F.when(c("__all") == 1, "all").otherwise(c("source_id")).alias("source_id"), "requested", "cache_hits", "succeeded", "failed")
+
+
 def needs_details(articles: DataFrame, targets: list[str], excluded: Column) -> DataFrame:
     """Incomplete rows of the target sources that aren't excluded."""
     from ..functions import rx

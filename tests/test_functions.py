@@ -35,10 +35,40 @@ def test_spaces_of_all_kinds(spark):
 
 def test_titles(spark):
     xs = ["A&amp;B — C&#233;", "  x--y!z ", "&lt;b&gt;", None, "&#X41; &#99999999;"]
-    assert values(spark, xs, text.normalize_title(c("x"), True))[:4] == ["a&b cé", "x y z", "b", None]
+    assert values(spark, xs, text.normalize_title(c("x")))[:4] == ["a&b cé", "x y z", "b", None]
     assert values(spark, ["R&D: Café"], text.normalize_content_title(c("x"))) == ["r d café"]
 
 
+def test_titles_have_one_compatibility_form(spark):
+    import unicodedata
+
+    xs = ["Ｆｕｌｌ　width", "ﬁeld ②", "cafe" + chr(0x301), "ĳ…x", "한글", "Ａ&#38;Ｂ", "日本語「テスト」", ""]
+    assert values(spark, xs, text.normalize_title(c("x"))) == [text.normal_phrase(x) for x in xs]
+    arrays = spark.createDataFrame([(["Ｃohort  Study", "a&amp;b", None],), ([],), (None,)], "x array<string>").select(text.normalize_titles(c("x")).alias("y")).collect()
+    assert [r.y for r in arrays] == [["cohort study", "a&b"], [], []]
+    import re
+
+    same = re.compile(f"[{text.UNCHANGED}]")
+    for i in range(0x10000):
+        if not 0xD800 <= i < 0xE000 and same.match(chr(i)):
+            assert unicodedata.normalize("NFKC", chr(i)) == chr(i) and not unicodedata.combining(chr(i)), hex(i)
+
+
+def test_needles_are_in_every_match():
+    import re
+
+    from corpusflow import rules
+
+    assert set(rx.needles(r"\b(?:career|careers|job opening|recruit(?:ment)?)\b")) == {"career", "careers", "job opening", "recruit"}
+    assert rx.needles(r"randomi[sz]ed(?: controlled)? trial") == ("randomi",) and rx.needles(r"\b\w+\b") == ()
+    words = "original article, research; clinical guideline Consensus randomised trial cohort study 指南解读 FIGO committee statement register webinar meta-analysis".split()
+    for pattern in [p for p in vars(rules).values() if isinstance(p, str)] + [p for _, p in rules.CONTENT_TYPES + rules.TITLE_TYPES]:
+        for i in range(len(words)):
+            t = " ".join(words[i : i + 3])
+            if rx.needles(pattern) and re.search(pattern, t, re.I | re.A):
+                assert any(n in t.lower() for n in rx.needles(pattern)), (pattern, t)
+
+
 def test_doi(spark):
     xs = ["https://doi.org/10.1/AB.)", " doi: 10.2/x ;", "  ", None]
     assert values(spark, xs, text.normalize_doi(c("x"))) == ["10.1/ab", "10.2/x", None, None]

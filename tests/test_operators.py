@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corpusflow.operators import dedupe, digest, rank, timeseries
+from corpusflow.operators import dedupe, digest, history, rank, timeseries
 from corpusflow.sources import feeds, html
 from corpusflow.sources.registry import RunLimits
 from corpusflow.streaming import state
@@ -137,10 +137,14 @@ def test_failed_sources_fall_back(spark):
         raise OSError("no network")
 
     shown = spark.createDataFrame([], "key string")
-    papers, fallback, n = state.run([fails], cached, shown, dt.datetime(2024, 1, 10))
-    assert fallback and n == 0 and papers.count() == 1
-    papers, fallback, n = state.run([fails, lambda: cached], cached, shown, dt.datetime(2024, 1, 10))
-    assert not fallback and n == 1 and papers.first().members == 2
+    def breaks():  # only when it is read whole
+        return cached.withColumn("id", F.when(c("seq") == 1, F.raise_error(F.lit("broken page"))).otherwise(c("id")))
+
+    assert state.discovered({"a": fails}) == (None, [("a", False, 0, "no network")])
+    rows, status = state.discovered({"a": fails, "b": lambda: cached, "c": breaks})
+    assert [(n, ok, k) for n, ok, k, _ in status] == [("a", False, 0), ("b", True, 1), ("c", False, 0)] and rows.count() == 1
+    both = state.merged(rows, cached, dt.datetime(2024, 1, 10), 90)
+    assert both.first().members == 2 and history.unshown_papers(both, shown).count() == 1
 
 
 def test_digest_sections(spark):
