@@ -134,7 +134,8 @@ def _over_limit(rows: DataFrame, limit_docs: int, limit_share: float) -> DataFra
     # as many rows as documents at least: only what has enough rows is counted by distinct documents
     often = lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > limit_docs).join(docs_of, "host")
     over = F.col("n") > F.greatest(F.lit(float(limit_docs)), F.col("docs") * limit_share)
-    held = stored(lines.join(often.where(over).select("host", "h", "docs"), ["host", "h"]).distinct())
+    # dealt by document, so that a line which very many documents hold is counted in many tasks
+    held = stored(lines.join(often.where(over).select("host", "h", "docs"), ["host", "h"]).repartition("doc_id").distinct())
     common = held.groupBy("host", "h").agg(F.count("*").alias("n"), F.first("docs").alias("docs")).where(over).select("host", "h")
     return held.join(common, ["host", "h"]).groupBy("doc_id", "host").agg(F.collect_list("h").alias("gone"))
 

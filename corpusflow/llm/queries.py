@@ -23,8 +23,8 @@ def _sha(column: str):
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_removed", _sha("text").alias("kept_sha256"))
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), runs=True)
+    return out.select("doc_id", "n_lines", "n_removed", _sha("text").alias("kept_sha256"), "n_runs", "longest_run")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,23 +113,36 @@ with cut as (
   from cut, unnest(range(1, len(ls) + 1)) as u(i)
   where regexp_matches(ls[i], '[^\x20\x09-\x0D]')
 ), pair as (
-  select doc_id, seq, l, lead(l) over (partition by doc_id order by seq) as next_l from line
+  select doc_id, seq, l, lead(l) over (partition by doc_id order by seq) as next_l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) as words from line
 ), later as (
-  select doc_id, seq from (
+  select doc_id, seq, 2 as n from (
     select doc_id, seq, row_number() over (partition by l, next_l order by doc_id, seq) as nth from pair where next_l is not null
   ) where nth > 1
+  union all
+  select doc_id, seq, 1 as n from (
+    select doc_id, seq, row_number() over (partition by l order by doc_id, seq) as nth from pair where words >= 50
+  ) where nth > 1
 ), gone as (
-  select distinct doc_id, seq from (select doc_id, seq from later union all select doc_id, seq + 1 from later)
+  select distinct doc_id, seq + k as seq from later, unnest([0, 1]) as v(k) where k < n
 ), counts as (
   select line.doc_id, count(*) as n_lines, count(gone.seq) as n_removed,
          list(line.i) filter (where gone.seq is not null) as gone_at
   from line left join gone on line.doc_id = gone.doc_id and line.seq = gone.seq group by line.doc_id
+), equal as (
+  select a.doc_id, a.seq, b.doc_id as d2, a.seq - b.seq as shift from line a join line b on a.l = b.l and (a.doc_id <> b.doc_id or a.seq <> b.seq)
+), run as (
+  select *, seq - row_number() over (partition by doc_id, d2, shift order by seq) as part from equal
+), reach as (
+  select doc_id, seq, max(last) as last from (select doc_id, seq, max(seq) over (partition by doc_id, d2, shift, part) as last from run) group by doc_id, seq
+), longest as (
+  select doc_id, count(distinct last) as n_runs, max(last - seq + 1) as longest_run from reach group by doc_id
 )
 select d.doc_id, coalesce(c.n_lines, 0)::bigint as n_lines, coalesce(c.n_removed, 0)::bigint as n_removed,
        sha256(case when coalesce(c.n_removed, 0) = 0 then array_to_string(d.ls, chr(10))
                    when c.n_removed = c.n_lines then ''
-                   else array_to_string(list_transform(list_filter(range(1, len(d.ls) + 1), lambda i: not list_contains(c.gone_at, i)), lambda i: d.ls[i]), chr(10)) end) as kept_sha256
-from cut d left join counts c on d.doc_id = c.doc_id
+                   else array_to_string(list_transform(list_filter(range(1, len(d.ls) + 1), lambda i: not list_contains(c.gone_at, i)), lambda i: d.ls[i]), chr(10)) end) as kept_sha256,
+       coalesce(g.n_runs, 0)::bigint as n_runs, coalesce(g.longest_run, 0)::bigint as longest_run
+from cut d left join counts c on d.doc_id = c.doc_id left join longest g on d.doc_id = g.doc_id
 """
 
 OP5_SQL = r"""

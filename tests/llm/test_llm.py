@@ -104,37 +104,104 @@ def test_parts_hold_all_rows():
 # 1: line dedup
 
 
-def lines_brute(rows, k):
+def lines_brute(rows, k, long=line_dedup.MIN_WORDS):
     seen, out = set(), {}
     for i, t, *_ in sorted(rows, key=lambda r: r[0]):
         all_lines = (t or "").split("\n")
         own = [j for j, s in enumerate(all_lines) if re.search(r"[^\x20\x09-\x0D]", s)]
         gone = set()
-        for j in range(len(own) - k + 1):
-            key = tuple(all_lines[x] for x in own[j : j + k])
-            if key in seen:
-                gone |= set(range(j, j + k))
-            seen.add(key)
+        for rule, n, starts in (("run", k, range(len(own) - k + 1)), ("long", 1, [j for j, x in enumerate(own) if len(WORD.findall(all_lines[x])) >= long])):
+            for j in starts:
+                key = (rule, *(all_lines[x] for x in own[j : j + n]))
+                if key in seen:
+                    gone |= set(range(j, j + n))
+                seen.add(key)
         text = t if not gone else "" if len(gone) == len(own) else "\n".join(s for j, s in enumerate(all_lines) if j not in {own[x] for x in gone})
         out[i] = (text, len(own), len(gone))
     return out
 
 
+def runs_brute(rows) -> dict:
+    """(maximal repeated runs, lines of the longest) of each document, by the longest match of each line with any other."""
+    seqs = {i: [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)] for i, t, *_ in rows}
+    at = collections.defaultdict(list)
+    for i, xs in seqs.items():
+        for j, x in enumerate(xs):
+            at[x].append((i, j))
+    out = {}
+    for i, xs in seqs.items():
+        ends = set()
+        longest = 0
+        for j, x in enumerate(xs):
+            best = 0
+            for d, e in at[x]:
+                if (d, e) != (i, j):
+                    n = 0
+                    while j + n < len(xs) and e + n < len(seqs[d]) and xs[j + n] == seqs[d][e + n]:
+                        n += 1
+                    best = max(best, n)
+            if best:
+                ends.add(j + best)
+                longest = max(longest, best)
+        out[i] = (len(ends), longest)
+    return out
+
+
+def line_corpus(seed: int) -> list[tuple]:
+    """Sequences over few lines, with copies of documents, of parts of them, and of parts of themselves, over 64 lines long too."""
+    r = random.Random(seed)
+    seqs: list[list[str]] = []
+    for n in range(40):
+        xs = [f"line {r.randrange(8 if n % 4 else 200)}" for _ in range(r.choice((1, 3, 9, 30, 80)))]
+        if seqs and n % 3 == 0:
+            src = r.choice(seqs)
+            a = r.randrange(len(src))
+            xs = xs[: len(xs) // 2] + src[a : a + r.randrange(1, 100)] + xs[len(xs) // 2 :]
+        if n % 7 == 0:
+            xs = xs * 2
+        if seqs and n % 5 == 0:
+            xs = list(r.choice(seqs))
+        seqs.append(xs)
+    return [(i, "\n".join(xs), "en", "s", 0) for i, xs in enumerate(seqs)]
+
+
 @pytest.mark.parametrize("k", [1, 2, 3, 5])
 def test_line_dedup(rows, docs, k):
     got = {i: (r.text, r.n_lines, r.n_removed) for i, r in by_id(line_dedup.dedup_lines(docs, k)).items()}
     assert got == lines_brute(rows, k)
 
 
-def test_line_dedup_keeps_suffix_order(docs):
-    """Ranks of equal prefixes are equal, of different ones different."""
-    found = line_dedup.suffix_intervals(docs, 2).groupBy("rank").count().collect()
-    assert found and all(r["count"] > 1 for r in found)
-
-
-def test_repeated_runs(docs):
-    runs = line_dedup.repeated_runs(docs, 2).agg(F.sum("n_lines")).first()[0]
-    assert runs == line_dedup.dedup_lines(docs, 2).agg(F.sum("n_removed")).first()[0]
+@pytest.mark.parametrize("seed", range(2))
+def test_maximal_runs(spark, seed):
+    rows = line_corpus(seed)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = by_id(line_dedup.dedup_lines(df, 3, runs=True))
+    assert {i: (r.n_runs, r.longest_run) for i, r in got.items()} == runs_brute(rows) and max(r.longest_run for r in got.values()) > 64
+    assert {i: (r.text, r.n_lines, r.n_removed) for i, r in got.items()} == lines_brute(rows, 3)
+
+
+def test_suffix_array_of_lines(spark):
+    """Ranks are in the order of the suffixes, equal only for suffixes that are equal to the end."""
+    rows = line_corpus(7)
+    states = line_dedup.suffix_ranks(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    ids = {x: hashlib.md5(x.encode()).digest() for _, t, *_ in rows for x in t.split("\n")}
+    suffix = {(i, j): [ids[x] for x in t.split("\n")[j:]] for i, t, *_ in rows for j in range(len(t.split("\n")))}
+    got = line_dedup.suffix_array(states).orderBy("r", "doc_id", "seq").collect()
+    order = [(r.doc_id, r.seq) for r in got]
+    first = collections.Counter(s[0] for s in suffix.values())
+    assert order == sorted((k for k, s in suffix.items() if first[s[0]] > 1), key=lambda k: (suffix[k], k))
+    assert all((bytes(a.r) == bytes(b.r)) == (suffix[a.doc_id, a.seq] == suffix[b.doc_id, b.seq]) for a, b in itertools.pairwise(got))
+
+
+def test_line_dedup_of_repeated_ids(spark):
+    """Rows of one id: equal texts are one document, other texts are documents of their own."""
+    two, long = "first line\nsecond line", " ".join(f"w{i}" for i in range(60))
+    rows = [(1, two), (1, two), (1, two + "\nthird"), (2, "x\n" + two + "\n" + long), (3, long + "\ny"), (None, two), (4, None)]
+    got = [(r.doc_id, r.text, r.n_lines, r.n_removed, r.n_runs, r.longest_run) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), runs=True).collect()]
+    assert sorted((x for x in got if x[0] and x[0] > 1), key=str) == [(2, "x\n" + long, 4, 2, 2, 2), (3, "y", 2, 1, 1, 1), (4, None, 0, 0, 0, 0)]
+    one = collections.Counter(x for x in got if x[0] == 1)
+    assert sum(one.values()) == 3 and one[(1, two, 2, 0, 1, 2)] + one[(1, "", 2, 2, 1, 2)] == 2 and len(one) == 2
+    assert [x for x in got if x[0] is None] == [(None, two, 2, 0, 0, 0)]
 
 
 # 2: BPE
