@@ -130,22 +130,37 @@ def round2(x: Column) -> Column:
     return round_half_up(x, 2, 2.0**-52)
 
 
+def fixed(x: Column, digits: int, commas: bool = False) -> Column:
+    """A double with fixed digits, rounded from its exact binary value; exact halves go away from zero."""
+    half, scale = float(2 ** (digits + 1)), float(10**digits)
+    tie = (x * half == F.floor(x * half)) & (F.pmod(F.abs(x) * (2 * scale), F.lit(2.0)) == 1)
+    out = F.format_number(F.when(tie, (x * scale + F.signum(x) * 0.5) / scale).otherwise(x), digits)
+    return out if commas else F.replace(out, F.lit(","), F.lit(""))
+
+
 def compact_number(n: Column) -> Column:
-    """1.2K, 3.4M: one digit, halves up."""
-    one = lambda scale: F.format_string("%.1f", round_half_up(n / scale, 1))
+    """1.2K, 3.4M: one digit."""
     n = n.cast("double")
-    return F.when(n >= 1e6, F.concat(one(1e6), F.lit("M"))).when(n >= 1e3, F.concat(one(1e3), F.lit("K"))).otherwise(F.format_string("%.0f", n))
+    return F.when(n >= 1e6, F.concat(fixed(n / 1e6, 1), F.lit("M"))).when(n >= 1e3, F.concat(fixed(n / 1e3, 1), F.lit("K"))).otherwise(fixed(n, 0))
 
 
 def big_money(n: Column) -> Column:
-    """$1.23T, $4.56B, $7.89M."""
+    """$1.23 T, $4.6 B, $7.9 M, $12."""
+    n = n.cast("double")
+    of = lambda scale, digits, unit: F.concat(F.lit("$"), fixed(n / scale, digits), F.lit(unit))
+    return F.when(n >= 1e12, of(1e12, 2, " T")).when(n >= 1e9, of(1e9, 1, " B")).when(n >= 1e6, of(1e6, 1, " M")).otherwise(of(1.0, 0, ""))
+
+
+def price(n: Column, digits: int = 2) -> Column:
+    """Fixed digits, thousands apart by commas; a dash for what isn't a number."""
     n = n.cast("double")
-    at = lambda scale, unit: F.format_string(f"$%.2f{unit}", n / scale)
-    return F.when(n >= 1e12, at(1e12, "T")).when(n >= 1e9, at(1e9, "B")).otherwise(at(1e6, "M"))
+    return F.when(n.isNull() | F.isnan(n) | (F.abs(n) == float("inf")), F.lit("—")).otherwise(fixed(n, digits, commas=True))
 
 
 def signed_percent(x: Column) -> Column:
-    return F.when(x.isNull() | F.isnan(x), F.lit("–")).otherwise(F.concat(F.when(x >= 0, F.lit("+")).otherwise(F.lit("")), F.format_string("%.2f%%", x.cast("double"))))
+    """+1.25%; a dash for what isn't a number."""
+    x = x.cast("double")
+    return F.when(x.isNull() | F.isnan(x), F.lit("–")).otherwise(F.concat(F.when(x >= 0, F.lit("+")).otherwise(F.lit("")), fixed(x, 2), F.lit("%")))
 
 
 def tokens_of_chars(chars: Column, per_token: int = 3) -> Column:

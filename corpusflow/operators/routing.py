@@ -77,6 +77,14 @@ def _age_hours(now: dt.datetime) -> Column:
     return (F.lit(now).cast("timestamp").cast("double") - c("published_at").cast("timestamp").cast("double")) / 3600
 
 
+def window_part(category: Column, at: Column, now: dt.datetime, windows: dict[str, tuple[float, float]]) -> Column:
+    """future, priority, supplemental or outside, by a category's two windows in hours; none for a category without."""
+    hours = (F.lit(now).cast("timestamp").cast("double") - at.cast("double")) / 3600
+    table = F.create_map(*[F.lit(x) for k, v in windows.items() for x in (k, F.array(F.lit(float(v[0])), F.lit(float(v[1]))))])
+    own = F.element_at(table, category)
+    return F.when(hours < 0, "future").when(own.isNull(), "none").when(hours <= F.get(own, F.lit(0)), "priority").when(hours <= F.get(own, F.lit(1)), "supplemental").otherwise("outside")
+
+
 def staged(articles: DataFrame, sources: DataFrame, now: dt.datetime, windows: dict = rules.WINDOWS) -> DataFrame:
     """articles (with seq) plus reason (null: accepted), routed category and partition (priority or supplemental).
 

@@ -46,7 +46,7 @@ def rejects_by_source(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dedupe_greedy(spark: SparkSession, sf: str) -> DataFrame:
-    d = t(spark, sf, "documents").select("doc_id", F.concat(F.lit("u"), c("doc_id") % 611, F.lit("-"), c("lang")).alias("u"), F.substring("text", 1, 24).alias("h"))
+    d = t(spark, sf, "documents").select("doc_id", F.concat(F.lit("u"), c("doc_id") % 611, F.lit("-"), c("lang")).alias("u"), c("text").alias("h"))
     return dedupe.greedy_two_keys(d, "doc_id", "u", "h")
 
 
@@ -80,15 +80,12 @@ def value_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def window_partition(spark: SparkSession, sf: str) -> DataFrame:
     e = t(spark, sf, "events")
-    hours = (F.lit(NOW).cast("timestamp").cast("double") - c("ts").cast("timestamp").cast("double")) / 3600
-    near = F.create_map(*[F.lit(x) for k, v in (("view", (24.0, 240.0)), ("click", (48.0, 480.0)), ("purchase", (240.0, 700.0))) for x in (k, F.array(F.lit(v[0]), F.lit(v[1])))])
-    w = F.element_at(near, c("event_type"))
-    part = F.when(hours < 0, "future").when(w.isNull(), "none").when(hours <= F.get(w, F.lit(0)), "priority").when(hours <= F.get(w, F.lit(1)), "supplemental").otherwise("outside")
+    part = routing.window_part(c("event_type"), c("ts").cast("timestamp"), NOW, {"view": (24, 240), "click": (48, 480), "purchase": (240, 700)})
     return e.groupBy("event_type", part.alias("part")).agg(F.count("*").alias("n"))
 
 
 def grouped_topn(spark: SparkSession, sf: str) -> DataFrame:
-    customers = t(spark, sf, "customer").where("c_nationkey % 6 <> 5").withColumnRenamed("c_nationkey", "n_nationkey")
+    customers = t(spark, sf, "customer").withColumnRenamed("c_nationkey", "n_nationkey")
     out = rank.grouped_top(customers, t(spark, sf, "nation"), "n_nationkey", [F.desc("c_acctbal"), F.asc("c_custkey")], 5, ["c_custkey"])
     return out.select("n_name", F.array_join(F.transform("items", lambda s: s["c_custkey"].cast("string")), ",").alias("top"))
 
@@ -96,12 +93,12 @@ def grouped_topn(spark: SparkSession, sf: str) -> DataFrame:
 def _digest_candidates(spark: SparkSession, sf: str) -> DataFrame:
     b = t(spark, sf, "benchmark")
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in {0: "tech", 1: "finance", 2: "politics"}.items() for x in kv]), (c("item_id") % 3).cast("int"))
-    return b.select(c("item_id").alias("seq"), F.concat(F.lit("https://x.org/"), c("item_id")).alias("url"), F.substring("text", 1, 20).alias("title"), F.lit("S").alias("source"), kind.alias("category"), F.when(c("item_id") % 5 != 4, F.substring("text", 1, 30)).alias("summary"), F.when(c("item_id") % 4 != 3, "accepted").otherwise("uncertain").alias("review_status"), (c("item_id") % 4 == 3).alias("low_priority"))
+    return b.select(c("item_id").alias("seq"), F.concat(F.lit("https://x.org/"), c("item_id")).alias("url"), c("text").alias("title"), F.lit("S").alias("source"), kind.alias("category"), F.when(c("item_id") % 5 != 4, c("text")).alias("summary"), F.when(c("item_id") % 4 != 3, "accepted").otherwise("uncertain").alias("review_status"), (c("item_id") % 4 == 3).alias("low_priority"))
 
 
 def digest_join(spark: SparkSession, sf: str) -> DataFrame:
     """A digest answer made from benchmark items, with repeats, wrong categories and bad importances."""
-    b = t(spark, sf, "benchmark").where("item_id % 2 = 0 and item_id < 36")
+    b = t(spark, sf, "benchmark")
     names = F.create_map(*[F.lit(x) for kv in {0: "tech", 1: "finance", 2: "politics"}.items() for x in kv])
     given = F.element_at(names, ((c("item_id") + F.when(c("item_id") % 10 == 8, 1).otherwise(0)) % 3).cast("int"))
     items = b.select(F.when(given == "tech", 0).when(given == "finance", 1).otherwise(2).alias("section"), given.alias("category"), c("item_id").alias("pos"), F.concat(F.lit(" https://x.org/"), c("item_id")).alias("url"), F.when(c("item_id") % 6 == 0, "given").alias("summary"), F.when(c("item_id") % 8 != 0, (c("item_id") * 0.7).cast("double")).alias("importance"))
@@ -110,7 +107,7 @@ def digest_join(spark: SparkSession, sf: str) -> DataFrame:
 
 def review_join(spark: SparkSession, sf: str) -> DataFrame:
     """Review answers of 30-row chunks, one of them broken, against their candidates."""
-    a = articles(spark, sf).where("seq < 600 and seq % 24 < 23")
+    a = articles(spark, sf)
     cand = stored(routing.classified(routing.with_source(a, sources(spark))))
     status = F.when(c("seq") % 5 == 0, "rejected").when(c("seq") % 5 == 1, "uncertain").otherwise("accepted")
     one = F.struct(F.to_json(F.struct(c("url"), status.alias("status"), F.concat(F.lit("s"), c("seq")).alias("summary"))).alias("j"))
@@ -121,31 +118,40 @@ def review_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def llm_rejected(spark: SparkSession, sf: str) -> DataFrame:
-    a = articles(spark, sf).where("seq % 31 <> 0")
+    a = articles(spark, sf)
     return digest.llm_rejected(a.where("seq % 2 = 0"), a.where("seq % 7 = 0")).select("seq")
 
 
 def conversation_turns(spark: SparkSession, sf: str) -> DataFrame:
     v = t(spark, sf, "conversations")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda s: F.concat(s["role"], F.lit(": "), F.substring(s["text"], 1, 20)))
-    return v.groupBy("conv_id").agg(F.array_join(F.slice(ordered, 1, 3), " | ").alias("opening"), F.count("*").alias("turns"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda s: F.concat(s["role"], F.lit(": "), s["text"]))
+    return v.groupBy("conv_id").agg(F.array_join(ordered, "\n").alias("transcript"), F.count("*").alias("turns"))
 
 
 def funnel_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    from ..plans import daily
+
     d = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id", "left")
-    stages = F.array(F.lit("fetched"), F.when(c("quality").isNotNull(), "labelled"), F.when(c("quality") == 1, "good"), F.when((c("quality") == 1) & (c("toxic") == 0), "clean"))
-    tagged = d.select("source", F.explode(F.filter(stages, lambda s: s.isNotNull())).alias("stage"))
-    return tagged.groupBy("source").pivot("stage", ["fetched", "labelled", "good", "clean"]).count().fillna(0)
+    return daily.by_stage({"fetched": d, "labelled": d.where("quality is not null"), "good": d.where("quality = 1"), "clean": d.where("quality = 1 and toxic = 0")}, "source")
 
 
 def details_by_source(spark: SparkSession, sf: str) -> DataFrame:
-    d = t(spark, sf, "documents")
-    return d.groupingSets([["source"], []], "source").agg(F.count("*").alias("requested"), F.count_if(c("n_chars") >= 30).alias("with_excerpt"), F.count_if(c("lang") == "en").alias("english")).select(F.coalesce("source", F.lit("all")).alias("source"), "requested", "with_excerpt", "english")
+    from ..streaming import state
+
+    return state.detail_statistics(t(spark, sf, "documents").select(c("source").alias("source_id"), (c("n_chars") < 100).alias("hit"), F.when(c("lang") == "en", True).alias("answered")))
 
 
 def completeness(spark: SparkSession, sf: str) -> DataFrame:
-    a = articles(spark, sf)
-    return a.groupBy("source_id").agg(F.count("*").alias("total"), F.count("published_at").alias("dated"), F.count_if(F.char_length(rx.trim(c("excerpt"))) >= 30).alias("with_excerpt"), F.count("content_type").alias("typed"), (F.count("published_at") == F.count("*")).alias("all_dated"))
+    return digest.completeness(articles(spark, sf))
+
+
+def history_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Articles that history knows by DOI, by number, by both or not at all; the latest date of the first kind counts."""
+    k = c("o_orderkey")
+    meta = F.when(k % 4 == 0, F.concat(F.lit("PMID: "), c("o_custkey") % 500 + 1000000)).when(k % 4 == 1, F.concat(F.lit("see 10.1000/AB."), c("o_custkey") % 300, F.lit("."))).when(k % 4 == 2, F.concat(F.lit("10.1000/ab."), c("o_custkey") % 300, F.lit(" PMID 1000"), F.lpad((c("o_custkey") % 500).cast("string"), 3, "0")))
+    a = t(spark, sf, "orders").select(k.alias("seq"), F.concat(F.lit("https://h.org/"), k).alias("url"), F.concat(F.lit("Title "), k).alias("title"), F.lit(None).cast("string").alias("excerpt"), meta.alias("meta"))
+    past = history.keyed(a.where("seq % 3 = 0")).withColumn("date", F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (c("seq") % 40).cast("int")), "yyyy-MM-dd"))
+    return history.against(a.where("seq % 3 <> 0"), past, "2024-01-31").select("seq", "matched_by", "matched_date")
 
 
 def merged_top(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,7 +180,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         classify_articles, route_articles, filter_reasons, filter_duplicates, filter_statistics, rejects_by_source, dedupe_greedy, history_anti, round_robin, review_cap, priority_fill, value_scores,
-        window_partition, grouped_topn, digest_join, review_join, llm_rejected, conversation_turns, funnel_by_source, details_by_source, completeness, merged_top, detail_candidates, report_tree,
+        window_partition, history_keys, grouped_topn, digest_join, review_join, llm_rejected, conversation_turns, funnel_by_source, details_by_source, completeness, merged_top, detail_candidates, report_tree,
     )
 }
 
@@ -251,7 +257,7 @@ SQL = {
     "filter_statistics": f"with {KEPT}, f as (select seq, case when reason is null and seq not in (select seq from kept) then 'duplicate' else reason end as reason from judged) select count(*)::bigint as total, count(*) filter (where reason is null)::bigint as accepted, count(*) filter (where reason is not null)::bigint as rejected, "
     + ", ".join(f"count(*) filter (where {sql_in('reason', rs)})::bigint as {n}" for n, rs in _counter.items()) + " from f",
     "rejects_by_source": f"with {JUDGED} select source_id, reason, count(*)::bigint as n from judged where reason is not null group by 1, 2",
-    "dedupe_greedy": f"with open as (select doc_id as o, 'u' || (doc_id % 611) || '-' || lang as a, substr(text, 1, 24) as b from documents), folded as (select {GREEDY} as s from open where b <> '') select unnest(s.o) as doc_id from folded",
+    "dedupe_greedy": f"with open as (select doc_id as o, 'u' || (doc_id % 611) || '-' || lang as a, text as b from documents), folded as (select {GREEDY} as s from open where b <> '') select unnest(s.o) as doc_id from folded",
     "history_anti": f"""
       with a as (select *, {_CANON} as ku, nullif({_TKEY}, '') as kt, strftime(date '2024-01-01' + cast(seq % 40 as integer), '%Y-%m-%d') as d from {ARTICLES_SQL} o),
       u as (select ku, max(d) as du from a where seq % 3 = 0 and d <> '2024-01-31' group by 1), t as (select kt, max(d) as dt from a where seq % 3 = 0 and d <> '2024-01-31' and kt is not null group by 1)
@@ -270,28 +276,32 @@ SQL = {
         select event_type, epoch({NOW_SQL} - ts) / 3600.0 as h, case event_type when 'view' then 24 when 'click' then 48 when 'purchase' then 240 end as lo, case event_type when 'view' then 240 when 'click' then 480 when 'purchase' then 700 end as hi from events) group by 1, 2""",
     "grouped_topn": """
       select n_name, top from nation left join (select c_nationkey, string_agg(cast(c_custkey as varchar), ',' order by c_acctbal desc, c_custkey) as top from
-        (select *, row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as r from customer where c_nationkey % 6 <> 5) where r <= 5 group by 1) on n_nationkey = c_nationkey""",
+        (select *, row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as r from customer) where r <= 5 group by 1) on n_nationkey = c_nationkey""",
     "digest_join": """
-      with cand as (select item_id as seq, 'https://x.org/' || item_id as url, (['tech', 'finance', 'politics'])[item_id % 3 + 1] as category, case when item_id % 5 <> 4 then substr(text, 1, 30) end as summary, item_id % 4 = 3 as low from benchmark),
-      item as (select item_id, (['tech', 'finance', 'politics'])[(item_id + case when item_id % 10 = 8 then 1 else 0 end) % 3 + 1] as category, case when item_id % 6 = 0 then 'given' end as s, case when item_id % 8 <> 0 then item_id * 0.7 end as imp from benchmark where item_id % 2 = 0 and item_id < 36),
+      with cand as (select item_id as seq, 'https://x.org/' || item_id as url, (['tech', 'finance', 'politics'])[item_id % 3 + 1] as category, case when item_id % 5 <> 4 then text end as summary, item_id % 4 = 3 as low from benchmark),
+      item as (select item_id, (['tech', 'finance', 'politics'])[(item_id + case when item_id % 10 = 8 then 1 else 0 end) % 3 + 1] as category, case when item_id % 6 = 0 then 'given' end as s, case when item_id % 8 <> 0 then item_id * 0.7 end as imp from benchmark),
       found as (select c.seq, c.url, c.category, coalesce(i.s, c.summary) as summary, greatest(1, least(10, floor(coalesce(imp, 5) + 0.5))) as v, low, i.item_id from item i join cand c on i.item_id = c.seq and i.category = c.category where coalesce(i.s, c.summary) is not null),
       kept as (select *, row_number() over (partition by category order by item_id) as place from found qualify place <= case category when 'politics' then 10 else 4 end),
       back as (select *, row_number() over (order by case category when 'tech' then 0 when 'finance' then 1 else 2 end, seq) as i from cand where not low and summary is not null and seq not in (select seq from kept) qualify i <= greatest(1, 15 - (select count(*) from kept))),
       every as (select category, place, url, summary, (case when low then least(5, v) else v end)::int as importance, false as restored from kept union all select category, 1000 + i, url, trim(summary), 5, true from back)
       select category, row_number() over (partition by category order by place)::bigint as place, url, summary, importance, restored from every""",
     "review_join": f"""
-      with {BASE}, one as (select *, case when seq % 5 = 0 then 'rejected' when seq % 5 = 1 then 'uncertain' else 'accepted' end as status from cl where seq < 600 and seq % 24 < 23),
+      with {BASE}, one as (select *, case when seq % 5 = 0 then 'rejected' when seq % 5 = 1 then 'uncertain' else 'accepted' end as status from cl),
       rejected as (select distinct url from one where status = 'rejected'),
       pair as (select a.*, r.seq as rseq, r.status as rstatus from one a join one r on a.url = r.url where a.known and r.status <> 'rejected' and a.url not in (select url from rejected)),
       f as (select *, not subst and official and d_type not in ('news', 'video', 'education') and not {sql_match('title', rules.VIDEO_TITLE)} as fb from pair),
       good as (select *, row_number() over (partition by url order by rseq) as n from f where not excluded and (rstatus = 'accepted' or (s_class = 'official_authority' and official)) and (subst or fb))
       select seq, case when fb then {quoted(digest.TITLE_ONLY)} else 's' || rseq end as summary, case when fb then 'uncertain' else rstatus end as review_status, fb or rstatus = 'uncertain' as low_priority from good where n = 1""",
-    "llm_rejected": f"with a as (select seq, {_CANON} as k from {ARTICLES_SQL} o where seq % 31 <> 0) select seq from a where seq % 2 = 0 and k not in (select k from a where seq % 7 = 0)",
+    "llm_rejected": f"with a as (select seq, {_CANON} as k from {ARTICLES_SQL} o) select seq from a where seq % 2 = 0 and k not in (select k from a where seq % 7 = 0)",
     "conversation_turns": """
-      select conv_id, string_agg(role || ': ' || substr(text, 1, 20), ' | ' order by n) filter (where n <= 3) as opening, count(*)::bigint as turns from (select *, row_number() over (partition by conv_id order by turn, role, text) as n from conversations) group by 1""",
+      select conv_id, string_agg(role || ': ' || text, chr(10) order by n) as transcript, count(*)::bigint as turns from (select *, row_number() over (partition by conv_id order by turn, role, text) as n from conversations) group by 1""",
     "funnel_by_source": """
       select source, count(*)::bigint as fetched, count(quality)::bigint as labelled, count(*) filter (where quality = 1)::bigint as good, count(*) filter (where quality = 1 and toxic = 0)::bigint as clean from documents left join labels using (doc_id) group by 1""",
-    "details_by_source": "select coalesce(source, 'all') as source, count(*)::bigint as requested, count(*) filter (where n_chars >= 30)::bigint as with_excerpt, count(*) filter (where lang = 'en')::bigint as english from documents group by grouping sets ((source), ())",
+    "details_by_source": "select case when grouping(source) = 1 then 'all' else source end as source_id, count(*)::bigint as requested, count(*) filter (where n_chars < 100)::bigint as cache_hits, count(*) filter (where n_chars >= 100 and coalesce(lang = 'en', false))::bigint as succeeded, count(*) filter (where n_chars >= 100 and not coalesce(lang = 'en', false))::bigint as failed from documents group by grouping sets ((source), ())",
+    "history_keys": """
+      with a as (select o_orderkey as seq, case when o_orderkey % 4 in (0, 2) then (o_custkey % 500 + 1000000)::varchar end as pmid, case when o_orderkey % 4 in (1, 2) then '10.1000/ab.' || (o_custkey % 300) end as doi, strftime(date '2024-01-01' + cast(o_orderkey % 40 as integer), '%Y-%m-%d') as d from orders),
+      x as (select doi, max(d) as dd from a where seq % 3 = 0 and d <> '2024-01-31' and doi is not null group by 1), y as (select pmid, max(d) as dp from a where seq % 3 = 0 and d <> '2024-01-31' and pmid is not null group by 1)
+      select seq, case when dd is not null then 'doi' when dp is not null then 'pmid' end as matched_by, coalesce(dd, dp) as matched_date from a left join x using (doi) left join y using (pmid) where seq % 3 <> 0""",
     "completeness": f"select source_id, count(*)::bigint as total, count(published_at)::bigint as dated, count(*) filter (where length(trim(excerpt)) >= 30)::bigint as with_excerpt, count(content_type)::bigint as typed, count(published_at) = count(*) as all_dated from {ARTICLES_SQL} o group by 1",
     "merged_top": "select doc_id from (select * from documents where doc_id % 3 > 0 order by n_chars desc, doc_id limit 40) where lang <> 'en' and doc_id % 7 <> 0",
     "detail_candidates": "select seq, source_id from (select *, row_number() over (partition by source_id order by seq) as r from (select doc_id as seq, 's' || (doc_id % 2) as source_id from documents qualify row_number() over (partition by doc_id % 37 order by doc_id) = 1 order by doc_id limit 16)) where r <= 8",

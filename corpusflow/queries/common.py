@@ -39,6 +39,12 @@ def sql_in(x: str, names: Sequence[str]) -> str:
     return f"coalesce({x} in ({', '.join(map(quoted, names))}), false)"
 
 
+def sql_fixed(x: str, digits: int) -> str:
+    """A double with fixed digits, from its exact value; exact halves go away from zero."""
+    half, scale = 2 ** (digits + 1), 10**digits
+    return f"printf('%.{digits}f', case when {x} * {half} = floor({x} * {half}) and abs({x}) * {2 * scale} % 2 = 1 then ({x} * {scale} + 0.5 * sign({x})) / {scale} else {x} end)"
+
+
 def cycle(key: str, values: Sequence[object]) -> str:
     """A value for each remainder of a key: SQL for both engines."""
     return f"case {key} % {len(values)} " + " ".join(f"when {i} then {quoted(v)}" for i, v in enumerate(values)) + " end"

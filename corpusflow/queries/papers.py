@@ -57,7 +57,7 @@ def _keyed(spark: SparkSession, sf: str) -> DataFrame:
     d = registry.table(spark, sf, "documents")
     return d.select(
         c("doc_id").alias("seq"), F.format_string("p%08d", c("doc_id")).alias("id"), F.when(c("doc_id") % 3 == 0, F.concat(F.lit("n"), F.floor(c("doc_id") / 6))).alias("pmid"),
-        F.when(c("doc_id") % 4 < 2, F.concat(F.lit("10.1/"), c("doc_id") % 997)).alias("doi"), F.substring(F.regexp_replace("text", r"[^\x00-\x7F]", "x"), 1, 40).alias("title"), F.when(c("doc_id") % 2 == 0, c("source")).alias("journal"),
+        F.when(c("doc_id") % 4 < 2, F.concat(F.lit("10.1/"), c("doc_id") % 997)).alias("doi"), F.get(F.split(F.regexp_replace("text", r"[^\x00-\x7F]", "x"), "\n", 2), F.lit(0)).alias("title"), F.when(c("doc_id") % 2 == 0, c("source")).alias("journal"),
         F.array(F.when(c("doc_id") % 5 == 0, "pubmed").otherwise("rss")).alias("source_kinds"), F.timestamp_seconds(c("n_chars")).alias("activity_at"),
     )
 
@@ -138,7 +138,7 @@ _PAPERS = f"""
 _KEYED = r"""
   keyed as (
     select doc_id as seq, printf('p%08d', doc_id) as id, case when doc_id % 3 = 0 then 'n' || (doc_id // 6) end as pmid, case when doc_id % 4 < 2 then '10.1/' || (doc_id % 997) end as doi,
-      trim(regexp_replace(lower(substr(regexp_replace(text, '[^\x00-\x7F]', 'x', 'g'), 1, 40)), '[^\p{L}\p{N}&]+', ' ', 'g')) as title, case when doc_id % 2 = 0 then source end as journal, doc_id % 5 = 0 as pub, n_chars from documents
+      trim(regexp_replace(lower(split_part(regexp_replace(text, '[^\x00-\x7F]', 'x', 'g'), chr(10), 1)), '[^\p{L}\p{N}&]+', ' ', 'g')) as title, case when doc_id % 2 = 0 then source end as journal, doc_id % 5 = 0 as pub, n_chars from documents
   ), ks as (
     select seq, 'p' || pmid as k from keyed where pmid is not null union select seq, 'd' || doi from keyed where doi is not null union select seq, 't' || title from keyed where title <> ''
   )"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, rx, text, urls
 from ..operators import dedupe, policy
 from ..sources import html, registry
-from .common import sql_first
+from .common import sql_first, sql_fixed
 
 c = F.col
 t = registry.table
@@ -119,11 +119,11 @@ SQL = {
       select doc_id, sha256('{"title":"' || source || '","abstract":"' || lang || '","journal":"j' || doc_id || '"' || case when doc_id % 2 = 0 then ',"publishedAt":"' || n_chars || '"' else '' end
         || ',"publicationTypes":[],"authors":["' || least(source, lang) || '","' || greatest(source, lang) || '"]}') as fingerprint from documents""",
     "number_formats": """
-      select o_orderkey, case when x >= 1000000 then printf('%.1f', floor(x / 1000000.0::double * 10 + 0.5) / 10) || 'M' when x >= 1000 then printf('%.1f', floor(x / 1000.0::double * 10 + 0.5) / 10) || 'K' else printf('%.0f', x) end as compact,
+      select o_orderkey, case when x >= 1000000 then @millions || 'M' when x >= 1000 then @thousands || 'K' else printf('%.0f', x) end as compact,
         floor((o_totalprice - 200000) * 10 + 0.5) / 10 as rounded, floor((o_totalprice / 7 + 2.220446049250313e-16) * 100 + 0.5) / 100 as rounded2,
         case when o_totalprice <= 100000 then 'low' when o_totalprice <= 300000 then 'middle' else 'high' end as band,
         '&lt;b a=&quot;&#39;&amp;&#39;&quot;&gt;' || o_orderpriority as escaped
-      from (select *, floor(o_totalprice) as x from orders)""",
+      from (select *, floor(o_totalprice) as x from orders)""".replace("@millions", sql_fixed("(x / 1000000.0::double)", 1)).replace("@thousands", sql_fixed("(x / 1000.0::double)", 1)),
     "dates_from_text": "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day from orders where year(o_orderdate) >= 2000 union all select o_orderkey, null as day from orders where year(o_orderdate) < 2000",
     "json_extract": "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events",
     "identifiers": """

@@ -234,3 +234,11 @@ SUMMARY_FIELDS = ("title_zh", "research_question", "study_design", "population_a
 #: Enrichers: name -> (name of the title in the payload, further fields, name of the excerpt, its length).
 ENRICHERS = {"trending": ("repo", (), "description", 200), "finance": ("title", ("source",), "excerpt", 280), "viral": ("title", ("author",), "previewText", 280), "papers": ("title", (), "excerpt", 300)}
 CATEGORY_LIMITS = {"tech": 25, "finance": 20, "politics": 15}
+#: Detail pages: sources that are looked up, and what isn't.
+DETAIL_SOURCES = ("acog-news", "obgy-cn", "smfm-publications", "cogonline-clinical-guidance", "obgyncn-professional-content")
+DETAIL_EXCLUDED = (
+    r"\b(?:original|research) article\b|\b(?:systematic|scoping|umbrella) review\b|\bmeta[- ]analysis\b|\bcase (?:report|series)\b|\bprotocol\b|\b(?:randomi[sz]ed|clinical trial|cohort|case-control|cross-sectional)\b",
+    r"原著|论著|系统综述|范围综述|伞状综述|荟萃分析|病例报告|研究方案",
+)
+#: A command line's categories: name -> (category, subcategory) of sources.
+REQUESTED = {"guidelines": ("tech", "guidelines"), "surgery": ("finance", "surgery"), "international_obgyn": ("politics", "international-obgyn"), "china_obgyn": ("politics", "china-obgyn")}

@@ -188,9 +188,11 @@ def dispatched(payloads: DataFrame, sources: list[dict], by_id: dict[str, Connec
     return out, payloads.sparkSession.createDataFrame(status, "source_id string, ok boolean, fetched bigint, error string")
 
 
-def matches_category(category: str, mapping: dict[str, tuple[str, str | None]]) -> Column:
-    """A command line's category as (category, subcategory) of sources."""
-    cat, sub = mapping.get(category, (category, None))
-    return (c("category") == cat) & (F.lit(True) if sub is None else c("subcategory") == sub)
-
-
+def matches_category(requested: str | None, mapping: dict[str, tuple[str, str]] = rules.REQUESTED) -> Column:
+    """Sources that a command line asks for by (category, subcategory); none given, all; an unknown one, none."""
+    if not requested:
+        return F.lit(True)
+    if requested not in mapping:
+        return F.lit(False)
+    category, subcategory = mapping[requested]
+    return (c("category") == category) & F.coalesce(c("subcategory") == subcategory, F.lit(False))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import dedupe
+from .. import rules
+from ..functions import rx, urls
+from ..operators import dedupe, policy
 from ..storage import stored
 
 c = F.col
@@ -71,35 +73,32 @@ def reuse_summaries(papers: DataFrame, cached: DataFrame) -> DataFrame:
 
 
 def enriched(articles: DataFrame, details: DataFrame) -> DataFrame:
-    """Articles whose missing date, excerpt and content type are filled from details of the same canonical URL."""
-    from ..functions import rx, urls
-
+    """Articles whose missing date, content type and (where there is no substantive one) excerpt are filled from details of
+    the same canonical URL: one row of several, as a whole."""
     d = details.select(urls.canonical(c("url")).alias("__k"), c("published_at").alias("__at"), c("excerpt").alias("__x"), c("content_type").alias("__t"), c("content_type_evidence").alias("__e"))
-    d = d.groupBy("__k").agg(F.min(F.struct("__at", "__x", "__t", "__e")).alias("d")).select("__k", "d.*")  # one row of several, as a whole
-    out = articles.withColumn("__u", urls.canonical(c("url"))).join(d, c("__u") == c("__k"), "left")
-    out = out.withColumn("published_at", F.coalesce("published_at", "__at")).withColumn("excerpt", F.when(rx.blank(c("excerpt")), c("__x")).otherwise(c("excerpt")))
-    out = out.withColumn("content_type_evidence", F.when(rx.blank(c("content_type")), c("__e")).otherwise(c("content_type_evidence"))).withColumn("content_type", F.when(rx.blank(c("content_type")), c("__t")).otherwise(c("content_type")))
+    d = d.groupBy("__k").agg(F.min(F.struct("__at", "__x", "__t", "__e")).alias("__d"))
+    out = articles.withColumn("__u", urls.canonical(c("url"))).join(d, c("__u") == c("__k"), "left").withColumn("__s", policy.substantive())
+    out = out.withColumn("published_at", F.coalesce("published_at", "__d.__at")).withColumn("excerpt", F.when(c("__s"), c("excerpt")).otherwise(F.coalesce("__d.__x", "excerpt")))
+    out = out.withColumn("content_type", F.coalesce(F.nullif("content_type", F.lit("")), "__d.__t")).withColumn("content_type_evidence", F.coalesce("content_type_evidence", "__d.__e"))
     return out.select(*articles.columns)
 
 
-def with_details(articles: DataFrame, targets: list[str], excluded: Column, cache: DataFrame, extract: Callable[[DataFrame], DataFrame], now: dt.datetime, days: int = 14) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(articles with details, the cache, statistics): incomplete rows of the target sources are looked up by canonical URL.
+def with_details(articles: DataFrame, targets: Sequence[str], cache: DataFrame, extract: Callable[[DataFrame], DataFrame], now: dt.datetime, days: int = 14) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(articles with details, the cache, statistics): incomplete classified rows of the target sources are looked up by canonical URL.
 
-    Details that the cache holds and that haven't expired are used; of the rest the first 16 URLs, 8 of a
-    source, go to extract(), whose rows (url, published_at, excerpt, content_type, content_type_evidence) are
-    merged and kept ``days`` days.  Rows without an answer stay as they are and count as failed.
+    The first 16 URLs count, 8 of a source.  Details that the cache holds and that haven't expired are used; the
+    rest goes to extract() (rows with source_id, url), whose rows (url, published_at, excerpt, content_type,
+    content_type_evidence) are merged and kept ``days`` days.  Rows without an answer stay as they are and count as failed.
     """
-    from ..functions import urls
-
-    wanted = stored(needs_details(articles, targets, excluded).select("seq", "source_id", "url", urls.canonical(c("url")).alias("key")))
+    wanted = stored(needs_details(articles, targets).select("seq", "source_id", "url", urls.canonical(c("url")).alias("key")))
     chosen = stored(dedupe.detail_candidates(wanted, "key"))
     fresh = cache.where(c("expires_at") > F.lit(now)).withColumn("__k", urls.canonical(c("url")))
     hits = chosen.join(fresh, c("key") == c("__k"), "left_semi").select("seq")
     misses = chosen.join(hits, "seq", "left_anti")
     got = stored(extract(misses).withColumn("expires_at", F.lit(now + dt.timedelta(days=days))))
-    kept = fresh.drop("__k").join(got.select(urls.canonical(c("url")).alias("__g")).distinct(), urls.canonical(c("url")) == c("__g"), "left_anti")
-    known = kept.unionByName(got, allowMissingColumns=True)
-    asked = chosen.join(hits.withColumn("hit", F.lit(True)), "seq", "left").join(got.select(urls.canonical(c("url")).alias("__g")).distinct().withColumn("answered", F.lit(True)), c("key") == c("__g"), "left")
+    answers = got.select(urls.canonical(c("url")).alias("__g")).distinct().withColumn("answered", F.lit(True))
+    known = fresh.join(answers, c("__k") == c("__g"), "left_anti").drop("__k").unionByName(got, allowMissingColumns=True)
+    asked = chosen.join(hits.withColumn("hit", F.lit(True)), "seq", "left").join(answers, c("key") == c("__g"), "left")
     return enriched(articles, known), known, detail_statistics(asked)
 
 
@@ -112,12 +111,12 @@ def detail_statistics(asked: DataFrame) -> DataFrame:
     return counts.select(F.when(c("__all") == 1, "all").otherwise(c("source_id")).alias("source_id"), "requested", "cache_hits", "succeeded", "failed")
 
 
-def needs_details(articles: DataFrame, targets: list[str], excluded: Column) -> DataFrame:
-    """Incomplete rows of the target sources that aren't excluded."""
-    from ..functions import rx
-
-    lacks = c("published_at").isNull() | rx.blank(c("excerpt")) | rx.blank(c("content_type"))
-    return articles.where(c("source_id").isin(*targets) & lacks & ~excluded)
+def needs_details(articles: DataFrame, targets: Sequence[str] = rules.DETAIL_SOURCES, excluded: Sequence[str] = rules.DETAIL_EXCLUDED) -> DataFrame:
+    """Incomplete rows (no date, nothing substantive, no content type or an unknown document) of the target sources, on
+    the web, neither hard-excluded nor of ordinary research; rows carry what routing.classified() adds."""
+    lacks = c("published_at").isNull() | ~c("subst") | (F.coalesce("content_type", F.lit("")) == "") | (c("d_type") == "unknown")
+    said = F.concat_ws("\n", *[F.nullif(c(x), F.lit("")) for x in ("title", "content_type", "document_type")])
+    return articles.where(c("source_id").isin(*targets) & lacks & ~c("excluded") & rx.matches(c("url"), "^https?://") & ~rx.any_match(said, excluded))
 
 
 # Streams (an extension: the batch forms above are what runs need)

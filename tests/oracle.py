@@ -16,7 +16,7 @@ def connection(sf: str) -> duckdb.DuckDBPyConnection:
 
 
 def plain(df: pd.DataFrame) -> pd.DataFrame:
-    cell = lambda v: None if v is None or v is pd.NaT or v != v else f"{v:.9g}" if isinstance(v, float) else str(v)
+    cell = lambda v: None if v is None or v is pd.NaT or v is pd.NA or v != v else f"{v:.9g}" if isinstance(v, float) else str(v)
     columns = sorted(df.columns)
     return df[columns].map(cell).sort_values(columns).reset_index(drop=True)
 
