@@ -8,15 +8,21 @@ is an anchor.  The windows that share one anchor occurrence are consecutive star
 lo..lo+span; the units from lo to lo+span+L are its stretch.
 
 index()   each task hashes its stretches, settles those that repeat within the task,
-          and hands on one row for each distinct stretch, packed by bucket of the anchor.
-settle()  each bucket settles stretches that repeat between tasks; an anchor that has
-          several distinct stretches is ambiguous: copies end or differ near it.  One
-          occurrence (the earliest) of each of its stretches becomes a request.
+          and hands on one row for each distinct stretch, packed by bucket of its hash.
+settle()  each bucket settles stretches that repeat between tasks and hands on one
+          occurrence, the earliest, of each.  Buckets are by stretch, not by anchor, so that
+          an anchor that very many documents share is spread; copies of one stretch come
+          once from a task.
+asked()   anchors are counted by partial aggregates and joined back: one that has several
+          distinct stretches is ambiguous, since copies end or differ near it, and each of
+          its stretches becomes a request.
 contexts  requests fetch their units from the documents and are dealt out by anchor
           into reference blocks, where an operator's own method compares them.  An
-          anchor with more than HOT stretches (a line in a third of all documents) is
-          dealt by window hash instead and settled as above, so no block holds it.
+          anchor with more than HOT stretches (a line in a third of all documents) would
+          fill a block without bound: its windows are dealt by their hash instead, once
+          from a task, and settled as above.
 
+The number of buckets and blocks follows from the bytes of texts and of requested units.
 Stretches count as equal if two 64-bit hashes and their lengths are.
 """
 
@@ -27,13 +33,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import bitmap_position, id_bitmap, stored, tested
 
-HOT = 64
+HOT = 256
+#: Texts whose stretches make a bucket, and requested units that make a block, in bytes.
+BUCKET_BYTES, BLOCK_BYTES = 16 << 20, 4 << 20
 #: Distinct stretches that a task gathers before it hands them on.
 TASK_ROWS = 1 << 20
 PART_BYTES = K.PART_BYTES
@@ -150,26 +159,22 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return out
 
 
-def buckets_of(spark) -> int:
-    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _pieces(spark, size: int, piece: int) -> int:
+    """How many buckets: one for each piece, two for each shuffle partition at least."""
+    return max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // piece))
 
 
-def index(docs: DataFrame, unit: Unit) -> DataFrame:
-    """(bucket, blob): packed distinct stretches by bucket; below 0, ranges settled within a task."""
-    n = buckets_of(docs.sparkSession)
+def index(docs: DataFrame, unit: Unit, n: int) -> DataFrame:
+    """(bucket, blob): packed distinct stretches by one of n buckets of their hash; below 0, ranges settled within a task."""
 
     def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         rows, gone = grouped(unit, np.concatenate(held))
-        yield from _packed((rows["ah"] % K.U(n)).astype(np.int64), rows)
-        if len(gone):
-            doc, lo, hi = merged(unit, gone)
-            out = np.zeros(len(doc), ROW)
-            out["doc"], out["lo"], out["sh"] = doc, lo, hi
-            yield from _packed(-1 - doc % n, out)
+        yield from _packed((rows["sh"] % K.U(n)).astype(np.int64), rows)
+        yield from _packed_ranges(unit, gone, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
-        for b in (p for batch in batches for p in K.parts(batch, 1, PART_BYTES)):
+        for b in (p for batch in batches for p in K.parts(batch, 1)):
             rows = stretches(unit, *sequence(unit, b.column(1)), np.asarray(b.column(0)))
             held.append(rows)
             count += len(rows)
@@ -182,6 +187,15 @@ def index(docs: DataFrame, unit: Unit) -> DataFrame:
     return texts_of(docs).mapInArrow(K.lean(run), "bucket long, blob binary")
 
 
+def _packed_ranges(unit: Unit, gone: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    """Settled occurrences as ranges (lo to sh), in buckets below 0."""
+    if len(gone):
+        doc, lo, hi = merged(unit, gone)
+        out = np.zeros(len(doc), ROW)
+        out["doc"], out["lo"], out["sh"] = doc, lo, hi
+        yield from _packed(-1 - doc % n, out)
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
@@ -211,8 +225,8 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[byt
         yield now, held
 
 
-def settle(packed: DataFrame, unit: Unit, requests: bool = True) -> DataFrame:
-    """Ranges that go (kind GONE) and, if asked, one request for each stretch of an ambiguous anchor."""
+def settle(packed: DataFrame, unit: Unit, n: int) -> DataFrame:
+    """Ranges that go (kind GONE), and one row (kind REQUEST) for each distinct stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, blobs in by_bucket(batches):
@@ -224,17 +238,24 @@ def settle(packed: DataFrame, unit: Unit, requests: bool = True) -> DataFrame:
             doc, lo, hi = merged(unit, gone)
             if len(doc):
                 yield _ranges(GONE, doc, lo, hi)
-            if not requests:
-                continue
-            first = np.flatnonzero(np.append(True, heads["ah"][1:] != heads["ah"][:-1]))
-            size = np.repeat(np.diff(np.append(first, len(heads))), np.diff(np.append(first, len(heads))))
-            for kind, chosen in ((REQUEST, (size > 1) & (size <= HOT)), (HOT_REQUEST, size > HOT)):
-                h = heads[chosen]
-                if len(h):
-                    yield _ranges(kind, h["doc"], h["lo"], h["lo"] + h["span"].astype(np.int64), h["ah"], h["sh"], h["many"])
+            if len(heads):
+                yield _ranges(REQUEST, heads["doc"], heads["lo"], heads["lo"] + heads["span"].astype(np.int64), heads["ah"], heads["sh"], heads["many"])
+
+    return _dealt(packed, n).mapInArrow(K.lean(run), RANGES)
+
+
+def _dealt(blobs: DataFrame, n: int) -> DataFrame:
+    """Blobs by bucket, some buckets to a partition."""
+    least = int(blobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blobs.repartition(max(least, n // 2), "bucket").sortWithinPartitions("bucket")
+
 
-    n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(K.lean(run), RANGES)
+def asked(settled: DataFrame) -> DataFrame:
+    """One row for each stretch of an ambiguous anchor; kind tells those of hot anchors."""
+    heads = settled.where(f"kind = {REQUEST}")
+    several = heads.groupBy("ah").agg(F.count("*").alias("n")).where("n > 1").select(F.col("ah").alias("__ah"), (F.col("n") > HOT).alias("hot"))
+    kind = F.when(F.col("hot"), HOT_REQUEST).otherwise(REQUEST)
+    return heads.join(several, F.col("ah") == F.col("__ah")).withColumn("kind", kind.cast("int")).drop("__ah", "hot")
 
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -253,17 +274,25 @@ def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 CONTEXT = np.dtype([("ah", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("span", "<i2"), ("many", "u1")])
 
 
-def contexts(docs: DataFrame, asked: DataFrame, unit: Unit) -> DataFrame:
-    """(bucket, blob): reference blocks (bucket >= 0) and, for hot anchors, packed windows (bucket < 0: -1 - bucket).
+def contexts(docs: DataFrame, requests: DataFrame, unit: Unit, n: int) -> DataFrame:
+    """(bucket, blob): n reference blocks (bucket >= 0), and for hot anchors packed windows (bucket < 0: -1 - bucket) and
+    ranges that are settled within a task (bucket < -n).
 
     A block's blob is a count, CONTEXT rows, then their units (8 bytes a word, 1 a byte).
     """
-    n = buckets_of(docs.sparkSession)
-    wants = asked.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "ah", "many", "kind")).alias("asked")).withColumnRenamed("doc_id", "__id")
-    joined = only(docs, asked).join(wants, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "asked")
+    wants = requests.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "ah", "many", "kind")).alias("asked")).withColumnRenamed("doc_id", "__id")
+    joined = only(docs, requests).join(wants, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "asked")
+
+    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Windows of hot anchors, each once; the task's other occurrences are settled."""
+        heads, gone = grouped(unit, np.concatenate(held))
+        yield from _packed(-1 - (heads["ah"] % K.U(n)).astype(np.int64), heads)
+        for b in _packed_ranges(unit, gone, n):
+            yield pa.RecordBatch.from_arrays([pc.subtract(b.column(0), n), b.column(1)], names=b.schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (p for batch in batches for p in K.parts(batch, 1, PART_BYTES)):
+        held, count = [], 0
+        for b in (p for batch in batches for p in K.parts(batch, 1)):
             values, bounds = sequence(unit, b.column(1))
             stored_units = values if unit.words else K.buffer(b.column(1))[0]
             lists = b.column(2)
@@ -283,7 +312,11 @@ def contexts(docs: DataFrame, asked: DataFrame, unit: Unit) -> DataFrame:
                 rows["ah"], rows["sh"] = K.mix(h, 54), K.mix(h, 55) ^ np.repeat(ah[hot].view(K.U), span)
                 rows["doc"], rows["many"] = np.repeat(ids[hot], span), np.repeat(many[hot], span)
                 rows["lo"] = start - np.repeat(bounds[at[hot]], span)
-                yield from _packed(-1 - (rows["ah"] % K.U(n)).astype(np.int64), rows)
+                held.append(rows)
+                count += len(rows)
+                if count > TASK_ROWS:
+                    yield from flush(held)
+                    held, count = [], 0
             cold = np.flatnonzero(~hot)
             if not len(cold):
                 continue
@@ -301,6 +334,8 @@ def contexts(docs: DataFrame, asked: DataFrame, unit: Unit) -> DataFrame:
                 where = np.repeat(lo[cold[own]] - np.cumsum(n_own) + n_own, n_own) + np.arange(n_own.sum())
                 blobs.append(np.int64(len(own)).tobytes() + rows[own].tobytes() + stored_units[where].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(bucket[order][first]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+        if count:
+            yield from flush(held)
 
     return joined.mapInArrow(K.lean(run), "bucket long, blob binary")
 
@@ -308,12 +343,16 @@ def contexts(docs: DataFrame, asked: DataFrame, unit: Unit) -> DataFrame:
 Compare = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def compared(blocks: DataFrame, unit: Unit, compare: Compare) -> DataFrame:
+def compared(blocks: DataFrame, unit: Unit, compare: Compare, n_blocks: int) -> DataFrame:
     """Ranges that go, from reference blocks.  compare(rows, units, offsets) returns, for each start of each
     context (its span + 1 starts, one context after the other), whether that window goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, blobs in by_bucket(batches):
+            if bucket < -n_blocks:
+                rows = np.concatenate([_unpacked(x) for x in blobs])
+                yield _ranges(GONE, rows["doc"], rows["lo"], rows["sh"].astype(np.int64))
+                continue
             if bucket < 0:
                 rows = np.concatenate([_unpacked(x) for x in blobs])
                 _, gone = grouped(unit, rows)
@@ -336,15 +375,19 @@ def compared(blocks: DataFrame, unit: Unit, compare: Compare) -> DataFrame:
             if len(doc):
                 yield _ranges(GONE, doc, lo, hi)
 
-    n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return blocks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(K.lean(run), RANGES)
+    return _dealt(blocks, n_blocks).mapInArrow(K.lean(run), RANGES)
 
 
 def repeated_ranges(docs: DataFrame, unit: Unit, compare: Compare) -> DataFrame:
     """(doc_id, lo, hi): units that lie in a repeated window (or, if unit.earlier, in a later copy); may overlap."""
-    first = stored(settle(index(docs, unit), unit))
-    asked = first.where(f"kind <> {GONE}")
-    last = compared(contexts(docs, asked, unit), unit, compare)
+    spark = docs.sparkSession
+    size = texts_of(docs).select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    n = _pieces(spark, size, BUCKET_BYTES)
+    first = stored(settle(index(docs, unit, n), unit, n))
+    requests = stored(asked(first))
+    units = requests.select(F.sum(F.col("hi") - F.col("lo") + unit.length).alias("n")).first().n or 0
+    blocks = _pieces(spark, units * (8 if unit.words else 1), BLOCK_BYTES)
+    last = compared(contexts(docs, requests, unit, blocks), unit, compare, blocks)
     return first.where(f"kind = {GONE}").select("doc_id", "lo", "hi").unionByName(last.select("doc_id", "lo", "hi"))
 
 
@@ -359,16 +402,16 @@ def with_ranges(docs: DataFrame, ranges: DataFrame, finish: Callable[[pa.Array,
     wanted = id_bitmap(spans, "doc_id")
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (p for batch in batches for p in K.parts(batch, 1, PART_BYTES)):
+        for b in (p for batch in batches for p in K.parts(batch, 1)):
             out = b.filter(pa.array(~tested(wanted, np.asarray(b.column(2).fill_null(0))) | np.asarray(b.column(0).is_null())))
             yield _finished(out, [None] * out.num_rows, finish, names)
 
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (p for batch in batches for p in K.parts(batch, 1, PART_BYTES)):
+        for b in (p for batch in batches for p in K.parts(batch, 1)):
             lists = b.column(2)
             flat = lists.flatten()
             lo, hi = (np.asarray(flat.field(k)).astype(np.int64) for k in ("lo", "hi"))
-            ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
             starts = np.concatenate([[0], ends[:-1]])
             yield _finished(b, [(lo[i:j], hi[i:j]) if j > i else None for i, j in zip(starts.tolist(), ends.tolist(), strict=True)], finish, names)
 

@@ -24,44 +24,39 @@ GRAM = 8
 UNIT = repeats.Unit(words=True, length=WORDS, gram=GRAM, earlier=False)
 
 
-def common_length(prefix: K.Prefix, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Longest common length of the slices from a and from b, at most ``most``, by bisection on hashes."""
-    low, high = np.zeros(len(a), np.int64), most.astype(np.int64).copy()
-    while (low < high).any():
-        mid = (low + high + 1) // 2
-        same = prefix.of(a, a + mid) == prefix.of(b, b + mid)
-        low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-    return low
+def longest_matches(prefix: K.Prefix, starts: np.ndarray, owner: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each start the longest prefix, of ``length`` units at least, that lies in another context too, and where; 0 and -1 if none.
+
+    All starts are grouped by the hash of their first m units, for m from ``length`` on; a start stays while another
+    context is in its group, so that few are left after some rounds.
+    """
+    longest, source = np.zeros(len(starts), np.int64), np.full(len(starts), -1, np.int64)
+    live, m = np.arange(len(starts)), length
+    while True:
+        live = live[starts[live] + m <= end[live]]
+        if not len(live):
+            return longest, source
+        h = prefix.of(starts[live], starts[live] + m)
+        order = np.lexsort((starts[live], h))
+        live, h = live[order], h[order]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        last = np.append(first[1:], len(live)) - 1
+        size = last - first + 1
+        # contexts lie one after the other, so a group's first and last tell whether it has two of them
+        several = np.repeat(owner[live[first]] != owner[live[last]], size)
+        other = np.where(owner[live] != np.repeat(owner[live[first]], size), np.repeat(live[first], size), np.repeat(live[last], size))
+        live, other = live[several], other[several]
+        longest[live], source[live] = m, starts[other]
+        m += 1
 
 
 def parse(rows: np.ndarray, words: np.ndarray, offs: np.ndarray, length: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Factors (start in the block, length, reference place) of all contexts, each at least ``length`` long."""
+    """Factors (start in the block, length, reference place) of all contexts, each the longest at its start and at least ``length`` long."""
     prefix = K.word_prefix(K.mix(words, 51))
     span = rows["span"].astype(np.int64)
     owner = np.repeat(np.arange(len(rows)), span + 1)
     starts = np.repeat(offs[:-1] - np.cumsum(span + 1) + span + 1, span + 1) + np.arange(len(owner))
-    h = prefix.of(starts, starts + length)
-    # the index: windows by hash; a window's references are the first and the last of its hash in another context
-    order = np.lexsort((starts, h))
-    new = np.append(True, h[order][1:] != h[order][:-1])
-    group = np.cumsum(new) - 1
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(order)) - 1
-    refs = []
-    for pick in (first, last):
-        r = order[pick[group]]
-        refs.append(np.where(owner[r] != owner[order], starts[r], -1))
-    ref = np.full((2, len(starts)), -1, np.int64)
-    ref[0, order], ref[1, order] = refs
-    longest = np.zeros(len(starts), np.int64)
-    source = np.full(len(starts), -1, np.int64)
-    context_end = offs[1:]
-    for r in ref:
-        at = np.flatnonzero(r >= 0)
-        end_of_ref = context_end[np.searchsorted(offs, r[at], side="right") - 1]
-        n = common_length(prefix, starts[at], r[at], np.minimum(context_end[owner[at]] - starts[at], end_of_ref - r[at]))
-        better = n > longest[at]
-        longest[at[better]], source[at[better]] = n[better], r[at[better]]
+    longest, source = longest_matches(prefix, starts, owner, offs[1:][owner], length)
     # all contexts step together: factor at the place, then on to its boundary
     place = np.cumsum(span + 1) - span - 1
     end = np.cumsum(span + 1)

@@ -75,13 +75,17 @@ def _induce(t: np.ndarray, suffixes: np.ndarray, large: list[list[np.ndarray]])
             large[int(c[i])].append(suffixes[i:j])
 
 
-def common_prefix(prefix: K.Prefix, order: np.ndarray, n: int, depth: int = BYTES) -> np.ndarray:
-    """Whether each suffix in order shares ``depth`` values with the one before."""
-    ok = (order[1:] + depth <= n) & (order[:-1] + depth <= n)
-    out = np.zeros(len(order), bool)
-    a, b = order[1:][ok], order[:-1][ok]
-    out[1:][ok] = prefix.of(a, a + depth) == prefix.of(b, b + depth)
-    return out
+def common_prefixes(prefix: K.Prefix, order: np.ndarray, n: int, depth: int = BYTES) -> np.ndarray:
+    """The longest common prefix of each suffix in order with the one before, to the depth: bisection on hashes."""
+    a, b = order[1:], order[:-1]
+    low, high = np.zeros(len(a), np.int64), np.minimum(depth, n - np.maximum(a, b))
+    live = np.arange(len(a))
+    while len(live):
+        mid = (low[live] + high[live] + 1) // 2
+        same = prefix.of(a[live], a[live] + mid) == prefix.of(b[live], b[live] + mid)
+        low[live[same]], high[live[~same]] = mid[same], mid[~same] - 1
+        live = live[low[live] < high[live]]
+    return np.concatenate([np.zeros(min(1, len(order)), np.int64), low])
 
 
 def _compare(rows: np.ndarray, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -100,7 +104,7 @@ def _compare(rows: np.ndarray, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     number[starts] = np.arange(len(starts))
     order = suffix_array(text)
     order = order[number[order] >= 0]  # starts of windows; those between them only helped to sort
-    same = common_prefix(K.byte_prefix(text), order, len(text))
+    same = common_prefixes(K.byte_prefix(text), order, len(text)) >= BYTES  # intervals of the array
     w = number[order]
     group = np.cumsum(~same)
     doc = rows["doc"][owner[w]]
