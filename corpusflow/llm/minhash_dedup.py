@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -222,6 +222,30 @@ def beside_hub(docs: DataFrame, members: DataFrame, similarity=SIMILARITY, shing
     return with_texts(docs, members).mapInArrow(K.lean(run), "a long, b long, c long, n long, inside long, often long, tokens array<long>, hub long, lacks array<int>")
 
 
+_SIDE = ("a", "c", "n", "inside", "often", "hub", "lacks", "whole")
+
+
+def _apart(rows: DataFrame, similarity=SIMILARITY) -> DataFrame:
+    """Pairs (columns of _SIDE with x and y, ax > ay) of rows of one key whose components differ and whose sizes may be similar.
+
+    Only such pairs are made: sizes fall into classes of the ratio that similarity allows, of
+    which a row meets its own and the next; two components differ in a lowest bit, and rows meet
+    by (that bit's place, the equal bits below it), one having the bit and the other not, so that
+    members of one large component never meet each other.
+    """
+    num, den = similarity
+    varying = rows.groupBy("key").agg(F.expr("bit_or(c) ^ bit_and(c)").alias("varying")).where("varying <> 0")
+    some = stored(rows.join(varying, "key").withColumn("class", F.floor(F.log("n") / float(np.log(den / num)) + 1e-9)))
+    at = some.withColumn("j", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda j: F.call_function("getbit", F.col("varying"), j) == 1)))
+    at = at.withColumn("below", F.expr("c & ~shiftleft(-1L, j)")).withColumn("bit", F.call_function("getbit", F.col("c"), F.col("j")))
+    side = lambda df, x, meets: df.select("key", "j", "below", meets, *[F.col(k).alias(k + x) for k in _SIDE])
+    one = side(at.where("bit = 1"), "x", F.col("class"))
+    other = side(at.where("bit = 0"), "y", F.explode(F.expr("array(class - 1, class, class + 1)")).alias("class"))
+    pairs = one.join(other, ["key", "j", "below", "class"])
+    turned = pairs.select("key", *[F.when(F.col("ax") > F.col("ay"), F.col(k + p)).otherwise(F.col(k + q)).alias(k + p) for k in _SIDE for p, q in (("x", "y"), ("y", "x"))])
+    return turned
+
+
 def across(rows: DataFrame, similarity=SIMILARITY) -> DataFrame:
     """(a, b), a > b: the pairs of one hub's members, of different components, that may be similar.
 
@@ -231,26 +255,27 @@ def across(rows: DataFrame, similarity=SIMILARITY) -> DataFrame:
     smaller rest.  Together that must suffice for their sizes.
     """
     num, den = similarity
-    side = lambda df, x: df.select("key", *[F.col(k).alias(k + x) for k in ("a", "c", "n", "inside", "often", "hub", "lacks", "whole")])
+    side = lambda df, x: df.select("key", *[F.col(k).alias(k + x) for k in _SIDE])
     differ = (F.col("cx") != F.col("cy")) & (F.col("ax") > F.col("ay"))
     wanted = num * (F.col("nx") + F.col("ny"))  # of the shared shingles, times num + den
     neither = F.col("hubx") - F.aggregate(F.zip_with("lacksx", "lacksy", lambda x, y: F.greatest(x, y)), F.lit(0), lambda total, x: total + x)
     often = F.least("oftenx", "ofteny")
+    fits = lambda inside, rare: (num + den) * (inside + often + rare) >= wanted
     rest = F.least(F.col("nx") - F.col("insidex") - F.col("oftenx"), F.col("ny") - F.col("insidey") - F.col("ofteny"))
 
     def met(df: DataFrame, rare) -> DataFrame:
         several = df.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
         some = stored(df.join(several, "key"))
-        fits = lambda inside: (num + den) * (inside + often + rare) >= wanted
-        return side(some, "x").join(side(some, "y"), "key").where(differ & fits(F.least("insidex", "insidey")) & fits(neither))
+        return side(some, "x").join(side(some, "y"), "key").where(differ & fits(F.least("insidex", "insidey"), rare) & fits(neither, rare))
 
     rows = rows.withColumn("whole", F.size("tokens") == F.col("n") - F.col("inside") - F.col("often"))
-    columns = ("a", "c", "n", "inside", "often", "hub", "lacks", "whole")
+    columns = _SIDE
     tokens = rows.select(F.explode("tokens").alias("t"), "b", *columns).select(F.struct("b", "t").alias("key"), *columns)
     shared = met(tokens, rest).groupBy(F.col("key.b").alias("b"), "ax", "ay")
     shared = shared.agg(F.count("*").alias("s"), F.first(wanted).alias("wanted"), F.first(F.least(F.least("insidex", "insidey"), neither) + often).alias("held"), F.first(rest).alias("rest"), F.bool_and(F.col("wholex") & F.col("wholey")).alias("whole"))
     shared = shared.where((num + den) * (F.col("held") + F.when(F.col("whole"), F.col("s")).otherwise(F.col("rest"))) >= F.col("wanted"))
-    alone = met(rows.where(den * (F.col("inside") + F.col("often")) >= num * F.col("n")).select(F.col("b").alias("key"), *columns), F.lit(0))
+    alone = _apart(rows.where(den * (F.col("inside") + F.col("often")) >= num * F.col("n")).select(F.col("b").alias("key"), *columns), similarity)
+    alone = alone.where(fits(F.least("insidex", "insidey"), F.lit(0)) & fits(neither, F.lit(0)))
     names = [F.col("ax").alias("a"), F.col("ay").alias("b")]
     return shared.select(*names).union(alone.select(*names)).distinct()
 
@@ -268,15 +293,16 @@ def near_duplicates(docs: DataFrame, similarity=SIMILARITY, shingle: int = SHING
     prints = stored(fingerprints(docs, shingle))
     sets = prints.where("n_shingles > 0 and doc_id is not null")
     heads = sets.groupBy("key").agg(F.min("doc_id").alias("head"))
-    rows = stored(
-        sets.join(heads.where("head is not null"), "key")
-        .where("doc_id = head")
-        .dropDuplicates(["doc_id", "key"])
-        .select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"))
-    )
-    hubs = rows.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("bucket", "hub")
+    own = sets.join(heads.where("head is not null"), "key").where("doc_id = head").repartition("doc_id").dropDuplicates(["doc_id", "key"])
+    whose = Window.partitionBy("doc_id")  # an id may have several texts: their least and largest set
+    own = own.select("doc_id", "bands", F.min("n_shingles").over(whose).alias("least"), F.max("n_shingles").over(whose).alias("most"))
+    rows = stored(own.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"), "least", "most"))
+    hubs = rows.groupBy("bucket").agg(F.min(F.struct("id", "least", "most")).alias("h"), F.max("id").alias("last")).where("h.id < last").select("bucket", F.col("h.id").alias("hub"), F.col("h.least").alias("hub_least"), F.col("h.most").alias("hub_most"))
     shared = rows.join(hubs, "bucket")
-    star = stored(shared.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
+    # sets of too different sizes can't be similar: their texts needn't be fetched
+    num, den = similarity
+    may = (den * F.col("most") >= num * F.col("hub_least")) & (den * F.col("hub_most") >= num * F.col("least"))
+    star = stored(shared.where((F.col("id") != F.col("hub")) & may).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
     done = stored(verified(docs, star, similarity, shingle))
     same = sets.join(heads, "key").where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     label = stored(components(done.where("linked").select("a", "b")))
