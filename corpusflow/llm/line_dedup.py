@@ -48,7 +48,8 @@ def _text_key(text: Column) -> Column:
 
 def sequences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, t, lines): each document's line IDs as first ranks, whether a line has min_words words, and none open."""
-    long = lambda x: (F.char_length(x) >= 2 * min_words - 1) & (F.regexp_count(x, F.lit("[^\\x20\\x09-\\x0D]+")) >= min_words)
+    space, word = "[\\x20\\x09-\\x0D]", "[^\\x20\\x09-\\x0D]"  # counting ends at the last word asked for, without going back
+    long = lambda x: (F.length(x) >= 2 * min_words - 1) & x.rlike(f"^{space}*+(?:{word}++{space}++){{{min_words - 1}}}{word}")
     lines = F.transform(_lines(F.col("text").cast("string")), lambda s: F.struct(F.unhex(F.md5(s["line"])).alias("r"), F.lit(False).alias("open"), long(s["line"]).alias("long")))
     return docs.where("doc_id is not null").select("doc_id", _text_key(F.col("text")).alias("t"), lines.alias("lines")).dropDuplicates(["doc_id", "t"])
 

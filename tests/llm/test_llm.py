@@ -69,7 +69,7 @@ def docs(spark, rows):
 def odd(spark):
     """Repeated rows, null ids and columns whose names clash with outputs."""
     rows = [(1, "a b c d e f\nsecond line\nthird", "x", 5), (1, "a b c d e f\nsecond line\nthird", "x", 5), (None, "a b c d e f\nsecond line\nthird", None, 6), (2, None, "x", None), (2, "other", "y", 7), (3, "", "y", 8)]
-    extra = "component_id long, n_removed long, kept boolean, n_words long, score double, text_ string, ids string, position long, n_lines long, h long"
+    extra = "__id long, __starts long, __t long, __key long, __done long, __gone long, __host string, __position long, __low string, component_id long, n_removed long, kept boolean, n_words long, score double, text_ string, ids string, position long, n_lines long, h long"
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
     for name in extra.split(", "):
         df = df.withColumn(name.split()[0], F.lit(None).cast(name.split()[1]))
@@ -333,14 +333,14 @@ def bytes_brute(rows, n=100):
     return out
 
 
-@pytest.mark.parametrize("hot", [64, 1])
+@pytest.mark.parametrize("hot", [256, 2, 1])
 def test_substring_dedup(rows, docs, hot, monkeypatch):
     monkeypatch.setattr(substring_dedup.repeats, "HOT", hot)
     got = {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in by_id(substring_dedup.dedup(docs, texts=False)).items()}
     assert got == words_brute(rows)
 
 
-@pytest.mark.parametrize("hot", [64, 1])
+@pytest.mark.parametrize("hot", [256, 2, 1])
 def test_suffix_dedup(rows, docs, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup.repeats, "HOT", hot)
     got = {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in by_id(suffix_dedup.dedup(docs, texts=False)).items()}
@@ -363,6 +363,34 @@ def test_suffix_array(seed):
     assert keys == sorted(keys)
 
 
+def test_common_prefixes():
+    r = np.random.default_rng(3)
+    text = np.concatenate([r.integers(1, 3, 300), np.tile(r.integers(1, 5, 40), 8)]).astype(np.uint8)
+    order = suffix_dedup.suffix_array(text, 100)
+    got = suffix_dedup.common_prefixes(kernels.byte_prefix(text), order, len(text))
+    raw = text.tobytes()
+    want = [next((k for k in range(100) if raw[a + k : a + k + 1] != raw[b + k : b + k + 1] or a + k >= len(raw)), 100) for a, b in itertools.pairwise(order.tolist())]
+    assert got.tolist() == [0, *want] and max(want) == 100
+
+
+def test_factors_are_the_longest(spark):
+    """Among several references of one window the longest counts, against all pairs."""
+    r = random.Random(5)
+    base = [r.randrange(50) for _ in range(70)]
+    contexts = [base[:40] + [900 + i] * 20 for i in range(3)] + [base[:60] + [990 + i] * 5 for i in range(3)] + [base[5:65]]
+    flat, offs = np.array([x for c_ in contexts for x in c_], np.uint64), np.concatenate([[0], np.cumsum([len(c_) for c_ in contexts])])
+    rows = np.zeros(len(contexts), [("ah", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("span", "<i2"), ("many", "u1")])
+    rows["span"] = [len(c_) - 35 for c_ in contexts]
+    at, n, source = substring_dedup.parse(rows, flat, offs)
+    at = np.concatenate([np.arange(o, o + k + 1) for o, k in zip(offs, rows["span"])])[at]  # starts of windows, numbered, to places
+    own = np.searchsorted(offs, at, side="right") - 1
+    for a, k, o, s in zip(at.tolist(), n.tolist(), own.tolist(), source.tolist()):
+        x = contexts[o][a - offs[o] :]
+        best = max(next((k for k in range(min(len(x), len(y) - j)) if x[k] != y[j + k]), min(len(x), len(y) - j)) for m, y in enumerate(contexts) if m != o for j in range(len(y)))
+        assert k == best and flat[a : a + k].tolist() == flat[s : s + k].tolist()
+    assert n.max() == 60 and set(own.tolist()) == set(range(7))
+
+
 def test_parse_is_greedy():
     words = np.arange(200, dtype=np.uint64)
     rows = np.zeros(2, [("ah", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("span", "<i2"), ("many", "u1")])
@@ -680,6 +708,35 @@ def test_near_duplicates_of_drifting_copies(spark):
     assert got == near_brute(rows)
 
 
+def parts_of_a_whole(n: int = 12) -> list[tuple]:
+    """A long text, overlapping parts of it, and parts with words of their own: pairs that are similar only inside their hub."""
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    out = [(1, " ".join(words), "en", "s", 0)]
+    for i in range(n):
+        a = r.randrange(0, 90)
+        own = words[a : a + 205]
+        if i % 3 == 0:
+            own[r.randrange(len(own))] = f"x{i}"
+        out.append((10 + i, " ".join(own), "en", "s", 0))
+    return out + [(100 + i, " ".join(words[:210] + [f"y{i}"] * 3), "en", "s", 0) for i in range(6)]
+
+
+def test_near_duplicates_inside_a_hub(spark):
+    rows = parts_of_a_whole()
+    got = {i: (r.n_shingles, r.component_id, r.kept) for i, r in by_id(minhash_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA))).items()}
+    assert got == near_brute(rows)
+
+
+def test_apart_makes_the_pairs_of_two_components(spark):
+    r = random.Random(2)
+    rows = [(r.randrange(3), i, r.choice((7, 7, 7, 7, 12, 1 << 40, -3)), r.randrange(20, 60), 0, 0, 0, [0], True) for i in range(120)]
+    df = spark.createDataFrame(rows, "key long, a long, c long, n long, inside long, often long, hub long, lacks array<int>, whole boolean")
+    got = collections.Counter((x.ax, x.ay, x.cx, x.cy) for x in minhash_dedup._apart(df).collect())
+    want = {(x[1], y[1], x[2], y[2]) for x in rows for y in rows if x[0] == y[0] and x[1] > y[1] and x[2] != y[2] and 4 * min(x[3], y[3]) >= 3 * max(x[3], y[3])}
+    assert set(got) >= want and max(got.values()) == 1 and all(a > b and p != q for a, b, p, q in got)
+
+
 def test_sketch_estimates_similarity():
     r = np.random.default_rng(0)
     a = r.integers(0, 2**63, 600).astype(np.uint64)
@@ -768,6 +825,19 @@ def test_pipeline_stages(spark, tmp_path, tokenizer):
     assert now.count() == p.run(spark, base).count()
 
 
+def test_pipeline_of_odd_and_empty_tables(odd, none, spark, tmp_path, sf):
+    """Every stage on null, empty, repeated rows and on no rows: the columns stay, and nothing is made up."""
+    import corpus_pipeline as p
+
+    for n, docs in enumerate((none, odd.withColumn("lang", F.lit("en")))):
+        for i, (_, stage) in enumerate(p.STAGES):
+            out = stage(spark, docs, sf)
+            assert i == len(p.STAGES) - 1 or out.columns == docs.columns
+            out.write.parquet(str(tmp_path / f"{n}{i}"))
+            back = spark.read.parquet(str(tmp_path / f"{n}{i}"))
+            assert back.count() <= docs.count() and {r[0] for r in back.select("doc_id").collect()} <= {r[0] for r in docs.select("doc_id").collect()}
+
+
 def mix_brute(rows, hashes: dict, size: int, key=int) -> dict:
     """Position of each document: slot by slot, of the released blocks that of earliest deadline."""
     own = collections.defaultdict(list)
