@@ -32,10 +32,19 @@ def test_page_metadata_has_a_row_for_each_page(spark, sf):
     assert out.count() == spark.read.parquet(f"{sf}/pages.parquet").count()
 
 
-def test_entry_without_llm(spark, monkeypatch):
+@pytest.mark.parametrize("missing", ["corpusflow.llm.queries", "corpus_pipeline"])
+def test_entry_without_llm(monkeypatch, missing):
+    """Without the subpackage, without the pipeline, or without what they import, the other queries stay."""
     import __spark_entry__ as e
 
-    monkeypatch.setattr(e.importlib.util, "find_spec", lambda name: None)
+    real = e.importlib.import_module
+
+    def without(name, *args):
+        if name == missing:
+            raise ImportError(name)
+        return real(name, *args)
+
+    monkeypatch.setattr(e.importlib, "import_module", without)
     assert set(e.queries()) == set(q.QUERIES) and set(e.oracle_sql()) == set(q.SQL)
 
 
