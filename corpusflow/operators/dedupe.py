@@ -88,6 +88,10 @@ def merge_groups(papers: DataFrame, preferred: Column, order: str = "seq", local
     return out
 
 
+#: Rows of the largest component of conflicts that one task folds.
+FOLDED_ROWS = 100_000
+
+
 def greedy_two_keys(rows: DataFrame, order: str, a: str, b: str) -> DataFrame:
     """Rows that stay if, in order, a row goes once an accepted one has its key a or its key b.
 
@@ -95,11 +99,21 @@ def greedy_two_keys(rows: DataFrame, order: str, a: str, b: str) -> DataFrame:
     lexicographically first independent set: rounds accept every open row that is
     first among the open rows of both of its keys, then drop open rows that share a
     key with an accepted one.  Rows of a blank key go.  Only keys and numbers move; a
-    key that a third of the rows share falls in one round.
+    key that a third of the rows share falls in one round.  Chains of conflicts take a
+    round a link; at the 8th, 16th, 32nd ... round the rows that are left are folded, each
+    component of conflicts in a task, unless one has more than 100,000 rows.
     """
     open_ = stored(rows.select(c(order).alias("o"), c(a).alias("a"), c(b).alias("b")).where("o is not null and a <> '' and b <> ''"))
-    accepted = None
+    accepted, rounds = None, 0
     while open_.limit(1).count():
+        rounds += 1
+        if rounds >= 8 and rounds & (rounds - 1) == 0:
+            keys = open_.select("o", F.concat(F.lit("a"), c("a")).alias("k")).unionByName(open_.select("o", F.concat(F.lit("b"), c("b")).alias("k")))
+            found = stored(open_.join(components(keys, "o", "k"), "o"))
+            if found.groupBy("component").count().agg(F.max("count")).first()[0] <= FOLDED_ROWS:
+                folded = found.groupBy("component").applyInPandas(lambda df: pd.DataFrame({"o": greedy_fold(df)}).astype("int64"), "o long")
+                accepted = folded if accepted is None else accepted.union(folded.select(c("o").cast(open_.schema["o"].dataType)))
+                break
         first_a = open_.groupBy("a").agg(F.min("o").alias("fa"))
         first_b = open_.groupBy("b").agg(F.min("o").alias("fb"))
         now = stored(open_.join(first_a, "a").where("o = fa").join(first_b, "b").where("o = fb").select("o", "a", "b"))

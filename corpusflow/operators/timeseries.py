@@ -1,8 +1,9 @@
 """Indicators over time series: (symbol, ts, close), one row for each day.
 
 Moving averages are window frames.  Exponential averages and Wilder smoothing are
-recursive; a symbol's series is folded by one Arrow function, grouped by symbol, so
-that the work is linear in the series.
+recursive, so that each value needs the one before: a symbol's whole series is folded
+by one task in an Arrow function, linear in its length (8 bytes a value).  Symbols are
+independent of each other; one symbol isn't split.
 """
 
 from __future__ import annotations

@@ -232,7 +232,8 @@ def search_query(spark: SparkSession, sf: str) -> DataFrame:
 
     nations = t(spark, sf, "nation").orderBy("n_nationkey").collect()  # 25 rows
     topics = [Topic(f"r{i}", [r.n_name for r in nations if r.n_regionkey in (i, 0)], enabled=i != 3) for i in range(5)]
-    return spark.createDataFrame([(citations.query(topics, [r.n_name for r in nations[:2]], dt.date(2024, 1, 2), dt.date(2024, 1, 31)),)], "query string")
+    days = dt.date(2024, 1, 2), dt.date(2024, 1, 31)
+    return spark.createDataFrame([("topics", citations.query(topics, [r.n_name for r in nations[:2]], *days)), ("own", citations.bounded_query(f"{nations[0].n_name}[Title]", *days))], "kind string, query string")
 
 
 def journal_fields(spark: SparkSession, sf: str) -> DataFrame:
@@ -345,7 +346,8 @@ SQL = {
     "search_counters": "select least(200, (select count(*) from part))::bigint as requested, ceil(least(200, (select count(*) from part)) / 100.0)::bigint as batches, count(*)::bigint as fetched, count(*) filter (where p_partkey % 6 = 0)::bigint as missing_abstract from part where p_partkey between 1 and 180",
     "search_query": """
       with first as (select n_name, min(r * 100 + n_nationkey) as o from nation, unnest([0, 1, 2, 4]) as u(r) where n_regionkey in (0, r) group by 1)
-      select '((' || (select string_agg(n_name || '[Title/Abstract]', ' OR ' order by o) from first) || ')) AND (' || (select string_agg(n_name || '[Title/Abstract]', ' OR ' order by n_nationkey) from nation where n_nationkey < 2) || ') AND 2024/01/02:2024/01/31[EDAT]' as query""",
+      select 'own' as kind, n_name || '[Title] AND 2024/01/02:2024/01/31[EDAT]' as query from nation where n_nationkey = 0 union all
+      select 'topics', '((' || (select string_agg(n_name || '[Title/Abstract]', ' OR ' order by o) from first) || ')) AND (' || (select string_agg(n_name || '[Title/Abstract]', ' OR ' order by n_nationkey) from nation where n_nationkey < 2) || ') AND 2024/01/02:2024/01/31[EDAT]'""",
     "journal_field_rows": """
       with r as (select *, make_timestamp((c_custkey * 3600 + 1700000000)::bigint * 1000000) as moment, case when c_custkey % 3 < 2 then '10.1000/j.' || c_custkey end as doi, case when c_custkey % 3 = 1 then '10.1000/J.' || c_custkey else 'paper on soils' end as last from customer)
       select c_name as title, doi, case when c_custkey % 2 = 0 then 'Ann Lee|Bo Li' else 'Ann Lee|Bo Li|Cy Mo' end as authors, 'Text of the ' || last as abstract,

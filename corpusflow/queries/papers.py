@@ -88,14 +88,15 @@ def history_papers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def citation_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Citation XML made from parts, read back."""
-    p = registry.table(spark, sf, "part").select(F.format_string(
+    """Citation XML made from parts, fifty articles a payload, read back."""
+    p = registry.table(spark, sf, "part").select((c("p_partkey") / 50).cast("long").alias("n"), F.format_string(
         "<PubmedArticle><MedlineCitation><PMID>%d</PMID><Article><Journal><Title>%s</Title><JournalIssue><PubDate><Year>2023</Year><Month>Mar</Month></PubDate></JournalIssue></Journal><ArticleTitle>Effects of <i>%s</i> on yield</ArticleTitle>"
         "<Abstract><AbstractText Label=\"AIM\">To see %s.</AbstractText><AbstractText>Then done.</AbstractText></Abstract><AuthorList><Author><LastName>%s</LastName><ForeName>A</ForeName></Author><Author><CollectiveName>Group %d</CollectiveName></Author></AuthorList>"
         "<PublicationTypeList><PublicationType>Clinical Trial</PublicationType></PublicationTypeList></Article></MedlineCitation><PubmedData><History><PubMedPubDate PubStatus=\"pubmed\"><Year>2024</Year><Month>1</Month><Day>%d</Day></PubMedPubDate></History>"
         "<ArticleIdList><ArticleId IdType=\"pubmed\">%d</ArticleId><ArticleId IdType=\"doi\">https://doi.org/10.5/P%d.</ArticleId></ArticleIdList></PubmedData></PubmedArticle>",
         c("p_partkey"), c("p_brand"), c("p_name"), c("p_name"), c("p_type"), c("p_size"), c("p_partkey") % 28 + 1, c("p_partkey"), c("p_partkey")).alias("xml"))
-    out = citations.papers(p, dt.datetime(2024, 1, 31))
+    sets = p.groupBy("n").agg(F.concat(F.lit("<PubmedArticleSet>"), F.array_join(F.array_sort(F.collect_list("xml")), ""), F.lit("</PubmedArticleSet>")).alias("payload"))
+    out = citations.papers_of(sets, dt.datetime(2024, 1, 31))
     return out.select("pmid", "title", "abstract", "journal", F.array_join("authors", "; ").alias("authors"), "doi", F.date_format("published_at", "yyyy-MM-dd").alias("published"), F.date_format("activity_at", "yyyy-MM-dd").alias("active"))
 
 

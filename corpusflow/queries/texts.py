@@ -55,7 +55,8 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_classify_rules(spark: SparkSession, sf: str) -> DataFrame:
-    return t(spark, sf, "documents").select("doc_id", rx.first_match(c("text"), DOCUMENT_RULES, "unknown").alias("kind"))
+    d = t(spark, sf, "documents").select("doc_id", "text", F.lower("text").alias("low"))
+    return d.select("doc_id", rx.first_match(c("text"), DOCUMENT_RULES, "unknown", c("low")).alias("kind"))
 
 
 def fingerprint(spark: SparkSession, sf: str) -> DataFrame:

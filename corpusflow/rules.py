@@ -242,3 +242,16 @@ DETAIL_EXCLUDED = (
 )
 #: A command line's categories: name -> (category, subcategory) of sources.
 REQUESTED = {"guidelines": ("tech", "guidelines"), "surgery": ("finance", "surgery"), "international_obgyn": ("politics", "international-obgyn"), "china_obgyn": ("politics", "china-obgyn")}
+
+#: Pages: classes of boxes that hold a link, of parts that aren't content, and where dates, abstracts and types lie.
+LINK_BOXES = ("card", "listing-item", "content-item", "news-listing-item", "views-row", "list-item")
+NO_CONTENT_TAGS, NO_CONTENT_CLASSES = ("nav", "aside", "footer", "header", "script", "style"), ("cookie", "related", "recommend")
+DATED_CLASSES, DATED_PART = ("article-meta", "news-date"), "publish"
+LABELLED_DATE = r"(?:news releases?|published|publication date|发布日期|发布时间)\s*(?:\||:)?\s*([A-Z][a-z]{2,8})\.?\s+(\d{1,2}),?\s+(20\d{2})"
+TYPE_DATE = r"\s*\|\s*(?:[A-Z][a-z]{2,8})\.?\s+\d{1,2},?\s+20\d{2}\s*$"
+META_DATES = (("property", ("article:published_time",)), ("name", ("date",)), ("name", ("DC.date", "dc.date")), ("name", ("citation_publication_date",)), ("name", ("citation_date",)))
+META_EXCERPTS = (("name", "description"), ("property", "og:description"), ("name", "twitter:description"), ("name", "citation_abstract"))
+META_TYPES = (("name", "citation_article_type"), ("name", "prism.section"))
+EXCERPT_CLASSES, EXCERPT_PARTS = ("abstract", "summary", "lead", "standfirst", "articleBody"), ("abstract", "summary", "lead")
+TYPE_CLASSES = ("breadcrumb", "category", "article-category")
+ISSUE_DATE_CLASSES, ARTICLE_CLASSES, SECTION_CLASSES = ("issue-date", "publish-date"), ("article-item", "list-item"), ("section", "column", "article-type")

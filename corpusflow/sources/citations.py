@@ -31,16 +31,30 @@ def _date(d: Column) -> Column:
     return dates.from_block(d["Year"], d["Month"], d["Day"])
 
 
-def articles_of(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """One row for each article element of each payload."""
-    rest = [x for x in payloads.columns if x != column]
-    return payloads.select(*rest, F.posexplode(F.regexp_extract_all(c(column), F.lit(r"(?s)(<PubmedArticle\b.*?</PubmedArticle>)"), 1)).alias("pos", "xml"))
+SET = f"PubmedArticle array<struct<{SCHEMA.replace('MedlineCitation struct', 'MedlineCitation:struct', 1).replace(',PubmedData struct', ',PubmedData:struct', 1)}>>"
+_INLINE = r"(?i)</?(?:i|b|em|strong|sup|sub|u)>"  # marks that would split a text
 
 
 def papers(articles: DataFrame, now: dt.datetime, column: str = "xml") -> DataFrame:
-    """Papers with number and title; labelled abstract parts on lines of their own; DOI from the ids, else from the article."""
-    flat = F.regexp_replace(c(column), r"(?i)</?(?:i|b|em|strong|sup|sub|u)>", "")  # inline marks would split a text
-    rows = articles.withColumn("__p", F.from_xml(flat, SCHEMA, {"attributePrefix": "_", "valueTag": "_VALUE"})).select("*", c("__p.MedlineCitation").alias("m"), c("__p.PubmedData").alias("d")).drop("__p", column)
+    """Papers of rows that hold an article element each; see papers_of() for what becomes of an article."""
+    rows = articles.withColumn("__p", F.from_xml(F.regexp_replace(c(column), _INLINE, ""), SCHEMA, {"attributePrefix": "_", "valueTag": "_VALUE"}))
+    return _papers(rows.select("*", c("__p.MedlineCitation").alias("m"), c("__p.PubmedData").alias("d")).drop("__p", column), [x for x in articles.columns if x != column], now)
+
+
+def papers_of(payloads: DataFrame, now: dt.datetime, column: str = "payload") -> DataFrame:
+    """Papers, with number and title, of payloads that hold a set of articles each, with pos; labelled abstract parts on lines
+    of their own; DOI from the ids, else from the article.
+
+    A set is parsed at once, since making a parser costs more than parsing an article; a payload
+    that is no XML has no papers.
+    """
+    rest = [x for x in payloads.columns if x != column]
+    parsed = F.from_xml(F.regexp_replace(c(column), _INLINE, ""), SET, {"attributePrefix": "_", "valueTag": "_VALUE"})["PubmedArticle"]
+    rows = payloads.select(*rest, F.posexplode(parsed).alias("pos", "p")).select(*rest, "pos", c("p.MedlineCitation").alias("m"), c("p.PubmedData").alias("d"))
+    return _papers(rows, [*rest, "pos"], now)
+
+
+def _papers(rows: DataFrame, keep: list[str], now: dt.datetime) -> DataFrame:
     a = c("m.Article")
     parts = F.transform(a["Abstract"]["AbstractText"], lambda x: F.when(F.coalesce(x["_Label"], F.lit("")) != "", F.concat(x["_Label"], F.lit(": "), rx.trim(x["_VALUE"]))).otherwise(rx.trim(x["_VALUE"])))
     names = F.transform(a["AuthorList"]["Author"], lambda x: F.coalesce(x["CollectiveName"], F.concat_ws(" ", x["ForeName"], x["LastName"])))
@@ -49,7 +63,7 @@ def papers(articles: DataFrame, now: dt.datetime, column: str = "xml") -> DataFr
     doi = F.coalesce(pick(c("d.ArticleIdList.ArticleId"), "_IdType", "doi")["_VALUE"], pick(a["ELocationID"], "_EIdType", "doi")["_VALUE"])
     pmid = rx.trim(c("m.PMID"))
     out = rows.select(
-        *[x for x in articles.columns if x != column], F.concat(F.lit("pmid:"), pmid).alias("id"), pmid.alias("pmid"), text.normalize_doi(doi).alias("doi"), rx.trim(a["ArticleTitle"]).alias("title"),
+        *keep, F.concat(F.lit("pmid:"), pmid).alias("id"), pmid.alias("pmid"), text.normalize_doi(doi).alias("doi"), rx.trim(a["ArticleTitle"]).alias("title"),
         F.coalesce(F.array_join(F.filter(parts, lambda x: F.coalesce(x, F.lit("")) != ""), "\n"), F.lit("")).alias("abstract"), F.coalesce(a["Journal"]["Title"], F.lit("PubMed")).alias("journal"),
         F.filter(names, lambda x: x != "").alias("authors"), F.filter(F.transform(a["PublicationTypeList"]["PublicationType"], rx.trim), lambda x: x != "").alias("publication_types"),
         published.alias("published_at"), F.coalesce(_date(pick(c("d.History.PubMedPubDate"), "_PubStatus", "pubmed")), published, F.lit(now)).alias("activity_at"),
@@ -65,7 +79,12 @@ def query(topics: Sequence[Topic], domain: Sequence[str], start: dt.date, end: d
     words, anchor = field(w for t in topics if t.enabled for w in t.include), field(domain)
     if not words or not anchor:
         raise ValueError("topics need keywords, and so does the domain")
-    return f"(({words})) AND ({anchor}) AND {start:%Y/%m/%d}:{end:%Y/%m/%d}[EDAT]"
+    return bounded_query(f"(({words})) AND ({anchor})", start, end)
+
+
+def bounded_query(query_: str, start: dt.date, end: dt.date) -> str:
+    """A search of one's own, of the days only."""
+    return f"{query_} AND {start:%Y/%m/%d}:{end:%Y/%m/%d}[EDAT]"
 
 
 def guideline_rows(papers_: DataFrame, source_id: str, category: str, now: dt.datetime, hours: int = 168) -> DataFrame:
@@ -132,7 +151,7 @@ def search(ids: DataFrame, fetched: DataFrame, now: dt.datetime, most: int = 200
     without an answer is left out.  Papers without an abstract are counted and left out.
     """
     asked = batches(ids, most, size)
-    rows = papers(articles_of(fetched.join(asked.select("batch").distinct(), "batch", "left_semi")), now)
+    rows = papers_of(fetched.join(asked.select("batch").distinct(), "batch", "left_semi"), now)
     known = rows.join(asked.select(c("id").alias("__id"), c("pos").alias("search_pos")), c("pmid") == c("__id")).drop("__id")
     has = F.coalesce("abstract", F.lit("")) != ""
     counted = asked.agg(F.count("*").alias("requested"), F.countDistinct("batch").alias("batches"))

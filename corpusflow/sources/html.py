@@ -116,7 +116,6 @@ def host(url: str) -> str:
 
 
 LINKS = "array<struct<title:string,url:string,context:string,datetime:string>>"
-_CONTAINER = ("card", "listing-item", "content-item", "news-listing-item", "views-row", "list-item")
 
 
 def links(html: str | None, base: str) -> list[dict]:
@@ -128,7 +127,7 @@ def links(html: str | None, base: str) -> list[dict]:
         url = resolved(n.attrs["href"], base)
         if url is None:
             continue
-        box = next((x for x in n.up() if x.tag in ("article", "li") or any(k in x.classes for k in _CONTAINER)), n.parent or n)
+        box = next((x for x in n.up() if x.tag in ("article", "li") or any(k in x.classes for k in rules.LINK_BOXES)), n.parent or n)
         time = box.find(lambda x: x.tag == "time" and "datetime" in x.attrs)
         out.append({"title": n.text(), "url": url, "context": box.text(), "datetime": time.attrs["datetime"] if time else None})
     return out
@@ -166,7 +165,6 @@ def link_list(pages: DataFrame, limit: int = 50, least_title: int = 8) -> DataFr
 
 
 METADATA = "struct<json_date:string,meta_dates:array<string>,time:string,body:string,modified:boolean,excerpts:array<string>,types:array<string>>"
-_BODY = cls_part("publish")
 
 
 def _objects(value) -> Iterator[dict]:
@@ -193,7 +191,7 @@ def page_metadata(html: str | None) -> dict:
             except ValueError:
                 continue
     for n in list(root.walk()):
-        gone = n.tag in ("nav", "aside", "footer", "header", "script", "style") or cls_part("cookie", "related", "recommend")(n)
+        gone = n.tag in rules.NO_CONTENT_TAGS or cls_part(*rules.NO_CONTENT_CLASSES)(n)
         if gone and n.parent is not None:
             n.parent.children = [x for x in n.parent.children if x is not n]
     metas = [n.attrs for n in root.walk() if n.tag == "meta"]
@@ -206,18 +204,18 @@ def page_metadata(html: str | None) -> dict:
         return n.text() if n else None
 
     time = root.find(lambda n: n.tag == "time" and "datetime" in n.attrs)
-    body = " ".join(n.text() for n in root.walk() if n.tag in ("article", "main") or cls("article-meta", "news-date")(n) or _BODY(n))
+    body = " ".join(n.text() for n in root.walk() if n.tag in ("article", "main") or cls(*rules.DATED_CLASSES)(n) or cls_part(rules.DATED_PART)(n))
     return {
         "json_date": next(iter(_strings(d.get("datePublished") for d in data)), None),
-        "meta_dates": _strings([meta("property", "article:published_time"), meta("name", "date"), meta("name", "DC.date", "dc.date"), meta("name", "citation_publication_date"), meta("name", "citation_date")]),
+        "meta_dates": _strings([meta(key, *names) for key, names in rules.META_DATES]),
         "time": time.attrs["datetime"] if time else None,
         "body": body,
         "modified": bool(_strings(d.get("dateModified") for d in data)),
         "excerpts": _strings([
-            *(d.get("description") for d in data), meta("name", "description"), meta("property", "og:description"), meta("name", "twitter:description"), meta("name", "citation_abstract"),
-            first(cls("abstract", "summary", "lead", "standfirst", "articleBody"), cls_part("abstract", "summary", "lead")), first(tag("article", "main")),
+            *(d.get("description") for d in data), *(meta(*x) for x in rules.META_EXCERPTS),
+            first(cls(*rules.EXCERPT_CLASSES), cls_part(*rules.EXCERPT_PARTS)), first(tag("article", "main")),
         ]),
-        "types": _strings([meta("name", "citation_article_type"), meta("name", "prism.section"), *(d.get("articleSection") for d in data), first(cls("breadcrumb", "category", "article-category"), lambda n: n.attrs.get("rel") == "category tag")]),
+        "types": _strings([*(meta(*x) for x in rules.META_TYPES), *(d.get("articleSection") for d in data), first(cls(*rules.TYPE_CLASSES), lambda n: n.attrs.get("rel") == "category tag")]),
     }
 
 
@@ -226,10 +224,6 @@ def _metadata(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([page_metadata(h) for h in html], columns=["json_date", "meta_dates", "time", "body", "modified", "excerpts", "types"])
 
 
-#: Fixed value: a publication date that a page's text labels.
-LABELLED_DATE = r"(?:news releases?|published|publication date|发布日期|发布时间)\s*(?:\||:)?\s*([A-Z][a-z]{2,8})\.?\s+(\d{1,2}),?\s+(20\d{2})"
-
-
 def detail_metadata(pages: DataFrame, html: str = "html", structured_only: Column | None = None) -> DataFrame:
     """pages with published_at, excerpt, content_type, content_type_evidence and date_modified_found.
 
@@ -239,11 +233,11 @@ def detail_metadata(pages: DataFrame, html: str = "html", structured_only: Colum
     """
     out = pages.withColumn("__m", _metadata(c(html)))
     m = lambda k: c(f"__m.{k}")
-    labelled = dates.made(rx.extract(m("body"), LABELLED_DATE, 3), dates.month_number(rx.extract(m("body"), LABELLED_DATE, 1)), rx.extract(m("body"), LABELLED_DATE, 2))
+    labelled = dates.made(rx.extract(m("body"), rules.LABELLED_DATE, 3), dates.month_number(rx.extract(m("body"), rules.LABELLED_DATE, 1)), rx.extract(m("body"), rules.LABELLED_DATE, 2))
     from_meta = F.get(F.filter(F.transform(m("meta_dates"), dates.parsed), lambda t: t.isNotNull()), F.lit(0))
     loose = F.coalesce(from_meta, dates.parsed(m("time")))
     middle = loose if structured_only is None else F.when(~structured_only, loose)
-    kind = rx.replace(F.get(m("types"), F.lit(0)), r"\s*\|\s*(?:[A-Z][a-z]{2,8})\.?\s+\d{1,2},?\s+20\d{2}\s*$", "")
+    kind = rx.replace(F.get(m("types"), F.lit(0)), rules.TYPE_DATE, "")
     first = F.get(m("excerpts"), F.lit(0))
     return out.select(
         *[x for x in pages.columns if x != html], F.coalesce(dates.parsed(m("json_date")), middle, labelled).alias("published_at"), F.when(F.char_length(first) >= 30, F.substring(first, 1, 1200)).alias("excerpt"),
@@ -299,12 +293,12 @@ def _notices(root: Node, base: str) -> list[dict]:
 
 def _contents(root: Node, base: str) -> list[dict]:
     """A journal's table of contents: section, link, own or issue date, DOI, authors."""
-    issue = root.find(cls("issue-date", "publish-date"), cls_part("issueDate"))
+    issue = root.find(cls(*rules.ISSUE_DATE_CLASSES), cls_part("issueDate"))
     text = lambda n, *tests: (lambda x: x.text() if x else "")(n.find(*tests))
     out = []
     for n in root.walk():
         in_list = n.tag == "li" and n.parent is not None and "article-list" in n.parent.classes
-        if not (n.tag == "article" or cls("article-item", "list-item")(n) or in_list):
+        if not (n.tag == "article" or cls(*rules.ARTICLE_CLASSES)(n) or in_list):
             continue
         link = n.find(lambda x: x.tag == "a" and ("title" in x.classes or (x.parent is not None and x.parent.tag in ("h2", "h3")) or "/CN/" in x.attrs.get("href", "")))
         url = resolved(link.attrs.get("href"), base) if link else None
@@ -313,7 +307,7 @@ def _contents(root: Node, base: str) -> list[dict]:
         time = n.find(lambda x: x.tag == "time" and "datetime" in x.attrs)
         own = time.attrs["datetime"] if time else text(n, tag("time"), cls_part("date"))
         doi = re.search(r"10\.\d{4,9}/\S+", text(n, cls_part("doi")))
-        out.append({"title": link.text(), "url": url, "date": own, "issue": issue.text() if issue else None, "section": text(n, cls("section", "column", "article-type"), cls_part("section")), "excerpt": text(n, cls_part("abstract"), cls("summary")), "doi": doi[0] if doi else None, "authors": text(n, cls_part("author"))})
+        out.append({"title": link.text(), "url": url, "date": own, "issue": issue.text() if issue else None, "section": text(n, cls(*rules.SECTION_CLASSES), cls_part("section")), "excerpt": text(n, cls_part("abstract"), cls("summary")), "doi": doi[0] if doi else None, "authors": text(n, cls_part("author"))})
     return out
 
 

@@ -26,6 +26,13 @@ def test_greedy_two_keys(spark, seed):
     assert got == dedupe.greedy_fold(pd.DataFrame(rows, columns=["o", "a", "b"]))
 
 
+def test_greedy_two_keys_of_a_long_chain(spark):
+    """Each row conflicts with the next: the rounds end, and what is left is folded."""
+    rows = [(i, f"a{(i + 1) // 2}", f"b{i // 2}") for i in range(70)] + [(100 + i, "hot", f"c{i}") for i in range(20)]
+    got = sorted(x.o for x in dedupe.greedy_two_keys(spark.createDataFrame(rows, "o long, a string, b string"), "o", "a", "b").collect())
+    assert got == dedupe.greedy_fold(pd.DataFrame(rows, columns=["o", "a", "b"])) and len(got) == 36
+
+
 def test_components(spark):
     r = random.Random(3)
     rows = [(i, f"k{r.randrange(60)}") for i in range(80) for _ in range(r.randrange(3))]
