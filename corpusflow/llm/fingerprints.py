@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .common import partition_keys
 
 CELLS = 24
 GROW = 4
@@ -199,13 +200,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 RANGE_BYTES = 16 << 20
 
 
-def partition_keys(spark: SparkSession, k: int) -> list[int]:
-    """k numbers that repartition(k, number) deals to k different partitions, as far as there are such among the tries."""
-    tries = spark.range(int(k * (np.log(k) + 10)) + 1).select("id", F.pmod(F.hash("id"), F.lit(k)).alias("p"))
-    found = {r.p: r.id for r in tries.groupBy("p").agg(F.min("id").alias("id")).collect()}
-    return [found.get(i, -1 - i) for i in range(k)]
-
-
 def _range_of(cuts: np.ndarray, ids: pa.Array) -> np.ndarray:
     """The range of each id: how many cuts are at most the id; null ids are in the first."""
     known = np.asarray(ids.is_valid())

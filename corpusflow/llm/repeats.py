@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import bitmap_position, id_bitmap, stored, tested
+from .common import bitmap_position, id_bitmap, partition_keys, stored, tested
 
 HOT = 256
 #: Texts whose stretches make a bucket, and requested units that make a block, in bytes.
@@ -49,7 +49,7 @@ PART_BYTES = K.PART_BYTES
 
 #: A stretch: anchor hash, stretch hash, document, first start, number of starts less one, occurrences (2: two or more).
 ROW = np.dtype([("ah", "<u8"), ("sh", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("span", "<i2"), ("many", "u1")])
-RANGES = "kind int, doc_id long, lo int, hi int, ah long, sh long, many int"
+RANGES = "kind int, doc_id long, lo int, hi int, ah long, many int"
 
 
 @dataclass(frozen=True)
@@ -140,14 +140,23 @@ def union(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
     return doc[first], lo[first], reach[np.append(first[1:], len(doc)) - 1]
 
 
-def _packed(bucket: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(bucket, blob) rows; columns lie one after the other in a blob, which compresses better."""
+PACKED = "bucket long, part long, blob binary"
+
+
+def _blobs(bucket: np.ndarray, blobs: list[bytes], keys: np.ndarray) -> pa.RecordBatch:
+    """(bucket, part, blob) rows; part: the number that brings the bucket to a partition of its own, of as many as keys."""
+    at = np.where(bucket >= 0, bucket, -1 - bucket) % len(keys)
+    return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(keys[at]), pa.array(blobs, pa.binary())], names=["bucket", "part", "blob"])
+
+
+def _packed(bucket: np.ndarray, rows: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows by bucket; columns lie one after the other in a blob, which compresses better."""
     order = np.argsort(bucket, kind="stable")
     bucket, rows = bucket[order], rows[order]
     first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(rows) else np.zeros(0, int)
     blobs = [b"".join(np.ascontiguousarray(rows[i:j][name]).tobytes() for name in ROW.names) for i, j in zip(first, np.append(first[1:], len(rows)), strict=True)]
     if blobs:
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+        yield _blobs(bucket[first], blobs, keys)
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
@@ -164,13 +173,14 @@ def _pieces(spark, size: int, piece: int) -> int:
     return max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // piece))
 
 
-def index(docs: DataFrame, unit: Unit, n: int) -> DataFrame:
-    """(bucket, blob): packed distinct stretches by one of n buckets of their hash; below 0, ranges settled within a task."""
+def index(docs: DataFrame, unit: Unit, keys: np.ndarray) -> DataFrame:
+    """Packed distinct stretches by one of n buckets of their hash; below 0, ranges settled within a task."""
+    n = len(keys)
 
     def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         rows, gone = grouped(unit, np.concatenate(held))
-        yield from _packed((rows["sh"] % K.U(n)).astype(np.int64), rows)
-        yield from _packed_ranges(unit, gone, n)
+        yield from _packed((rows["sh"] % K.U(n)).astype(np.int64), rows, keys)
+        yield from _packed_ranges(unit, gone, keys, -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -184,28 +194,28 @@ def index(docs: DataFrame, unit: Unit, n: int) -> DataFrame:
         if count:
             yield from flush(held)
 
-    return texts_of(docs).mapInArrow(K.lean(run), "bucket long, blob binary")
+    return texts_of(docs).mapInArrow(K.lean(run), PACKED)
 
 
-def _packed_ranges(unit: Unit, gone: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
-    """Settled occurrences as ranges (lo to sh), in buckets below 0."""
+def _packed_ranges(unit: Unit, gone: np.ndarray, keys: np.ndarray, top: int) -> Iterator[pa.RecordBatch]:
+    """Settled occurrences as ranges (lo to sh), in buckets from top downwards."""
     if len(gone):
         doc, lo, hi = merged(unit, gone)
         out = np.zeros(len(doc), ROW)
         out["doc"], out["lo"], out["sh"] = doc, lo, hi
-        yield from _packed(-1 - doc % n, out)
+        yield from _packed(top - doc % len(keys), out, keys)
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
 
-def _ranges(kind: int, doc, lo, hi, ah=None, sh=None, many=None) -> pa.RecordBatch:
+def _ranges(kind: int, doc, lo, hi, ah=None, many=None) -> pa.RecordBatch:
     n = len(doc)
     cols = [np.full(n, kind, np.int32), doc, np.asarray(lo).astype(np.int32), np.asarray(hi).astype(np.int32)]
-    cols += [np.zeros(n, np.int64) if x is None else np.ascontiguousarray(x).view(np.int64) for x in (ah, sh)]
+    cols.append(np.zeros(n, np.int64) if ah is None else np.ascontiguousarray(ah).view(np.int64))
     cols += [np.zeros(n, np.int32) if many is None else np.asarray(many).astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "doc_id", "lo", "hi", "ah", "sh", "many"])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "doc_id", "lo", "hi", "ah", "many"])
 
 
 GONE, REQUEST, HOT_REQUEST = 0, 1, 2
@@ -239,15 +249,14 @@ def settle(packed: DataFrame, unit: Unit, n: int) -> DataFrame:
             if len(doc):
                 yield _ranges(GONE, doc, lo, hi)
             if len(heads):
-                yield _ranges(REQUEST, heads["doc"], heads["lo"], heads["lo"] + heads["span"].astype(np.int64), heads["ah"], heads["sh"], heads["many"])
+                yield _ranges(REQUEST, heads["doc"], heads["lo"], heads["lo"] + heads["span"].astype(np.int64), heads["ah"], heads["many"])
 
     return _dealt(packed, n).mapInArrow(K.lean(run), RANGES)
 
 
 def _dealt(blobs: DataFrame, n: int) -> DataFrame:
-    """Blobs by bucket, some buckets to a partition."""
-    least = int(blobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return blobs.repartition(max(least, n // 2), "bucket").sortWithinPartitions("bucket")
+    """(bucket, blob) sorted by bucket, each of n buckets in a partition of its own."""
+    return blobs.repartition(n, "part").sortWithinPartitions("bucket").select("bucket", "blob")
 
 
 def asked(settled: DataFrame) -> DataFrame:
@@ -274,21 +283,21 @@ def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 CONTEXT = np.dtype([("ah", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("span", "<i2"), ("many", "u1")])
 
 
-def contexts(docs: DataFrame, requests: DataFrame, unit: Unit, n: int) -> DataFrame:
-    """(bucket, blob): n reference blocks (bucket >= 0), and for hot anchors packed windows (bucket < 0: -1 - bucket) and
+def contexts(docs: DataFrame, requests: DataFrame, unit: Unit, keys: np.ndarray) -> DataFrame:
+    """Packed: n reference blocks (bucket >= 0), and for hot anchors packed windows (bucket < 0: -1 - bucket) and
     ranges that are settled within a task (bucket < -n).
 
     A block's blob is a count, CONTEXT rows, then their units (8 bytes a word, 1 a byte).
     """
+    n = len(keys)
     wants = requests.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "ah", "many", "kind")).alias("asked")).withColumnRenamed("doc_id", "__id")
     joined = only(docs, requests).join(wants, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "asked")
 
     def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         """Windows of hot anchors, each once; the task's other occurrences are settled."""
         heads, gone = grouped(unit, np.concatenate(held))
-        yield from _packed(-1 - (heads["ah"] % K.U(n)).astype(np.int64), heads)
-        for b in _packed_ranges(unit, gone, n):
-            yield pa.RecordBatch.from_arrays([pc.subtract(b.column(0), n), b.column(1)], names=b.schema.names)
+        yield from _packed(-1 - (heads["ah"] % K.U(n)).astype(np.int64), heads, keys)
+        yield from _packed_ranges(unit, gone, keys, -1 - n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -333,11 +342,11 @@ def contexts(docs: DataFrame, requests: DataFrame, unit: Unit, n: int) -> DataFr
                 n_own = size[own]
                 where = np.repeat(lo[cold[own]] - np.cumsum(n_own) + n_own, n_own) + np.arange(n_own.sum())
                 blobs.append(np.int64(len(own)).tobytes() + rows[own].tobytes() + stored_units[where].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][first]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+            yield _blobs(bucket[order][first], blobs, keys)
         if count:
             yield from flush(held)
 
-    return joined.mapInArrow(K.lean(run), "bucket long, blob binary")
+    return joined.mapInArrow(K.lean(run), PACKED)
 
 
 Compare = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -382,12 +391,12 @@ def repeated_ranges(docs: DataFrame, unit: Unit, compare: Compare) -> DataFrame:
     """(doc_id, lo, hi): units that lie in a repeated window (or, if unit.earlier, in a later copy); may overlap."""
     spark = docs.sparkSession
     size = texts_of(docs).select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    n = _pieces(spark, size, BUCKET_BYTES)
-    first = stored(settle(index(docs, unit, n), unit, n))
+    keys = np.array(partition_keys(spark, _pieces(spark, size, BUCKET_BYTES)), np.int64)
+    first = stored(settle(index(docs, unit, keys), unit, len(keys)))
     requests = stored(asked(first))
     units = requests.select(F.sum(F.col("hi") - F.col("lo") + unit.length).alias("n")).first().n or 0
-    blocks = _pieces(spark, units * (8 if unit.words else 1), BLOCK_BYTES)
-    last = compared(contexts(docs, requests, unit, blocks), unit, compare, blocks)
+    keys = np.array(partition_keys(spark, _pieces(spark, units * (8 if unit.words else 1), BLOCK_BYTES)), np.int64)
+    last = compared(contexts(docs, requests, unit, keys), unit, compare, len(keys))
     return first.where(f"kind = {GONE}").select("doc_id", "lo", "hi").unionByName(last.select("doc_id", "lo", "hi"))
 
 
