@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -228,22 +228,22 @@ _SIDE = ("a", "c", "n", "inside", "often", "hub", "lacks", "whole")
 def _apart(rows: DataFrame, similarity=SIMILARITY) -> DataFrame:
     """Pairs (columns of _SIDE with x and y, ax > ay) of rows of one key whose components differ and whose sizes may be similar.
 
-    Only such pairs are made: sizes fall into classes of the ratio that similarity allows, of
-    which a row meets its own and the next; two components differ in a lowest bit, and rows meet
-    by (that bit's place, the equal bits below it), one having the bit and the other not, so that
-    members of one large component never meet each other.
+    Sizes fall into classes of the ratio that similarity allows; a row meets its own class and the
+    next ones.  Of each key the component with most rows is told from the others: its rows, which
+    may be a third of all, meet the others' only, never each other.
     """
     num, den = similarity
-    varying = rows.groupBy("key").agg(F.expr("bit_or(c) ^ bit_and(c)").alias("varying")).where("varying <> 0")
-    some = stored(rows.join(varying, "key").withColumn("class", F.floor(F.log("n") / float(np.log(den / num)) + 1e-9)))
-    at = some.withColumn("j", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda j: F.call_function("getbit", F.col("varying"), j) == 1)))
-    at = at.withColumn("below", F.expr("c & ~shiftleft(-1L, j)")).withColumn("bit", F.call_function("getbit", F.col("c"), F.col("j")))
-    side = lambda df, x, meets: df.select("key", "j", "below", meets, *[F.col(k).alias(k + x) for k in _SIDE])
-    one = side(at.where("bit = 1"), "x", F.col("class"))
-    other = side(at.where("bit = 0"), "y", F.explode(F.expr("array(class - 1, class, class + 1)")).alias("class"))
-    pairs = one.join(other, ["key", "j", "below", "class"])
-    turned = pairs.select("key", *[F.when(F.col("ax") > F.col("ay"), F.col(k + p)).otherwise(F.col(k + q)).alias(k + p) for k in _SIDE for p, q in (("x", "y"), ("y", "x"))])
-    return turned
+    counts = rows.groupBy("key", "c").agg(F.count("*").alias("m"))
+    largest = counts.groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("several")).where("several > 1").select("key", F.col("top.c").alias("largest"))
+    some = stored(rows.join(largest, "key").withColumn("class", F.floor(F.log("n") / float(np.log(den / num)) + 1e-9)))
+    side = lambda df, x, meets: df.select("key", meets, *[F.col(k).alias(k + x) for k in _SIDE])
+    rest = some.where("c <> largest")
+    near = side(rest, "y", F.explode(F.expr("array(class - 1, class, class + 1)")).alias("class"))
+    first = side(some.where("c = largest"), "x", F.col("class")).join(near, ["key", "class"])
+    turn = F.col("ax") > F.col("ay")
+    first = first.select("key", *[F.when(turn, F.col(k + p)).otherwise(F.col(k + q)).alias(k + p) for k in _SIDE for p, q in (("x", "y"), ("y", "x"))])
+    second = side(rest, "x", F.col("class")).join(near, ["key", "class"]).where((F.col("cx") != F.col("cy")) & turn)
+    return first.unionByName(second.select(*first.columns))
 
 
 def across(rows: DataFrame, similarity=SIMILARITY) -> DataFrame:
@@ -293,16 +293,15 @@ def near_duplicates(docs: DataFrame, similarity=SIMILARITY, shingle: int = SHING
     prints = stored(fingerprints(docs, shingle))
     sets = prints.where("n_shingles > 0 and doc_id is not null")
     heads = sets.groupBy("key").agg(F.min("doc_id").alias("head"))
-    own = sets.join(heads.where("head is not null"), "key").where("doc_id = head").repartition("doc_id").dropDuplicates(["doc_id", "key"])
-    whose = Window.partitionBy("doc_id")  # an id may have several texts: their least and largest set
-    own = own.select("doc_id", "bands", F.min("n_shingles").over(whose).alias("least"), F.max("n_shingles").over(whose).alias("most"))
-    rows = stored(own.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"), "least", "most"))
-    hubs = rows.groupBy("bucket").agg(F.min(F.struct("id", "least", "most")).alias("h"), F.max("id").alias("last")).where("h.id < last").select("bucket", F.col("h.id").alias("hub"), F.col("h.least").alias("hub_least"), F.col("h.most").alias("hub_most"))
+    rows = stored(
+        sets.join(heads.where("head is not null"), "key")
+        .where("doc_id = head")
+        .dropDuplicates(["doc_id", "key"])
+        .select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"))
+    )
+    hubs = rows.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("bucket", "hub")
     shared = rows.join(hubs, "bucket")
-    # sets of too different sizes can't be similar: their texts needn't be fetched
-    num, den = similarity
-    may = (den * F.col("most") >= num * F.col("hub_least")) & (den * F.col("hub_most") >= num * F.col("least"))
-    star = stored(shared.where((F.col("id") != F.col("hub")) & may).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
+    star = stored(shared.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
     done = stored(verified(docs, star, similarity, shingle))
     same = sets.join(heads, "key").where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     label = stored(components(done.where("linked").select("a", "b")))
