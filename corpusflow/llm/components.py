@@ -22,7 +22,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     aggregates take before the shuffle.
     """
     edges = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    nodes = edges.select("u", "v")
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -32,15 +31,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(below.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         new = stored(small)
+        discard(edges)
+        edges = new
         # done when every node has one label and no label has one of its own
-        manifold = new.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
-        chained = new.select(F.col("v").alias("u")).distinct().join(new.select("u"), "u", "left_semi")
-        open_ = manifold.union(chained).limit(1).count()
-        old, edges = edges, new
-        if not open_:
+        manifold = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+        chained = edges.select(F.col("v").alias("u")).distinct().join(edges.select("u"), "u", "left_semi")
+        if not manifold.union(chained).limit(1).count():
             break
-    _ = old
     out = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    _ = nodes, discard
-    return out.union(roots)
+    return out.union(edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node")))

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, stored, unused
+from .common import discard, let, stored, unused
 
 MIN_LINES = 2
 MIN_WORDS = 50
@@ -64,11 +64,17 @@ def _classes(rows: DataFrame, *keys: str) -> DataFrame:
     return found.select(*keys, "lo", (F.col("lo") != F.col("hi")).alias("several"))
 
 
-def _opened(docs: DataFrame) -> DataFrame:
+def _exploded(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "t", F.posexplode("lines").alias("seq", "x")).select("doc_id", "t", "seq", "x.r", "x.long")
+
+
+def _occurring_twice(docs: DataFrame) -> DataFrame:
+    return stored(_classes(_exploded(docs), "r").where("several").select(F.col("r").alias("__r")))
+
+
+def _opened(docs: DataFrame, again: DataFrame) -> DataFrame:
     """docs in which the lines that occur twice or more are open."""
-    rows = docs.select("doc_id", "t", F.posexplode("lines").alias("seq", "x")).select("doc_id", "t", "seq", "x.r", "x.long")
-    again = stored(_classes(rows, "r").where("several").select(F.col("r").alias("__r")))
-    return _regrouped(rows.join(again, F.col("r") == F.col("__r"), "left").withColumn("open", F.col("__r").isNotNull()))
+    return _regrouped(_exploded(docs).join(again, F.col("r") == F.col("__r"), "left").withColumn("open", F.col("__r").isNotNull()))
 
 
 def _regrouped(rows: DataFrame) -> DataFrame:
@@ -80,15 +86,22 @@ def _is_open() -> Column:
     return F.exists("lines", lambda x: x["open"])
 
 
-def _doubled(docs: DataFrame, h: int) -> DataFrame:
-    """Documents with open suffixes, their ranks extended from h to 2h lines."""
+def _with_ahead(docs: DataFrame, h: int) -> DataFrame:
+    """Suffixes of documents with open ones, with the rank b of the suffix h lines on (none: empty)."""
     ahead = F.transform("lines", lambda x, i: F.struct(x["r"], x["open"], x["long"], F.coalesce(F.get(F.col("lines"), i + h)["r"], F.lit(b"")).alias("b")))
-    rows = docs.where(_is_open()).select("doc_id", "t", F.posexplode(ahead).alias("seq", "x")).select("doc_id", "t", "seq", "x.*")
-    live = rows.where("open")
-    pairs = _classes(live, "r", "b").repartitionByRange("r", "b").sortWithinPartitions("r", "b")
-    names = stored(pairs.select(F.col("r").alias("__r"), F.col("b").alias("__b"), "several", F.monotonically_increasing_id().alias("number")))
+    return docs.where(_is_open()).select("doc_id", "t", F.posexplode(ahead).alias("seq", "x")).select("doc_id", "t", "seq", "x.*")
+
+
+def _names(rows: DataFrame) -> DataFrame:
+    """Numbers of the distinct pairs of open suffixes' ranks, in their order, and whether a pair has several suffixes."""
+    pairs = _classes(rows.where("open"), "r", "b").repartitionByRange("r", "b").sortWithinPartitions("r", "b")
+    return stored(pairs.select(F.col("r").alias("__r"), F.col("b").alias("__b"), "several", F.monotonically_increasing_id().alias("number")))
+
+
+def _doubled(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """The documents of rows, their open suffixes' ranks extended by the pair's number, to twice the lines."""
     number = F.unhex(F.lpad(F.hex("number"), 2 * _NUMBER, "0"))
-    named = live.join(names, (F.col("r") == F.col("__r")) & (F.col("b") == F.col("__b")))
+    named = rows.where("open").join(names, (F.col("r") == F.col("__r")) & (F.col("b") == F.col("__b")))
     named = named.select("doc_id", "t", "seq", F.concat("r", number).alias("r"), (F.col("several") & (F.length("b") > 0)).alias("open"), "long")
     return _regrouped(named.unionByName(rows.where("not open").drop("b")))
 
@@ -98,10 +111,16 @@ def suffix_ranks(docs: DataFrame, most: int | None = None, min_words: int = MIN_
 
     A round holds the documents that had an open suffix before it; a document's final ranks are in its last.
     """
-    states = [stored(_opened(stored(sequences(docs, min_words))))]
+    first = stored(sequences(docs, min_words))
+    again = _occurring_twice(first)
+    states = [stored(_opened(first, again))]
+    discard(first, again)
     h = 1
     while (most is None or 2 * h <= most) and states[-1].where(_is_open()).limit(1).count():
-        states.append(stored(_doubled(states[-1], h)))
+        rows = _with_ahead(states[-1], h)
+        names = _names(rows)
+        states.append(stored(_doubled(rows, names)))
+        discard(names)
         h *= 2
     return states
 
