@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..storage import stored
+from ..storage import discard, stored
 
 c = F.col
 
@@ -38,9 +38,11 @@ def components(keys: DataFrame, node: str, key: str) -> DataFrame:
         jump = step.join(label.select(c("n").alias("l"), c("l").alias("ll")), "l", "left").select("n", F.least("l", F.coalesce("ll", "l")).alias("l"))
         new = stored(jump)
         changed = new.join(label.withColumnRenamed("l", "old"), "n").where("l <> old").limit(1).count()
+        discard(label)
         label = new
         if not changed:
             break
+    discard(links)
     nodes = keys.select(c(node).alias("n")).where("n is not null").distinct()
     return nodes.join(label, "n", "left").select(c("n").alias(node), F.coalesce("l", "n").alias("component"))
 

@@ -241,7 +241,7 @@ def journal_fields(spark: SparkSession, sf: str) -> DataFrame:
     k = c("c_custkey")
     e = text.escape_html
     doi = F.concat(F.lit("10.1000/J."), k)
-    item = F.concat(F.lit("<item><title>"), c("c_name"), F.lit("</title><link>https://j.org/"), F.when(k % 3 == 0, doi).otherwise(k.cast("string")), F.lit("</link><dc:creator>"), F.when(k % 2 == 0, "Ann Lee; Bo Li").otherwise("Ann Lee and Bo Li and Cy Mo"), F.lit("</dc:creator><description>"), e(F.concat(F.lit("<p>Text&nbsp;of the "), F.when(k % 3 == 1, doi).otherwise("paper on soils"), F.lit("</p>"))), F.lit("</description><pubDate>"), F.date_format(F.timestamp_seconds(k * 3600 + 1700000000), "'Mon, 'd MMM yyyy HH:mm:ss 'GMT'"), F.lit("</pubDate></item>"))
+    item = F.concat(F.lit("<item><title>"), c("c_name"), F.lit("</title><link>https://j.org/"), F.when(k % 3 == 0, doi).otherwise(k.cast("string")), F.lit("</link><dc:creator>"), F.when(k % 2 == 0, "Ann Lee; Bo Li").otherwise("Ann Lee and Bo Li and Cy Mo"), F.lit("</dc:creator><description>"), e(F.when(k % 10 == 5, "<p>x</p>").otherwise(F.concat(F.lit("<p>Text&nbsp;of the "), F.when(k % 3 == 1, doi).otherwise("paper on soils"), F.lit("</p>")))), F.lit("</description>"), F.when(k % 10 > 0, F.concat(F.lit("<pubDate>"), F.date_format(F.timestamp_seconds(k * 3600 + 1700000000), "'Mon, 'd MMM yyyy HH:mm:ss 'GMT'"), F.lit("</pubDate>"))).otherwise(""), F.lit("</item>"))
     rows = t(spark, sf, "customer").select(F.floor(k / 40).alias("n"), F.struct(k.alias("k"), item.alias("x")).alias("s")).groupBy("n").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["x"]), "").alias("xs"))
     made = rows.select(F.concat(F.lit("f"), c("n")).alias("source_id"), F.lit("J").alias("journal"), F.concat(F.lit('<rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel>'), c("xs"), F.lit("</channel></rss>")).alias("payload"))
     return feeds.journal_papers(made, dt.datetime(2023, 11, 15), dt.datetime(2023, 12, 30))
@@ -349,9 +349,11 @@ SQL = {
       select 'own' as kind, n_name || '[Title] AND 2024/01/02:2024/01/31[EDAT]' as query from nation where n_nationkey = 0 union all
       select 'topics', '((' || (select string_agg(n_name || '[Title/Abstract]', ' OR ' order by o) from first) || ')) AND (' || (select string_agg(n_name || '[Title/Abstract]', ' OR ' order by n_nationkey) from nation where n_nationkey < 2) || ') AND 2024/01/02:2024/01/31[EDAT]'""",
     "journal_field_rows": """
-      with r as (select *, make_timestamp((c_custkey * 3600 + 1700000000)::bigint * 1000000) as moment, case when c_custkey % 3 < 2 then '10.1000/j.' || c_custkey end as doi, case when c_custkey % 3 = 1 then '10.1000/J.' || c_custkey else 'paper on soils' end as last from customer)
-      select c_name as title, doi, case when c_custkey % 2 = 0 then 'Ann Lee|Bo Li' else 'Ann Lee|Bo Li|Cy Mo' end as authors, 'Text of the ' || last as abstract,
-        coalesce('doi:' || doi, 'rss:f' || (c_custkey // 40) || ':' || trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g'))) as id, case when moment < timestamp '2023-11-15' or moment > timestamp '2023-12-30' then 'outOfWindow' end as reject_reason from r""",
+      with r as (select *, make_timestamp((c_custkey * 3600 + 1700000000)::bigint * 1000000) as moment, case when c_custkey % 3 = 0 or (c_custkey % 3 = 1 and c_custkey % 10 <> 5) then '10.1000/j.' || c_custkey end as doi, case when c_custkey % 3 = 1 then '10.1000/J.' || c_custkey else 'paper on soils' end as last from customer)
+      select c_name as title, doi, case when c_custkey % 2 = 0 then 'Ann Lee|Bo Li' else 'Ann Lee|Bo Li|Cy Mo' end as authors, case when c_custkey % 10 = 5 then 'x' else 'Text of the ' || last end as abstract,
+        coalesce('doi:' || doi, 'rss:f' || (c_custkey // 40) || ':' || trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g'))) as id, case when c_custkey % 10 = 0 then 'missingDate' when moment < timestamp '2023-11-15' or moment > timestamp '2023-12-30' then 'outOfWindow' when c_custkey % 10 = 5 then 'missingAbstract' end as reject_reason from r""",
     "journal_rejects": """
-      select 'f' || (c_custkey // 40) as source_id, 'outOfWindow' as reason, count(*)::bigint as n from customer where make_timestamp((c_custkey * 3600 + 1700000000)::bigint * 1000000) not between timestamp '2023-11-15' and timestamp '2023-12-30' group by 1""",
+      with r as (select *, make_timestamp((c_custkey * 3600 + 1700000000)::bigint * 1000000) as moment from customer),
+      q as (select c_custkey // 40 as n, case when c_custkey % 10 = 0 then 'missingDate' when moment < timestamp '2023-11-15' or moment > timestamp '2023-12-30' then 'outOfWindow' when c_custkey % 10 = 5 then 'missingAbstract' end as reason from r)
+      select 'f' || n as source_id, reason, count(*)::bigint as n from q where reason is not null group by q.n, reason""",
 }

@@ -29,8 +29,8 @@ def rss_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rss_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
-    f = _feed(spark, sf).withColumn("payload", F.when(c("source_id") == "f3", "<html>challenge</html>").otherwise(c("payload")))
-    return feeds.diagnostics(f, feeds.articles(f)).select("source_id", c("items").cast("long").alias("items"), "zero_items", "parse_failures")
+    f = _feed(spark, sf).withColumn("payload", F.when(c("source_id").isin("f3", "f2"), "<html>challenge</html>").otherwise(c("payload"))).withColumn("status", F.when(c("source_id") == "f2", 403).otherwise(200))
+    return feeds.diagnostics(f, feeds.articles(f)).select("source_id", c("items").cast("long").alias("items"), "http_403", "zero_items", "parse_failures")
 
 
 def journal_papers(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,7 +77,7 @@ SQL = {
     "rss_scan": f"""
       select source_id, pos::bigint as pos, c_name || ' & ' || c_mktsegment as title, case when c_custkey % 5 > 0 then 'https://e.org/' || c_custkey else cast(c_custkey as varchar) end as url, 'Balance of ' || c_name || ' is ' || c_nationkey as excerpt, (c_custkey * 3600 + 1700000000)::bigint as published
       from {_F} where pos < case source_id when 'f0' then 8 else 15 end""",
-    "rss_diagnostics": f"select source_id, case when source_id = 'f3' then 0 else count(*) end::bigint as items, case when source_id = 'f3' then 1 else 0 end::int as zero_items, case when source_id = 'f3' then 1 else 0 end::int as parse_failures from {_F} group by 1",
+    "rss_diagnostics": f"select source_id, case when source_id in ('f2', 'f3') then 0 else count(*) end::bigint as items, case when source_id = 'f2' then 1 else 0 end::int as http_403, case when source_id in ('f2', 'f3') then 1 else 0 end::int as zero_items, case when source_id = 'f3' then 1 else 0 end::int as parse_failures from {_F} group by 1",
     "journal_papers": f"""
       select case when c_custkey % 5 = 0 then 'missingIdentity' when contains(c_mktsegment, 'MACHINERY') then 'routedToGuidelineOrSurgery' when moment < timestamp '2023-11-15' or moment > timestamp '2023-12-30' then 'outOfWindow' else 'accepted' end as reason, count(*)::bigint as n
       from (select *, make_timestamp((c_custkey * 3600 + 1700000000)::bigint * 1000000) as moment from {_F}) group by 1""",

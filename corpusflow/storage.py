@@ -27,14 +27,15 @@ def stored(df: DataFrame) -> DataFrame:
     and a lost executor costs only the tasks that it ran."""
     path = f"{shared_dir(df.sparkSession)}/corpusflow-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def discard(*frames: DataFrame) -> None:
-    """Deletes what stored() wrote for these frames, once nothing reads them."""
+    """Deletes the tables of frames that stored() gave, once nothing reads them any more."""
     for df in frames:
-        for file in df.inputFiles()[:1]:
-            spark = df.sparkSession
-            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            if folder.getName().startswith("corpusflow-"):
-                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        spark, path = df.sparkSession, getattr(df, "stored_at", None)
+        if path:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
