@@ -30,16 +30,17 @@ def reviews_of(answers: DataFrame, answer: str = "answer", order: str = "chunk")
     return out.select("r.url", "r.status", "r.summary", F.struct(order, "pos").alias("n")).where("url is not null")
 
 
-def reviewed(candidates: DataFrame, reviews: DataFrame) -> DataFrame:
+def reviewed(candidates: DataFrame, reviews: DataFrame, order: str = "seq") -> DataFrame:
     """Candidates that a review accepts; they carry what routing.classified() adds.
 
-    A rejection of a URL anywhere outweighs; of several accepting reviews the first that
+    Of several candidates of one URL the last in order counts.  A rejection of a URL anywhere outweighs; of several accepting reviews the first that
     approves counts.  An uncertain one passes only for a formal document of an official
     authority; a document known by title gets the fixed summary and low priority.
     """
     rejected = reviews.where("status = 'rejected'").select("url").distinct()
     open_ = reviews.where("status in ('accepted', 'uncertain')").join(rejected, "url", "left_anti")
-    joined = candidates.where("s_known").join(open_.select(c("url").alias("__u"), c("status"), c("summary").alias("__summary"), "n"), c("url") == c("__u"))
+    last = candidates.withColumn("__n", F.row_number().over(Window.partitionBy("url").orderBy(F.desc(order)))).where("__n = 1").drop("__n")
+    joined = last.where("s_known").join(open_.select(c("url").alias("__u"), c("status"), c("summary").alias("__summary"), "n"), c("url") == c("__u"))
     fallback = ~c("subst") & c("official") & ~c("d_type").isin("news", "video", "education") & ~rx.matches(c("title"), rules.VIDEO_TITLE)
     official = (c("s_class") == "official_authority") & c("official")
     fine = ((c("status") == "accepted") | official) & (c("subst") | fallback) & (fallback | ~rx.blank(c("__summary")))

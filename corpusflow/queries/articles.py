@@ -288,7 +288,7 @@ SQL = {
     "review_join": f"""
       with {BASE}, one as (select *, case when seq % 5 = 0 then 'rejected' when seq % 5 = 1 then 'uncertain' else 'accepted' end as status from cl),
       rejected as (select distinct url from one where status = 'rejected'),
-      pair as (select a.*, r.seq as rseq, r.status as rstatus from one a join one r on a.url = r.url where a.known and r.status <> 'rejected' and a.url not in (select url from rejected)),
+      pair as (select a.*, r.seq as rseq, r.status as rstatus from (select * from one qualify row_number() over (partition by url order by seq desc) = 1) a join one r on a.url = r.url where a.known and r.status <> 'rejected' and a.url not in (select url from rejected)),
       f as (select *, not subst and official and d_type not in ('news', 'video', 'education') and not {sql_match('title', rules.VIDEO_TITLE)} as fb from pair),
       good as (select *, row_number() over (partition by url order by rseq) as n from f where not excluded and (rstatus = 'accepted' or (s_class = 'official_authority' and official)) and (subst or fb))
       select seq, case when fb then {quoted(digest.TITLE_ONLY)} else 's' || rseq end as summary, case when fb then 'uncertain' else rstatus end as review_status, fb or rstatus = 'uncertain' as low_priority from good where n = 1""",
