@@ -180,36 +180,103 @@ def extract_json(text: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.lit("")), bare)
 
 
+class _Loose:
+    """Reads an object or array that isn't strictly JSON: other quotes, bare keys and words, comments, missing or spare
+    commas and colons, raw line breaks in strings, Python's names of constants, and an end in the middle."""
+
+    QUOTES = {'"': '"', "'": "'", "“": "”", "‘": "’", "`": "`"}
+    NAMES = {"true": True, "false": False, "null": None, "True": True, "False": False, "None": None, "undefined": None}
+    _BARE = re.compile(r"[^\s,:\[\]{}\"'“‘`/]+")
+    _NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?")
+    _SKIP = re.compile(r"(?:\s+|//[^\n]*|/\*.*?(?:\*/|$))+", re.S)
+
+    def __init__(self, text: str):
+        self.text, self.at = text, 0
+
+    def skip(self, spare: str = "") -> str:
+        """The next character that isn't space, comment or spare; empty at the end."""
+        while self.at < len(self.text):
+            if m := self._SKIP.match(self.text, self.at):
+                self.at = m.end()
+            elif self.text[self.at] in spare:
+                self.at += 1
+            else:
+                return self.text[self.at]
+        return ""
+
+    def value(self):
+        ch = self.skip()
+        if ch == "{":
+            return self.object()
+        if ch == "[":
+            return self.array()
+        if ch in self.QUOTES:
+            return self.string()
+        m = self._BARE.match(self.text, self.at)
+        if not m:
+            self.at += 1
+            return None
+        self.at = m.end()
+        if m[0] in self.NAMES:
+            return self.NAMES[m[0]]
+        return json.loads(m[0]) if self._NUMBER.fullmatch(m[0]) else m[0]
+
+    def object(self) -> dict:
+        out: dict = {}
+        self.at += 1
+        while (ch := self.skip(",;")) and ch != "}":
+            if ch == "]":  # closes what is around
+                return out
+            key = self.value()
+            if self.skip() == ":":
+                self.at += 1
+                out[str(key)] = None if self.skip() in ("", ",", "}") else self.value()
+            else:
+                out[str(key)] = None
+        self.at += 1
+        return out
+
+    def array(self) -> list:
+        out: list = []
+        self.at += 1
+        while (ch := self.skip(",;")) and ch != "]":
+            if ch == "}":
+                return out
+            out.append(self.value())
+        self.at += 1
+        return out
+
+    def string(self) -> str:
+        close, out = self.QUOTES[self.text[self.at]], []
+        self.at += 1
+        while self.at < len(self.text):
+            ch = self.text[self.at]
+            self.at += 1
+            if ch == close:
+                break
+            if ch == "\\" and self.at < len(self.text):
+                m = re.compile(r"u[0-9a-fA-F]{4}").match(self.text, self.at)
+                code = m[0] if m else self.text[self.at]
+                self.at += len(code)
+                ch = chr(int(code[1:], 16)) if m else {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}.get(code, code)
+            out.append(ch)
+        return "".join(out)
+
+
 @arrow("string")
 def repair_json(s: pd.Series) -> pd.Series:
-    """JSON that parses: as given, or without trailing commas, or closed where it breaks off; else null."""
+    """JSON that parses strictly, as given or read loosely; null for what is no object or array."""
 
     def one(x: str | None) -> str | None:
         if x is None:
             return None
-        loose = re.sub(r",(\s*[}\]])", r"\1", x)
-        for candidate in (x, loose, loose + closing(loose), loose.rstrip().rstrip(",") + closing(loose)):
-            try:
-                json.loads(candidate)
-                return candidate
-            except ValueError:
-                continue
-        return None
-
-    def closing(x: str) -> str:
-        stack, text, skip = [], False, False
-        for c in x:
-            if skip:
-                skip = False
-            elif text:
-                skip, text = c == "\\", c != '"'
-            elif c == '"':
-                text = True
-            elif c in "{[":
-                stack.append("}" if c == "{" else "]")
-            elif c in "}]" and stack:
-                stack.pop()
-        return ('"' if text else "") + "".join(reversed(stack))
+        try:
+            json.loads(x)
+            return x
+        except ValueError:
+            pass
+        loose = _Loose(x)
+        return json.dumps(loose.value()) if loose.skip() in ("{", "[") else None  # in ASCII: half a surrogate pair stays an escape
 
     return s.map(one)
 

@@ -96,6 +96,17 @@ def test_json(spark):
     assert fixed[0] == '{"a":1}' and fixed[1] == '{"a": [1]}' and fixed[3] is None and fixed[4] is None
 
 
+def test_loose_json(spark):
+    import json
+
+    cases = {
+        "{'a': 'it\\'s', b: True, /* c */ \"d\": None}": {"a": "it's", "b": True, "d": None}, '{"a": 1 "b": [1 2, 3,], }': {"a": 1, "b": [1, 2, 3]}, '{"a": "line\nbreak", // end\n"b": -1.5e3}': {"a": "line\nbreak", "b": -1500.0},
+        '{“a”: “x”, "b": [{"c": 1}, {"c": "cut': {"a": "x", "b": [{"c": 1}, {"c": "cut"}]}, '{"a": [1, 2}': {"a": [1, 2]}, '[{"u": "\\u00e9\\n"}, bare word]': [{"u": "é\n"}, "bare", "word"], '{"a": , "b": 007}': {"a": None, "b": "007"}, '{"a"': {"a": None},
+    }
+    got = values(spark, [*cases, "no json", ""], text.repair_json(c("x")))
+    assert [json.loads(x) for x in got[:-2]] == list(cases.values()) and got[-2:] == [None, None]
+
+
 def test_rounding_halves_up(spark):
     df = spark.createDataFrame([(-2.5,), (2.5,), (1.005,)], "x double")
     assert [r.y for r in df.select(text.round_half_up(c("x"), 0).alias("y")).collect()] == [-2.0, 3.0, 1.0]
