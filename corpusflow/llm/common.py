@@ -24,11 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def partition_keys(spark: SparkSession, k: int) -> list[int]:
-    """k numbers that repartition(k, number) deals to k different partitions, as far as there are such among the tries."""
+#: Partitions of a shuffle that is dealt by number: more buckets than that share partitions, one after the other.
+MOST_PARTITIONS = 1 << 14
+
+
+def partition_keys(spark: SparkSession, buckets: int) -> np.ndarray:
+    """As many numbers as buckets, MOST_PARTITIONS at most, that repartition(their count, number) deals to different partitions."""
+    k = min(buckets, MOST_PARTITIONS)
     tries = spark.range(int(k * (np.log(k) + 10)) + 1).select("id", F.pmod(F.hash("id"), F.lit(k)).alias("p"))
     found = {r.p: r.id for r in tries.groupBy("p").agg(F.min("id").alias("id")).collect()}
-    return [found.get(i, -1 - i) for i in range(k)]
+    return np.array([found.get(i, -1 - i) for i in range(k)], np.int64)
 
 
 BITMAP_BITS = 1 << 23

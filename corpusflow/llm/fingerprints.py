@@ -207,11 +207,11 @@ def _range_of(cuts: np.ndarray, ids: pa.Array) -> np.ndarray:
 
 
 def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(g, copy, doc_id, text), partitioned by g and sorted: each row is followed by the next document.
+    """(g, copy, doc_id, text), sorted, a range g in one partition: each row is followed by the next document.
 
     Ids are cut into narrow ranges at approximate quantiles, which are joined while their texts
-    have less than range_bytes: a range is a partition of its own, and as many are made as the
-    texts ask for.  The first document of each range is also sent, as a copy, behind the last of
+    have less than range_bytes: as many ranges are made as the texts ask for, and as many partitions
+    (up to a bound, beyond which ranges share them).  The first document of each range is also sent, as a copy, behind the last of
     the range before (the first of all: behind the last of all).  One shuffle of the texts; the
     driver holds a few numbers for each narrow range.
     """
@@ -235,7 +235,7 @@ def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
             held = 0
         held += r.n
     k = max(1, len(starts))
-    keys = np.array(partition_keys(spark, k), np.int64)
+    keys = partition_keys(spark, k)
     of_narrow = np.searchsorted([g for g, _ in starts], np.arange(len(cuts) + 1), side="right") - 1
     before = {i: (n - 1) % k for n, (_, i) in enumerate(starts)}
 
@@ -247,10 +247,10 @@ def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
             for at, g, copy in ((np.arange(len(ids)), own, 0), (np.array(twice, np.int64), np.array([before[ids[i]] for i in twice], np.int64), 1)):
                 if len(at):
                     some = b.take(pa.array(at))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[g]), pa.array(np.full(len(at), copy, np.int32)), *some.columns], names=["g", "copy", "doc_id", "text"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[g % len(keys)]), pa.array(g), pa.array(np.full(len(at), copy, np.int32)), *some.columns], names=["part", "g", "copy", "doc_id", "text"])
 
-    dealt = rows.mapInArrow(K.lean(deal), "g long, copy int, doc_id long, text string")
-    return dealt.withColumn("h", F.xxhash64("text")).repartition(k, "g").sortWithinPartitions("g", "copy", "doc_id", "h").drop("h")
+    dealt = rows.mapInArrow(K.lean(deal), "part long, g long, copy int, doc_id long, text string")
+    return dealt.withColumn("h", F.xxhash64("text")).repartition(len(keys), "part").sortWithinPartitions("g", "copy", "doc_id", "h").drop("h", "part")
 
 
 def versions(docs: DataFrame) -> DataFrame:

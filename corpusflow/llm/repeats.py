@@ -144,7 +144,7 @@ PACKED = "bucket long, part long, blob binary"
 
 
 def _blobs(bucket: np.ndarray, blobs: list[bytes], keys: np.ndarray) -> pa.RecordBatch:
-    """(bucket, part, blob) rows; part: the number that brings the bucket to a partition of its own, of as many as keys."""
+    """(bucket, part, blob) rows; part: the number that brings the bucket to its partition, of as many as keys."""
     at = np.where(bucket >= 0, bucket, -1 - bucket) % len(keys)
     return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(keys[at]), pa.array(blobs, pa.binary())], names=["bucket", "part", "blob"])
 
@@ -173,14 +173,13 @@ def _pieces(spark, size: int, piece: int) -> int:
     return max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // piece))
 
 
-def index(docs: DataFrame, unit: Unit, keys: np.ndarray) -> DataFrame:
+def index(docs: DataFrame, unit: Unit, n: int, keys: np.ndarray) -> DataFrame:
     """Packed distinct stretches by one of n buckets of their hash; below 0, ranges settled within a task."""
-    n = len(keys)
 
     def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         rows, gone = grouped(unit, np.concatenate(held))
         yield from _packed((rows["sh"] % K.U(n)).astype(np.int64), rows, keys)
-        yield from _packed_ranges(unit, gone, keys, -1)
+        yield from _packed_ranges(unit, gone, n, keys, -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -197,13 +196,13 @@ def index(docs: DataFrame, unit: Unit, keys: np.ndarray) -> DataFrame:
     return texts_of(docs).mapInArrow(K.lean(run), PACKED)
 
 
-def _packed_ranges(unit: Unit, gone: np.ndarray, keys: np.ndarray, top: int) -> Iterator[pa.RecordBatch]:
+def _packed_ranges(unit: Unit, gone: np.ndarray, n: int, keys: np.ndarray, top: int) -> Iterator[pa.RecordBatch]:
     """Settled occurrences as ranges (lo to sh), in buckets from top downwards."""
     if len(gone):
         doc, lo, hi = merged(unit, gone)
         out = np.zeros(len(doc), ROW)
         out["doc"], out["lo"], out["sh"] = doc, lo, hi
-        yield from _packed(top - doc % len(keys), out, keys)
+        yield from _packed(top - doc % n, out, keys)
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
@@ -235,7 +234,7 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[byt
         yield now, held
 
 
-def settle(packed: DataFrame, unit: Unit, n: int) -> DataFrame:
+def settle(packed: DataFrame, unit: Unit, partitions: int) -> DataFrame:
     """Ranges that go (kind GONE), and one row (kind REQUEST) for each distinct stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,12 +250,12 @@ def settle(packed: DataFrame, unit: Unit, n: int) -> DataFrame:
             if len(heads):
                 yield _ranges(REQUEST, heads["doc"], heads["lo"], heads["lo"] + heads["span"].astype(np.int64), heads["ah"], heads["many"])
 
-    return _dealt(packed, n).mapInArrow(K.lean(run), RANGES)
+    return _dealt(packed, partitions).mapInArrow(K.lean(run), RANGES)
 
 
-def _dealt(blobs: DataFrame, n: int) -> DataFrame:
-    """(bucket, blob) sorted by bucket, each of n buckets in a partition of its own."""
-    return blobs.repartition(n, "part").sortWithinPartitions("bucket").select("bucket", "blob")
+def _dealt(blobs: DataFrame, partitions: int) -> DataFrame:
+    """(bucket, blob) sorted by bucket, each bucket in one partition."""
+    return blobs.repartition(partitions, "part").sortWithinPartitions("bucket").select("bucket", "blob")
 
 
 def asked(settled: DataFrame) -> DataFrame:
@@ -283,13 +282,12 @@ def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 CONTEXT = np.dtype([("ah", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("span", "<i2"), ("many", "u1")])
 
 
-def contexts(docs: DataFrame, requests: DataFrame, unit: Unit, keys: np.ndarray) -> DataFrame:
+def contexts(docs: DataFrame, requests: DataFrame, unit: Unit, n: int, keys: np.ndarray) -> DataFrame:
     """Packed: n reference blocks (bucket >= 0), and for hot anchors packed windows (bucket < 0: -1 - bucket) and
     ranges that are settled within a task (bucket < -n).
 
     A block's blob is a count, CONTEXT rows, then their units (8 bytes a word, 1 a byte).
     """
-    n = len(keys)
     wants = requests.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "ah", "many", "kind")).alias("asked")).withColumnRenamed("doc_id", "__id")
     joined = only(docs, requests).join(wants, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "asked")
 
@@ -297,7 +295,7 @@ def contexts(docs: DataFrame, requests: DataFrame, unit: Unit, keys: np.ndarray)
         """Windows of hot anchors, each once; the task's other occurrences are settled."""
         heads, gone = grouped(unit, np.concatenate(held))
         yield from _packed(-1 - (heads["ah"] % K.U(n)).astype(np.int64), heads, keys)
-        yield from _packed_ranges(unit, gone, keys, -1 - n)
+        yield from _packed_ranges(unit, gone, n, keys, -1 - n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -352,7 +350,7 @@ def contexts(docs: DataFrame, requests: DataFrame, unit: Unit, keys: np.ndarray)
 Compare = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def compared(blocks: DataFrame, unit: Unit, compare: Compare, n_blocks: int) -> DataFrame:
+def compared(blocks: DataFrame, unit: Unit, compare: Compare, n_blocks: int, partitions: int) -> DataFrame:
     """Ranges that go, from reference blocks.  compare(rows, units, offsets) returns, for each start of each
     context (its span + 1 starts, one context after the other), whether that window goes."""
 
@@ -384,19 +382,21 @@ def compared(blocks: DataFrame, unit: Unit, compare: Compare, n_blocks: int) ->
             if len(doc):
                 yield _ranges(GONE, doc, lo, hi)
 
-    return _dealt(blocks, n_blocks).mapInArrow(K.lean(run), RANGES)
+    return _dealt(blocks, partitions).mapInArrow(K.lean(run), RANGES)
 
 
 def repeated_ranges(docs: DataFrame, unit: Unit, compare: Compare) -> DataFrame:
     """(doc_id, lo, hi): units that lie in a repeated window (or, if unit.earlier, in a later copy); may overlap."""
     spark = docs.sparkSession
     size = texts_of(docs).select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    keys = np.array(partition_keys(spark, _pieces(spark, size, BUCKET_BYTES)), np.int64)
-    first = stored(settle(index(docs, unit, keys), unit, len(keys)))
+    n = _pieces(spark, size, BUCKET_BYTES)
+    keys = partition_keys(spark, n)
+    first = stored(settle(index(docs, unit, n, keys), unit, len(keys)))
     requests = stored(asked(first))
     units = requests.select(F.sum(F.col("hi") - F.col("lo") + unit.length).alias("n")).first().n or 0
-    keys = np.array(partition_keys(spark, _pieces(spark, units * (8 if unit.words else 1), BLOCK_BYTES)), np.int64)
-    last = compared(contexts(docs, requests, unit, keys), unit, compare, len(keys))
+    n = _pieces(spark, units * (8 if unit.words else 1), BLOCK_BYTES)
+    keys = partition_keys(spark, n)
+    last = compared(contexts(docs, requests, unit, n, keys), unit, compare, n, len(keys))
     return first.where(f"kind = {GONE}").select("doc_id", "lo", "hi").unionByName(last.select("doc_id", "lo", "hi"))
 
 

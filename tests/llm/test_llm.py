@@ -347,6 +347,20 @@ def test_suffix_dedup(rows, docs, hot, monkeypatch):
     assert got == bytes_brute(rows)
 
 
+def test_buckets_that_share_partitions(rows, docs, monkeypatch):
+    """Many small buckets and ranges in few partitions: the same results."""
+    from corpusflow.llm import common
+
+    want = {r.doc_id: r for r in fingerprints.versions(docs).collect()}
+    monkeypatch.setattr(common, "MOST_PARTITIONS", 3)
+    for name in ("BUCKET_BYTES", "BLOCK_BYTES"):
+        monkeypatch.setattr(substring_dedup.repeats, name, 500)
+    monkeypatch.setattr(fingerprints.with_next, "__defaults__", (300,))
+    assert {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in by_id(substring_dedup.dedup(docs, texts=False)).items()} == words_brute(rows)
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in by_id(suffix_dedup.dedup(docs, texts=False)).items()} == bytes_brute(rows)
+    assert {r.doc_id: r for r in fingerprints.versions(docs).collect()} == want
+
+
 def test_texts_are_returned(rows, docs):
     want = {i: v[2] for i, v in words_brute(rows).items()}
     assert {i: sha(r.kept_text) for i, r in by_id(substring_dedup.dedup(docs)).items()} == want
