@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, fingerprints, line_dedup, minhash_dedup, quality_classifier, quality_rules, source_mixing, substring_dedup, suffix_dedup
+from . import bpe, chat_format, divergence, fingerprints, line_dedup, minhash_dedup, periodic_runs, quality_classifier, quality_rules, source_mixing, substring_dedup, suffix_dedup, url_filter
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -96,13 +96,38 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+URL_RULES = [
+    url_filter.Rule("allow", "com", "/"),
+    url_filter.Rule("block", "example.com", "/en/"),
+    url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"),
+    url_filter.Rule("block", "net", "/fr/"),
+]
+#: Words of host names whose pages make up the query's list.
+LISTED_HOSTS = r"(^|[.-])(casino|bets|pills|track|spam|adult)([.-]|$)"
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list: URLs of all pages on hosts named after what is unwanted, in canonical form, so that other spellings of them are found too."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, pages.where(url_filter.host(F.col("url")).rlike(LISTED_HOSTS)).select("url"), URL_RULES)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), tails=True, texts=False)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_bpe, op3_fingerprints, op4_substring_dedup, op5_chat_format, op6_quality_rules, op7_suffix_array_dedup, op8_source_mixing, op9_quality_classifier, op10_minhash_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_bpe, op3_fingerprints, op4_substring_dedup, op5_chat_format, op6_quality_rules, op7_suffix_array_dedup, op8_source_mixing, op9_quality_classifier, op10_minhash_dedup, op11_source_divergence, op12_url_filter, op13_periodic_runs, pipeline)}
 
 #: A line is a run of characters other than \n; it counts if it holds more than spaces, tabs and the like.
 OP1_SQL = r"""
@@ -198,4 +223,60 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        not base_failed and n_words - n_common_words >= n_words * 0.3 as kept from judged
 """
 
-SQL = {"op1_line_dedup": OP1_SQL, "op5_chat_format": OP5_SQL, "op6_quality_rules": OP6_SQL}
+OP11_SQL = r"""
+with docs as (
+  select row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents
+), word as (
+  select rid, lang, source, unnest(ts) as term from docs
+), kept as (
+  select lang, term, count(*) as t from word group by lang, term having count(distinct rid) >= 3
+), n as (
+  select lang, source, term, count(*) as n from word join kept using (lang, term) group by lang, source, term
+), size as (
+  select lang, count(*) as v, sum(t) as total from kept group by lang
+), grp as (
+  select g.lang, g.source, coalesce(sum(n.n), 0) as total from (select distinct lang, source from docs) g left join n using (lang, source) group by g.lang, g.source
+), dense as (
+  select g.lang, g.source, k.term, coalesce(n.n, 0) as n, 1 + 1000000000::hugeint * (coalesce(n.n, 0) + 1) // (g.total + s.v) as p,
+         1 + 1000000000::hugeint * (k.t + 1) // (s.total + s.v) as q
+  from grp g join kept k using (lang) join size s using (lang) left join n using (lang, source, term)
+), sums as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+  from dense a join dense b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+), part as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0) as value
+  from grp a join grp b on a.lang = b.lang and a.source <> b.source left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source
+  union all
+  select lang, source, 'term', term, (p - q) * (p - q) // q from dense where n > 0 and p > q
+), ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from part
+)
+select lang, source, part, item, value::bigint as value, rank::int as rank from ranked where part = 'pair' or rank <= 200
+"""
+
+OP12_SQL = r"""
+with cut as (
+  select page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?', 2) as path,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?', 3) as query from pages
+), named as (
+  select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(host, '^[^@]*@', ''), ':(80|443)?$', ''), '\.$', ''), '^(www|m)\.', '') as name,
+         regexp_replace(regexp_replace(regexp_replace(path, '/index\.html$', ''), '\.html$', ''), '/+$', '') as way,
+         array_to_string(list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' and not regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))), '&') as asked from cut
+), canon as (
+  select *, case when name <> '' then name || way || case when asked <> '' then '?' || asked else '' end end as canonical,
+         case when (host = 'www.example.com' or host like '%.www.example.com') and path like '/en/%' then 'www.example.com/en/'
+              when (host = 'example.com' or host like '%.example.com') and path like '/en/%' then 'example.com/en/'
+              when (host = 'net' or host like '%.net') and path like '/es/%' then 'net/es/'
+              when (host = 'net' or host like '%.net') and path like '/fr/%' then 'net/fr/'
+              when (host = 'com' or host like '%.com') and path like '/%' then 'com/' end as rule from named
+), listed as (
+  select distinct canonical from canon where regexp_matches(host, '(^|[.-])(casino|bets|pills|track|spam|adult)([.-]|$)')
+)
+select page_id, host, path, rule, canonical, rule is null and l.canonical is not null as listed,
+       case when rule is not null then case when rule in ('com/', 'www.example.com/en/') then 'allow' else 'block' end when l.canonical is not null then 'block' else 'allow' end as verdict
+from canon left join listed l using (canonical)
+"""
+
+SQL = {"op1_line_dedup": OP1_SQL, "op5_chat_format": OP5_SQL, "op6_quality_rules": OP6_SQL, "op11_source_divergence": OP11_SQL, "op12_url_filter": OP12_SQL}
