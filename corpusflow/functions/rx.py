@@ -11,12 +11,17 @@ from collections.abc import Sequence
 from functools import lru_cache
 from re import _constants as ops  # the parser of the standard library, on the driver only
 from re import _parser as parser
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from .scan import Hits
+
 #: Characters that the source dialect's \s stands for.
 SPACES = r"\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+_EACH_SPACE = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 _WORD = "[A-Za-z0-9_]"
 _EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 _BEFORE, _AFTER = f"(?<!{_WORD})", f"(?!{_WORD})"
@@ -138,25 +143,26 @@ def may_match(low: Column, pattern: str) -> Column | None:
     return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
 
 
-def matches(text: Column, pattern: str, ignore_case: bool = True, low: Column | None = None) -> Column:
+def matches(text: Column, pattern: str, ignore_case: bool = True, low: Column | Hits | None = None) -> Column:
     """Whether the pattern occurs; a null text has no match.
 
     low is the text in lower case, if the caller has it as a column: plain substrings
-    that a match must hold are then looked for first.
+    that a match must hold are then looked for first.  Or it is what one scan for all
+    patterns found in the text, or in one that holds it.
     """
     hit = text.rlike(java(pattern, ignore_case))
-    guard = None if low is None else may_match(low, pattern)
+    guard = None if low is None else may_match(low, pattern) if isinstance(low, Column) else low.may(pattern)
     return F.coalesce(hit if guard is None else guard & hit, F.lit(False))
 
 
-def any_match(text: Column, patterns: Sequence[str], low: Column | None = None) -> Column:
+def any_match(text: Column, patterns: Sequence[str], low: Column | Hits | None = None) -> Column:
     out = F.lit(False)
     for p in patterns:
         out = out | matches(text, p, low=low)
     return out
 
 
-def first_match(text: Column, rules: Sequence[tuple[object, str]], otherwise: object = None, low: Column | None = None) -> Column:
+def first_match(text: Column, rules: Sequence[tuple[object, str]], otherwise: object = None, low: Column | Hits | None = None) -> Column:
     """The label of the first rule (label, pattern) that the text matches."""
     out = None
     for label, pattern in rules:
@@ -190,8 +196,10 @@ def contains_any_of(text: Column, words: Column, low: Column | None = None) -> C
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACES}]+|[{SPACES}]+$", "")
+    """Without spaces at its ends; looks at the ends only."""
+    return F.btrim(text, F.lit(_EACH_SPACE))
 
 
 def blank(text: Column) -> Column:
-    return F.coalesce(trim(text), F.lit("")) == ""
+    """Whether a text is null or holds nothing but spaces."""
+    return F.coalesce(~text.rlike(f"[^{SPACES}]"), F.lit(True))

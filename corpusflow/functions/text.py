@@ -43,6 +43,7 @@ def decode_entities(text: Column, numeric: bool = True) -> Column:
         if name != "amp":
             out = F.regexp_replace(out, f"(?i)&{name};", value)
     out = F.regexp_replace(out, "(?i)&amp;", "&")
+    out = F.when(text.contains("&"), out).otherwise(text)  # few texts have any
     return F.coalesce(_decoded(F.when(text.contains("&#"), text)), out) if numeric else out
 
 
@@ -68,16 +69,21 @@ def _decoded_nfkc(s: pd.Series) -> pd.Series:
 
 def nfkc(text: Column) -> Column:
     """Compatibility forms and compositions; only texts that may change pass through Python."""
-    return F.coalesce(_nfkc(F.when(text.rlike(f"[^{UNCHANGED}]"), text)), text)
+    return F.coalesce(_nfkc(F.when(_may_change(text), text)), text)
+
+
+def _may_change(text: Column) -> Column:
+    """Whether NFKC may change a text; one of ASCII is told by a simpler class, which costs less."""
+    return text.rlike(r"[^\x00-\x7F]") & text.rlike(f"[^{UNCHANGED}]")
 
 
 def composed(text: Column) -> Column:
     """Entities decoded, then NFKC: one Arrow function, for texts with numeric entities or characters that may change."""
-    return F.coalesce(_decoded_nfkc(F.when(text.rlike(f"&#|[^{UNCHANGED}]"), text)), decode_entities(text, False))
+    return F.coalesce(_decoded_nfkc(F.when(text.contains("&#") | _may_change(text), text)), decode_entities(text, False))
 
 
 def _only_words(composed_text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(composed_text), r"[^\p{L}\p{N}&]+", " "))
+    return F.trim(F.regexp_replace(F.lower(composed_text), r"[^a-z0-9&\p{L}\p{N}]+", " "))  # a-z first, as most are
 
 
 def normalize_title(title: Column) -> Column:

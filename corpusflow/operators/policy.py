@@ -11,56 +11,65 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions import rx, urls
+from ..functions import rx, scan, urls
 
 c = F.col
 
 
-#: Columns of with_texts(): all of an item's text, what tells its type, its title, and these in lower case.
-ITEM, KIND, TITLE = "__item", "__kind", "__title"
+#: Columns of with_texts(): all of an item's text, what tells its type, its title, all in lower case, and what a scan of that found.
+ITEM, KIND, TITLE, LOW = "__item", "__kind", "__title", "__item_low"
+
+#: Every rule over an item, its kind or its title, which are parts of the item: one scan finds which of them may match.
+_PATTERNS = (
+    *rules.HARD_EXCLUDED, *(p for table in (rules.HARD_EXCLUDED_KIND, rules.TITLE_TYPES, rules.CONTENT_TYPES) for _, p in table), rules.SURGICAL_TOPIC, rules.SURGICAL_METHOD, rules.PODCAST_PROMOTION, rules.PODCAST_PROFESSIONAL,
+    rules.RESEARCH_NEWS, rules.RESEARCH_WORD, rules.DYNAMICS, rules.FORMAL_GUIDANCE, rules.ORDINARY_RESEARCH, rules.GUIDANCE_WORDS, rules.TECHNIQUE_LABEL, rules.TECHNIQUE_TITLE,
+)
+HITS = scan.Hits(scan.Scanner(_PATTERNS, {"include": rules.INCLUDE_KEYWORDS, "exclude": rules.EXCLUDE_KEYWORDS}), "__hits")
 
 
 def with_texts(articles: DataFrame) -> DataFrame:
-    """Adds the texts that rules read, so that some hundred rules share each."""
+    """Adds the texts that rules read, so that some hundred rules share each, and the bits of the rules that may match."""
     out = articles.withColumn(ITEM, F.concat_ws("\n", c("title"), c("excerpt"), c("meta"), c("content_type")))
     out = out.withColumn(KIND, F.concat_ws("\n", c("title"), c("meta"), c("content_type"))).withColumn(TITLE, rx.trim(c("title")))
-    for name in (ITEM, KIND, TITLE):
-        out = out.withColumn(name + "_low", F.lower(c(name)))
-    return out
+    out = out.withColumn(LOW, F.lower(c(ITEM)))
+    return out.withColumn(HITS.column, HITS.scanner.bits(c(LOW)))
 
 
 def item_has(pattern: str) -> Column:
-    return rx.matches(c(ITEM), pattern, low=c(ITEM + "_low"))
+    return rx.matches(c(ITEM), pattern, low=HITS)
 
 
 def kind_has(pattern: str) -> Column:
-    return rx.matches(c(KIND), pattern, low=c(KIND + "_low"))
+    return rx.matches(c(KIND), pattern, low=HITS)
 
 
 def hard_excluded() -> Column:
-    return rx.any_match(c(ITEM), rules.HARD_EXCLUDED, c(ITEM + "_low"))
+    return rx.any_match(c(ITEM), rules.HARD_EXCLUDED, HITS)
 
 
 def document_type(excluded: Column | None = None) -> Column:
     """Hard-excluded content by its kind; a declared type; the title's first rule; unknown."""
     return (
-        F.when(hard_excluded() if excluded is None else excluded, rx.first_match(c(ITEM), rules.HARD_EXCLUDED_KIND, "unknown", c(ITEM + "_low")))
+        F.when(hard_excluded() if excluded is None else excluded, rx.first_match(c(ITEM), rules.HARD_EXCLUDED_KIND, "unknown", HITS))
         .when(c("document_type").isin(*rules.DOCUMENT_TYPES), c("document_type"))
-        .otherwise(rx.first_match(c(TITLE), rules.TITLE_TYPES, "unknown", c(TITLE + "_low")))
+        .otherwise(rx.first_match(c(TITLE), rules.TITLE_TYPES, "unknown", HITS))
     )
 
 
-def content_type_evidence() -> Column:
-    """struct(type, evidence): declared name, else rules over the declared text, else over all of the item."""
+def with_content_type(articles: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """Adds k_type and k_evidence: the declared name, else by rules over the declared text, else over all of the item.
+
+    Each step is a column, looked at where those before gave nothing; only of wanted rows.
+    """
+    wanted = F.lit(True) if wanted is None else wanted
     kinds = tuple(dict.fromkeys(k for k, _ in rules.CONTENT_TYPES))
-    declared = rx.replace(F.lower(rx.trim(c("content_type"))), r"[\s-]+", "_")
-    named = lambda kind, evidence: F.when(kind.isNotNull(), F.struct(kind.alias("type"), evidence.alias("evidence")))
+    out = articles.withColumn("__type", F.when(wanted, rx.trim(c("content_type"))))
+    out = out.withColumn("__name", rx.replace(F.lower(c("__type")), r"[\s-]+", "_")).withColumn("__name", F.when(c("__name").isin(*kinds), c("__name")))
+    out = out.withColumn("__said", F.when(c("__name").isNull() & c("__type").isNotNull(), rx.first_match(c("__type"), rules.CONTENT_TYPES, low=HITS)))
+    out = out.withColumn("__found", F.when(wanted & c("__name").isNull() & c("__said").isNull(), rx.first_match(c(ITEM), rules.CONTENT_TYPES, low=HITS)))
     given = c("content_type_evidence")
-    return F.coalesce(
-        named(F.when(declared.isin(*kinds), declared), F.coalesce(given, F.lit("declared"))),
-        named(rx.first_match(rx.trim(c("content_type")), rules.CONTENT_TYPES, low=F.lower(c("content_type"))), F.coalesce(given, F.lit("metadata"))),
-        named(rx.first_match(c(ITEM), rules.CONTENT_TYPES, low=c(ITEM + "_low")), F.lit("title_excerpt")),
-    )
+    evidence = F.when(c("__name").isNotNull(), F.coalesce(given, F.lit("declared"))).when(c("__said").isNotNull(), F.coalesce(given, F.lit("metadata"))).when(c("__found").isNotNull(), "title_excerpt")
+    return out.withColumn("k_type", F.coalesce("__name", "__said", "__found")).withColumn("k_evidence", evidence).drop("__type", "__name", "__said", "__found")
 
 
 def substantive() -> Column:

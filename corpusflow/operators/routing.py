@@ -31,9 +31,14 @@ def with_source(articles: DataFrame, sources: DataFrame) -> DataFrame:
 
 def classified(articles: DataFrame) -> DataFrame:
     """Adds excluded, d_type, k_type, k_evidence, official and subst, which routing reads several times."""
-    out = policy.with_texts(articles).withColumn("excluded", policy.hard_excluded()).withColumn("d_type", policy.document_type(c("excluded"))).withColumn("__k", policy.content_type_evidence())
-    out = out.withColumn("k_type", c("__k.type")).withColumn("k_evidence", c("__k.evidence")).drop("__k")
-    return out.withColumn("official", policy.official_formal(c("d_type"), c("excluded"))).withColumn("subst", policy.substantive())
+    return _with_types(policy.with_texts(articles).withColumn("excluded", policy.hard_excluded()))
+
+
+def _with_types(out: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """The types of rows with texts and excluded; only of wanted rows, so that others cost nothing."""
+    wanted = F.lit(True) if wanted is None else wanted
+    out = policy.with_content_type(out.withColumn("d_type", F.when(wanted, policy.document_type(c("excluded")))), wanted)
+    return out.withColumn("official", F.when(wanted, policy.official_formal(c("d_type"), c("excluded")))).withColumn("subst", F.when(wanted, policy.substantive()))
 
 
 def route() -> Column:
@@ -41,7 +46,7 @@ def route() -> Column:
     item, kind = policy.item_has, policy.kind_has
     go = lambda category: F.struct(F.lit(category).alias("category"), F.lit(None).cast("string").alias("reject"))
     no = lambda reason: F.struct(F.lit(None).cast("string").alias("category"), F.lit(reason).alias("reject"))
-    hit = lambda t, p: rx.matches(t, p)
+    hit = lambda t, p: rx.matches(t, p, low=policy.HITS)
     k, d, sid = c("k_type"), c("d_type"), c("source_id")
     in_ = lambda x, names: F.coalesce(x.isin(*names), F.lit(False))
     topic = item(rules.SURGICAL_TOPIC)
@@ -93,24 +98,30 @@ def staged(articles: DataFrame, sources: DataFrame, now: dt.datetime, windows: d
     over what is left.
     """
     quota = rank.interleaved(articles.where(c("source_id").isin(*rules.SHARED_QUOTA_SOURCES)), "source_id", [c("seq")], rules.SHARED_QUOTA).select(c("seq").alias("__q"))
-    base = classified(with_source(articles, sources)).join(F.broadcast(quota), c("seq") == c("__q"), "left").withColumn("__r", route())
-    item, low, hours = c(policy.ITEM), c(policy.ITEM + "_low"), _age_hours(now)
+    base = policy.with_texts(with_source(articles, sources).join(F.broadcast(quota), c("seq") == c("__q"), "left"))
+    item, low, hours = c(policy.ITEM), c(policy.LOW), _age_hours(now)
     window = F.create_map(*[F.lit(x) for k, v in windows.items() for x in (k, float(v[1]))])
     near = F.create_map(*[F.lit(x) for k, v in windows.items() for x in (k, float(v[0]))])
     dual = F.coalesce(c("source_id").isin(*rules.DUAL_KEYWORD_SOURCES), F.lit(False))
-    anchor = rx.contains_any(item, rules.INCLUDE_KEYWORDS, low)
-    by_source = rx.contains_any_of(item, F.coalesce(c("s_keywords"), F.array().cast("array<string>")), low)
-    reason = (
+    none = F.array().cast("array<string>")
+    both = policy.HITS.any("include") & rx.contains_any_of(item, F.coalesce(c("s_keywords"), none), low)
+    # cheap stages first: types and routes are for rows that these leave
+    early = (
         F.when(c("source_id").isin(*rules.SHARED_QUOTA_SOURCES) & c("__q").isNull(), "unsupported_content_type")
         .when(rx.blank(c("title")) | ~urls.is_http(c("url")), "invalid_item")
-        .when(c("excluded") | rx.contains_any(item, rules.EXCLUDE_KEYWORDS, low), "promotional")
+        .when(c("excluded") | policy.HITS.any("exclude"), "promotional")
         .when(~c("s_known") | c("published_at").isNull(), "invalid_item")
-        .when(rx.contains_any_of(item, F.coalesce(c("s_exclude_keywords"), F.array().cast("array<string>")), low), "source_excluded")
-        .when(dual & ~(anchor & by_source), "not_obgyn")
+        .when(rx.contains_any_of(item, F.coalesce(c("s_exclude_keywords"), none), low), "source_excluded")
+        .when(dual & ~both, "not_obgyn")
+    )
+    left = c("__early").isNull()
+    base = _with_types(base.withColumn("excluded", policy.hard_excluded()).withColumn("__early", early), left).withColumn("__r", F.when(left, route()))
+    reason = (
+        F.when(~left, c("__early"))
         .when(c("__r.reject").isNotNull(), c("__r.reject"))
         .when((hours < 0) | (hours > F.element_at(window, c("__r.category"))), "outside_time_window")
         .when(~c("subst") & ~c("official"), "missing_excerpt")
-        .when(F.coalesce(c("s_class") == "general_authority", F.lit(False)) & ~(anchor & by_source), "not_obgyn")
+        .when(F.coalesce(c("s_class") == "general_authority", F.lit(False)) & ~both, "not_obgyn")
     )
     judged = base.withColumn("reason", reason).withColumn("category", F.coalesce(c("__r.category"), c("category")))
     judged = judged.withColumn("partition", F.when(hours <= F.element_at(near, c("category")), "priority").otherwise("supplemental"))

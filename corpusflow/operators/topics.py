@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions import rx, text
+from ..functions import rx, scan, text
 from . import rank
 
 c = F.col
@@ -56,11 +56,24 @@ def recency_weight(at: Column, now: dt.datetime, bands=rules.RECENCY) -> Column:
     return F.when(at.isNull(), 0.0).otherwise(out.otherwise(0.0))
 
 
-def topic_match(topic: Topic, types: Column, title: Column, abstract: Column, every: Column) -> Column:
-    """50 for a hit in the title, 40 in the abstract, 10 more if a publication type is expected; 0 if excluded.  All are normal forms."""
+#: Rules of the scores, over all of a paper's text in lower case.
+_ACTIONABLE = scan.Hits(scan.Scanner([p for _, p in rules.ACTIONABILITY]), "__low_hits")
+
+
+def phrases(topics: Sequence[Topic], domain: Sequence[str] = ()) -> scan.Hits:
+    """One scan for the phrases of all topics and of the domain: what it doesn't find in a paper's whole normal form is in no part of it."""
+    lists = {f"{what}{i}": [text.normal_phrase(w) for w in words] for i, t in enumerate(topics) if t.enabled for what, words in (("include", t.include), ("exclude", t.exclude))}
+    return scan.Hits(scan.Scanner(lists=lists | {"domain": [text.normal_phrase(w) for w in domain]}), "__phrases")
+
+
+def topic_match(topic: Topic, types: Column, title: Column, abstract: Column, excluded: Column, included: Column) -> Column:
+    """50 for a hit in the title, 40 in the abstract, 10 more if a publication type is expected; 0 if excluded.
+
+    All are normal forms.  excluded and included: whether the paper's whole normal form holds any of the topic's phrases.
+    """
     any_of = lambda t, ws: _any([text.includes_phrase(t, w) for w in ws])
     expected = _any([F.array_contains(types, text.normal_phrase(w)) for w in topic.publication_types])
-    score = F.when(any_of(every, topic.exclude), 0).when(any_of(title, topic.include), 50).when(any_of(abstract, topic.include), F.when(expected, 50).otherwise(40)).otherwise(0)
+    score = F.when(excluded | ~included, 0).when(any_of(title, topic.include), 50).when(any_of(abstract, topic.include), F.when(expected, 50).otherwise(40)).otherwise(0)
     return (score if topic.enabled else F.lit(0)).cast("double")
 
 
@@ -94,13 +107,16 @@ def scored(papers: DataFrame, topics: Sequence[Topic], now: dt.datetime, domain:
     # the normal form of the whole is that of its parts, joined: between them is a space
     part = lambda x: F.nullif(x, F.lit(""))
     base = base.withColumn("__e", F.concat_ws(" ", part(c("__t")), part(c("__a")), part(F.array_join(F.filter(c("__n"), lambda x: x != ""), " "))))
+    hits = phrases(topics, domain)
+    base = base.withColumn(hits.column, hits.scanner.bits(c("__e"))).where(_any([hits.any(f"include{i}") for i, t in enumerate(topics) if t.enabled]))
     if domain:
-        base = base.where(_any([text.includes_phrase(c("__e"), w) for w in domain]))
+        base = base.where(hits.any("domain"))
     base = base.withColumn("__low", F.lower(whole(types)))
+    base = base.withColumn(_ACTIONABLE.column, _ACTIONABLE.scanner.bits(c("__low")))
     if "evidence_rank" not in papers.columns:
         base = base.withColumn("evidence_rank", evidence_weight(types))
-    base = base.withColumn("__act", rx.first_match(c("__low"), rules.ACTIONABILITY, rules.ACTIONABILITY_ELSE, c("__low")).cast("double")).withColumn("__rec", recency_weight(c("activity_at"), now))
-    entries = [F.struct(F.lit(i).alias("topic_ord"), F.lit(t.id).alias("topic_id"), topic_match(t, c("__n"), c("__t"), c("__a"), c("__e")).alias("topic_match")) for i, t in enumerate(topics) if t.enabled]
+    base = base.withColumn("__act", rx.first_match(c("__low"), rules.ACTIONABILITY, rules.ACTIONABILITY_ELSE, _ACTIONABLE).cast("double")).withColumn("__rec", recency_weight(c("activity_at"), now))
+    entries = [F.struct(F.lit(i).alias("topic_ord"), F.lit(t.id).alias("topic_id"), topic_match(t, c("__n"), c("__t"), c("__a"), hits.any(f"exclude{i}"), hits.any(f"include{i}")).alias("topic_match")) for i, t in enumerate(topics) if t.enabled]
     out = base.withColumn("__s", F.explode(F.filter(F.array(*entries), lambda s: s["topic_match"] > 0)))
     out = out.select(*[x for x in papers.columns if x != "evidence_rank"], "evidence_rank", "__s.*", text.round2(c("evidence_rank") * 25).alias("evidence"), text.round2(c("__act") * 15).alias("actionability"), text.round2(c("__rec") * 10).alias("recency"))
     return out.withColumn("total", text.round2(c("topic_match") + c("evidence") + c("actionability") + c("recency")))
