@@ -52,7 +52,7 @@ def paper_components(papers: DataFrame, order: str = "seq") -> DataFrame:
     keys = papers.select(order, F.explode(text.identity_keys(c("pmid"), c("doi"), c("title"))).alias("key"))
     found = components(papers.select(order, F.lit(None).cast("string").alias("key")).unionByName(keys), order, "key")
     found = found.withColumnRenamed(order, "__n")
-    return papers.join(found, c(order) == c("__n"), "left").drop("__n")
+    return papers.drop("component").join(found, c(order) == c("__n"), "left").drop("__n")
 
 
 def merge_groups(papers: DataFrame, preferred: Column, order: str = "seq", locale_sort: bool = True) -> DataFrame:

@@ -138,7 +138,7 @@ def funnel_by_source(spark: SparkSession, sf: str) -> DataFrame:
 def details_by_source(spark: SparkSession, sf: str) -> DataFrame:
     from ..streaming import state
 
-    return state.detail_statistics(t(spark, sf, "documents").select(c("source").alias("source_id"), (c("n_chars") < 100).alias("hit"), F.when(c("lang") == "en", True).alias("answered")))
+    return state.detail_statistics(t(spark, sf, "documents").select(c("source").alias("source_id"), (c("n_chars") < 100).alias("hit"), F.when(c("lang") == "en", True).alias("answered"), (c("n_chars") % 2 == 0).alias("dated"), (c("n_chars") % 3 == 0).alias("excerpted"), F.lit(False).alias("typed")))
 
 
 def completeness(spark: SparkSession, sf: str) -> DataFrame:
@@ -297,7 +297,7 @@ SQL = {
       select conv_id, string_agg(role || ': ' || text, chr(10) order by n) as transcript, count(*)::bigint as turns from (select *, row_number() over (partition by conv_id order by turn, role, text) as n from conversations) group by 1""",
     "funnel_by_source": """
       select source, count(*)::bigint as fetched, count(quality)::bigint as labelled, count(*) filter (where quality = 1)::bigint as good, count(*) filter (where quality = 1 and toxic = 0)::bigint as clean from documents left join labels using (doc_id) group by 1""",
-    "details_by_source": "select case when grouping(source) = 1 then 'all' else source end as source_id, count(*)::bigint as requested, count(*) filter (where n_chars < 100)::bigint as cache_hits, count(*) filter (where n_chars >= 100 and coalesce(lang = 'en', false))::bigint as succeeded, count(*) filter (where n_chars >= 100 and not coalesce(lang = 'en', false))::bigint as failed from documents group by grouping sets ((source), ())",
+    "details_by_source": "select case when grouping(source) = 1 then 'all' else source end as source_id, count(*) filter (where n_chars >= 100)::bigint as requested, count(*) filter (where n_chars < 100)::bigint as cache_hits, count(*) filter (where n_chars >= 100 and coalesce(lang = 'en', false))::bigint as succeeded, count(*) filter (where n_chars >= 100 and not coalesce(lang = 'en', false))::bigint as failed, count(*) filter (where n_chars >= 100 and lang = 'en' and n_chars % 2 = 0)::bigint as date_enriched, count(*) filter (where n_chars >= 100 and lang = 'en' and n_chars % 3 = 0)::bigint as excerpt_enriched, 0::bigint as type_enriched from documents group by grouping sets ((source), ())",
     "history_keys": """
       with a as (select o_orderkey as seq, case when o_orderkey % 4 in (0, 2) then (o_custkey % 500 + 1000000)::varchar end as pmid, case when o_orderkey % 4 in (1, 2) then '10.1000/ab.' || (o_custkey % 300) end as doi, strftime(date '2024-01-01' + cast(o_orderkey % 40 as integer), '%Y-%m-%d') as d from orders),
       x as (select doi, max(d) as dd from a where seq % 3 = 0 and d <> '2024-01-31' and doi is not null group by 1), y as (select pmid, max(d) as dp from a where seq % 3 = 0 and d <> '2024-01-31' and pmid is not null group by 1)

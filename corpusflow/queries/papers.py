@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from .. import rules
 from ..functions import text
 from ..operators import dedupe, history, topics
 from ..sources import citations, registry
-from ..streaming import state
+from ..storage import shared_dir
+from ..streaming import ledger, state
 from .common import NOW, NOW_SQL, quoted, sql_first, sql_match
 
 c = F.col
@@ -81,6 +83,21 @@ def state_merge(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("pmid", "members", F.unix_timestamp("activity_at").alias("activity"))
 
 
+def papers_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as papers in four files, read as a stream: each micro-batch is one commit of the records and their index."""
+    base = f"{shared_dir(spark)}/corpusflow-{uuid.uuid4().hex}"
+    e = registry.table(spark, sf, "events")
+    rows = e.select(
+        c("event_id").alias("seq"), F.concat(F.lit("e"), c("event_id")).alias("id"), F.concat(c("user_id"), F.lit("-"), c("event_type"), F.lit("-"), F.floor(c("value"))).alias("pmid"), F.lit(None).cast("string").alias("doi"),
+        F.lit("").alias("title"), c("event_type").alias("journal"), F.array(F.lit("pubmed")).alias("source_kinds"), c("ts").cast("timestamp").alias("activity_at"),
+    )
+    rows.withColumn("part", F.pmod(F.hash("seq"), F.lit(4))).repartition(4, "part").write.partitionBy("part").parquet(f"{base}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    ledger.merge_stream(stream, f"{base}/state", "papers", lambda s, batch: ledger.absorb(spark, f"{base}/state", s, batch, NOW, 10), f"{base}/checkpoint").awaitTermination()
+    out = ledger.records(spark, f"{base}/state")
+    return out.select("pmid", "journal", F.unix_timestamp("activity_at").alias("activity"), F.array_join("source_kinds", ",").alias("kinds"))
+
+
 def history_papers(spark: SparkSession, sf: str) -> DataFrame:
     k = _keyed(spark, sf)
     shown = history.shown_keys(k.where("seq % 10 = 0").select(F.lit("2024-01-30").alias("date"), "pmid", "doi", "title"), "2024-01-31")
@@ -100,7 +117,7 @@ def citation_scan(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("pmid", "title", "abstract", "journal", F.array_join("authors", "; ").alias("authors"), "doi", F.date_format("published_at", "yyyy-MM-dd").alias("published"), F.date_format("activity_at", "yyyy-MM-dd").alias("active"))
 
 
-QUERIES = {f.__name__: f for f in (topic_score_select, topic_matches, evidence_rank, dedupe_components, golden_records, state_merge, history_papers, citation_scan)}
+QUERIES = {f.__name__: f for f in (topic_score_select, topic_matches, evidence_rank, dedupe_components, golden_records, state_merge, papers_stream, history_papers, citation_scan)}
 
 
 def _kind(expr: str) -> str:
@@ -171,6 +188,9 @@ SQL = {
           coalesce(max(doi) filter (where pref), min_by(doi, seq) filter (where doi is not null)) as any_doi, coalesce(max(journal) filter (where pref), min_by(journal, seq) filter (where journal is not null)) as any_journal,
           max(id) filter (where pref) as pid, max(n_chars)::bigint as activity, string_agg(distinct case when pub then 'pubmed' else 'rss' end, ',' order by case when pub then 'pubmed' else 'rss' end) as kinds, count(*)::bigint as members
         from (select *, row_number() over (partition by component order by not pub, seq) = 1 as pref from g) group by component)""",
+    "papers_stream": f"""
+      select user_id || '-' || event_type || '-' || floor(value)::bigint as pmid, min(event_type) as journal, max(epoch(date_trunc('second', ts)))::bigint as activity, 'pubmed' as kinds
+      from events group by 1 having max(ts) >= {NOW_SQL} - interval 10 day""",
     "state_merge": f"""
       select pmid, members, activity from (select user_id || '-' || event_type || '-' || cast(floor(value) as bigint) as pmid, count(*)::bigint as members, max(epoch(date_trunc('second', ts)))::bigint as activity, max(ts) as last from events group by 1)
       where last >= {NOW_SQL} - interval 10 days""",

@@ -95,8 +95,8 @@ def state_switch(spark: SparkSession, sf: str) -> DataFrame:
     base = f"{_folder(spark)}/state"
     for i in range(3):
         files.replace_atomically(t(spark, sf, "nation").where(c("n_regionkey") <= i), base)
-    fs, p, _ = files._fs(spark, base)
-    kept = sum(s.getPath().getName().startswith("version-") for s in fs.listStatus(p))
+    fs, p, _ = files._fs(spark, f"{base}/state")
+    kept = len(fs.listStatus(p))
     return files.read_current(spark, base).select("n_nationkey", "n_name", F.lit(kept).alias("versions"))
 
 
@@ -126,8 +126,8 @@ def run_outputs(spark: SparkSession, sf: str) -> DataFrame:
     base = _folder(spark)
     a = articles(spark, sf).withColumn("summary", F.lit("s"))
     files.write_run(a.limit(1).select("title"), a.select("seq", "source_id", "title", "url", "excerpt", "published_at", "category", "content_type", "summary"), a.where("seq % 5 = 0").select("url"), base, "2024-01-31")
-    back = registry.read_sidecar(spark, f"{base}/articles", "2024-01-31")
-    shown = spark.read.json(f"{base}/displayed").select("url").distinct()
+    run = files.read_run(spark, base, "2024-01-31", {"articles": registry.ARTICLES, "displayed": "url string"})
+    back, shown = run["articles"], run["displayed"].distinct()
     return back.join(shown, "url", "left_semi").select("seq", "title", "excerpt", F.unix_timestamp("published_at").alias("published"), "content_type", "document_type", "summary")
 
 
@@ -184,7 +184,7 @@ def detail_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
-    return stored(routing.classified(routing.with_source(articles(spark, sf).where("seq % 3 > 0"), sources(spark))))
+    return stored(routing.classified(routing.with_source(articles(spark, sf), sources(spark))))
 
 
 _TARGETS = ("acog", "bjog", "china-obgyn")
@@ -195,10 +195,23 @@ def detail_needs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _looked_up(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A cache that knows every page, of two in three too long; pages without an answer, and some that say nothing."""
     a = _asked(spark, sf)
-    first = a.where("seq < 40").select("url", F.lit(dt.datetime(2024, 1, 2)).alias("published_at"), F.lit("From the cache").alias("excerpt"), F.lit("clinical update").alias("content_type"), F.lit("metadata").alias("content_type_evidence"), F.when(c("seq") % 2 == 0, F.lit(dt.datetime(2024, 2, 9))).otherwise(F.lit(dt.datetime(2024, 1, 9))).cast("timestamp").alias("expires_at"))
-    extract = lambda misses: misses.where("seq % 4 > 0").select("url", F.lit(dt.datetime(2024, 1, 3)).alias("published_at"), F.lit("From its page").alias("excerpt"), F.lit("abstract").alias("content_type"), F.lit("metadata").alias("content_type_evidence"))
-    return state.with_details(a, _TARGETS, first, extract, NOW)
+    said = lambda at, words, kind, silent=F.lit(False): [F.when(~silent, F.lit(at)).cast("timestamp").alias("published_at"), F.when(~silent, words).alias("excerpt"), F.when(~silent, kind).alias("content_type"), F.lit("metadata").alias("content_type_evidence")]
+    cached = a.select(F.concat("url", F.lit("&gclid=2")).alias("url"), *said(dt.datetime(2024, 1, 2), "From the cache", "clinical update"), F.when(c("seq") % 3 == 0, F.lit(dt.datetime(2024, 2, 9))).otherwise(F.lit(dt.datetime(2024, 1, 9))).cast("timestamp").alias("expires_at"))
+    extract = lambda misses: misses.where("seq % 4 > 0").select("url", *said(dt.datetime(2024, 1, 3), "From its page", "abstract", c("seq") % 4 == 1))
+    return state.with_details(a, _TARGETS, cached, extract, NOW)
+
+
+def detail_articles(spark: SparkSession, sf: str) -> DataFrame:
+    """All articles after the look-up: those of the chosen URLs are filled, no others."""
+    return _looked_up(spark, sf)[0].select("seq", F.unix_timestamp("published_at").alias("published"), "excerpt", "content_type", "content_type_evidence")
+
+
+def detail_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """What is kept afterwards: what hadn't expired, and pages that said something."""
+    known = _looked_up(spark, sf)[1]
+    return known.groupBy("excerpt").agg(F.countDistinct("url").alias("urls"), F.unix_timestamp(F.max("expires_at")).alias("expires"))
 
 
 def detail_statistics(spark: SparkSession, sf: str) -> DataFrame:
@@ -498,7 +511,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         dispatch_rows, dispatch_status, run_settings, state_scan, state_switch, history_scan, call_log, run_outputs, markdown_report, html_report, site_list, cache_expiry, detail_rows, detail_needs, detail_statistics,
-        detail_fill, label_rows, watchlist_rows, watchlist_trends, asset_groups, domain_papers, source_choice, digest_prompt, review_prompt, paper_prompt, paper_summaries, enrichment, model_attempts, market_commentary,
+        detail_fill, detail_articles, detail_cache, label_rows, watchlist_rows, watchlist_trends, asset_groups, domain_papers, source_choice, digest_prompt, review_prompt, paper_prompt, paper_summaries, enrichment, model_attempts, market_commentary,
         market_prompt, empty_report, raw_report, top_highlights, column_counts, displayed, paper_meta, summary_reuse, paper_section, read_windows, research_papers, research_cache, research_fallback, research_dry_run,
         daily_statistics, daily_funnel, daily_selection,
     )
@@ -516,7 +529,9 @@ _names = "case symbol when '1-URGENT' then 'SPY' when '2-HIGH' then 'BTC-USD' wh
 _analysis = series.SQL["analyze"]
 _lacks = f"(published_at is null or not subst or coalesce(content_type, '') = '' or d_type = 'unknown')"
 _excluded_said = "concat_ws(chr(10), title, content_type, document_type)"
-_asked_sql = f"with {A.BASE}, need as (select * from cl where seq % 3 > 0 and {sql_in('source_id', _TARGETS)} and {_lacks} and not excluded and url like 'http%' and not {sql_any(_excluded_said, rules.DETAIL_EXCLUDED)})"
+_asked_sql = f"with {A.BASE}, need as (select * from cl where {sql_in('source_id', _TARGETS)} and {_lacks} and not excluded and url like 'http%' and not {sql_any(_excluded_said, rules.DETAIL_EXCLUDED)})"
+_looked_sql = f"""{_asked_sql}, needed as (select *, {A._CANON} as key from need), firsts as (select * from needed qualify row_number() over (partition by key order by seq) = 1 order by seq limit 16), chosen as (select * from firsts qualify row_number() over (partition by source_id order by seq) <= 8),
+      cached as (select {A._CANON} as key, bool_or(seq % 3 = 0) as good from {ARTICLES_SQL} a group by 1), r as (select chosen.*, coalesce(good, false) as hit, seq % 4 > 1 as answered from chosen left join cached using (key))"""
 _group = f"case when {sql_in('source_id', rules.SHARED_QUOTA_SOURCES)} then 'shared' else source_id end"
 _limit = f"case source_id {' '.join(f'when {quoted(k)} then {v}' for k, v in rules.FILL_LIMITS.items())} else {rules.DIGEST_TOTAL} end"
 _column = "case when {0} <> 'politics' then {0} when s_subcategory = 'china-obgyn' or s_lang = 'zh' then 'china-obgyn' else 'international-obgyn' end"
@@ -571,10 +586,16 @@ SQL = {
       union all select o_orderkey, case when o_orderkey % 5 = 0 or (o_orderkey % 5 in (1, 2) and o_orderkey % 2 = 1) then strftime(o_orderdate, '%Y-%m-%d') end, case when o_orderkey % 5 in (0, 1) and length({_about}) >= 30 then {_about} when o_orderkey % 5 = 3 then 'Published: ' || strftime(o_orderdate, '%B %-d, %Y') || ' ' || {_about} end,
         case o_orderkey % 5 when 0 then 'Update' when 1 then 'Guideline' when 3 then 'News' end, case when o_orderkey % 5 in (0, 1, 3) then 'metadata' end, false from orders where year(o_orderdate) < 2000""",
     "detail_needs": f"{_asked_sql} select seq from need",
-    "detail_statistics": f"""{_asked_sql}, needed as (select *, {A._CANON} as key from need), firsts as (select * from needed qualify row_number() over (partition by key order by seq) = 1 order by seq limit 16), chosen as (select * from firsts qualify row_number() over (partition by source_id order by seq) <= 8),
-      cache as (select {A._CANON} as key, bool_or(seq % 2 = 0) as good from {ARTICLES_SQL} a where seq % 3 > 0 and seq < 40 group by 1),
-      r as (select source_id, coalesce(good, false) as hit, seq % 4 > 0 as answered from chosen left join cache using (key))
-      select coalesce(source_id, 'all') as source_id, count(*)::bigint as requested, count(*) filter (where hit)::bigint as cache_hits, count(*) filter (where not hit and answered)::bigint as succeeded, count(*) filter (where not hit and not answered)::bigint as failed from r group by grouping sets ((source_id), ())""",
+    "detail_statistics": f"""{_looked_sql}
+      select coalesce(source_id, 'all') as source_id, count(*) filter (where not hit)::bigint as requested, count(*) filter (where hit)::bigint as cache_hits, count(*) filter (where not hit and answered)::bigint as succeeded, count(*) filter (where not hit and not answered)::bigint as failed,
+        count(*) filter (where not hit and answered and published_at is null)::bigint as date_enriched, count(*) filter (where not hit and answered and not subst)::bigint as excerpt_enriched, count(*) filter (where not hit and answered and coalesce(content_type, '') = '')::bigint as type_enriched
+      from r group by grouping sets ((source_id), ())""",
+    "detail_articles": f"""{_looked_sql}, d as (select key, case when hit then timestamp '2024-01-02' else timestamp '2024-01-03' end as moment, case when hit then 'From the cache' else 'From its page' end as x, case when hit then 'clinical update' else 'abstract' end as kind from r where hit or answered)
+      select seq, epoch(coalesce(published_at, moment))::bigint as published, case when subst then excerpt else coalesce(x, excerpt) end as excerpt, coalesce(nullif(content_type, ''), kind) as content_type, coalesce(content_type_evidence, case when x is not null then 'metadata' end) as content_type_evidence
+      from (select *, {A._CANON} as key from cl) left join d using (key)""",
+    "detail_cache": f"""{_looked_sql}
+      select 'From the cache' as excerpt, count(distinct url)::bigint as urls, epoch(timestamp '2024-02-09')::bigint as expires from {ARTICLES_SQL} a where seq % 3 = 0
+      union all select 'From its page', count(*)::bigint, epoch({NOW_SQL} + interval 14 day)::bigint from r where not hit and answered having count(*) > 0""",
     "detail_fill": f"""
       with a as (select *, {A._CANON} as key, lower(coalesce(trim(content_type), '')) as kt from {ARTICLES_SQL} o), d as (select key, min('x' || (seq % 5003)) as x from a where seq % 4 = 0 group by 1),
       j as (select *, kt <> 'metadata_only' and (trim(coalesce(excerpt, '')) <> '' or kt in ('abstract', 'excerpt', 'full_text', 'structured_description')) as subst from a left join d using (key))

@@ -4,64 +4,34 @@ from __future__ import annotations
 
 import datetime as dt
 import html
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import text
+from . import commits
 
 c = F.col
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p, spark._jvm.org.apache.hadoop.fs.Path
-
-
-POINTER = "_current"
+_fs = commits.hadoop
 
 
 def replace_atomically(df: DataFrame, path: str) -> None:
-    """Writes a version under ``path``, then lets the pointer file name it, by one rename that replaces the old pointer.
+    """Makes df the state under ``path``: readers (read_current()) see the old rows or the new ones, also if the writer dies.
 
-    Readers (read_current()) see the old version or the new one, also if the writer dies in
-    between; versions that the pointer doesn't name are deleted afterwards, but the one before.
+    Of two writers the later one's rows stay, and neither deletes what the other is writing; the state before is
+    kept for readers that have begun, older ones are deleted.
     """
-    spark = df.sparkSession
-    fresh = f"version-{uuid.uuid4().hex}"
-    before = _named(spark, path)
-    df.write.parquet(f"{path}/{fresh}")
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    fs, p, Path = _fs(spark, path)
-    draft = Path(f"{path}/.{fresh}.pointer")
-    out = fs.create(draft, True)
-    out.write(bytearray(fresh.encode()))
-    out.close()
-    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-    options = spark.sparkContext._gateway.new_array(rename, 1)
-    options[0] = rename.OVERWRITE
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), conf).rename(fs.makeQualified(draft), fs.makeQualified(Path(f"{path}/{POINTER}")), options)
-    for status in fs.listStatus(p):
-        if status.getPath().getName().startswith("version-") and status.getPath().getName() not in (fresh, before):
-            fs.delete(status.getPath(), True)
-
-
-def _named(spark: SparkSession, path: str) -> str | None:
-    """The version that the pointer names; None where there is none."""
-    fs, _, Path = _fs(spark, path)
-    pointer = Path(f"{path}/{POINTER}")
-    if not fs.exists(pointer):
-        return None
-    return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(fs.open(pointer), "UTF-8")
+    commits.commit(df.sparkSession, path, lambda s: commits.Change(replace={"state": df}))
+    commits.expire(df.sparkSession, path, 2)
 
 
 def read_current(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
     """The table that replace_atomically() wrote last; None if it never did."""
-    name = _named(spark, path)
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return None if name is None else reader.parquet(f"{path}/{name}")
+    now = commits.latest(spark, path)
+    return commits.read(spark, path, now, "state", schema) if now.number else None
 
 
 def write_dated(df: DataFrame, path: str, date: str) -> None:
@@ -156,10 +126,34 @@ def build_site(spark: SparkSession, root: str, wanted: str) -> list[tuple[str, i
     return [(d, n) for d, _, n in found]
 
 
-def write_run(report: DataFrame, articles: DataFrame, displayed: DataFrame, path: str, date: str) -> None:
-    """The three outputs of a run, by date: its report, all articles it chose from, and what it displayed."""
-    for name, df in (("report", report), ("articles", articles), ("displayed", displayed)):
-        write_dated(df, f"{path}/{name}", date)
+OUTPUTS = ("report", "articles", "displayed")
+
+
+def write_run(report: DataFrame, articles: DataFrame, displayed: DataFrame, path: str, date: str) -> commits.Snapshot:
+    """The three outputs of a run, by date: its report, all articles it chose from, and what it displayed.
+
+    One commit for the three, in place of its date's: no reader sees those of different runs.
+    """
+    outputs = {f"{name}/date={date}": df for name, df in zip(OUTPUTS, (report, articles, displayed))}
+    return commits.commit(report.sparkSession, path, lambda s: commits.Change(replace=outputs), "json")
+
+
+def read_run(spark: SparkSession, path: str, date: str, schemas: dict[str, str], snapshot: commits.Snapshot | None = None) -> dict[str, DataFrame]:
+    """Outputs of the run of a date, all of one commit; an error if there is none."""
+    s = snapshot or commits.latest(spark, path)
+    if not all(s.tables.get(f"{name}/date={date}") for name in schemas):
+        raise FileNotFoundError(f"{path}: no run of {date}")
+    return {name: commits.read(spark, path, s, f"{name}/date={date}", schema, "json") for name, schema in schemas.items()}
+
+
+def read_runs(spark: SparkSession, path: str, name: str, schema: str, before: str | None = None) -> DataFrame:
+    """One output of the runs of all dates, with their date; before: of earlier dates only, whose files alone are read."""
+    s = commits.latest(spark, path)
+    dates = {k.rpartition("date=")[2]: v for k, v in s.tables.items() if k.startswith(f"{name}/date=")}
+    folders = [f"{path}/{f}" for d, own in dates.items() if before is None or d < before for f in own]
+    if not folders:
+        return spark.createDataFrame([], f"{schema}, date string")
+    return spark.read.schema(f"{schema}, date string").option("basePath", f"{path}/{name}").json(folders)
 
 
 def tree_of(items: DataFrame, caps: dict[str, int], keep_order: list[str] | None = None) -> DataFrame:

@@ -142,15 +142,6 @@ def read_state(spark: SparkSession, path: str, schema: str, clear: bool = False)
 ARTICLES = "seq bigint, source_id string, title string, url string, excerpt string, meta string, content_type string, published_at timestamp, category string, document_type string, summary string"
 
 
-def read_sidecar(spark: SparkSession, root: str, date: str, schema: str = ARTICLES) -> DataFrame:
-    """The articles of an earlier run (write_dated() of its date), to render it again; an error if there are none."""
-    path = f"{root}/date={date}"
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
-        raise FileNotFoundError(path)
-    return spark.read.schema(schema).json(path)
-
-
 Connector = Callable[[DataFrame], DataFrame]
 
 

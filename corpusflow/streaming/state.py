@@ -7,7 +7,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from .. import rules
 from ..functions import rx, urls
@@ -83,32 +82,46 @@ def enriched(articles: DataFrame, details: DataFrame) -> DataFrame:
     return out.select(*articles.columns)
 
 
+def says_something() -> Column:
+    """Whether a page gave a date, an excerpt or a content type; one that gave nothing isn't an article's page."""
+    return c("published_at").isNotNull() | (F.coalesce("excerpt", F.lit("")) != "") | (F.coalesce("content_type", F.lit("")) != "")
+
+
 def with_details(articles: DataFrame, targets: Sequence[str], cache: DataFrame, extract: Callable[[DataFrame], DataFrame], now: dt.datetime, days: int = 14) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(articles with details, the cache, statistics): incomplete classified rows of the target sources are looked up by canonical URL.
 
     The first 16 URLs count, 8 of a source.  Details that the cache holds and that haven't expired are used; the
     rest goes to extract() (rows with source_id, url), whose rows (url, published_at, excerpt, content_type,
-    content_type_evidence) are merged and kept ``days`` days.  Rows without an answer stay as they are and count as failed.
+    content_type_evidence) are merged and kept ``days`` days.  Pages that give no row, or one that says nothing, count
+    as failed and aren't kept.  Only articles of the URLs that were looked up are filled, whatever else the cache holds.
     """
-    wanted = stored(needs_details(articles, targets).select("seq", "source_id", "url", urls.canonical(c("url")).alias("key")))
-    chosen = stored(dedupe.detail_candidates(wanted, "key"))
-    fresh = cache.where(c("expires_at") > F.lit(now)).withColumn("__k", urls.canonical(c("url")))
-    hits = chosen.join(fresh, c("key") == c("__k"), "left_semi").select("seq")
+    wanted = stored(needs_details(articles, targets).select("seq", "source_id", "url", "published_at", "subst", "content_type", urls.canonical(c("url")).alias("key")))
+    chosen = stored(dedupe.detail_candidates(wanted, "key"))  # sixteen rows at most
+    fresh = stored(cache.where(c("expires_at") > F.lit(now)).withColumn("__k", urls.canonical(c("url"))))
+    mine = fresh.join(F.broadcast(chosen.select(c("key").alias("__k"))), "__k", "left_semi")
+    hits = stored(chosen.join(mine, c("key") == c("__k"), "left_semi").select("seq"))
     misses = chosen.join(hits, "seq", "left_anti")
-    got = stored(extract(misses).withColumn("expires_at", F.lit(now + dt.timedelta(days=days))))
-    answers = got.select(urls.canonical(c("url")).alias("__g")).distinct().withColumn("answered", F.lit(True))
-    known = fresh.join(answers, c("__k") == c("__g"), "left_anti").drop("__k").unionByName(got, allowMissingColumns=True)
-    asked = chosen.join(hits.withColumn("hit", F.lit(True)), "seq", "left").join(answers, c("key") == c("__g"), "left")
-    return enriched(articles, known), known, detail_statistics(asked)
+    got = stored(extract(misses).where(says_something()).withColumn("expires_at", F.lit(now + dt.timedelta(days=days))).withColumn("__k", urls.canonical(c("url"))))
+    known = fresh.join(got.select("__k").distinct(), "__k", "left_anti").unionByName(got, allowMissingColumns=True).drop("__k")
+    used = mine.unionByName(got.join(F.broadcast(misses.select(c("key").alias("__k"))), "__k", "left_semi"), allowMissingColumns=True).drop("__k")
+    gave = lambda x: F.coalesce(F.bool_or(x), F.lit(False))
+    answers = got.groupBy("__k").agg(F.lit(True).alias("answered"), gave(c("published_at").isNotNull()).alias("date"), gave(F.coalesce("excerpt", F.lit("")) != "").alias("excerpt"), gave(F.coalesce("content_type", F.lit("")) != "").alias("type"))
+    asked = chosen.join(hits.withColumn("hit", F.lit(True)), "seq", "left").join(answers.withColumnRenamed("excerpt", "text"), c("key") == c("__k"), "left")
+    lacks = {"dated": c("published_at").isNull() & c("date"), "excerpted": ~c("subst") & c("text"), "typed": (F.coalesce("content_type", F.lit("")) == "") & c("type")}
+    return enriched(articles, used), known, detail_statistics(asked.withColumns(lacks))
 
 
 def detail_statistics(asked: DataFrame) -> DataFrame:
-    """(source_id, requested, cache_hits, succeeded, failed) of each source and of all, from rows (source_id, hit, answered)."""
-    hit, answered = F.coalesce("hit", F.lit(False)), F.coalesce("answered", F.lit(False))
+    """(source_id, requested, cache_hits, succeeded, failed, date_enriched, excerpt_enriched, type_enriched) of each source
+    and of all, from rows (source_id, hit, answered, dated, excerpted, typed): what the cache had wasn't requested, and
+    enriches nothing that counts."""
+    yes = lambda x: F.coalesce(c(x), F.lit(False))
+    fetched, answered = ~yes("hit"), ~yes("hit") & yes("answered")
     counts = asked.groupingSets([["source_id"], []], "source_id").agg(
-        F.count("*").alias("requested"), F.count_if(hit).alias("cache_hits"), F.count_if(~hit & answered).alias("succeeded"), F.count_if(~hit & ~answered).alias("failed"), F.grouping("source_id").alias("__all")
-    )
-    return counts.select(F.when(c("__all") == 1, "all").otherwise(c("source_id")).alias("source_id"), "requested", "cache_hits", "succeeded", "failed")
+        F.count_if(fetched).alias("requested"), F.count_if(yes("hit")).alias("cache_hits"), F.count_if(answered).alias("succeeded"), F.count_if(fetched & ~yes("answered")).alias("failed"),
+        F.count_if(answered & yes("dated")).alias("date_enriched"), F.count_if(answered & yes("excerpted")).alias("excerpt_enriched"), F.count_if(answered & yes("typed")).alias("type_enriched"), F.grouping("source_id").alias("__all"),
+    )
+    return counts.withColumn("source_id", F.when(c("__all") == 1, "all").otherwise(c("source_id"))).drop("__all")
 
 
 def needs_details(articles: DataFrame, targets: Sequence[str] = rules.DETAIL_SOURCES, excluded: Sequence[str] = rules.DETAIL_EXCLUDED) -> DataFrame:
@@ -129,8 +142,3 @@ def unique_stream(rows: DataFrame, key: str = "url", at: str = "published_at", o
 
 def windowed_counts(rows: DataFrame, at: str, width: str, late: str, *keys: str) -> DataFrame:
     return rows.withWatermark(at, late).groupBy(F.window(at, width), *keys).agg(F.count("*").alias("n"))
-
-
-def merge_stream(rows: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Hands each micro-batch to merge(batch, id), which must be idempotent for a repeated id; ends when input does."""
-    return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
