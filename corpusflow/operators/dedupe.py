@@ -25,11 +25,14 @@ def components(keys: DataFrame, node: str, key: str) -> DataFrame:
 
     Each round a node takes the least label of its keys' nodes: two partial aggregates
     and a join.  Labels also jump to their label's label, so rounds grow with the
-    logarithm of a chain's length.  Rounds are stored in the shared folder.
+    logarithm of a chain's length.  Rounds are stored in the shared folder, and so are
+    keys' least nodes: both sides of a join are shuffled for it, so that adaptive
+    execution can split a key which very many nodes have.
     """
-    pairs = keys.select(c(node).alias("n"), c(key).alias("k")).where("n is not null and k is not null").distinct()
-    least = pairs.groupBy("k").agg(F.min("n").alias("hub"), F.count("*").alias("m")).where("m > 1").select("k", "hub")
+    pairs = keys.select(c(node).alias("n"), c(key).alias("k")).where("n is not null and k is not null")
+    least = stored(pairs.groupBy("k").agg(F.min("n").alias("hub"), F.max("n").alias("last")).where("hub <> last").select("k", "hub"))
     links = stored(pairs.join(least, "k").where("n <> hub").select("n", "hub").distinct())
+    discard(least)
     both = links.union(links.select(c("hub").alias("n"), c("n").alias("hub")))
     label = stored(both.groupBy("n").agg(F.least(F.min("hub"), F.min("n")).alias("l")))
     while True:
@@ -90,8 +93,8 @@ def merge_groups(papers: DataFrame, preferred: Column, order: str = "seq", local
     return out
 
 
-#: Rows of the largest component of conflicts that one task folds.
-FOLDED_ROWS = 100_000
+#: Rows of a component of conflicts, first in order, that one task folds at once; rounds before that.
+FOLDED_ROWS, PARALLEL_ROUNDS = 100_000, 4
 
 
 def greedy_two_keys(rows: DataFrame, order: str, a: str, b: str) -> DataFrame:
@@ -100,29 +103,52 @@ def greedy_two_keys(rows: DataFrame, order: str, a: str, b: str) -> DataFrame:
     A row that goes registers no key, so this isn't a window.  It is the
     lexicographically first independent set: rounds accept every open row that is
     first among the open rows of both of its keys, then drop open rows that share a
-    key with an accepted one.  Rows of a blank key go.  Only keys and numbers move; a
-    key that a third of the rows share falls in one round.  Chains of conflicts take a
-    round a link; at the 8th, 16th, 32nd ... round the rows that are left are folded, each
-    component of conflicts in a task, unless one has more than 100,000 rows.
+    key with an accepted one.  Rows of a blank key go.  Only keys and numbers move.
+
+    First rows come from aggregates and meet by their numbers, which are unique; what is dropped
+    meets the accepted keys in joins of stored tables, so a key that a third of the rows share is
+    split or falls in one round.  A chain of conflicts would take a round a link; after four rounds
+    the first FOLDED_ROWS open rows of each component of conflicts, which depend on nothing
+    behind them, are folded in a task, so that rounds follow the largest component's rows over that number.
     """
     open_ = stored(rows.select(c(order).alias("o"), c(a).alias("a"), c(b).alias("b")).where("o is not null and a <> '' and b <> ''"))
-    accepted, rounds = None, 0
+    accepted, rounds = [], 0
     while open_.limit(1).count():
         rounds += 1
-        if rounds >= 8 and rounds & (rounds - 1) == 0:
-            keys = open_.select("o", F.concat(F.lit("a"), c("a")).alias("k")).unionByName(open_.select("o", F.concat(F.lit("b"), c("b")).alias("k")))
-            found = stored(open_.join(components(keys, "o", "k"), "o"))
-            if found.groupBy("component").count().agg(F.max("count")).first()[0] <= FOLDED_ROWS:
-                folded = found.groupBy("component").applyInPandas(lambda df: pd.DataFrame({"o": greedy_fold(df)}).astype("int64"), "o long")
-                accepted = folded if accepted is None else accepted.union(folded.select(c("o").cast(open_.schema["o"].dataType)))
-                break
-        first_a = open_.groupBy("a").agg(F.min("o").alias("fa"))
-        first_b = open_.groupBy("b").agg(F.min("o").alias("fb"))
-        now = stored(open_.join(first_a, "a").where("o = fa").join(first_b, "b").where("o = fb").select("o", "a", "b"))
-        accepted = now.select("o") if accepted is None else accepted.union(now.select("o"))
-        rest = open_.join(now.select("a"), "a", "left_anti").join(now.select("b"), "b", "left_anti")
-        open_ = stored(rest.select("o", "a", "b"))
-    return (rows.select(c(order).alias("o")).where("false") if accepted is None else accepted).select(c("o").alias(order))
+        if rounds <= PARALLEL_ROUNDS:
+            first = lambda key: open_.groupBy(key).agg(F.min(F.struct("o", "a", "b")).alias("f")).select("f.*")
+            now, done = stored(first("a").join(first("b").select("o"), "o")), None
+        else:
+            now, done = _folded(open_)
+        accepted.append(now.select("o"))
+        rest = open_ if done is None else open_.join(done, "o", "left_anti")
+        left = stored(rest.join(now.select("a"), "a", "left_anti").join(now.select("b"), "b", "left_anti").select("o", "a", "b"))
+        discard(open_)
+        open_ = left
+    out = rows.select(c(order).alias("o")).where("false")
+    for x in accepted:
+        out = out.union(x.select(c("o").cast(out.schema["o"].dataType)))
+    return out.select(c("o").alias(order))
+
+
+def _folded(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the first rows of each component of conflicts, some FOLDED_ROWS of them: those that stay, and all (o).
+
+    A component's share of that size is the next lower power of 1/2; its last row comes from a quantile sketch,
+    so that no task numbers a whole component.
+    """
+    keys = open_.select("o", F.concat(F.lit("a"), c("a")).alias("k")).unionByName(open_.select("o", F.concat(F.lit("b"), c("b")).alias("k")))
+    found = stored(open_.join(components(keys, "o", "k"), "o"))
+    halves = F.greatest(F.ceil(F.log2(F.count("*") / F.lit(FOLDED_ROWS))), F.lit(0)) + 1
+    last = F.get(F.percentile_approx("o", [0.5**k for k in range(40)], 10_000), (F.least(halves, F.lit(40)) - 1).cast("int"))
+    ends = stored(found.groupBy("component").agg(last.alias("last")))
+    some = stored(found.join(ends, "component").where("o <= last").drop("last"))
+    discard(found, ends)
+
+    def fold(df: pd.DataFrame) -> pd.DataFrame:
+        return df.loc[df["o"].isin(greedy_fold(df)), ["o", "a", "b"]]
+
+    return stored(some.groupBy("component").applyInPandas(fold, open_.schema)), some.select("o")
 
 
 def greedy_fold(rows: pd.DataFrame) -> list[int]:

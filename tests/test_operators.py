@@ -26,6 +26,52 @@ def test_greedy_two_keys(spark, seed):
     assert got == dedupe.greedy_fold(pd.DataFrame(rows, columns=["o", "a", "b"]))
 
 
+@pytest.mark.parametrize("folded", [1, 3, 7])
+def test_greedy_two_keys_in_parts_of_components(spark, monkeypatch, folded):
+    """Only the first rows of a component are folded at once: the order holds across folds."""
+    monkeypatch.setattr(dedupe, "FOLDED_ROWS", folded)
+    monkeypatch.setattr(dedupe, "PARALLEL_ROUNDS", 1)
+    r = random.Random(folded)
+    rows = [(i, f"a{r.randrange(12)}", f"b{r.randrange(12)}") for i in range(40)]
+    got = sorted(x.o for x in dedupe.greedy_two_keys(spark.createDataFrame(rows, "o long, a string, b string"), "o", "a", "b").collect())
+    assert got == dedupe.greedy_fold(pd.DataFrame(rows, columns=["o", "a", "b"]))
+
+
+def test_a_chain_of_many_links_takes_few_rounds(spark, monkeypatch):
+    """Row i shares a key with i - 1 and the other with i + 1: each depends on the one before."""
+    n, counted = 300_000, []
+    rows = spark.range(n).select(c("id").alias("o"), F.concat(F.lit("a"), F.floor(c("id") / 2)).alias("a"), F.concat(F.lit("b"), F.floor((c("id") + 1) / 2)).alias("b"))
+    real = dedupe._folded
+    monkeypatch.setattr(dedupe, "_folded", lambda open_: counted.append(1) or real(open_))
+    got = dedupe.greedy_two_keys(rows, "o", "a", "b")
+    assert got.agg(F.count("*"), F.sum("o")).first()[:] == (n // 2, sum(range(0, n, 2))) and len(counted) <= 5
+
+
+def test_a_key_of_a_third_of_all_rows(spark):
+    """Joins on keys have an exchange below each side, so that adaptive execution can split a hot key."""
+    n = 3000
+    rows = spark.range(n).select(c("id").alias("o"), F.when(c("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("a"), c("id"))).alias("a"), F.concat(F.lit("b"), c("id") % 1000).alias("b"))
+    got = {x.o for x in dedupe.greedy_two_keys(rows, "o", "a", "b").collect()}
+    assert got == set(dedupe.greedy_fold(rows.toPandas()))
+    keys = rows.select("o", c("a").alias("k")).unionByName(rows.select("o", c("b").alias("k")))
+    found = {x.o: x.component for x in dedupe.components(keys, "o", "k").collect()}
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for o in range(n):
+        for k in ("hot" if o % 3 == 0 else f"a{o}", f"b{o % 1000}"):
+            x, y = root(o), root(k)
+            parent[x] = y
+    least = {}
+    for o in range(n):
+        least.setdefault(root(o), o)
+    assert found == {o: least[root(o)] for o in range(n)}
+
+
 def test_greedy_two_keys_of_a_long_chain(spark):
     """Each row conflicts with the next: the rounds end, and what is left is folded."""
     rows = [(i, f"a{(i + 1) // 2}", f"b{i // 2}") for i in range(70)] + [(100 + i, "hot", f"c{i}") for i in range(20)]
