@@ -66,14 +66,18 @@ class Scanner:
         self.words = max(1, -(-len(self.bit) // BITS))
 
     def bits(self, low: Column) -> Column:
-        """struct(w0, w1, ...) for lower-cased texts; a null text has none.  To be kept as a column, which hit() reads."""
+        """struct(w0, w1, ...) for lower-cased texts; a null text has none.  To be kept as a column, which hit() reads.
+
+        Declared nondeterministic, though it isn't, so that filters over the bits aren't pushed below it, which
+        would scan and make the texts twice.
+        """
         entries, words, mask = self.entries, self.words, (1 << BITS) - 1
 
         def run(texts: pd.Series) -> pd.DataFrame:
             found = bits_of(entries, texts)
             return pd.DataFrame({f"w{k}": pd.Series([x >> BITS * k & mask for x in found], dtype="int64") for k in range(words)})
 
-        return F.pandas_udf(run, ", ".join(f"w{k} long" for k in range(words)))(low)
+        return F.pandas_udf(run, ", ".join(f"w{k} long" for k in range(words))).asNondeterministic()(low)
 
     def hit(self, bits: Column, name: str) -> Column | None:
         """Whether the pattern's or list's bit is set; None if it has none."""

@@ -17,3 +17,11 @@ def arrow(kind: str) -> Callable[[Callable], Callable[..., Column]]:
         return call
 
     return wrap
+
+
+def once(x: Column) -> Column:
+    """x, kept where it is computed: the optimizer copies no nondeterministic expression into the places that read it.
+
+    For texts that cost much and are read several times, also by an Arrow function, whose inputs are computed apart.
+    """
+    return F.coalesce(x, F.when(F.monotonically_increasing_id() < 0, F.lit(None)))

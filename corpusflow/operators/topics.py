@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import rx, scan, text
+from ..functions.udf import once
 from . import rank
 
 c = F.col
@@ -102,8 +103,7 @@ def scored(papers: DataFrame, topics: Sequence[Topic], now: dt.datetime, domain:
     for each paper, and nothing is joined.
     """
     types = c("publication_types")
-    base = papers.withColumn("__t", text.normalize_title(c("title"))).withColumn("__a", text.normalize_title(c("abstract")))
-    base = base.withColumn("__n", text.normalize_titles(F.coalesce(types, F.array().cast("array<string>"))))
+    base = papers.withColumns({"__t": once(text.normalize_title(c("title"))), "__a": once(text.normalize_title(c("abstract"))), "__n": once(text.normalize_titles(F.coalesce(types, F.array().cast("array<string>"))))})
     # the normal form of the whole is that of its parts, joined: between them is a space
     part = lambda x: F.nullif(x, F.lit(""))
     base = base.withColumn("__e", F.concat_ws(" ", part(c("__t")), part(c("__a")), part(F.array_join(F.filter(c("__n"), lambda x: x != ""), " "))))

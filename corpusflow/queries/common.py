@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.registry import table
+from ..sources.registry import spread
 
 NOW = dt.datetime(2024, 1, 31, tzinfo=dt.timezone.utc)
 NOW_SQL = "timestamp '2024-01-31 00:00:00'"
@@ -90,7 +90,7 @@ def _article_columns(now: str, minus_hours: str) -> str:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "orders").createOrReplaceTempView("corpusflow_orders")
+    spread(spark, sf_dir, "orders").createOrReplaceTempView("corpusflow_orders")
     at = "case when o_orderkey % 41 = 0 then null else timestamp_seconds(1706659200 - (o_orderkey * 7 % 5000 - 48) * 3600) end"
     return spark.sql(f"select {_article_columns('', at)} from corpusflow_orders").withColumn("category", F.lit("tech"))
 

@@ -29,7 +29,7 @@ LIMITS = topics.Limits(min_score=60.0, max_per_topic=40, max_papers=100)
 
 def papers(spark: SparkSession, sf: str) -> DataFrame:
     """documents as papers: id, title (first line), abstract (text), types by id, activity by id."""
-    d = registry.table(spark, sf, "documents")
+    d = registry.spread(spark, sf, "documents")
     kinds = F.array(*map(F.lit, KINDS))
     return d.select(
         c("doc_id").alias("seq"), F.format_string("p%08d", c("doc_id")).alias("id"), F.get(F.split("text", "\n", 2), F.lit(0)).alias("title"), c("text").alias("abstract"), c("source").alias("journal"),
@@ -56,7 +56,7 @@ def evidence_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _keyed(spark: SparkSession, sf: str) -> DataFrame:
-    d = registry.table(spark, sf, "documents")
+    d = registry.spread(spark, sf, "documents")
     return d.select(
         c("doc_id").alias("seq"), F.format_string("p%08d", c("doc_id")).alias("id"), F.when(c("doc_id") % 3 == 0, F.concat(F.lit("n"), F.floor(c("doc_id") / 6))).alias("pmid"),
         F.when(c("doc_id") % 4 < 2, F.concat(F.lit("10.1/"), c("doc_id") % 997)).alias("doi"), F.get(F.split(F.regexp_replace("text", r"[^\x00-\x7F]", "x"), "\n", 2), F.lit(0)).alias("title"), F.when(c("doc_id") % 2 == 0, c("source")).alias("journal"),

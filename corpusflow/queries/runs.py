@@ -175,7 +175,7 @@ def _details(spark: SparkSession, sf: str) -> DataFrame:
     meta = F.when(k % 5 == 1, F.concat(F.lit('<meta name="citation_publication_date" content="'), day, F.lit('"><meta property="og:description" content="'), said, F.lit('"><meta name="prism.section" content="Guideline">'))).otherwise("")
     timed = F.when(k % 5 == 2, F.concat(F.lit('<time datetime="'), day, F.lit('"></time><div class="lead">short</div>'))).otherwise("")
     body = F.when(k % 5 == 3, F.concat(F.lit("<main>Published: "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(" "), said, F.lit('</main><span class="category">News</span>'))).otherwise("")
-    return t(spark, sf, "orders").select(k, (k % 2 == 0).alias("strict"), F.concat(F.lit("<html><head>"), structured, meta, F.lit("</head><body><nav>Published: May 1, 2001</nav>"), timed, body, F.lit("</body></html>")).alias("html"))
+    return registry.spread(spark, sf, "orders").select(k, (k % 2 == 0).alias("strict"), F.concat(F.lit("<html><head>"), structured, meta, F.lit("</head><body><nav>Published: May 1, 2001</nav>"), timed, body, F.lit("</body></html>")).alias("html"))
 
 
 def detail_rows(spark: SparkSession, sf: str) -> DataFrame:

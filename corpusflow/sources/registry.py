@@ -24,6 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same for work that costs much a row: a table of less than 64 MB a core, which may lie in one
+    row group and so be one task's, is dealt over the cores by its first column; larger ones are many tasks' as they lie."""
+    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return df.repartition(cores, df.columns[0]) if size < cores * (64 << 20) else df
+
+
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
     """A registry file: a JSON array; ord is its order.  Raises if invalid() finds anything."""
     # a registry is some dozens of entries: one file, one task, its order kept
