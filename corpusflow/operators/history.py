@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
+from ..storage import discard, stored
 
 c = F.col
 KEYS = ("url", "title", "doi", "pmid")
@@ -67,3 +68,48 @@ def assert_displayed(visible: DataFrame, candidates: DataFrame, most: int = 15)
         .otherwise(F.lit(True)).alias("__fine")
     )
     return v.drop("__u").crossJoin(F.broadcast(checked)).where("__fine").drop("__fine")  # one row
+
+
+# History that grows for ever: keys kept in buckets, joined where they lie
+
+
+def _slot(key: Column, slots: int) -> list[Column]:
+    """The word of a filter of 64-bit words that a key sets two bits of, and these bits."""
+    h = F.xxhash64(key)
+    bit = lambda by: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, by).bitwiseAND(F.lit(63)).cast("int"))
+    return [F.pmod(h, F.lit(slots)), bit(40).bitwiseOR(bit(50))]
+
+
+#: Buckets of the table, and words of the filter before it: 4 MB at most, whatever the history's length.
+BUCKETS, SLOTS = 64, 1 << 16
+
+
+def keep(displayed: DataFrame, table: str, date: str, buckets: int = BUCKETS) -> None:
+    """Appends the keys of a run's articles (keyed()) to a bucketed table, and their bits to the filter beside it.
+
+    Only the run's rows move: they are dealt to the buckets and sorted there; nothing of what is kept is read.
+    """
+    rows = displayed.select(F.explode(_keys()).alias("k")).select("k.kind", "k.key").distinct().withColumn("date", F.lit(date))
+    rows = stored(rows.repartition(buckets, "kind", "key"))
+    rows.repartition(buckets, "kind", "key").write.mode("append").bucketBy(buckets, "kind", "key").sortBy("kind", "key").saveAsTable(table)
+    slot, bits = _slot(F.struct("kind", "key"), SLOTS)
+    rows.select(slot.alias("slot"), bits.alias("bits")).groupBy("slot").agg(F.bit_or("bits").alias("bits")).coalesce(1).write.mode("append").saveAsTable(f"{table}_filter")
+    discard(rows)
+
+
+def against_kept(articles: DataFrame, table: str, current_date: str) -> DataFrame:
+    """The same rows as against(), with the history that keep() appended to a table.
+
+    Keys that the filter (one word of 64 bits for each slot, 65,536 slots, so it may be broadcast) doesn't know go no further; the
+    others are dealt to the table's buckets, which are read in place: the history isn't shuffled,
+    whatever its length, nor reduced before the join, as only matches are.
+    """
+    spark = articles.sparkSession
+    sieve = spark.table(f"{table}_filter").groupBy("slot").agg(F.bit_or("bits").alias("known"))
+    slot, bits = _slot(F.struct("kind", "key"), SLOTS)
+    asked = keyed(articles).select("seq", F.explode(_keys()).alias("k")).select("seq", "k.kind", "k.key").withColumn("slot", slot)
+    asked = asked.join(F.broadcast(sieve), "slot").where(c("known").bitwiseAND(bits) == bits).select("seq", "kind", "key")
+    past = spark.table(table).where(c("date") != current_date)
+    found = asked.join(past, ["kind", "key"]).groupBy(c("seq").alias("__seq")).agg(F.max_by(F.struct("kind", "date"), F.struct(-c("kind"), "date")).alias("__m"))
+    by = F.get(F.array(*map(F.lit, KEYS)), c("__m.kind"))
+    return articles.join(found, c("seq") == c("__seq"), "left").select(*articles.columns, by.alias("matched_by"), c("__m.date").alias("matched_date"))

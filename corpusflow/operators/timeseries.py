@@ -1,9 +1,9 @@
 """Indicators over time series: (symbol, ts, close), one row for each day.
 
 Moving averages are window frames.  Exponential averages and Wilder smoothing are
-recursive, so that each value needs the one before: a symbol's whole series is folded
-by one task in an Arrow function, linear in its length (8 bytes a value).  Symbols are
-independent of each other; one symbol isn't split.
+recursive, so that each value needs the one before: recursive() folds a symbol's whole series
+in one task, linear in its length (8 bytes a value); recursive_long() cuts series into segments
+whose effects compose, so that one symbol is many tasks' work.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..storage import stored
 
 c = F.col
 BY, AT, VALUE = "symbol", "ts", "close"
@@ -96,6 +97,134 @@ def recursive(series: DataFrame, emas: Sequence[int] = (), rsi: int | None = 14,
     return out.select(*base.columns, *[F.when(~F.isnan(x), c(x)).alias(x) for x in extra])
 
 
+#: Rows of a segment of a long series: one task's work.
+SEGMENT_ROWS = 100_000
+
+
+def numbered(series: DataFrame) -> DataFrame:
+    """(symbol, ts, close, n): rows of each series numbered from 1 by one range sort, so that no series is one task's.
+
+    A row's number is its place in its sorted part, less that of the series' first row there, plus the series' rows in the parts before.
+    """
+    part = series.select(BY, AT, VALUE).repartitionByRange(BY, AT).sortWithinPartitions(BY, AT)
+    at = stored(part.withColumn("__at", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__at", 33))
+    runs = at.groupBy(BY, "__part").agg(F.count("*").alias("__m"), F.min("__at").alias("__first"))
+    before = F.sum("__m").over(Window.partitionBy(BY).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__m")
+    return at.join(runs, [BY, "__part"]).withColumn("n", c("__before") + c("__at") - c("__first") + 1).select(BY, AT, VALUE, "n")
+
+
+class Averages:
+    """The recursive indicators as one affine recursion over a state of averages: what a segment does to the state
+    is a matrix, and matrices of segments compose.
+
+    States: an average for each EMA period, gain and loss, and fast, slow and signal of the MACD.  Until an average's
+    seed is full it gathers the seed's parts; afterwards it moves to the value by its share.
+    """
+
+    def __init__(self, emas: Sequence[int], rsi: int | None, macd: tuple[int, int, int] | None):
+        self.emas, self.rsi, self.macd = tuple(emas), rsi, macd
+        self.names = [f"ema_{n}" for n in emas] + ([f"rsi_{rsi}"] if rsi else []) + (["macd", "macd_signal", "macd_histogram"] if macd else [])
+        self.size = len(self.emas) + (2 if rsi else 0) + (3 if macd else 0)
+
+    @staticmethod
+    def _moved(x: np.ndarray, n: np.ndarray, period: int, share: float, e: float, first: int = 1) -> np.ndarray:
+        """The average after each row; the seed is the mean of rows first .. first + period - 1."""
+        out = np.empty(len(x))
+        for i, (v, k) in enumerate(zip(x.tolist(), n.tolist())):
+            if k >= first + period:
+                e = (v - e) * share + e
+            elif k >= first:
+                e = e + v / period
+            out[i] = e
+        return out
+
+    def states(self, x: np.ndarray, n: np.ndarray, before: float, state: np.ndarray) -> np.ndarray:
+        """The states after each row, (states, rows), from the state before and the value before the first row."""
+        out, at = np.empty((self.size, len(x))), 0
+        for p in self.emas:
+            out[at] = self._moved(x, n, p, 2 / (p + 1), state[at])
+            at += 1
+        if self.rsi:
+            d = np.diff(x, prepend=before)
+            for part in (np.maximum(d, 0), np.maximum(-d, 0)):
+                out[at] = self._moved(part, n, self.rsi, 1 / self.rsi, state[at], 2)
+                at += 1
+        if self.macd:
+            fast, slow, signal = self.macd
+            out[at] = self._moved(x, n, fast, 2 / (fast + 1), state[at])
+            out[at + 1] = self._moved(x, n, slow, 2 / (slow + 1), state[at + 1])
+            out[at + 2] = self._moved(out[at] - out[at + 1], n, signal, 2 / (signal + 1), state[at + 2], max(fast, slow))
+        return out
+
+    def step(self, x: np.ndarray, n: np.ndarray, before: float) -> np.ndarray:
+        """What a segment does to the state: the matrix (size, size + 1) of the linear part and the constant."""
+        end = self.states(x, n, before, np.zeros(self.size))[:, -1]
+        still, out = np.zeros(len(x)), np.empty((self.size, self.size + 1))
+        for k in range(self.size):  # without input the states decay as they depend on each other
+            out[:, k] = self.states(still, n, 0.0, np.eye(self.size)[k])[:, -1]
+        out[:, -1] = end
+        return out
+
+    def values(self, x: np.ndarray, n: np.ndarray, before: float, state: np.ndarray) -> dict[str, np.ndarray]:
+        """The indicators of each row; nan before their seeds are full."""
+        s, at, out = self.states(x, n, before, state), 0, {}
+        for p in self.emas:
+            out[f"ema_{p}"] = np.where(n >= p, s[at], np.nan)
+            at += 1
+        if self.rsi:
+            gain, loss = s[at], s[at + 1]
+            out[f"rsi_{self.rsi}"] = np.where(n > self.rsi, 100 - 100 / (1 + gain / np.where(loss != 0, loss, 1e-10)), np.nan)
+            at += 2
+        if self.macd:
+            late = max(self.macd[:2])
+            line = np.where(n >= late, s[at] - s[at + 1], np.nan)
+            out["macd"], out["macd_signal"] = line, np.where(n >= late + self.macd[2] - 1, s[at + 2], np.nan)
+            out["macd_histogram"] = out["macd"] - out["macd_signal"]
+        return out
+
+
+def recursive_long(series: DataFrame, emas: Sequence[int] = (), rsi: int | None = 14, macd: tuple[int, int, int] | None = (12, 26, 9), rows: int = SEGMENT_ROWS) -> DataFrame:
+    """The same as recursive(), up to rounding, for series that are too long for one task.
+
+    Rows are numbered by a range sort and cut into segments.  Each segment gives, as one row, the affine map
+    that it is to the averages; the maps of a series compose in order, which is all that is done by series,
+    and each segment is computed again from the averages that it begins with.
+    """
+    one = Averages(emas, rsi, macd)
+    cut = stored(numbered(series).withColumn("segment", F.floor((c("n") - 1) / rows)))
+    ends = cut.groupBy(BY, "segment").agg(F.max_by(VALUE, "n").alias("last"))
+    ends = ends.withColumn("before", F.lag("last").over(Window.partitionBy(BY).orderBy("segment"))).drop("last")
+    cut = cut.join(ends, [BY, "segment"])
+
+    def opened(df: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+        df.sort_values("n", ignore_index=True, inplace=True)
+        x = df[VALUE].to_numpy(float)
+        before = df["before"].iloc[0]
+        return x, df["n"].to_numpy(), x[0] if pd.isna(before) else float(before)
+
+    def summed(df: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({BY: [df[BY].iloc[0]], "segment": [df["segment"].iloc[0]], "step": [one.step(*opened(df)).ravel().tolist()]})
+
+    def carried(df: pd.DataFrame) -> pd.DataFrame:
+        df, state, states = df.sort_values("segment", ignore_index=True), np.zeros(one.size), []
+        for step in df["step"]:
+            states.append(state.tolist())
+            m = np.array(step).reshape(one.size, one.size + 1)
+            state = m[:, :-1] @ state + m[:, -1]
+        return pd.DataFrame({BY: df[BY], "segment": df["segment"], "state": states})
+
+    def filled(df: pd.DataFrame) -> pd.DataFrame:
+        values = one.values(*opened(df), np.array(df["state"].iloc[0]))
+        return df[[BY, AT, VALUE]].assign(**values)
+
+    kind = lambda name: f"`{name}` {cut.schema[name].dataType.simpleString()}"
+    steps = cut.groupBy(BY, "segment").applyInPandas(summed, f"{kind(BY)}, segment long, step array<double>")
+    states = stored(steps).groupBy(BY).applyInPandas(carried, f"{kind(BY)}, segment long, state array<double>")
+    out = cut.join(stored(states), [BY, "segment"]).groupBy(BY, "segment").applyInPandas(filled, ", ".join(map(kind, (BY, AT, VALUE))) + "".join(f", {x} double" for x in one.names))
+    return out.select(BY, AT, VALUE, *[F.when(~F.isnan(x), c(x)).alias(x) for x in one.names])
+
+
 def recent_cross(rows: DataFrame, fast: str, slow: str, lookback: int, name: str) -> DataFrame:
     """(symbol, <name>, <name>_days): the newest crossing within ``lookback`` rows of the end, up or down.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,18 @@ def history_anti(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("seq", "matched_by", "matched_date")
 
 
+def history_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """All articles against a history that three runs appended, the last of which is today's and doesn't count."""
+    a, name = articles(spark, sf), f"corpusflow_{uuid.uuid4().hex}"
+    day = F.get(F.array(*map(F.lit, KEPT_DATES)), (c("seq") % 3).cast("int"))
+    for date in KEPT_DATES:
+        history.keep(history.keyed(a.where(day == date)), name, date)
+    return history.against_kept(a, name, KEPT_DATES[2]).select("seq", "matched_by", "matched_date")
+
+
+KEPT_DATES = ("2024-01-29", "2024-02-02", "2024-01-31")
+
+
 def round_robin(spark: SparkSession, sf: str) -> DataFrame:
     d = t(spark, sf, "documents").select("doc_id", "source", "n_chars", c("doc_id").alias("seq"))
     return rank.interleaved(d, "source", [F.desc("n_chars"), F.asc("seq")], 60).select("doc_id", "source", "place")
@@ -179,7 +193,7 @@ def report_tree(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        classify_articles, route_articles, filter_reasons, filter_duplicates, filter_statistics, rejects_by_source, dedupe_greedy, history_anti, round_robin, review_cap, priority_fill, value_scores,
+        classify_articles, route_articles, filter_reasons, filter_duplicates, filter_statistics, rejects_by_source, dedupe_greedy, history_anti, history_kept, round_robin, review_cap, priority_fill, value_scores,
         window_partition, history_keys, grouped_topn, digest_join, review_join, llm_rejected, conversation_turns, funnel_by_source, details_by_source, completeness, merged_top, detail_candidates, report_tree,
     )
 }
@@ -262,6 +276,10 @@ SQL = {
       with a as (select *, {_CANON} as ku, nullif({_TKEY}, '') as kt, strftime(date '2024-01-01' + cast(seq % 40 as integer), '%Y-%m-%d') as d from {ARTICLES_SQL} o),
       u as (select ku, max(d) as du from a where seq % 3 = 0 and d <> '2024-01-31' group by 1), t as (select kt, max(d) as dt from a where seq % 3 = 0 and d <> '2024-01-31' and kt is not null group by 1)
       select seq, case when du is not null then 'url' when dt is not null then 'title' end as matched_by, coalesce(du, dt) as matched_date from a left join u using (ku) left join t using (kt) where seq % 3 <> 0""",
+    "history_kept": f"""
+      with a as (select *, {_CANON} as ku, nullif({_TKEY}, '') as kt, case seq % 3 when 0 then '2024-01-29' when 1 then '2024-02-02' else '2024-01-31' end as d from {ARTICLES_SQL} o),
+      u as (select ku, max(d) as du from a where d <> '2024-01-31' group by 1), t as (select kt, max(d) as dt from a where d <> '2024-01-31' and kt is not null group by 1)
+      select seq, case when du is not null then 'url' when dt is not null then 'title' end as matched_by, coalesce(du, dt) as matched_date from a left join u using (ku) left join t using (kt)""",
     "round_robin": """
       select doc_id, source, row_number() over (order by turn, f)::int as place from (select doc_id, source, row_number() over (partition by source order by n_chars desc, doc_id) as turn, min(doc_id) over (partition by source) as f from documents) order by turn, f limit 60""",
     "review_cap": f"""

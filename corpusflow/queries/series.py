@@ -33,7 +33,15 @@ def sma(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ema_rsi_macd(spark: SparkSession, sf: str) -> DataFrame:
-    rows = ts.recursive(weekly(spark, sf), emas=(12, 26))
+    return _indicators(ts.recursive(weekly(spark, sf), emas=(12, 26)))
+
+
+def ema_long(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by segments of 40 weeks, the averages of which compose."""
+    return _indicators(ts.recursive_long(weekly(spark, sf), emas=(12, 26), rows=40))
+
+
+def _indicators(rows: DataFrame) -> DataFrame:
     return rows.select("symbol", _at(), *[_r(n, 2).alias(n) for n in ("ema_12", "ema_26", "macd", "macd_signal", "macd_histogram")], _r("rsi_14", 4).alias("rsi_14"))
 
 
@@ -103,7 +111,7 @@ def stream_unique(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out")
 
 
-QUERIES = {f.__name__: f for f in (sma, ema_rsi_macd, cross_signals, analyze, usage_by_backend, usage_last_failures, usage_last_calls, stream_windows, stream_unique)}
+QUERIES = {f.__name__: f for f in (sma, ema_rsi_macd, ema_long, cross_signals, analyze, usage_by_backend, usage_last_failures, usage_last_calls, stream_windows, stream_unique)}
 
 _W = """w as (select o_orderpriority as symbol, date_trunc('week', o_orderdate) as ts, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as close from orders group by 1, 2),
   s as (select *, row_number() over (partition by symbol order by ts) as rn, row_number() over (partition by symbol order by ts desc) - 1 as back from w)"""
@@ -150,3 +158,4 @@ SQL = {
     "stream_windows": "select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*)::bigint as n from events group by 1, 2",
     "stream_unique": "select distinct user_id || '-' || event_type || '-' || strftime(ts, '%Y%m%d') as key from events",
 }
+SQL["ema_long"] = SQL["ema_rsi_macd"]

@@ -204,3 +204,48 @@ def test_digest_sections(spark):
     answer = '{"tech_briefs":[{"url":"u","summary":"s","importance":3}],"politics_briefs":null'
     rows = spark.createDataFrame([(answer,)], "a string").select(F.explode(digest.sections(c("a"))).alias("i")).select("i.*").collect()
     assert [(r.category, r.b.url) for r in rows] == [("tech", "u")]
+
+
+@pytest.mark.parametrize("rows", [1, 7, 40, 1000])
+def test_segments_of_a_series_equal_the_fold(spark, rows):
+    r = random.Random(rows)
+    data = [(s, dt.datetime(2024, 1, 1) + dt.timedelta(days=i), 100 + r.random() * 50) for s, n in (("a", 130), ("b", 25), ("c", 3), ("d", 1)) for i in range(n)]
+    df = spark.createDataFrame(data, "symbol string, ts timestamp, close double").repartition(3)
+    whole, cut = (sorted(tuple(x) for x in f.collect()) for f in (timeseries.recursive(df, (5, 12)), timeseries.recursive_long(df, (5, 12), rows=rows)))
+    assert len(whole) == len(cut) == 159
+    for a, b in zip(whole, cut):
+        assert a[:3] == b[:3] and all((x is None) == (y is None) and (x is None or abs(x - y) <= 1e-9 * max(1, abs(x))) for x, y in zip(a[3:], b[3:])), (a, b)
+
+
+def test_one_long_series_is_many_tasks_work(spark):
+    n = 120_000
+    df = spark.range(n).select(F.lit("a").alias("symbol"), F.timestamp_seconds("id").alias("ts"), (100 + F.sin(c("id") / 50) * 20 + F.rand(3)).alias("close"))
+    df = timeseries.stored(df)
+    got = timeseries.recursive_long(df, (26,), rows=10_000).orderBy("ts").toPandas()
+    x = df.orderBy("ts").toPandas()["close"].to_numpy()
+    for name, want in (("ema_26", timeseries.ema_values(x, 26)), ("rsi_14", timeseries.rsi_values(x)), ("macd_signal", timeseries.macd_values(x)[1])):
+        a, b = got[name].to_numpy(float), want
+        assert ((a != a) == (b != b)).all() and abs(a - b)[b == b].max() < 1e-9
+
+
+def test_kept_history_is_joined_in_place(spark, sf):
+    """The history isn't shuffled, however the sides are joined, and the rows are those of the whole join."""
+    import uuid
+
+    from corpusflow.queries import common
+
+    a, name = common.articles(spark, sf), f"kept_{uuid.uuid4().hex}"
+    for date, part in (("2024-01-01", 0), ("2024-01-05", 1), ("2024-01-03", 2)):
+        history.keep(history.keyed(a.where(c("seq") % 5 == part)), name, date)
+    past = history.keyed(a.where("seq % 5 < 3")).withColumn("date", F.get(F.array(*map(F.lit, ("2024-01-01", "2024-01-05", "2024-01-03"))), (c("seq") % 5).cast("int")))
+    new = a.where("seq % 5 >= 2")
+    want = sorted(tuple(x) for x in history.against(new, past, "2024-01-05").select("seq", "matched_by", "matched_date").collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = history.against_kept(new, name, "2024-01-05").select("seq", "matched_by", "matched_date")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(x) for x in out.collect()) == want and any(x[1] for x in want) and not all(x[1] for x in want)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # one exchange by the join's keys: that of the articles' keys
+    assert "Bucketed: true" in plan and "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning(kind") == 1
