@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import queue
+import threading
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import rx
+from ..storage import stored
 from . import digest, rank
 
 c = F.col
@@ -18,31 +22,79 @@ PAPERS = "struct<papers:array<struct<id:string," + ",".join(f"{k}:string" for k
 COMMENTARY = "struct<market_overview:string,watchlist:array<struct<symbol:string,display_name:string,stance:string,rationale:string>>,risk_caveat:string>"
 
 
-def answered(prompts: DataFrame, model: Callable[[str], str], attempts: int = 1, hint: str = "") -> DataFrame:
+#: Calls that a task has under way at once.
+CALLS = 4
+
+
+def _within(model: Callable[[str], str], prompt: str, seconds: float | None) -> str:
+    """model(prompt), or an error once the time is over; the call itself, which nothing can stop, is left alone."""
+    if seconds is None:
+        return model(prompt)
+    said: queue.SimpleQueue = queue.SimpleQueue()
+
+    def call() -> None:
+        try:
+            said.put((model(prompt), None))
+        except Exception as e:
+            said.put((None, e))
+
+    threading.Thread(target=call, daemon=True).start()
+    try:
+        answer, error = said.get(timeout=seconds)
+    except queue.Empty:
+        raise TimeoutError(f"timed out after {seconds:g} s") from None
+    if error is not None:
+        raise error
+    return answer
+
+
+def answered(prompts: DataFrame, model: Callable[[str], str], attempts: int = 1, hint: str = "", calls: int = CALLS, seconds: float | None = None) -> DataFrame:
     """prompts with answer and error: model(prompt) for each row, tried again with the hint at its end; a prompt's failure is its own.
 
-    The model runs in the tasks, a prompt at a time; it must be picklable.
+    The model runs in the tasks, ``calls`` prompts of a batch at once, each attempt ``seconds`` long at most; it must be picklable.
     """
 
+    def one(prompt: str) -> tuple[str | None, str | None]:
+        error = None
+        for n in range(attempts):
+            try:
+                return _within(model, prompt + (hint if n else ""), seconds), None
+            except Exception as e:
+                error = str(e)[:200]
+        return None, error
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            answers, errors = [], []
-            for prompt in rows["prompt"]:
-                answer, error = None, None
-                for n in range(attempts):
-                    try:
-                        answer, error = model(prompt + (hint if n else "")), None
-                        break
-                    except Exception as e:
-                        error = str(e)[:200]
-                answers.append(answer)
-                errors.append(error)
-            yield rows.assign(answer=answers, error=errors)
+        with ThreadPoolExecutor(calls) as pool:
+            for rows in batches:
+                said = list(pool.map(one, rows["prompt"]))
+                yield rows.assign(answer=[a for a, _ in said], error=[e for _, e in said])
 
     rows = prompts.drop("answer", "error")
     return rows.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", answer string, error string")
 
 
+class AllFailed(RuntimeError):
+    """No chunk of a run's reviews could be used."""
+
+
+def checked_reviews(answers: DataFrame, candidates: int) -> DataFrame:
+    """answers (chunk, answer) as they are, unless there are candidates and no answer parses: that ends the run."""
+    good = answers.where(digest.parsed(c("answer"), digest.REVIEWS)["reviews"].isNotNull()).limit(1).count()
+    if candidates and not good:
+        raise AllFailed(f"all review chunks failed for {candidates} candidates")
+    return answers
+
+
+def review(capped: DataFrame, model: Callable[[str], str], size: int = 30, seconds: float | None = 90) -> DataFrame:
+    """(chunk, answer) of the reviews of capped candidates (with place), in chunks of ``size``, each a task's call.
+
+    A chunk that fails has no answer, and its candidates aren't reviewed; if all fail, an error.
+    """
+    prompts = digest.review_payload(rank.batches(capped, [c("place")], size))  # some prompts
+    said = stored(answered(prompts.repartition(c("batch")), model, seconds=seconds))
+    return checked_reviews(said.select(c("batch").alias("chunk"), "answer"), capped.count())
+
+
 def enrichment_payload(items: DataFrame, kind: str) -> DataFrame:
     """(prompt, requested): all items (seq, url, title, excerpt, source, author) as one JSON array with the fields of an enricher."""
     title, more, excerpt, length = rules.ENRICHERS[kind]
@@ -125,3 +177,30 @@ def digest_candidates(articles: DataFrame, limits: dict[str, int] = rules.CATEGO
         rows = rank.interleaved(articles.where(c("category") == category), "source", [c("seq")], most).withColumn("__c", F.lit(i))
         out = rows if out is None else out.unionByName(rows)
     return out.withColumn("number", F.row_number().over(Window.orderBy("__c", "place"))).drop("__c", "place")  # some dozens of rows
+
+
+TEXTS = ("hero_headline", "daily_overview", "editor_note", "keywords")
+
+
+def daily_digest(articles: DataFrame, model: Callable[[str], str], locale: str = "zh", seconds: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(briefs, texts) of a day: candidates, prompt, answer with one retry, and the join of the answer with the candidates.
+
+    articles: (seq, url, title, source, category, excerpt, published_at, summary, review_status, low_priority).  Without
+    articles the empty report, and no call.  The second call has the same prompt, after a failure or an answer
+    that doesn't parse; if it fails too, an error.
+    """
+    spark = articles.sparkSession
+    few = stored(digest_candidates(articles))  # some dozens of rows
+    if not few.limit(1).count():
+        return spark.createDataFrame([], "category string, place long, title string, url string, source string, summary string, importance int, restored boolean"), empty_report(spark, locale).select(*TEXTS)
+    item = digest.digest_payload(few, [c("number")])
+    prompt = item.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("number", F.struct(c("number").alias("n"), *[x for x in item.columns if x != "number"]).alias("i")))), lambda x: x["i"])).alias("prompt"))
+    for last in (False, True):
+        said = stored(answered(prompt, model, seconds=seconds).withColumn("parsed", digest.parsed(c("answer"), digest.DIGEST)))
+        got = said.select("error", c("parsed").isNotNull().alias("good")).first()
+        if got.good:
+            break
+        if last:
+            raise RuntimeError(f"no digest: {got.error or 'the answer does not parse'}")
+    items = said.select(F.explode(digest.sections(c("answer"))).alias("s")).select("s.section", "s.category", "s.pos", "s.b.url", "s.b.summary", "s.b.importance")
+    return digest.sanitized(items, few), said.select(*[c(f"parsed.{x}") for x in TEXTS])
