@@ -73,6 +73,27 @@ def run_settings(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "i int, max_papers string, min_score string, cache_days string, enabled string, error string")
 
 
+def _configs(spark: SparkSession, sf: str) -> DataFrame:
+    """A configuration for each brand of parts: its parts are the topics; some lack what they must have."""
+    p, k = t(spark, sf, "part"), c("p_partkey")
+    topic = F.struct(
+        F.when(k % 41 == 0, F.lit("same")).otherwise(F.concat(F.lit("t"), k)).alias("id"), F.when(k % 97 == 0, F.lit(" ")).otherwise(c("p_name")).alias("name"), c("p_type").alias("description"),
+        F.when(k % 89 == 0, F.array().cast("array<string>")).otherwise(F.array(c("p_brand"))).alias("include_keywords"), F.array().cast("array<string>").alias("exclude_keywords"), F.array(F.lit("Clinical Trial")).alias("publication_types"), F.when(k % 83 > 0, k % 2 == 0).alias("enabled"),
+    )
+    source = F.array(F.struct(F.lit("s").alias("id"), F.lit("S").alias("name"), F.when(F.min(k) % 5 == 0, "web").otherwise("pubmed").alias("kind"), F.lit("https://x.org").alias("url"), F.lit(True).alias("enabled")))
+    whole = F.struct(F.lit(1).alias("schema_version"), F.array(F.lit("d")).alias("domain_keywords"), source.alias("sources"), F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), topic.alias("t")))), lambda x: x["t"]).alias("topics"))
+    rows = p.groupBy(F.concat("p_brand", F.lit("/"), F.floor(k / 50)).alias("config")).agg(F.to_json(whole).alias("payload"))
+    return registry.configs(rows)
+
+
+def research_configs(spark: SparkSession, sf: str) -> DataFrame:
+    return _configs(spark, sf).select("config", "problem")
+
+
+def research_topics(spark: SparkSession, sf: str) -> DataFrame:
+    return registry.topics_of(_configs(spark, sf)).select("config", "ord", "id", "name", F.array_join("include_keywords", ",").alias("include"), "enabled")
+
+
 # state and sinks
 
 
@@ -236,16 +257,20 @@ def label_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def watchlist_rows(spark: SparkSession, sf: str) -> DataFrame:
-    w = timeseries.watchlist(spark)
-    return w.select("ord", "symbol", timeseries.display_name("zh").alias("zh"), timeseries.display_name("en").alias("en"), "group", "group_ord", "group_name_en")
+    """The watchlist with its names and groups, and how many weeks of orders each symbol has."""
+    w = timeseries.watchlist(spark).join(_watched_series(spark, sf).groupBy("symbol").agg(F.count("*").alias("weeks")), "symbol", "left")
+    return w.select("ord", "symbol", timeseries.display_name("zh").alias("zh"), timeseries.display_name("en").alias("en"), "group", "group_ord", "group_name_en", F.coalesce("weeks", F.lit(0)).alias("weeks"))
 
 
-def _watched(spark: SparkSession, sf: str) -> DataFrame:
+def _watched_series(spark: SparkSession, sf: str) -> DataFrame:
     """Series by order priority under symbols of the watchlist; one of them has none."""
     names = {"1-URGENT": "SPY", "2-HIGH": "BTC-USD", "3-MEDIUM": "GC=F", "4-NOT SPECIFIED": "unwatched", "5-LOW": "AAPL"}
     table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    rows = series.weekly(spark, sf).withColumn("symbol", F.element_at(table, c("symbol")))
-    return timeseries.analyze_watchlist(rows, timeseries.watchlist(spark))
+    return series.weekly(spark, sf).withColumn("symbol", F.element_at(table, c("symbol")))
+
+
+def _watched(spark: SparkSession, sf: str) -> DataFrame:
+    return timeseries.analyze_watchlist(_watched_series(spark, sf), timeseries.watchlist(spark))
 
 
 def watchlist_trends(spark: SparkSession, sf: str) -> DataFrame:
@@ -364,8 +389,44 @@ def market_prompt(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def empty_report(spark: SparkSession, sf: str) -> DataFrame:
-    r = models.empty_report(spark, "en")
-    return r.select("hero_headline", "daily_overview", "editor_note", (F.size("tech_briefs") + F.size("finance_briefs") + F.size("politics_briefs") + F.size("keywords")).alias("items"))
+    """The digest of a day without articles: no model is asked."""
+
+    def never(prompt: str) -> str:
+        raise RuntimeError("asked")
+
+    a = articles(spark, sf).where(c("published_at") > F.lit(NOW) + F.expr("interval 1000 days"))
+    briefs, r = models.daily_digest(a.withColumn("source", c("source_id")), never, "en")
+    return r.crossJoin(briefs.agg(F.count("*").alias("n"))).select("hero_headline", "daily_overview", "editor_note", (c("n").cast("int") + F.size("keywords")).alias("items"))  # one row each
+
+
+def _of_sections(prompt: str) -> str:
+    """A model that briefs every candidate, important as its number is."""
+    import json
+
+    rows = json.loads(prompt)
+    of = lambda k: [{"url": r["url"], "summary": f"s{r['n']}", "importance": r["n"]} for r in rows if r["category"] == k]
+    return json.dumps({"hero_headline": "h", "daily_overview": "o", "editor_note": "n", "keywords": [], **{f"{k}_briefs": of(k) for k in ("tech", "finance", "politics")}})
+
+
+def digest_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The digest as a whole: candidates, prompt, a model's answer, and its join with the candidates."""
+    a = articles(spark, sf).withColumn("category", F.when(c("seq") % 3 == 0, "tech").when(c("seq") % 3 == 1, "finance").otherwise("politics")).withColumn("source", c("source_id"))
+    a = a.withColumns({"url": F.concat("url", F.lit("&n="), c("seq")), "summary": F.lit(None).cast("string"), "review_status": F.lit("uncertain"), "low_priority": F.lit(False)})
+    return models.daily_digest(a, _of_sections)[0].select("category", "place", "url", "source", "summary", "importance", "restored")
+
+
+def _accepts(prompt: str) -> str:
+    """A model that accepts what has a title."""
+    import json
+
+    return json.dumps({"reviews": [{"url": r["url"], "status": "accepted" if r["title"].strip() else "rejected", "summary": r["source"]} for r in json.loads(prompt)]})
+
+
+def review_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Reviews of capped candidates by a model, in chunks of 30, several calls at once."""
+    a = articles(spark, sf).withColumn("source", c("source_id"))
+    capped = rank.review_cap(a, rules.REVIEW_LIMITS, rules.REVIEW_LIMIT, rules.SHARED_QUOTA_SOURCES, rules.REVIEW_GROUP_LIMIT, rules.REVIEW_TOTAL)
+    return digest.reviews_of(models.review(capped, _accepts)).select("url", "status", "summary")
 
 
 def raw_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -510,9 +571,9 @@ def daily_selection(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        dispatch_rows, dispatch_status, run_settings, state_scan, state_switch, history_scan, call_log, run_outputs, markdown_report, html_report, site_list, cache_expiry, detail_rows, detail_needs, detail_statistics,
+        dispatch_rows, dispatch_status, run_settings, research_configs, research_topics, state_scan, state_switch, history_scan, call_log, run_outputs, markdown_report, html_report, site_list, cache_expiry, detail_rows, detail_needs, detail_statistics,
         detail_fill, detail_articles, detail_cache, label_rows, watchlist_rows, watchlist_trends, asset_groups, domain_papers, source_choice, digest_prompt, review_prompt, paper_prompt, paper_summaries, enrichment, model_attempts, market_commentary,
-        market_prompt, empty_report, raw_report, top_highlights, column_counts, displayed, paper_meta, summary_reuse, paper_section, read_windows, research_papers, research_cache, research_fallback, research_dry_run,
+        market_prompt, empty_report, digest_run, review_run, raw_report, top_highlights, column_counts, displayed, paper_meta, summary_reuse, paper_section, read_windows, research_papers, research_cache, research_fallback, research_dry_run,
         daily_statistics, daily_funnel, daily_selection,
     )
 }
@@ -530,6 +591,11 @@ _analysis = series.SQL["analyze"]
 _lacks = f"(published_at is null or not subst or coalesce(content_type, '') = '' or d_type = 'unknown')"
 _excluded_said = "concat_ws(chr(10), title, content_type, document_type)"
 _asked_sql = f"with {A.BASE}, need as (select * from cl where {sql_in('source_id', _TARGETS)} and {_lacks} and not excluded and url like 'http%' and not {sql_any(_excluded_said, rules.DETAIL_EXCLUDED)})"
+_config_sql = """
+      with x as (select *, p_brand || '/' || (p_partkey // 50) as config, case when p_partkey % 41 = 0 then 'same' else 't' || p_partkey end as id from part), n as (select *, row_number() over (partition by config order by p_partkey) - 1 as nth, min(p_partkey) over (partition by config) as least_key from x),
+      b as (select *, case when p_partkey % 97 = 0 then 'topics[' || nth || '].name' when p_partkey % 89 = 0 then 'topics[' || nth || '].include_keywords' when p_partkey % 83 = 0 then 'topics[' || nth || '].enabled' end as problem,
+        case when row_number() over (partition by config, id order by nth) > 1 then 'topics[' || nth || '].id' end as twice from n),
+      y as (select *, min(case when problem is not null then nth end) over (partition by config) as first_bad, min(case when twice is not null then nth end) over (partition by config) as first_twice from b)"""
 _looked_sql = f"""{_asked_sql}, needed as (select *, {A._CANON} as key from need), firsts as (select * from needed qualify row_number() over (partition by key order by seq) = 1 order by seq limit 16), chosen as (select * from firsts qualify row_number() over (partition by source_id order by seq) <= 8),
       cached as (select {A._CANON} as key, bool_or(seq % 3 = 0) as good from {ARTICLES_SQL} a group by 1), r as (select chosen.*, coalesce(good, false) as hit, seq % 4 > 1 as answered from chosen left join cached using (key))"""
 _group = f"case when {sql_in('source_id', rules.SHARED_QUOTA_SOURCES)} then 'shared' else source_id end"
@@ -606,7 +672,7 @@ SQL = {
         strftime(make_timestamp((n_nationkey * 5000 + 1700000000 + 28800)::bigint * 1000000), '%Y-%m-%d') as day, case when n_nationkey * 7.77e10 >= 1e12 then '$' || @money2 || ' T' when n_nationkey * 7.77e10 >= 1e9 then '$' || @money1 || ' B' else '$' || @money0 end as money,
         case when n_nationkey < 8 then printf('%.2f', n_nationkey * 123.4::double) else case when n_nationkey > 8 then (n_nationkey * 123.4)::bigint // 1000 || ',' else '' end || printf(case when n_nationkey > 8 then '%06.2f' else '%.2f' end, (n_nationkey * 123.4 - (n_nationkey * 123.4)::bigint // 1000 * 1000)::double) end as price,
         case when n_nationkey >= 12.345 then '+' else '' end || @percent || '%' as percent from nation""".replace("@money2", sql_fixed("(n_nationkey * 7.77e10::double / 1e12)", 2)).replace("@money1", sql_fixed("(n_nationkey * 7.77e10::double / 1e9)", 1)).replace("@money0", sql_fixed("(n_nationkey * 7.77e10::double)", 0)).replace("@percent", sql_fixed("(n_nationkey - 12.345::double)", 2)),
-    "watchlist_rows": f"select w.ord, w.symbol, w.zh, coalesce(w.en, w.zh) as en, w.\"group\", g.i as group_ord, g.en as group_name_en from ({_watch}) as w(ord, symbol, zh, en, \"group\") join ({_groups}) as g(i, name, en) on w.\"group\" = g.name",
+    "watchlist_rows": f"select w.ord, w.symbol, w.zh, coalesce(w.en, w.zh) as en, w.\"group\", g.i as group_ord, g.en as group_name_en, (select count(distinct date_trunc('week', o_orderdate)) from orders where {_names.replace('symbol', 'o_orderpriority')} = w.symbol)::bigint as weeks from ({_watch}) as w(ord, symbol, zh, en, \"group\") join ({_groups}) as g(i, name, en) on w.\"group\" = g.name",
     "watchlist_trends": f"""
       select w.ord, w.symbol, w."group", a.trend, case when a.signals = '' then 0 else len(string_split(a.signals, ',')) end::int as signals, true as toned from ({_analysis}) a join ({_watch}) as w(ord, symbol, zh, en, "group") on w.symbol = {_names.replace('symbol', 'a.symbol')}""",
     "asset_groups": f"select g.i as group_ord, g.name as \"group\", count(w.symbol)::bigint as n from ({_groups}) as g(i, name, en) left join (select * from ({_watch}) as v(ord, symbol, zh, en, \"group\") where symbol in ('SPY', 'BTC-USD', 'GC=F', 'AAPL') and symbol in (select {_names.replace('symbol', 'o_orderpriority')} from orders)) w on w.\"group\" = g.name group by 1, 2",
@@ -618,6 +684,14 @@ SQL = {
       with a as (select *, seq % 3 as k from {ARTICLES_SQL} o), r as (select *, row_number() over (partition by k, source_id order by seq) as turn, min(seq) over (partition by k, source_id) as f from a),
       p as (select *, row_number() over (partition by k order by turn, f) as place from r), q as (select * from p where place <= case k when 0 then 25 when 1 then 20 else 15 end)
       select row_number() over (order by k, place)::int as number, title, url, source_id as source, case k when 0 then 'tech' when 1 then 'finance' else 'politics' end as category, substr(coalesce(excerpt, ''), 1, 12) as excerpt, coalesce(strftime(published_at, '%Y-%m-%dT%H:%M:%S.000Z'), '') as published_at from q""",
+    "digest_run": f"""
+      with a as (select *, seq % 3 as k from {ARTICLES_SQL} o), r as (select *, row_number() over (partition by k, source_id order by seq) as turn, min(seq) over (partition by k, source_id) as f from a),
+      p as (select *, row_number() over (partition by k order by turn, f) as place from r), q as (select *, row_number() over (order by k, place) as n from p where place <= case k when 0 then 25 when 1 then 20 else 15 end)
+      select case k when 0 then 'tech' when 1 then 'finance' else 'politics' end as category, place::bigint as place, url || '&n=' || seq as url, source_id as source, 's' || n as summary, least(10, n)::int as importance, false as restored from q where place <= case k when 2 then 10 else 4 end""",
+    "review_run": f"""
+      with c as ({A.SQL['review_cap']}) select url, case when trim(title) <> '' then 'accepted' else 'rejected' end as status, o.source_id as summary from c join {ARTICLES_SQL} o using (seq)""",
+    "research_configs": f"""{_config_sql} select config, coalesce(case when least_key % 5 = 0 then 'sources[0].kind' end, min(problem) filter (where nth = first_bad), min(twice) filter (where nth = first_twice)) as problem from y group by config, least_key""",
+    "research_topics": f"""{_config_sql} select config, nth::int as ord, id, p_name as name, p_brand as include, p_partkey % 2 = 0 as enabled from y where least_key % 5 <> 0 and first_bad is null and first_twice is null""",
     "review_prompt": f"""
       with c as ({A.SQL['review_cap']}) select ((place - 1) // 30)::bigint as batch, url, title, substr(coalesce(excerpt, ''), 1, 500) as excerpt, o.source_id as source, coalesce(content_type, '') as content_type, coalesce(document_type, '') as document_type, '' as meta from c join {ARTICLES_SQL} o using (seq)""",
     "paper_prompt": f"""

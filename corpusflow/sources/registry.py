@@ -103,6 +103,52 @@ class RunLimits:
         return cls(**out)
 
 
+_TOPIC = "struct<id:string,name:string,description:string,include_keywords:array<string>,exclude_keywords:array<string>,publication_types:array<string>,enabled:boolean>"
+CONFIG = f"schema_version int, domain_keywords array<string>, sources array<struct<id:string,name:string,kind:string,url:string,enabled:boolean>>, topics array<{_TOPIC}>"
+PAPER_KINDS = ("pubmed", "journal-rss")
+
+
+def _first_problem(items: Column, name: str, tests: list[tuple[str, Callable[[Column], Column]]]) -> Column:
+    """The path of the first field of the first item that fails its test, then of the first repeated id."""
+
+    def of(x: Column, i: Column) -> Column:
+        out = None
+        for field, bad in tests:
+            path = F.concat(F.lit(f"{name}["), i, F.lit(f"].{field}"))
+            out = F.when(bad(x[field]), path) if out is None else out.when(bad(x[field]), path)
+        return out
+
+    twice = lambda x, i: F.when(F.exists(F.slice(items, F.lit(1), i), lambda y: y["id"] == x["id"]), F.concat(F.lit(f"{name}["), i, F.lit("].id")))
+    first = lambda f: F.get(F.filter(F.transform(items, f), lambda p: p.isNotNull()), F.lit(0))
+    return F.coalesce(first(of), first(twice))
+
+
+def configs(rows: DataFrame) -> DataFrame:
+    """rows (config, payload) with the parsed configuration and ``problem``: the path of the first field that is wrong, null if none is.
+
+    Names, descriptions and URLs must not be blank, flags be there, lists be lists (those of what to include not
+    empty) without blank entries, kinds of sources known, and ids of sources and of topics each be there once.
+    """
+    from ..functions import rx
+
+    out = rows.withColumn("parsed", F.from_json("payload", CONFIG))
+    words = lambda least: lambda x: x.isNull() | (F.size(x) < least) | F.exists(x, rx.blank)
+    of = lambda name: c(f"parsed.{name}")
+    none = lambda name: F.coalesce(F.size(of(name)), F.lit(0)) < 1
+    sources = [("kind", lambda x: ~F.coalesce(x.isin(*PAPER_KINDS), F.lit(False))), ("id", rx.blank), ("name", rx.blank), ("url", rx.blank), ("enabled", lambda x: x.isNull())]
+    topics = [("id", rx.blank), ("name", rx.blank), ("description", rx.blank), ("include_keywords", words(1)), ("exclude_keywords", words(0)), ("publication_types", words(0)), ("enabled", lambda x: x.isNull())]
+    problem = (
+        F.when(c("parsed").isNull(), "root").when(~F.coalesce(of("schema_version") == 1, F.lit(False)), "schema_version").when(none("sources"), "sources").when(none("topics"), "topics")
+        .otherwise(F.coalesce(_first_problem(of("sources"), "sources", sources), _first_problem(of("topics"), "topics", topics), F.when(words(1)(of("domain_keywords")), "domain_keywords")))
+    )
+    return out.withColumn("problem", problem)
+
+
+def topics_of(parsed: DataFrame) -> DataFrame:
+    """(config, ord, id, name, ...) of the topics of configurations without a problem."""
+    return parsed.where("problem is null").select("config", F.posexplode("parsed.topics").alias("ord", "t")).select("config", "ord", "t.*")
+
+
 CALLS = "ts timestamp, backend string, model string, durationMs bigint, success boolean, inputChars bigint, outputChars bigint, promptChars bigint, errorCategory string, errorSnippet string"
 
 
