@@ -11,8 +11,8 @@ left is depleted and rejected.
 Counts are partial aggregates over (host, hash) and hosts' sizes come by a join,
 so a host holding a third of all rows is spread over its lines.  Rows are counted
 first; only lines with enough rows are counted by distinct documents.  The lines that
-are over a limit are joined back to the documents by sort-merge joins, which
-adaptive execution may split.
+are over a limit are stored and joined back to the documents, both sides shuffled for the
+join, so that adaptive execution can split a line which a third of all documents hold.
 """
 
 from __future__ import annotations
@@ -135,8 +135,9 @@ def _over_limit(rows: DataFrame, limit_docs: int, limit_share: float) -> DataFra
     often = lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > limit_docs).join(docs_of, "host")
     over = F.col("n") > F.greatest(F.lit(float(limit_docs)), F.col("docs") * limit_share)
     # dealt by document, so that a line which very many documents hold is counted in many tasks
-    held = stored(lines.join(often.where(over).select("host", "h", "docs"), ["host", "h"]).repartition("doc_id").distinct())
-    common = held.groupBy("host", "h").agg(F.count("*").alias("n"), F.first("docs").alias("docs")).where(over).select("host", "h")
+    # the counts are stored, so that each side of the joins is shuffled for it and a line of very many documents can be split
+    held = stored(lines.join(stored(often.where(over).select("host", "h", "docs")), ["host", "h"]).repartition("doc_id").distinct())
+    common = stored(held.groupBy("host", "h").agg(F.count("*").alias("n"), F.first("docs").alias("docs")).where(over).select("host", "h"))
     return held.join(common, ["host", "h"]).groupBy("doc_id", "host").agg(F.collect_list("h").alias("gone"))
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusflow.llm import divergence, periodic_runs, queries, url_filter
+from corpusflow.llm import divergence, periodic_runs, quality_rules, queries, url_filter
 from tests.oracle import assert_same, connection
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -288,3 +288,20 @@ def test_runs_of_a_very_long_text():
     passage = [f"w{r.randrange(50_000)}" for _ in range(60_000)]
     out = periodic_runs._digests(pa.array([1]), pa.array([" ".join(["first", *passage * 3, "last"])]), 12, False, True).to_pylist()[0]
     assert (out["start"], out["length"], out["period"], out["exponent_milli"]) == (1, 180_000, 60_000, 3000) and out["text"] == " ".join(["first", *passage, "last"])
+
+
+# 6: a line that very many documents of a host hold
+
+
+def test_a_hot_line_is_shuffled_on_both_sides(spark):
+    """Two joins by (host, line) in the plan's parts, each with an exchange below either side; a line of a third of all documents is found."""
+    rows = spark.range(900).select(F.col("id").alias("doc_id"), F.concat(F.lit("own words of "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.when(F.col("id") % 3 == 0, F.lit("\nthe same line")).otherwise(F.lit(""))).alias("text"), F.lit("host").alias("source"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = quality_rules._over_limit(quality_rules.stored(quality_rules.measured(rows)), 3, 0.05)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"SortMergeJoin", plan)) == 1 and len(re.findall(r"Exchange hashpartitioning\(host#\d+, h#", plan)) == 2
+        got = out.collect()
+        assert {x.doc_id for x in got} == set(range(0, 900, 3)) and all(len(x.gone) == 1 for x in got)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
