@@ -86,13 +86,18 @@ def merge_groups(papers: DataFrame, preferred: Column, order: str = "seq", local
     out = papers.groupBy("component").agg(*[filled(n) for n in texts], *[F.max(n).alias(n) for n in dates], *[united(n) for n in arrays], *kept, *own_id, F.count("*").alias("members"))
     if "doi" in texts:
         out = out.withColumn("doi", text.normalize_doi(c("doi")))
-    names = [F.when(F.coalesce(c("pmid"), F.lit("")) != "", F.concat(F.lit("pmid:"), c("pmid")))] if "pmid" in texts else []
-    names += [F.when(c("doi").isNotNull(), F.concat(F.lit("doi:"), c("doi")))] if "doi" in texts else []
     if own_id:
-        out = out.withColumn("id", F.coalesce(*names, c("__id"))).drop("__id")
+        out = named(out, c("__id")).drop("__id")
     return out
 
 
+def named(papers: DataFrame, own: Column, doi: Column | None = None) -> DataFrame:
+    """papers with the id that a record has: by its number, else its DOI (in normal form), else its own."""
+    names = [F.when(F.coalesce(c("pmid"), F.lit("")) != "", F.concat(F.lit("pmid:"), c("pmid")))] if "pmid" in papers.columns else []
+    names += [F.concat(F.lit("doi:"), c("doi") if doi is None else doi)] if "doi" in papers.columns else []
+    return papers.withColumn("id", F.coalesce(*names, own))
+
+
 #: Rows of a component of conflicts, first in order, that one task folds at once; rounds before that.
 FOLDED_ROWS, PARALLEL_ROUNDS = 100_000, 4
 

@@ -50,7 +50,7 @@ def run(
     fetched, status = state.discovered({k: (lambda f=f: f(start, now)) for k, f in fetch.items()})
     choose = lambda df: topics.select(history.unshown_papers(df, shown), wanted, now, selection)
     if fetched is None:
-        papers = stored(choose(cached))
+        papers = stored(choose(dedupe.named(cached, c("id"), text.normalize_doi(c("doi")))))  # ties fall by id, so by the names that merged records have
         return Research(papers, state.section(placed(papers), last_success, now, True), cached, status, True, last_success)
     merged = stored(state.merged(fetched, cached, now, limits.cache_days).withColumn("seq", c("component")))
     chosen = stored(fingerprinted(choose(merged)))
