@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rx
+from .udf import lean, small_batches
 
 #: Bits in a word of the set: a long without its sign.
 BITS = 62
@@ -77,7 +78,8 @@ class Scanner:
             found = bits_of(entries, texts)
             return pd.DataFrame({f"w{k}": pd.Series([x >> BITS * k & mask for x in found], dtype="int64") for k in range(words)})
 
-        return F.pandas_udf(run, ", ".join(f"w{k} long" for k in range(words))).asNondeterministic()(low)
+        small_batches()
+        return F.pandas_udf(lean(run), ", ".join(f"w{k} long" for k in range(words))).asNondeterministic()(low)
 
     def hit(self, bits: Column, name: str) -> Column | None:
         """Whether the pattern's or list's bit is set; None if it has none."""

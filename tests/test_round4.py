@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from corpusflow.operators import topics
+import pandas as pd
+from pyspark.sql import functions as F
+
+from corpusflow.functions import scan, text, udf
+from corpusflow.operators import digest, topics
 from corpusflow.plans import research
 
 NOW = dt.datetime(2024, 1, 31, tzinfo=dt.timezone.utc)
@@ -24,3 +28,18 @@ def test_fallback_breaks_ties_by_the_names_of_records(spark):
     limits = topics.Limits(min_score=0.0, max_per_topic=1, max_papers=1)
     r = research.run({"down": down}, cached, None, shown, (topics.Topic("t", ("growth",)),), NOW, lambda rows: rows, selection=limits)
     assert r.cached_fallback and [(x.id, x.pmid) for x in r.papers.collect()] == [("pmid:10", "10")]
+
+
+def test_arrow_functions_get_small_batches(spark):
+    """A batch of long texts is bounded by its bytes, not by 10,000 rows alone."""
+    for f in (lambda: text.nfkc(F.col("id").cast("string")), lambda: scan.Scanner(lists={"x": ["y"]}).bits(F.col("id").cast("string"))):
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        f()
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
+
+    @udf.arrow("long")
+    def rows(x: pd.Series) -> pd.Series:
+        return pd.Series([len(x)] * len(x))
+
+    texts = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("ab"), 10_000).alias("x"))  # 40 MB
+    assert texts.select(rows(F.col("x")).alias("n")).agg(F.max("n")).first()[0] <= 400
