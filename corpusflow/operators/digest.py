@@ -21,7 +21,8 @@ TITLE_ONLY = "原始页面暂未提供可解析摘要，请查看原文了解详
 def parsed(answer: Column, schema: str) -> Column:
     """The answer's JSON, strictly, else repaired; null if neither parses."""
     bare = text.extract_json(answer)
-    return F.from_json(F.when(F.try_parse_json(bare).isNotNull(), bare).otherwise(text.repair_json(bare)), schema)
+    strict = F.when(F.try_parse_json(bare).isNotNull(), bare)
+    return F.from_json(F.coalesce(strict, text.repair_json(F.when(strict.isNull(), bare))), schema)  # only broken ones pass through Python
 
 
 def reviews_of(answers: DataFrame, answer: str = "answer", order: str = "chunk") -> DataFrame:

@@ -43,3 +43,16 @@ def test_arrow_functions_get_small_batches(spark):
 
     texts = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("ab"), 10_000).alias("x"))  # 40 MB
     assert texts.select(rows(F.col("x")).alias("n")).agg(F.max("n")).first()[0] <= 400
+
+
+def test_only_broken_answers_are_repaired(spark, monkeypatch):
+    """Answers that parse strictly don't pass through Python."""
+
+    @udf.arrow("string")
+    def failing(s: pd.Series) -> pd.Series:
+        assert s.isna().all()
+        return s
+
+    monkeypatch.setattr(text, "repair_json", failing)
+    df = spark.createDataFrame([('{"a": 1}',), (None,)], "x string")
+    assert [x[0] and x[0].a for x in df.select(digest.parsed(F.col("x"), "struct<a:int>")).collect()] == [1, None]
