@@ -83,16 +83,30 @@ def state_merge(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("pmid", "members", F.unix_timestamp("activity_at").alias("activity"))
 
 
+#: Rows of a file that a stream reads, about.
+FILE_ROWS = 1_000_000
+
+
+def _dealt(rows: DataFrame, path: str) -> int:
+    """Writes rows as files of some FILE_ROWS each, a quarter of which a micro-batch reads: how many that are.
+
+    A task writes one file as its rows come, without a sort, so its memory doesn't grow with the table.
+    """
+    each = -(-rows.count() // (4 * FILE_ROWS)) or 1
+    rows.repartition(4 * each, "seq").write.parquet(path)
+    return each
+
+
 def papers_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as papers in four files, read as a stream: each micro-batch is one commit of the records and their index."""
+    """Events as papers in files that four micro-batches read as a stream: each is one commit of the records and their index."""
     base = f"{shared_dir(spark)}/corpusflow-{uuid.uuid4().hex}"
     e = registry.table(spark, sf, "events")
     rows = e.select(
         c("event_id").alias("seq"), F.concat(F.lit("e"), c("event_id")).alias("id"), F.concat(c("user_id"), F.lit("-"), c("event_type"), F.lit("-"), F.floor(c("value"))).alias("pmid"), F.lit(None).cast("string").alias("doi"),
         F.lit("").alias("title"), c("event_type").alias("journal"), F.array(F.lit("pubmed")).alias("source_kinds"), c("ts").cast("timestamp").alias("activity_at"),
     )
-    rows.withColumn("part", F.pmod(F.hash("seq"), F.lit(4))).repartition(4, "part").write.partitionBy("part").parquet(f"{base}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    each = _dealt(rows, f"{base}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(f"{base}/in")
     ledger.merge_stream(stream, f"{base}/state", "papers", lambda s, batch: ledger.absorb(spark, f"{base}/state", s, batch, NOW, 10), f"{base}/checkpoint").awaitTermination()
     out = ledger.records(spark, f"{base}/state")
     return out.select("pmid", "journal", F.unix_timestamp("activity_at").alias("activity"), F.array_join("source_kinds", ",").alias("kinds"))

@@ -56,3 +56,15 @@ def test_only_broken_answers_are_repaired(spark, monkeypatch):
     monkeypatch.setattr(text, "repair_json", failing)
     df = spark.createDataFrame([('{"a": 1}',), (None,)], "x string")
     assert [x[0] and x[0].a for x in df.select(digest.parsed(F.col("x"), "struct<a:int>")).collect()] == [1, None]
+
+
+def test_stream_input_is_dealt_into_files_without_a_sort(spark, tmp_path, monkeypatch):
+    """Files of a stream's input follow the table's rows, so that no task holds a quarter of it."""
+    from corpusflow.queries import papers
+
+    monkeypatch.setattr(papers, "FILE_ROWS", 100)
+    rows = spark.range(4000).withColumnRenamed("id", "seq")
+    each = papers._dealt(rows, str(tmp_path / "in"))
+    sizes = [r.n for r in spark.read.parquet(str(tmp_path / "in")).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert each == 10 and len(sizes) == 40 and sum(sizes) == 4000 and max(sizes) < 200
+    assert papers._dealt(rows.limit(0), str(tmp_path / "none")) == 1
