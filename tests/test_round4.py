@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions import scan, text, udf
 from corpusflow.operators import digest, topics
 from corpusflow.plans import research
+from corpusflow.sources import html
 
 NOW = dt.datetime(2024, 1, 31, tzinfo=dt.timezone.utc)
 
@@ -68,3 +69,12 @@ def test_stream_input_is_dealt_into_files_without_a_sort(spark, tmp_path, monkey
     sizes = [r.n for r in spark.read.parquet(str(tmp_path / "in")).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
     assert each == 10 and len(sizes) == 40 and sum(sizes) == 4000 and max(sizes) < 200
     assert papers._dealt(rows.limit(0), str(tmp_path / "none")) == 1
+
+
+def test_a_page_is_walked_twice_at_most(monkeypatch):
+    """What a page says is found in one walk of its nodes, and one more where some were taken out."""
+    walks, walk = [], html.Node.walk
+    monkeypatch.setattr(html.Node, "walk", lambda self: walks.append(self.tag) or walk(self))
+    page = '<nav class="lead">no</nav><meta name="date" content="2024-01-02"><time datetime="2024-01-03"></time><main>a  b<p class="lead">c</p></main><i class="category">K</i>'
+    got = html.page_metadata(page)
+    assert len(walks) == 2 and (got["meta_dates"], got["time"], got["body"], got["excerpts"], got["types"]) == (["2024-01-02"], "2024-01-03", "a bc", ["c", "a bc"], ["K"])
