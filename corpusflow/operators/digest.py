@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import rx, text, urls
+from ..storage import stored
 
 c = F.col
 REVIEWS = "struct<reviews:array<struct<url:string,status:string,summary:string>>>"
@@ -31,6 +32,11 @@ def reviews_of(answers: DataFrame, answer: str = "answer", order: str = "chunk")
     return out.select("r.url", "r.status", "r.summary", F.struct(order, "pos").alias("n")).where("url is not null")
 
 
+def last_of_url(candidates: DataFrame, order: str = "seq") -> DataFrame:
+    """The candidate of each URL that counts for reviewed(): the last in order.  Taken before candidates are classified, rules run for these only."""
+    return candidates.withColumn("__n", F.row_number().over(Window.partitionBy("url").orderBy(F.desc(order)))).where("__n = 1").drop("__n")
+
+
 def reviewed(candidates: DataFrame, reviews: DataFrame, order: str = "seq") -> DataFrame:
     """Candidates that a review accepts; they carry what routing.classified() adds.
 
@@ -38,10 +44,10 @@ def reviewed(candidates: DataFrame, reviews: DataFrame, order: str = "seq") -> D
     approves counts.  An uncertain one passes only for a formal document of an official
     authority; a document known by title gets the fixed summary and low priority.
     """
+    reviews = stored(reviews.where("status in ('accepted', 'uncertain', 'rejected')"))  # read twice, and parsed once
     rejected = reviews.where("status = 'rejected'").select("url").distinct()
     open_ = reviews.where("status in ('accepted', 'uncertain')").join(rejected, "url", "left_anti")
-    last = candidates.withColumn("__n", F.row_number().over(Window.partitionBy("url").orderBy(F.desc(order)))).where("__n = 1").drop("__n")
-    joined = last.where("s_known").join(open_.select(c("url").alias("__u"), c("status"), c("summary").alias("__summary"), "n"), c("url") == c("__u"))
+    joined = last_of_url(candidates, order).where("s_known").join(open_.select(c("url").alias("__u"), c("status"), c("summary").alias("__summary"), "n"), c("url") == c("__u"))
     fallback = ~c("subst") & c("official") & ~c("d_type").isin("news", "video", "education") & ~rx.matches(c("title"), rules.VIDEO_TITLE)
     official = (c("s_class") == "official_authority") & c("official")
     fine = ((c("status") == "accepted") | official) & (c("subst") | fallback) & (fallback | ~rx.blank(c("__summary")))

@@ -122,7 +122,7 @@ def digest_join(spark: SparkSession, sf: str) -> DataFrame:
 def review_join(spark: SparkSession, sf: str) -> DataFrame:
     """Review answers of 30-row chunks, one of them broken, against their candidates."""
     a = articles(spark, sf)
-    cand = stored(routing.classified(routing.with_source(a, sources(spark))))
+    cand = stored(routing.classified(routing.with_source(digest.last_of_url(a), sources(spark))))
     status = F.when(c("seq") % 5 == 0, "rejected").when(c("seq") % 5 == 1, "uncertain").otherwise("accepted")
     one = F.struct(F.to_json(F.struct(c("url"), status.alias("status"), F.concat(F.lit("s"), c("seq")).alias("summary"))).alias("j"))
     chunks = a.withColumn("chunk", F.floor(c("seq") / 30)).groupBy("chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", one.alias("o")))), lambda s: s["o"]["j"]), ",").alias("js"))

@@ -78,3 +78,16 @@ def test_a_page_is_walked_twice_at_most(monkeypatch):
     page = '<nav class="lead">no</nav><meta name="date" content="2024-01-02"><time datetime="2024-01-03"></time><main>a  b<p class="lead">c</p></main><i class="category">K</i>'
     got = html.page_metadata(page)
     assert len(walks) == 2 and (got["meta_dates"], got["time"], got["body"], got["excerpts"], got["types"]) == (["2024-01-02"], "2024-01-03", "a bc", ["c", "a bc"], ["K"])
+
+
+def test_reviews_are_joined_to_the_last_candidate_of_a_url(spark, sf, monkeypatch):
+    """Rules run only for the candidates that count: one for each URL."""
+    from corpusflow.operators import routing
+    from corpusflow.queries import articles
+
+    seen, classified, made = [], routing.classified, articles.articles
+    monkeypatch.setattr(articles, "articles", lambda *a: made(*a).withColumn("url", F.concat(F.lit("https://acog.example.org/"), F.col("seq") % 7)))
+    monkeypatch.setattr(routing, "classified", lambda df: seen.append(df) or classified(df))
+    articles.review_join(spark, sf)
+    n = seen[0].agg(F.count("*").alias("n"), F.countDistinct("url").alias("urls")).first()
+    assert n.n == n.urls == 7
