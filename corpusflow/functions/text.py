@@ -62,9 +62,17 @@ def normalize_doi(doi: Column) -> Column:
 UNCHANGED = r"\x00-\x7F\u00C0-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0388-\u03CE\u0400-\u045F\u2013\u2014\u2018\u2019\u201C\u201D\u3001\u3002\u3008-\u3011\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF\uAC00-\uD7A3"
 
 
+#: Stands between texts that pass as one: no normal form changes it, and in one it is no letter, so a space stands for it inside a text.
+MARK = "\u0001"
+
+
 @arrow("string")
 def _decoded_nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", _ENTITY.sub(_entity, x)))
+    def one(x: str) -> str:
+        parts = x.split(MARK) if "&#" in x else ()  # an entity of a mark is none
+        return unicodedata.normalize("NFKC", MARK.join(_ENTITY.sub(_entity, p).replace(MARK, " ") for p in parts) if parts else _ENTITY.sub(_entity, x))
+
+    return s.map(lambda x: None if x is None else one(x))
 
 
 def nfkc(text: Column) -> Column:
@@ -73,8 +81,8 @@ def nfkc(text: Column) -> Column:
 
 
 def _may_change(text: Column) -> Column:
-    """Whether NFKC may change a text; one of ASCII is told by a simpler class, which costs less."""
-    return text.rlike(r"[^\x00-\x7F]") & text.rlike(f"[^{UNCHANGED}]")
+    """Whether NFKC may change a text; one of ASCII is told by its length, and an ASCII character by one comparison."""
+    return (F.octet_length(text) != F.char_length(text)) & text.rlike(f"[[^\\x00-\\x7F]&&[^{UNCHANGED}]]")
 
 
 def composed(text: Column) -> Column:
@@ -93,9 +101,20 @@ def normalize_title(title: Column) -> Column:
 
 def normalize_titles(titles: Column) -> Column:
     """The same for each item of an array (null items left out): one text passes, as lambdas can't hold Arrow functions."""
-    mark = "\u0001"  # no normal form changes it, and no item holds it
-    whole = composed(F.array_join(F.transform(titles, lambda t: F.translate(t, mark, " ")), mark))
-    return F.when(F.size(titles) > 0, F.transform(F.split(whole, mark), _only_words)).otherwise(F.array().cast("array<string>"))
+    whole = composed(marked(titles))
+    return F.when(F.size(titles) > 0, F.transform(F.split(whole, MARK), _only_words)).otherwise(F.array().cast("array<string>"))
+
+
+def marked(texts: Column) -> Column:
+    """Items of an array (null ones left out) as one text, a mark between them."""
+    return F.array_join(F.transform(texts, lambda t: F.replace(t, F.lit(MARK), F.lit(" "))), MARK)
+
+
+def normal_parts(whole: Column, low: Column) -> Column:
+    """normalize_title() of each part of a marked text, as an array; low: the marked text in lower case, which it stays unless it is composed anew."""
+    anew = _decoded_nfkc(F.when(whole.contains("&#") | _may_change(whole), whole))
+    low = F.when(anew.isNotNull(), F.lower(anew)).when(whole.contains("&"), F.lower(decode_entities(whole, False))).otherwise(low)
+    return F.transform(F.split(F.regexp_replace(low, rf"[^a-z0-9&\p{{L}}\p{{N}}\x01]+", " "), MARK), lambda x: F.trim(x))
 
 
 def normal_phrase(phrase: str) -> str:

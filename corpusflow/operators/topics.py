@@ -102,21 +102,23 @@ def scored(papers: DataFrame, topics: Sequence[Topic], now: dt.datetime, domain:
     Topics are columns of one array, exploded after scoring: texts are normalised once
     for each paper, and nothing is joined.
     """
-    types = c("publication_types")
-    base = papers.withColumns({"__t": once(text.normalize_title(c("title"))), "__a": once(text.normalize_title(c("abstract"))), "__n": once(text.normalize_titles(F.coalesce(types, F.array().cast("array<string>"))))})
-    # the normal form of the whole is that of its parts, joined: between them is a space
-    part = lambda x: F.nullif(x, F.lit(""))
-    base = base.withColumn("__e", F.concat_ws(" ", part(c("__t")), part(c("__a")), part(F.array_join(F.filter(c("__n"), lambda x: x != ""), " "))))
+    types = F.coalesce(c("publication_types"), F.array().cast("array<string>"))
+    texts = F.concat(F.array(*[F.coalesce(c(x), F.lit("")) for x in ("title", "abstract")]), F.filter(types, lambda t: t.isNotNull()))
+    base = papers.withColumn("__w", once(text.marked(texts)))
+    base = base.withColumn("__lw", once(F.lower("__w")))
+    # in lower case marked and whole text differ by what stands between the parts, unless a part holds a mark
+    low = F.when((F.size(texts) == 2) | F.exists(texts, lambda x: x.contains(text.MARK)), F.lower(whole(c("publication_types")))).otherwise(F.replace(c("__lw"), F.lit(text.MARK), F.lit(" ")))
+    base = base.withColumns({"__p": once(text.normal_parts(c("__w"), c("__lw"))), "__low": once(low)})
     hits = phrases(topics, domain)
-    base = base.withColumn(hits.column, hits.scanner.bits(c("__e"))).where(_any([hits.any(f"include{i}") for i, t in enumerate(topics) if t.enabled]))
+    # the normal form of the whole is that of its parts, joined: between them is a space; both scans are one worker's
+    base = base.withColumns({hits.column: hits.scanner.bits(F.array_join(F.filter("__p", lambda x: x != ""), " ")), _ACTIONABLE.column: _ACTIONABLE.scanner.bits(c("__low"))})
+    base = base.where(_any([hits.any(f"include{i}") for i, t in enumerate(topics) if t.enabled]))
     if domain:
         base = base.where(hits.any("domain"))
-    base = base.withColumn("__low", F.lower(whole(types)))
-    base = base.withColumn(_ACTIONABLE.column, _ACTIONABLE.scanner.bits(c("__low")))
     if "evidence_rank" not in papers.columns:
         base = base.withColumn("evidence_rank", evidence_weight(types))
     base = base.withColumn("__act", rx.first_match(c("__low"), rules.ACTIONABILITY, rules.ACTIONABILITY_ELSE, _ACTIONABLE).cast("double")).withColumn("__rec", recency_weight(c("activity_at"), now))
-    entries = [F.struct(F.lit(i).alias("topic_ord"), F.lit(t.id).alias("topic_id"), topic_match(t, c("__n"), c("__t"), c("__a"), hits.any(f"exclude{i}"), hits.any(f"include{i}")).alias("topic_match")) for i, t in enumerate(topics) if t.enabled]
+    entries = [F.struct(F.lit(i).alias("topic_ord"), F.lit(t.id).alias("topic_id"), topic_match(t, F.slice("__p", 3, F.size("__p")), F.get("__p", F.lit(0)), F.get("__p", F.lit(1)), hits.any(f"exclude{i}"), hits.any(f"include{i}")).alias("topic_match")) for i, t in enumerate(topics) if t.enabled]
     out = base.withColumn("__s", F.explode(F.filter(F.array(*entries), lambda s: s["topic_match"] > 0)))
     out = out.select(*[x for x in papers.columns if x != "evidence_rank"], "evidence_rank", "__s.*", text.round2(c("evidence_rank") * 25).alias("evidence"), text.round2(c("__act") * 15).alias("actionability"), text.round2(c("__rec") * 10).alias("recency"))
     return out.withColumn("total", text.round2(c("topic_match") + c("evidence") + c("actionability") + c("recency")))

@@ -88,7 +88,6 @@ def safely(run_: Callable[[], Research], warn: Callable[[str], None] = print) ->
 def dry_run(fetch: dict[str, Callable[[], DataFrame]], wanted: Sequence[topics.Topic], now: dt.datetime, selection: topics.Limits = topics.Limits()) -> DataFrame:
     """One row: sources that succeeded and failed, papers fetched, after merging, and selected."""
     fetched, status = state.discovered(fetch)
-    spark = fetched.sparkSession if fetched is not None else None
     good = sum(s[1] for s in status)
     if fetched is None:
         raise ValueError("no source could be read: " + "; ".join(f"{s[0]}: {s[3]}" for s in status))
@@ -96,5 +95,5 @@ def dry_run(fetch: dict[str, Callable[[], DataFrame]], wanted: Sequence[topics.T
     records = dedupe.merge_groups(groups, F.array_contains("source_kinds", "pubmed"))
     counts = groups.agg(F.count("*").alias("fetched"), F.countDistinct("component").alias("deduped"))
     chosen = topics.select(records, wanted, now, selection).agg(F.count("*").alias("selected"))
-    head = spark.createDataFrame([(good, len(status) - good)], "successful_sources int, failed_sources int")
-    return head.crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(chosen))  # one row each
+    head = counts.select(F.lit(good).alias("successful_sources"), F.lit(len(status) - good).alias("failed_sources"), "fetched", "deduped")
+    return head.crossJoin(F.broadcast(chosen))  # one row each

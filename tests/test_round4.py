@@ -91,3 +91,30 @@ def test_reviews_are_joined_to_the_last_candidate_of_a_url(spark, sf, monkeypatc
     articles.review_join(spark, sf)
     n = seen[0].agg(F.count("*").alias("n"), F.countDistinct("url").alias("urls")).first()
     assert n.n == n.urls == 7
+
+
+def _python_nodes(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython ")
+
+
+def _texts(spark):
+    rows = [(1, "a", "Growth of the K&amp;R", "On the growth&#1;of Ｔhings", ["Clinical Trial", None]), (2, "b", None, "ΟΔΟΣ\u0001rat", []), (3, "c", "ΟΔΟΣ", "İ and ﬁ, of the", None), (4, "d", "of", "the", ["a\u0001b"])]
+    return spark.createDataFrame(rows, "seq long, id string, title string, abstract string, publication_types array<string>").withColumn("activity_at", F.lit(NOW))
+
+
+def test_topics_are_scored_by_two_workers_a_task(spark):
+    """Texts of a paper pass through Python for compatibility forms at once, and both scans are one worker's: four workers a task before."""
+    wanted = (topics.Topic("t", ("of the", "fi"), exclude=("growth of things",), publication_types=("clinical trial",)), topics.Topic("u", ("οδος", "rat")))
+    out = topics.scored(_texts(spark), wanted, NOW)
+    assert _python_nodes(out) == 2
+    # an excluded phrase counts in the whole text, also over the edge of two parts
+    assert sorted((r.id, r.topic_id, r.topic_match) for r in out.collect()) == [("b", "u", 40.0), ("c", "t", 40.0), ("c", "u", 50.0)]
+
+
+def test_parts_of_a_marked_text_have_the_normal_forms_of_titles(spark):
+    parts = F.array(F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit("")))
+    whole = text.marked(parts)
+    for r in _texts(spark).select(text.normal_parts(whole, F.lower(whole)).alias("p"), F.array(*[F.coalesce(text.normalize_title(F.col(x)), F.lit("")) for x in ("title", "abstract")]).alias("each")).collect():
+        assert r.p == r.each
+    # a numeric entity of the mark doesn't part a title
+    assert spark.sql("select array('a&#1;b', 'c') as x").select(text.normalize_titles(F.col("x")).alias("y")).first().y == ["a b", "c"]
