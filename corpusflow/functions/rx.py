@@ -8,7 +8,7 @@ are rewritten when a rule list is compiled to a column.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import lru_cache
+from functools import lru_cache, reduce
 from re import _constants as ops  # the parser of the standard library, on the driver only
 from re import _parser as parser
 from typing import TYPE_CHECKING
@@ -140,7 +140,8 @@ def may_match(low: Column, pattern: str) -> Column | None:
         for w in words[1:]:
             out = out | low.contains(w)
         return out
-    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    # low stands once, in an array of one: an expression of it would be computed for each word
+    return F.exists(F.array(low), lambda text: reduce(Column.__or__, [text.contains(w) for w in words]))
 
 
 def matches(text: Column, pattern: str, ignore_case: bool = True, low: Column | Hits | None = None) -> Column:

@@ -114,7 +114,7 @@ def normal_parts(whole: Column, low: Column) -> Column:
     """normalize_title() of each part of a marked text, as an array; low: the marked text in lower case, which it stays unless it is composed anew."""
     anew = _decoded_nfkc(F.when(whole.contains("&#") | _may_change(whole), whole))
     low = F.when(anew.isNotNull(), F.lower(anew)).when(whole.contains("&"), F.lower(decode_entities(whole, False))).otherwise(low)
-    return F.transform(F.split(F.regexp_replace(low, rf"[^a-z0-9&\p{{L}}\p{{N}}\x01]+", " "), MARK), lambda x: F.trim(x))
+    return F.transform(F.split(F.regexp_replace(low, r"[^a-z0-9&\p{L}\p{N}\x01]+", " "), MARK), lambda x: F.trim(x))
 
 
 def normal_phrase(phrase: str) -> str:

@@ -52,7 +52,7 @@ def components(keys: DataFrame, node: str, key: str) -> DataFrame:
 
 def paper_components(papers: DataFrame, order: str = "seq") -> DataFrame:
     """papers with component: the least seq of papers that share number, DOI or title, transitively."""
-    keys = papers.select(order, F.explode(text.identity_keys(c("pmid"), c("doi"), c("title"))).alias("key"))
+    keys = stored(papers.select(order, F.explode(text.identity_keys(c("pmid"), c("doi"), c("title"))).alias("key")))  # read by several rounds
     found = components(papers.select(order, F.lit(None).cast("string").alias("key")).unionByName(keys), order, "key")
     found = found.withColumnRenamed(order, "__n")
     return papers.drop("component").join(found, c(order) == c("__n"), "left").drop("__n")

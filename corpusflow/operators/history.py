@@ -40,8 +40,11 @@ def against(articles: DataFrame, history: DataFrame, current_date: str) -> DataF
 
 
 def unshown_papers(papers: DataFrame, shown: DataFrame) -> DataFrame:
-    """Papers none of whose identity keys was shown; shown: (key)."""
-    hits = papers.select("id", F.explode(text.identity_keys(c("pmid"), c("doi"), c("title"))).alias("key")).join(shown.select("key").distinct(), "key", "left_semi").select("id").distinct()
+    """Papers none of whose identity keys was shown; shown: (key).
+
+    What was shown of them is stored, so that its size is known before the papers, with their texts, would be shuffled.
+    """
+    hits = stored(papers.select("id", F.explode(text.identity_keys(c("pmid"), c("doi"), c("title"))).alias("key")).join(shown.select("key").distinct(), "key", "left_semi").select("id").distinct())
     return papers.join(hits, "id", "left_anti")
 
 

@@ -7,8 +7,8 @@ import datetime as dt
 import pandas as pd
 from pyspark.sql import functions as F
 
-from corpusflow.functions import scan, text, udf
-from corpusflow.operators import digest, topics
+from corpusflow.functions import rx, scan, text, udf
+from corpusflow.operators import dedupe, digest, history, topics
 from corpusflow.plans import research
 from corpusflow.sources import html
 
@@ -118,3 +118,24 @@ def test_parts_of_a_marked_text_have_the_normal_forms_of_titles(spark):
         assert r.p == r.each
     # a numeric entity of the mark doesn't part a title
     assert spark.sql("select array('a&#1;b', 'c') as x").select(text.normalize_titles(F.col("x")).alias("y")).first().y == ["a b", "c"]
+
+
+def test_keys_of_papers_are_made_once(spark):
+    """Titles pass through Python for the keys once, not again for what is left of the plan."""
+    assert _python_nodes(dedupe.paper_components(_texts(spark).selectExpr("*", "'7' as pmid", "cast(null as string) as doi"))) == 0
+
+
+def test_papers_are_not_shuffled_for_few_shown_ones(spark):
+    """What was shown of the papers has a known size when the papers' texts meet it."""
+    p = _texts(spark).selectExpr("*", "cast(seq as string) as pmid", "cast(null as string) as doi")
+    out = history.unshown_papers(p, spark.sql("select 'pmid:2' as key"))
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString() and sorted(r.id for r in out.collect()) == ["a", "c", "d"]
+
+
+def test_words_are_looked_for_in_a_text_that_is_made_once(spark):
+    """A text that is an expression isn't computed for each of many words."""
+    pattern = "|".join(f"{x}word" for x in "abcdefghi")
+    rows = spark.range(3).selectExpr("element_at(array('an hword', 'none', null), cast(id as int) + 1) as x")
+    low = F.lower(F.concat("x", F.lit("!")))
+    assert [r.y for r in rows.select(rx.matches(F.col("x"), pattern, low=low).alias("y")).collect()] == [True, False, False]
+    assert "exists(array(lower(concat(" in rows.select(rx.may_match(low, pattern).alias("y"))._jdf.queryExecution().analyzed().toString()
